@@ -1,0 +1,493 @@
+"""Each operator against a brute-force version over rows that hold every odd case."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from tessera.llm import exact_dedup, fingerprints, licenses, mixing, near_dedup, packing, quality, secrets, sharding, tokenfile, tokens
+from tessera.llm import queries as Q
+
+
+def norm(t):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+
+
+# ---------------------------------------------------------------- 6
+
+
+def test_exact_groups(docs, rows):
+    groups = defaultdict(list)
+    for d, t, *_ in rows:
+        groups[norm(t)].append(d)
+    got = {r.doc_id: r for r in exact_dedup.exact_groups(docs).collect()}
+    assert len(got) == len(rows)
+    for d, t, *_ in rows:
+        g = groups[norm(t)]
+        assert (got[d].keep_id, got[d].group_size, got[d].kept, got[d].text_sha256) == (min(g), len(g), d == min(g), hashlib.sha256(norm(t).encode()).hexdigest())
+
+
+def test_drop_exact_copies(docs, rows):
+    first = {}
+    for d, t, *_ in rows:
+        first[norm(t)] = min(first.get(norm(t), d), d)
+    got = exact_dedup.drop_exact_copies(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted(first.values())
+
+
+def test_exact_odd(odd, none):
+    got = exact_dedup.exact_groups(odd).collect()
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size) for r in got) == [(0, 0, 1), (0, 1, 4), (1, 1, 4), (1, 1, 4), (1, 1, 4), (5, 5, 1)]
+    assert exact_dedup.drop_exact_copies(odd).count() == 3
+    assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.drop_exact_copies(none).count() == 0
+
+
+# ---------------------------------------------------------------- 2
+
+
+def base_spans(t):
+    out = []
+    for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, "assign", m.end(), m[2]))
+    for k, (kind, p, n) in enumerate([("access", r"AKIA[A-Z0-9]+", 20), ("hex", r"[0-9a-f]+", 24)], 1):
+        out += [(m.start(), k, kind, m.end(), m[0]) for m in re.finditer(p, t) if len(m[0]) >= n]
+    return sorted(out)
+
+
+def test_secret_query(spark, docs, rows, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in Q.op2_secret_ownership(spark, str(tmp_path)).collect()}
+    seen = 0
+    for d, t, *_ in rows:
+        spans = base_spans(t or "")
+        seen += len(spans)
+        text = ",".join(f"{k}:{a}:{b}" for a, _, k, b, _ in spans)
+        assert got[d].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        count = Counter(s[2] for s in spans)
+        assert (got[d].n_assign, got[d].n_access, got[d].n_hex) == (count["assign"], count["access"], count["hex"])
+        assert set(filter(None, text.split(","))) <= set(got[d].spans.split(","))
+        if "ghp_" in (t or ""):
+            assert "forge:" in got[d].spans
+    assert seen > 5
+
+
+def test_ownership(spark):
+    rows = [(k, f"password={'examplevalue' if k % 2 else 'onlyone' + str(k)}", "en", f"owner{k % 5}") for k in range(40)]
+    got = secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    for r in got:
+        f = r.findings[0]
+        assert (f.owners, f.live) == ((5, False) if r.doc_id % 2 else (1, True))
+
+
+def test_secret_odd(odd, none):
+    assert secrets.secret_scan(odd).count() == 6
+    assert secrets.secret_scan(none).count() == 0
+
+
+# ---------------------------------------------------------------- 7
+
+
+def shingles(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def near_truth(rows):
+    sets = {d: shingles(t) for d, t, *_ in rows}
+    up = {d: d for d in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if sets[a] and sets[b] and 100 * (n := len(sets[a] & sets[b])) >= 75 * (len(sets[a]) + len(sets[b]) - n):
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    return {d: (len(sets[d]), find(d)) for d in ids}
+
+
+@pytest.mark.parametrize("small", [24, 1])
+def test_near_groups(docs, rows, small, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL", small)  # 1: every bucket goes by pivots
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(docs).collect()}
+    assert got == near_truth(rows)
+    assert any(v[1] != d for d, v in got.items())
+
+
+def test_near_pivots(spark, monkeypatch):
+    """A large group of near copies that no single pivot links, and texts that share a passage without being near."""
+    import random
+
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(90):
+        own = list(base)
+        for _ in range(2):
+            own[r.randrange(120)] = f"v{r.random()}"
+        rows.append((k, " ".join(own)))
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows += [(1000 + k, passage + " " + " ".join(f"q{k}x{j}" for j in range(35))) for k in range(40)]
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    monkeypatch.setattr(near_dedup, "ROUNDS", 2)
+    got = {x.doc_id: x.component_id for x in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: c for d, (_, c) in near_truth(rows).items()}
+
+
+def test_near_odd(odd, none, docs, rows):
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in near_dedup.near_groups(odd).collect()) == [(0, 0, 0), (0, 1, 1), (1, 1, 1), (1, 1, 1), (1, 1, 1), (5, 1, 5)]
+    assert near_dedup.near_groups(none).count() == 0
+    got = near_dedup.drop_near_copies(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(d for d, (_, c) in near_truth(rows).items() if c == d)
+
+
+def test_posterior():
+    assert near_dedup.posterior(0, 0, 0.75) == pytest.approx(0.25)
+    assert near_dedup.posterior(128, 128, 0.75) > 0.999999
+    need = near_dedup.least_matches()
+    assert need == sorted(need) and all(near_dedup.posterior(m, 16 * (k + 1), 0.75) >= near_dedup.MISS for k, m in enumerate(need))
+
+
+# ---------------------------------------------------------------- 5
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 5000])
+def test_block_round_trip(n):
+    r = np.random.default_rng(n)
+    ids = (r.zipf(1.3, n) % 50257).astype(np.uint32)
+    ids[::97] = 4_000_000_000
+    data, starts = tokenfile.encode_blocks(ids)
+    assert (tokenfile.decode_blocks(data, starts) == ids).all()
+
+
+def truth_ids(t):
+    return tokens.encoder().tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
+
+
+def test_token_files(docs, rows):
+    got = {r.doc_id: r for r in tokenfile.read_files(tokenfile.write_files(docs)).collect()}
+    assert len(got) == len(rows)
+    at = 0
+    for d, t, *_ in sorted(rows, key=lambda r: r[0]):
+        ids = truth_ids(t)
+        assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_token_file_index(docs, rows, tmp_path):
+    manifest = tokenfile.write_files(docs, f"file://{tmp_path}").collect()
+    text = {d: t for d, t, *_ in rows}
+    for m in manifest:
+        r = tokenfile.Reader(tokenfile.open_in(m.path))
+        for k in range(0, r.n_docs, 7):
+            assert r.document(k).tolist() == truth_ids(text[int(r.doc_ids[k])])
+
+
+def test_token_files_odd(odd, none):
+    got = sorted(((r.start, r.doc_id, r.n_tokens) for r in tokenfile.read_files(tokenfile.write_files(odd)).collect()))
+    assert [g[1] for g in got] == [1, 1, 1, 5, None, None] and got[0][0] == 0
+    assert tokenfile.read_files(tokenfile.write_files(none)).count() == 0
+
+
+# ---------------------------------------------------------------- 4
+
+
+def test_packing(docs, rows):
+    got = packing.pack(docs).collect()
+    text = {d: t for d, t, *_ in rows}
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in got:
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append(r)
+    assert set(pieces) == set(text)
+    for d, own in pieces.items():
+        ids, at = truth_ids(text[d]), 0
+        for r in sorted(own, key=lambda r: r.start):
+            assert (r.start, r.doc_tokens) == (at, len(ids))
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    for own in sequences.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024 and at & (at - 1) == 0
+
+
+def test_packing_odd(odd, none):
+    assert {r.doc_id for r in packing.pack(odd).collect()} == {1, 5, None}
+    assert packing.pack(none).count() == 0
+
+
+def test_hilbert_curve():
+    """Neighbours on the curve are neighbours in space, and every cell is met once."""
+    cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    keys = packing.hilbert_key(cells, 3)
+    assert sorted(keys) == list(range(512))
+    walk = cells[np.argsort(keys)]
+    assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
+
+
+# ---------------------------------------------------------------- 3
+
+
+def gear_slow(data):
+    h, out = 0, []
+    for b in data:
+        h = ((h << 1) + int(fingerprints.GEAR[b])) & 0xFFFFFFFF
+        out.append(h)
+    return out
+
+
+def test_gear_and_chunks():
+    data = np.random.default_rng(0).integers(97, 123, 900, dtype=np.uint8)
+    assert fingerprints.gear_hashes(data).tolist() == gear_slow(data.tolist())
+    for t in (b"", b"a", data.tobytes()):
+        edges = fingerprints.chunk_edges([b"other text", t, b"z"])[1]
+        sizes = np.diff([0, *edges])
+        assert (edges[-1] if edges else 0) == len(t) and all(s <= fingerprints.MOST for s in sizes) and all(s > fingerprints.LEAST - 1 for s in sizes[:-1])
+        f = fingerprints.fingerprints([t])[0]
+        assert (fingerprints.from_text(fingerprints.to_text(f)) == f).all()
+
+
+def test_neighbours(docs, rows):
+    order = sorted(rows, key=lambda r: -r[0])
+    got = {r.doc_id: r for r in fingerprints.neighbour_likeness(docs).collect()}
+    assert len(got) == len(rows)
+    for k, (d, t, *_) in enumerate(order):
+        t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
+        n = len(t) // 3
+        edited = t[: len(t) - n] + nxt[:n]
+        fp, fe, fn = fingerprints.fingerprints([t.encode(), edited.encode(), nxt.encode()])
+        r = got[d]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (fingerprints.to_text(fp), fingerprints.to_text(fe))
+        assert (r.near_edited, r.near_next) == (fingerprints.likeness(fp, fe), fingerprints.likeness(fp, fn))
+    long = [r for r in got.values() if r.n_chars > 600]
+    assert np.median([r.near_edited for r in long]) > 0.5
+
+
+def test_neighbours_odd(odd, none, spark):
+    assert fingerprints.neighbour_likeness(odd).count() == 6
+    assert fingerprints.neighbour_likeness(none).count() == 0
+    one = fingerprints.neighbour_likeness(spark.createDataFrame([(9, "abcdef")], "doc_id long, text string")).first()
+    assert one.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and one.near_next == 1.0
+
+
+# ---------------------------------------------------------------- 8
+
+
+def test_ring(docs, rows):
+    got = sharding.shard_rows(docs, 8).collect()
+    text = {d: (t or "").encode() for d, t, *_ in rows}
+    slots = defaultdict(list)
+    for r in got:
+        assert (r.size, r.text_crc32) == (len(text[r.doc_id]) + 1, zlib.crc32(text[r.doc_id]))
+        slots[r.shard].append(r.slot)
+    assert sorted(r.doc_id for r in got) == sorted(text)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len(slots) == 8 and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_ring_moves_little(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "'t' as text")
+    a = {r.doc_id: r.shard for r in sharding.shard_rows(docs, 8).collect()}
+    b = {r.doc_id: r.shard for r in sharding.shard_rows(docs, 9).collect()}
+    assert sum(a[k] != b[k] for k in a) < 0.4 * len(a)  # dealing anew by modulo moves eight ninths
+
+
+def test_ring_odd(odd, none):
+    got = sharding.shard_rows(odd, 4).collect()
+    assert sorted(Counter(r.shard for r in got).values()) == [1, 1, 2, 2]
+    assert sharding.shard_rows(none).count() == 0
+
+
+# ---------------------------------------------------------------- 9
+
+
+def test_licenses(docs, rows):
+    got = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
+    base = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    for d, t, *_ in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        found = [(i, label) for p, label in base.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        r = got[d]
+        assert (r.n_words, r.n_base) == (len(w), len(found))
+        assert (r.first_word, r.last_word) == (min((i for i, _ in found), default=None), max((i for i, _ in found), default=None))
+        assert r.base_labels == ",".join(sorted({x for _, x in found})) and set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
+        assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
+
+
+def scan(text):
+    words = licenses.fold(text)
+    return [d[2] for d in licenses.detections(words, b" " + b" ".join(words) + b" ")]
+
+
+def test_license_rules(odd, none):
+    assert len(licenses.RULES) > 300
+    assert scan("Licensed under the Apache License, Version 2.0") == ["apache-2.0"]
+    assert scan("GNU Lesser General Public License v2.1 and the ISC license") == ["lgpl-2.1", "isc"]
+    assert scan("SPDX-License-Identifier: BSD-3-Clause") == ["bsd-3-clause"]
+    assert scan("A license to drive, and a common public place.") == []
+    for r in licenses.RULES:  # a gate must not keep its own rule from what the rule matches
+        assert all(g.isalnum() for g in r.gate)
+    assert licenses.license_scan(odd).count() == 6 and licenses.license_scan(none).count() == 0
+
+
+def test_license_names_pass_gates():
+    """A text of a rule's plain form meets the rule through its gate."""
+    for line in filter(None, licenses.NAMES.strip().split("\n")):
+        label, pattern = line.split(" | ")
+        plain = pattern
+        while (new := re.sub(r"\(([^()|]*)[^()]*\)\??", r"\1", plain)) != plain:
+            plain = new
+        plain = plain.replace("[sc]", "s").replace("?", "").replace(r"\w*", "x").replace("[1-4] [05]", "4 0").replace("[23]", "2")
+        assert scan(plain), (label, plain)
+
+
+# ---------------------------------------------------------------- 10
+
+
+def test_mix(docs, rows):
+    got = mixing.mix(docs).collect()
+    size = {d: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t, *_ in rows}
+    source = {d: s for d, _, _, s, *_ in rows}
+    own = Counter()
+    for d, n in size.items():
+        own[source[d]] += n
+    names = sorted((s for s in own if s is not None), key=lambda s: s.encode()) + [None]
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    total, target, full = sum(own.values()), {}, set()
+    while True:
+        left = total - sum(3 * own[s] for s in full)
+        share = {s: left * weight[s] / sum(weight[x] for x in names if x not in full) for s in names if s not in full}
+        new = {s for s, v in share.items() if v > 3 * own[s]}
+        if not new:
+            target = share | {s: 3.0 * own[s] for s in full}
+            break
+        full |= new
+    taken = Counter()
+    for r in got:
+        assert (r.size, r.source_size) == (size[r.doc_id], own[source[r.doc_id]])
+        assert r.target == pytest.approx(target[source[r.doc_id]])
+        assert 0 <= r.taken <= 3 * r.size
+        taken[source[r.doc_id]] += r.taken
+    assert sorted(r.doc_id for r in got) == sorted(size)
+    for s in names:
+        assert abs(taken[s] - target[s]) < 0.02 * target[s] + 150
+    again = mixing.mix(docs.repartition(3)).collect()
+    assert {(r.doc_id, r.taken) for r in got} == {(r.doc_id, r.taken) for r in again}
+
+
+def test_sainte_lague(spark):
+    from pyspark.sql import functions as F
+
+    votes = {"a": 53000, "b": 24000, "c": 23000, "d": 7, "e": 1}
+    for seats in (0, 1, 7, 101, 1000):
+        want, quotients = Counter(), [(-v / (2 * k + 1), p) for p, v in votes.items() for k in range(seats)]
+        for _, p in sorted(quotients)[:seats]:
+            want[p] += 1
+        df = spark.createDataFrame([(p, float(v), 0) for p, v in votes.items()], "p string, v double, g int")
+        got = {r.p: r.out for r in mixing.sainte_lague(df, "v", F.lit(seats), ["g"], ["p"], "out").collect()}
+        assert {p: n for p, n in got.items() if n} == dict(want)
+
+
+def test_mix_odd(odd, none, docs):
+    assert mixing.mix(odd).count() == 6 and mixing.mix(none).count() == 0
+    got = mixing.apply_mix(docs)
+    assert got.columns == docs.columns
+    times = Counter(r.doc_id for r in got.collect())
+    for r in mixing.mix(docs).collect():
+        assert times[r.doc_id] == (max(1, round(r.taken / r.size)) if r.taken else 0) or abs(r.taken / r.size % 1 - 0.5) < 1e-9
+
+
+# ---------------------------------------------------------------- 1
+
+
+def kn_slow(texts):
+    """-log p of every four-gram by the textbook recursion over counts."""
+    a, n = quality.SYMBOLS, quality.ORDER
+    counts = Counter()
+    for t in texts:
+        s, _ = quality.symbols([t])
+        counts.update(tuple(int(x) for x in s[i : i + n]) for i in range(len(s) - n + 1))
+    levels = [counts]
+    for _ in range(n - 1):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    levels = levels[::-1]
+
+    def discounts(c):
+        m = Counter(c.values())
+        if not (m[1] and m[2] and m[3]):
+            return (0.5, 1.0, 1.5)
+        y = m[1] / (m[1] + 2 * m[2])
+        raw = (1 - 2 * y * m[2] / m[1], 2 - 3 * y * m[3] / m[2], 3 - 4 * y * m[4] / m[3])
+        return [min(max(d, 0.05), k + 0.95) for k, d in enumerate(raw)]
+
+    cuts = [discounts(c) for c in levels]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / a
+        c, d, low = levels[k - 1], cuts[k - 1], p(g[1:])
+        seen = [(x, v) for x, v in ((g[:-1] + (y,), levels[k - 1][g[:-1] + (y,)]) for y in range(a)) if v]
+        if not seen:
+            return low
+        total = sum(v for _, v in seen)
+        back = sum(d[min(v, 3) - 1] for _, v in seen) / total
+        return max(c[g] - (d[min(c[g], 3) - 1] if c[g] else 0), 0) / total + back * low
+
+    return p
+
+
+def test_kneser_ney(spark, rows):
+    texts = [t for _, t, *_ in rows if t and len(t) < 900][:60]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    table = quality.score_table(quality.kneser_ney(quality.gram_counts(df)))
+    p = kn_slow(texts)
+    r = np.random.default_rng(5)
+    s, _ = quality.symbols(texts[:5])
+    some = [tuple(int(x) for x in s[i : i + 4]) for i in range(0, len(s) - 4, 9)] + [tuple(int(x) for x in r.integers(0, 40, 4)) for _ in range(60)]
+    for g in some:
+        number = ((g[0] * 40 + g[1]) * 40 + g[2]) * 40 + g[3]
+        assert table[number] == pytest.approx(-np.log(p(g)), rel=1e-4)
+    whole = np.exp(-table.astype(float)).reshape(-1, 40).sum(axis=1)
+    assert np.allclose(whole, 1, atol=1e-4)
+
+
+def test_classifier_keeps_clean_and_rejects_junk(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = quality.classify(docs, labels).join(labels, "doc_id").toPandas()
+    assert got[got.quality == 1].keep.mean() > 0.98
+    assert got[got.quality == 0].keep.mean() < 0.2
+
+
+def test_classifier_odd(spark, odd, none, docs):
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (5, 0, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    empty = labels.limit(0)
+    assert quality.classify(odd, labels).count() == 6
+    assert quality.classify(none, labels).count() == 0 and quality.classify(none, empty).count() == 0
+    got = quality.classify(docs, empty)
+    assert got.where("keep").count() == docs.count()
+    assert quality.keep_good(docs, empty).columns == docs.columns
+
+
+def test_encoder_matches_library():
+    texts = ["", " ", "a  b", " a b", "x\n y  z\t q ", "<|endoftext|> hi <|endoftext|>", "don't  we'll \x1c b", "\x85 x", "tail  ", "é  \n\n  ü", "\x00a b", "a \x00b", "plain words, here.\nand more", "　 wide"]
+    ids, counts = tokens.encoder().encode(texts)
+    at = 0
+    for t, n in zip(texts, counts):
+        assert tokens.encoder().tokenizer.encode(t, add_special_tokens=False).ids == ids[at : at + n].tolist()
+        at += n
+    assert at == len(ids)

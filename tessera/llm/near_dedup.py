@@ -4,9 +4,11 @@ Documents are sets of word shingles. Equal sets are one class. Signatures of the
 a band's key are candidates. Candidates' signatures are compared batch by batch: after each batch a pair whose posterior
 probability of reaching the threshold is below the chosen miss probability is pruned. Survivors are verified on their full sets.
 
-Candidates within a bucket are not all paired. A round compares a bucket's members with one pivot, links what verifies, and
-joins labels by connected components; the pivot then leaves the bucket, and buckets whose members have one label are done.
-Small buckets and, after ROUNDS rounds, all that remain are compared pair by pair across labels, so no candidate is skipped.
+Candidates within a bucket are not all paired. A bucket's members are compared with one pivot, the member that meets most others
+over all bands, and links give labels by connected components. Two members x, y of a bucket that have unlike labels then share at
+most min(|x & p|, |y & p|) shingles within the pivot p, so to link they must share so many of the rest, x - p and y - p. An index of
+these rests, rarest shingles first and cut to the prefix that must hold a shared one, gives the pairs for which that can be. They go
+through the same verification. So every pair of a bucket is either linked, of one component, or proven not to link.
 
 Cases: a null text counts as empty; documents without words have an empty set and link with nothing; texts of fewer words than a
 shingle are one shingle; null identifiers sort after all others, and a text that only rows without identifier hold links with none; rows with equal texts are one class; rows that share an
@@ -22,7 +24,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import _base as B
@@ -38,11 +40,6 @@ HASHES = BANDS * ROWS
 BATCH = 16
 #: Probability at which a pair is pruned that may reach the threshold.
 MISS = 1e-6
-#: Buckets of at most this many members are compared pair by pair after the first round.
-SMALL = 24
-#: Rounds with pivots, after which large buckets too are compared pair by pair across labels.
-ROUNDS = 8
-
 _MULTIPLIERS = np.random.default_rng(11).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -145,11 +142,11 @@ def _band_keys(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "n", F.explode(keys).alias("bucket"))
 
 
-def _pruned(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures stay in the running through all batches, and whose sizes allow the threshold."""
+def _alive(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """pairs (a, b, kept) without those that sizes or the signatures' posterior rule out, unless kept."""
     sig = classes.select("cls", "n", "sig")
     both = pairs.join(sig.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-    both = both.where(DENOMINATOR * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
+    both = both.where(F.col("kept") | (DENOMINATOR * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb"))).select("a", "b", "kept", "sa", "sb")
     need = least_matches()
 
     def run(batches):
@@ -163,25 +160,31 @@ def _pruned(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 matches = matches + (x[stay, z] == y[stay, z]).sum(axis=1)
                 ok = matches >= least
                 stay, matches = stay[ok], matches[ok]
-            yield batch.select(["a", "b"]).take(pa.array(stay))
+            mask = batch.column("kept").to_numpy(zero_copy_only=False).copy()
+            mask[stay] = True
+            yield batch.select(["a", "b", "kept"]).filter(pa.array(mask))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a binary, b binary, kept boolean")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Full sets compared: (a, b, kept, na, shared, linked, rest), rest the shingles of a that b lacks, for kept pairs."""
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("ib")), "b")
 
     def run(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("ia"), batch.column("ib")):
+            na, common, linked, rest = [], [], [], []
+            for x, y, kept in zip(batch.column("ia"), batch.column("ib"), batch.column("kept").to_pylist()):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(DENOMINATOR * shared >= NUMERATOR * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                inside = np.isin(x, y, assume_unique=True)
+                n = int(inside.sum())
+                na.append(len(x))
+                common.append(n)
+                linked.append(DENOMINATOR * n >= NUMERATOR * (len(x) + len(y) - n))
+                rest.append(x[~inside].view(np.int64) if kept else None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "kept")), pa.array(na, pa.int64()), pa.array(common, pa.int64()), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "kept", "na", "shared", "linked", "rest"])
 
-    return both.select("a", "b", "ia", "ib").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "kept", "ia", "ib").mapInArrow(run, "a binary, b binary, kept boolean, na long, shared long, linked boolean, rest array<long>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -200,40 +203,69 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
     return B.stored(some.select("cls", "text").mapInArrow(run, "cls binary, items binary").dropDuplicates(["cls"]), "sets")
 
 
-def class_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(cls, label): classes that have links, with one label a component. classes: (cls, n, sig, id), one row a class."""
-    rows = _band_keys(classes)
-    shared = B.stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("pivot")).where("size > 1"), "buckets")
+def _stars(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, kept): class a meets pivot b in a bucket, kept if it is one of three or more; and (cls) of all classes that share a bucket."""
+    rows = _band_keys(classes).select("bucket", "cls")
+    shared = B.stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     total = shared.agg(F.sum("size")).first()[0] or 0
-    members = B.stored(B.lookup(rows.select("bucket", "cls"), shared, "bucket", "size", total, "inner"), "members")
-    sets = _full_sets(docs, members.select("cls").distinct().join(classes.select("cls", "id"), "cls").where("id is not null"), id_col, text_col)
-    pairs = members.where(F.col("cls") != F.col("pivot")).select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = B.stored(_verified(_pruned(pairs, classes), sets), "links")
-    open_ = members.where(F.col("cls") != F.col("pivot")).select("bucket", "cls")
-    for turn in range(1, ROUNDS + 2):
-        labels = components(links)
-        named = B.stored(open_.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "named")
-        order = F.struct("label", F.xxhash64("cls", F.lit(turn)).alias("h"), "cls")
-        state = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max(order).alias("top")).where(F.col("low") != F.col("top.label"))
-        state = B.stored(state.select("bucket", "size", F.col("top.cls").alias("pivot"), F.col("top.label").alias("pivot_label")), "state")
-        if state.isEmpty():
-            return labels
-        left = state.agg(F.sum("size")).first()[0]
-        rest = B.stored(B.lookup(named, state, "bucket", "size", left, "inner"), "rest")
-        last = turn > ROUNDS
-        small = rest if last else rest.where(F.col("size") <= SMALL)
-        small = small.select("bucket", "cls", "label")
-        twin = small.select("bucket", F.col("cls").alias("b"), F.col("label").alias("label_b"))
-        found = small.select("bucket", F.col("cls").alias("a"), F.col("label").alias("label_a")).join(twin, "bucket").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))).select("a", "b")
-        if not last:
-            large = rest.where((F.col("size") > SMALL) & (F.col("label") != F.col("pivot_label")))
-            found = found.unionByName(large.select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
-        more = B.stored(_verified(_pruned(found.distinct(), classes), sets), "links")
-        links = links.unionByName(more)
-        if last:
-            return components(links)
-        open_ = rest.where((F.col("size") > SMALL) & (F.col("cls") != F.col("pivot"))).select("bucket", "cls")
-    raise AssertionError
+    members = B.stored(B.lookup(rows, shared, "bucket", "size", total, "inner"), "members")
+    degree = members.groupBy("cls").agg(F.sum("size").alias("degree"))
+    pivots = members.join(degree, "cls").groupBy("bucket").agg(F.max_by("cls", F.struct("degree", "cls")).alias("pivot"), F.first("size").alias("size"))
+    met = B.lookup(members.drop("size"), B.stored(pivots, "pivots"), "bucket", "size", total, "inner")
+    stars = met.where(F.col("cls") != F.col("pivot")).groupBy(F.col("cls").alias("a"), F.col("pivot").alias("b")).agg((F.max("size") > 2).alias("kept"))
+    return stars, degree.select("cls")
+
+
+def _rest_pairs(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, kept = false): members of a star with unlike labels that may still link. stars: as compared, of three or more members.
+
+    To link, x and y must share t = 75 (|x| + |y|) / 175 - min(|x & p|, |y & p|) shingles or more outside the pivot."""
+    named = stars.select(F.col("a").alias("x"), F.col("b").alias("p"), F.col("na").alias("n"), "shared", "rest").join(labels.select(F.col("node").alias("x"), "label"), "x", "left").withColumn("label", F.coalesce("label", "x"))
+    of = named.groupBy("p").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("n").alias("least"), F.count(F.lit(1)).alias("size")).where(F.col("l0") != F.col("l1")).drop("l0", "l1")
+    of = B.stored(of, "open")
+    total = of.agg(F.sum("size")).first()[0]
+    if not total:
+        return stars.select("a", "b", F.lit(False).alias("kept")).where("false")
+    mine = B.lookup(named, of, "p", "size", total, "inner")
+    half = lambda n, m: NUMERATOR * (n + m) / float(NUMERATOR + DENOMINATOR)
+    smallest = F.greatest(F.col("least"), F.ceil(NUMERATOR * F.col("n") / DENOMINATOR))
+    mine = B.stored(mine.withColumn("m", F.size("rest")).withColumn("t", F.ceil(half(F.col("n"), smallest) - F.col("shared") - 1e-9)).where(F.col("t") <= F.col("m")), "rests")
+    # The rests, as one number for pivot and shingle; those that one member alone has cannot be shared but come first in the order.
+    items = mine.select("x", "p", F.explode("rest").alias("h")).select("x", "p", F.xxhash64("p", "h").alias("e"))
+    counts = B.stored(items.groupBy("e").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
+    common = B.lookup(items, counts, "e", "df", counts.agg(F.sum("df")).first()[0] or 1, "inner")
+    order, whole = Window.partitionBy("x", "p").orderBy("df", "e"), Window.partitionBy("x", "p")
+    ranked = common.withColumns({"k": F.row_number().over(order) - 1, "own": F.count(F.lit(1)).over(whole)})
+    posts = ranked.join(mine.drop("rest", "least", "size"), ["x", "p"]).withColumn("k", F.col("m") - F.col("own") + F.col("k")).where((F.col("t") <= 0) | (F.col("k") <= F.col("m") - F.col("t")))
+    posts = B.stored(posts.select("e", "x", "label", "n", "shared", "m", "k"), "posts")
+    other = posts.select("e", *[F.col(c).alias(c + "2") for c in ("x", "label", "n", "shared", "m", "k")])
+    lacks = half(F.col("n"), F.col("n2")) - F.least("shared", "shared2") - 1e-9
+    near = posts.join(other, "e").where((F.col("x") < F.col("x2")) & (F.col("label") != F.col("label2")) & (F.least(F.col("m") - F.col("k"), F.col("m2") - F.col("k2")) >= lacks))
+    # Pairs that need to share nothing outside the pivot: one of them lies outside the pivot's component, since both reach it otherwise.
+    roots = labels.select(F.col("node").alias("p"), F.col("label").alias("root"))
+    far = mine.drop("rest").join(roots, "p", "left").where((F.col("label") != F.coalesce("root", "p")) & (half(F.col("n"), F.col("least")) - 1e-9 <= F.col("shared")))
+    all_ = mine.select("p", *[F.col(c).alias(c + "2") for c in ("x", "label", "n", "shared")])
+    inner = far.join(all_, "p").where((F.col("x") != F.col("x2")) & (F.col("label") != F.col("label2")) & (lacks <= 0))
+    both = near.select("x", "x2").unionByName(inner.select("x", "x2"))
+    return both.select(F.least("x", "x2").alias("a"), F.greatest("x", "x2").alias("b"), F.lit(False).alias("kept")).distinct()
+
+
+def class_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, label): classes that have links, with one label a component. classes: (cls, n, sig, id), one row a class."""
+    stars, met = _stars(classes)
+    wanted = met.join(classes.select("cls", "id"), "cls").where("id is not null")
+    sets = _full_sets(docs, wanted, id_col, text_col)
+    compared = B.stored(_compared(_alive(stars, classes), sets), "stars")
+    labels = components(compared.where("linked").select("a", "b"))
+    pairs = _rest_pairs(compared.where("kept"), labels)
+    more = B.stored(_compared(_alive(pairs, classes), sets).where("linked").select("a", "b"), "links")
+    if more.isEmpty():
+        return labels
+    named = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias("l" + c))
+    joined = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    roots = components(joined)  # labels that the new links join
+    both = labels.unionByName(joined.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))).groupBy("node").agg(F.min("label").alias("label"))
+    return both.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

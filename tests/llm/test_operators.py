@@ -115,15 +115,13 @@ def near_truth(rows):
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
-@pytest.mark.parametrize("small", [24, 1])
-def test_near_groups(docs, rows, small, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SMALL", small)  # 1: every bucket goes by pivots
+def test_near_groups(docs, rows):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(docs).collect()}
     assert got == near_truth(rows)
     assert any(v[1] != d for d, v in got.items())
 
 
-def test_near_pivots(spark, monkeypatch):
+def test_near_pivots(spark):
     """A large group of near copies that no single pivot links, and texts that share a passage without being near."""
     import random
 
@@ -137,8 +135,9 @@ def test_near_pivots(spark, monkeypatch):
         rows.append((k, " ".join(own)))
     passage = " ".join(f"p{k}" for k in range(60))
     rows += [(1000 + k, passage + " " + " ".join(f"q{k}x{j}" for j in range(35))) for k in range(40)]
-    monkeypatch.setattr(near_dedup, "SMALL", 4)
-    monkeypatch.setattr(near_dedup, "ROUNDS", 2)
+    twin = [f"t{k}" for k in range(110)]  # meets the passage, and its like only outside it
+    rows += [(2000, passage + " " + " ".join(twin)), (2001, passage + " " + " ".join(twin[:-4])), (2002, " ".join(twin) + " " + passage)]
+    rows += [(3000 + k, " ".join(base[:k] + base[k + 9 :])) for k in range(20, 60, 5)]
     got = {x.doc_id: x.component_id for x in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: c for d, (_, c) in near_truth(rows).items()}
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Segments that a worker remembers; when there are more, it forgets them all.
-CACHE = 1_000_000
+CACHE = 500_000
 #: New segments that are encoded as one text.
 JOINED = 100
 #: A lone surrogate, which no decoded text holds.

@@ -1,0 +1 @@
+"""Spatial array and point analytics on Spark."""

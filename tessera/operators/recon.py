@@ -72,8 +72,8 @@ def deconvolve(image: np.ndarray, kernel: np.ndarray, o: Options = Options()) ->
     padded[cut] = kernel[cut]
     padded = np.roll(padded, [-((n - 1) // 2) for n in kernel.shape], axis=tuple(range(padded.ndim))) / kernel.sum()
     k = np.fft.rfftn(padded)
-    forward = lambda v: np.fft.irfftn(np.fft.rfftn(v) * k, shape)
-    back = lambda v: np.fft.irfftn(np.fft.rfftn(v) * np.conj(k), shape)
+    forward = lambda v: np.fft.irfftn(np.fft.rfftn(v) * k, shape, axes=range(v.ndim))
+    back = lambda v: np.fft.irfftn(np.fft.rfftn(v) * np.conj(k), shape, axes=range(v.ndim))
     weight = np.ones(shape)
     if o.border:
         ones = np.zeros(shape)

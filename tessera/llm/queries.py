@@ -69,7 +69,36 @@ QUERIES = {f.__name__: f for f in (op1_quality_kneser_ney, op2_secret_ownership,
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
+
+
+def _secret_sql() -> str:
+    """Offsets are running sums of the lengths of matches and of what lies between them, as in the operator."""
+    kinds = [("assign", secrets.ASSIGN, 2, 6)] + [(k, p, 1, 0) for k, p, _ in secrets.BASE_KINDS + secrets.ADDED_KINDS]
+    one = []
+    for kind, pattern, group, least in kinds:
+        p = "'" + pattern.replace("'", "''") + "'"
+        one.append(
+            f"""SELECT row, owner, repo, '{kind}' AS kind, {secrets.ORDER[kind]} AS rank, i, g, m, v[i] AS value FROM (
+  SELECT row, owner, repo, string_split_regex(t, {p}) AS g, regexp_extract_all(t, {p}, 0) AS m, regexp_extract_all(t, {p}, {group}) AS v, unnest(range(1, len(regexp_extract_all(t, {p}, 0)) + 1)) AS i FROM d) q
+WHERE length(v[i]) >= {least}"""
+        )
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, coalesce(source, chr(1)) AS owner, coalesce(source, chr(1)) || chr(2) || coalesce(lang, chr(1)) AS repo FROM documents),
+m AS ({" UNION ALL ".join(one)}),
+s AS MATERIALIZED (SELECT row, owner, repo, kind, rank, value,
+  list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a,
+  list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS b FROM m),
+o AS (SELECT value, count(DISTINCT owner) AS owners FROM s GROUP BY value),
+f AS (SELECT row, list(kind || ':' || a || ':' || b ORDER BY a, rank) AS spans, list(kind || ':' || a || ':' || b ORDER BY a, rank) FILTER (rank < 3) AS base,
+  list(kind || ':' || a || ':' || b ORDER BY a, rank) FILTER (owners <= {secrets.EXAMPLE_OWNERS}) AS live, max(owners) AS most,
+  count(*) FILTER (kind = 'assign') AS na, count(*) FILTER (kind = 'access') AS nc, count(*) FILTER (kind = 'hex') AS nh FROM s JOIN o USING (value) GROUP BY row)
+SELECT doc_id, coalesce(na, 0) AS n_assign, coalesce(nc, 0) AS n_access, coalesce(nh, 0) AS n_hex, sha256(coalesce(array_to_string(base, ','), '')) AS base_sha256,
+  coalesce(array_to_string(spans, ','), '') AS spans, coalesce(array_to_string(live, ','), '') AS live_spans, coalesce(most, 0) AS most_owners
+FROM d LEFT JOIN f USING (row)"""
+
+
 ORACLE_SQL = {
+    "op2_secret_ownership": _secret_sql(),
     "op6_merge_index_dedup": f"""
 WITH d AS (SELECT doc_id, {_NORM} AS norm FROM documents),
 g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
@@ -77,18 +106,18 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 FROM d JOIN g USING (norm)""",
     "op7_bayes_minhash": r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
   FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(words) - 3), i -> array_to_string(words[i : i + 4], ' '))) END AS items
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))) END AS items
   FROM w),
 n AS (SELECT doc_id, len(items) AS n FROM s),
 u AS (SELECT doc_id, unnest(items) AS item FROM s),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM u a JOIN u b ON a.item = b.item AND a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 75 * (x.n + y.n - both)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM u a JOIN u b ON a.item = b.item AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-r(doc_id, at) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.at),
-c AS (SELECT doc_id, min(at) AS component_id FROM r GROUP BY doc_id)
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached),
+c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
 SELECT n.doc_id, n.n AS n_shingles, c.component_id, n.doc_id = c.component_id AS kept FROM n JOIN c USING (doc_id)""",
 }

@@ -188,6 +188,32 @@ def displacement_peak(a: DataFrame, b: DataFrame, capture: float, sigma: float,
     return best.select(*[(F.col("q" + c) * step).alias("d" + c) for c in AXES], "kde")
 
 
+def displacement_search(a: DataFrame, b: DataFrame, capture: float, sigma: float, step: float = 0.5) -> DataFrame:
+    """(dx, dy, dz, kde, second, goodness): the peak of the grid search refined to the mode of the differences' density, and the highest density
+    at a difference outside 2 + sigma of it. goodness: (k1 - k2) / (k1 + k2)."""
+    spark = a.sparkSession
+    schema = "dx double, dy double, dz double, kde double, second double, goodness double"
+    d = stored(ball_join(b, a, capture).select(F.monotonically_increasing_id().alias("id"), *[(F.col("p" + c) - F.col("q" + c)).alias(c) for c in AXES]))
+    peak = displacement_peak(a, b, capture, sigma, step).first()
+    if peak is None:
+        return spark.createDataFrame([], schema)
+    q = (peak["dx"], peak["dy"], peak["dz"])
+    for _ in range(60):  # mean shift ends at the mode that ever finer grids close in on
+        d2 = sum(((F.col(c) - v) * (F.col(c) - v) for c, v in zip(AXES, q)), F.lit(0.0))
+        w = F.exp(-d2 / (2 * sigma * sigma))
+        r = d.where(d2 < (5 * sigma) ** 2).agg(F.sum(w).alias("w"), *[F.sum(w * F.col(c)).alias(c) for c in AXES]).first()
+        new = tuple(r[c] / r["w"] for c in AXES) if r["w"] else q
+        done = max(abs(x - y) for x, y in zip(new, q)) < 1e-6
+        q = new
+        if done:
+            break
+    one = spark.createDataFrame([(0, *q)], "id long, x double, y double, z double")
+    k1 = density(one, d, sigma).first()["kde"]
+    far = d.where(sum(((F.col(c) - v) * (F.col(c) - v) for c, v in zip(AXES, q)), F.lit(0.0)) > (2 + sigma) ** 2)
+    k2 = density(far, d, sigma).agg(F.max("kde").alias("k")).first()["k"] or 0.0
+    return spark.createDataFrame([(*q, k1, k2, (k1 - k2) / (k1 + k2) if k1 + k2 else 0.0)], schema)
+
+
 def alignment_significance(a: DataFrame, b: DataFrame, delta: tuple[float, float, float], sigma: float) -> DataFrame:
     """(n_aligned, kde, expected, goodness): how many points of b, moved by -delta, meet points of a (density above 0.7), against how many would by
     chance if both were spread over cells of sigma^3 in the larger bounding box."""

@@ -7,11 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import sources, streaming
-from tessera.functions import gamma_from_fwhm, gauss, lorentz, sigma_from_fwhm
+from tessera.functions import gamma_from_fwhm, gauss, lorentz, register, sigma_from_fwhm
 from tessera.model import Grid, to_tiles, to_voxels
 from tessera.operators import agg, fit, forest, geometry, morph, psf, recon, spatial, stencil
-from tessera.plans import align, dots, nuclei
-from tessera.sources import npy, png, tables, tiff
+from tessera.plans import align, dots, nuclei, restore
+from tessera.sources import convert, npy, png, tables, tiff
 
 
 def frame(spark, volume):
@@ -185,6 +185,56 @@ def test_planted_shift_is_found(spark):
     assert got.goodness > 0.9 and got.method == "pairs"
 
 
+def test_grid_search_refines_the_shift(spark):
+    rng = np.random.default_rng(11)
+    a = rng.random((40, 3)) * (300, 300, 20)
+    b = a + (3.3, -2.2, 0.7)
+    got = spatial.displacement_search(points(spark, b), points(spark, a), 6.0, 0.4).first()
+    assert (got.dx, got.dy, got.dz) == pytest.approx((3.3, -2.2, 0.7), abs=1e-3) and got.goodness > 0.8
+
+
+def test_tiled_deconvolution_equals_whole(spark):
+    rng = np.random.default_rng(12)
+    v = rng.integers(1, 100, (1, 24, 24)).astype(float)
+    k = np.outer([1, 2, 1], [1, 2, 1])[None] / 16
+    o = recon.Options(iterations=4)
+    whole = volume_of(restore.deconvolve_image(frame(spark, v), Grid(24, 24), k, o, tile=64), Grid(24, 24))
+    tiled = volume_of(restore.deconvolve_image(frame(spark, v), Grid(24, 24), frame(spark, k), o, tile=12, overlap=9), Grid(24, 24))
+    assert np.allclose(whole, np.maximum(recon.deconvolve(v + 5, k, o)[0] - 5, 0))
+    assert np.abs(tiled - whole).mean() < 0.05 * whole.mean()
+    with pytest.raises(ValueError):
+        restore.deconvolve_image(frame(spark, v * 0), Grid(24, 24), k)
+
+
+def test_registration(spark):
+    v = np.zeros((1, 16, 16))
+    v[0, 4:7, 5:9] = 9
+    moved = np.roll(v, (3, -2), (1, 2))
+    assert restore.register(frame(spark, moved), frame(spark, v), Grid(16, 16)) == (-2, 3)
+    got = volume_of(restore.shift_image(frame(spark, moved), Grid(16, 16), reference=frame(spark, v)), Grid(16, 16))
+    assert (got == v).all()
+
+
+def test_conversions(tmp_path, spark):
+    v = np.random.default_rng(2).random((3, 4, 5)).astype("<f4")
+    (tmp_path / "a.raw").write_bytes(v.tobytes())
+    convert.raw_to_tiff(spark, str(tmp_path / "a.raw"), str(tmp_path / "t"), 5, 4, 3, 32).collect()
+    convert.tiff_to_npy(spark, str(tmp_path / "t"), str(tmp_path / "n")).collect()
+    convert.npy_to_tiff(spark, str(tmp_path / "n"), str(tmp_path / "b")).collect()
+    assert (np.load(tmp_path / "n" / "a.npy") == v).all()
+    assert (tmp_path / "b" / "a.tif").exists()
+    with pytest.raises(ValueError):
+        convert.read_raw(spark, str(tmp_path / "a.raw"), 5, 4, 4)
+
+
+def test_sql_functions(spark):
+    register.register(spark)
+    assert spark.sql("SELECT tessera_lateral_resolution(500D, 1.25D) AS a").first().a == 200
+    assert spark.sql("SELECT tessera_j0(0D) AS a").first().a == pytest.approx(1)
+    assert spark.sql("SELECT * FROM tessera_psf_profile(0D, 461D, 1.4D, 1.5D, 50D, 8)").count() == 8
+    assert spark.sql("SELECT * FROM tessera_grid(2, 3, 4)").count() == 24
+
+
 def test_forest_learns_and_predicts(spark):
     rng = np.random.default_rng(7)
     x = rng.random((300, 4))

@@ -19,6 +19,7 @@ empty result; other columns are ignored (drop_near_copies passes them through).
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 from math import comb
 
 import numpy as np
@@ -55,19 +56,6 @@ def least_matches(threshold: float = NUMERATOR / DENOMINATOR, miss: float = MISS
     return [next(m for m in range(n + 1) if posterior(m, n, threshold) >= miss) for n in range(BATCH, HASHES + 1, BATCH)]
 
 
-class _Words(dict):
-    """Hash of each word, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -77,7 +65,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def shingle_sets(texts: list[str], k: int = SHINGLE) -> list[np.ndarray]:
     """For each text its distinct shingle hashes, sorted: words are cut at ASCII white space, A-Z lower-cased."""
     cut = [t.encode("utf-8", "surrogatepass").translate(_LOWER).split() for t in texts]
-    flat = np.fromiter((_words[w] for c in cut for w in c), np.uint64, sum(map(len, cut)))
+    flat = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(cut)), np.uint64, sum(map(len, cut)))
     n = len(flat)
     rolled = np.zeros(n, np.uint64)
     for j in range(k):  # rolled[i] stands for words i .. i + k - 1
@@ -131,6 +119,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     [batch.column("id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([next(sigs).tobytes() if len(s) else None for s in sets], pa.binary())],
                     ["id", "n", "cls", "sig"],
                 )
+        tokens.give_back()
 
     return _rows(docs, id_col, text_col).mapInArrow(run, "id long, n long, cls binary, sig binary")
 
@@ -183,6 +172,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 linked.append(DENOMINATOR * n >= NUMERATOR * (len(x) + len(y) - n))
                 rest.append(x[~inside].view(np.int64) if kept else None)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "kept")), pa.array(na, pa.int64()), pa.array(common, pa.int64()), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "kept", "na", "shared", "linked", "rest"])
+        tokens.give_back()
 
     return both.select("a", "b", "kept", "ia", "ib").mapInArrow(run, "a binary, b binary, kept boolean, na long, shared long, linked boolean, rest array<long>")
 
@@ -199,6 +189,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
                 sets = shingle_sets(batch.column("text").slice(a, b - a).to_pylist())
                 keep = [(c, s.tobytes()) for c, s in zip(batch.column("cls").slice(a, b - a).to_pylist(), sets) if len(s) and _digest(s) == c]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in keep], pa.binary()), pa.array([s for _, s in keep], pa.binary())], ["cls", "items"])
+        tokens.give_back()
 
     return B.stored(some.select("cls", "text").mapInArrow(run, "cls binary, items binary").dropDuplicates(["cls"]), "sets")
 

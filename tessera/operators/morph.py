@@ -64,6 +64,14 @@ def scale_space_maxima(responses: dict[float, DataFrame], grid: Grid) -> DataFra
     return d.where(inner & top).select(*AXES, "v", F.element_at(listed, F.col("k") + 1).alias("scale"), F.when(end, F.element_at(listed, at)).otherwise(peak).alias("refined"))
 
 
+def _propagated(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The smallest label of a node and its neighbours, then the label of that label."""
+    near = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
+    step = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("next"))
+    jump = step.join(labels.select(F.col("node").alias("next"), F.col("label").alias("far")), "next", "left")
+    return jump.select("node", F.least("next", F.coalesce("far", "next")).alias("label"))
+
+
 def components(mask: DataFrame, grid: Grid) -> DataFrame:
     """(x, y, label) of the 4-connected regions where v > 0 in a plane; labels 1, 2, ... in raster order of each region's first pixel.
 
@@ -79,13 +87,9 @@ def components(mask: DataFrame, grid: Grid) -> DataFrame:
     links = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = pixels.select(F.col("run").alias("node"), F.col("run").alias("label")).distinct()
     while True:
-        near = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
-        jump = step.join(labels.select(F.col("node").alias("next"), F.col("label").alias("far")), "next", "left")
-        now = F.least("next", F.coalesce("far", "next"))
-        new = stored(jump.select("node", now.alias("label"), (now != F.col("label")).alias("moved")))
+        new = stored(_propagated(_propagated(labels, links), links).join(labels.withColumnRenamed("label", "was"), "node"))
         labels = new.select("node", "label")
-        if new.where("moved").isEmpty():
+        if new.where("label <> was").isEmpty():
             break
     named = pixels.join(labels, pixels["run"] == labels["node"]).select("x", "y", F.col("label").alias("root"))
     # Ranks among the regions: one row a region.

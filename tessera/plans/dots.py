@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.checkpoints import stored
 from tessera.model import AXES, Grid
 from tessera.operators import agg, fit, maps, morph, stencil
 
@@ -19,15 +20,14 @@ def detect(df: DataFrame, grid: Grid, sigma: float = 1.0, sigma_z: float = 1.0,
         dots = morph.scale_space_maxima({s: stencil.laplacian_of_gaussian(df, grid, s * sigma, s * sigma_z) for s in scales}, grid)
     else:
         dots = morph.local_maxima(stencil.laplacian_of_gaussian(df, grid, sigma, sigma_z), grid)
-    dots = dots.withColumnRenamed("v", "value")
+    dots = stored(dots.withColumnRenamed("v", "value"))  # few rows, read for the histogram and for the result
     cut = agg.otsu(agg.log_counts(agg.histogram(dots, "value"))).select(F.col("value").alias("cut"))
     told = dots.join(F.broadcast(cut), how="left").withColumn("use", F.coalesce((F.col("value") > F.col("cut")).cast("int"), F.lit(1))).drop("cut")
     n = int(0.005 * grid.nx * grid.ny) if n is None else n
     top = told.orderBy(F.col("value").desc(), grid.raster())
     top = top if n < 0 else top.limit(n)
     if fitting or circularity:
-        top = top.withColumn("id", grid.raster())
-        own = top
+        top = own = stored(top.withColumn("id", grid.raster()))
         if fitting:
             top = top.join(fit.fit_dots(df, own.select("id", *AXES), grid, sigma, sigma_z), "id", "left")
         if circularity:

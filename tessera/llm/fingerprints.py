@@ -208,5 +208,6 @@ def neighbour_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 held.append(row)
                 size += len(row[3])
         assert not held, "a range without a follower"
+        tokens.give_back()
 
     return with_neighbour(docs, id_col, text_col).select("bucket", "follower", "id", "text").mapInArrow(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)

@@ -76,13 +76,14 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
         width = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
             texts, own = batch.column("text"), batch.column("id")
-            for a, b in tokens.slices(texts):
+            for a, b in tokens.slices(texts, 8_000_000):
                 ids, counts = tokens.with_end(*encoder.encode(texts.slice(a, b - a)), end)
                 keys = curve_keys(ids, counts, projection)
                 small, edge = ids.astype(width), np.concatenate([[0], np.cumsum(counts)])
                 yield pa.RecordBatch.from_arrays(
                     [own.slice(a, b - a), pa.array(keys), pa.array(counts), pa.array([squeeze.compress(small[edge[k] : edge[k + 1]].tobytes()) for k in range(b - a)], pa.binary())], ["id", "key", "n", "ids"]
                 )
+        tokens.give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), B.text_of(text_col).alias("text"))
     return B.stored(rows.mapInArrow(run, "id long, key long, n long, ids binary"), "tokens")
@@ -151,5 +152,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
             emit(part)
         if out:
             yield rows()
+        tokens.give_back()
 
     return made.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "key", "ids").mapInArrow(run, schema)

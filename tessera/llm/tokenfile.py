@@ -232,7 +232,7 @@ def write_files(docs: DataFrame, uri: str | None = None, id_col: str = "doc_id",
                 continue
             out = out or Writer(open_out(path))
             texts, ids = batch.column("text"), batch.column("id")
-            for a, b in tokens.slices(texts):
+            for a, b in tokens.slices(texts, 8_000_000):
                 got, counts = tokens.with_end(*encoder.encode(texts.slice(a, b - a)), end)
                 own = ids.slice(a, b - a)
                 out.add(own.fill_null(0).to_numpy(zero_copy_only=False), own.is_null().to_numpy(zero_copy_only=False), got, counts)
@@ -240,6 +240,7 @@ def write_files(docs: DataFrame, uri: str | None = None, id_col: str = "doc_id",
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "docs": [n], "ids": [total]})
+        tokens.give_back()
 
     return B.stored(ordered(docs, id_col, text_col).mapInArrow(write, "part long, path string, docs long, ids long"), "manifest")
 

@@ -7,6 +7,7 @@ afterwards. Special tokens are found by the library in whole texts, so texts tha
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 
@@ -15,8 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Segments that a worker remembers; when there are more, it forgets them all.
-CACHE = 500_000
+#: Segments that a worker remembers; when there are more, the half that it met most often stays.
+CACHE = 300_000
 #: New segments that are encoded as one text.
 JOINED = 100
 #: A lone surrogate, which no decoded text holds.
@@ -60,9 +61,33 @@ class Encoder:
     def _clear(self) -> None:
         self.index = _Index()
         self.store = np.zeros(1 << 16, np.uint32)
-        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.starts, self.sizes, self.hits = (np.zeros(1 << 14, np.int32) for _ in range(3))
         self.used = self.n = 0
 
+    def _trim(self) -> None:
+        """Forget segments met once, and of the others those met least, down to half the bound. Older meetings count half."""
+        keep = np.argsort(-self.hits[: self.n], kind="stable")[: self.cache // 2]
+        keep = np.sort(keep[self.hits[keep] > 1])
+        pieces = np.array(list(self.index), object)[keep].tolist()
+        sizes, hits, old = self.sizes[keep], self.hits[keep] // 2, self.starts[keep]
+        ends = np.cumsum(sizes)
+        ids = self.store[np.repeat(old - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self._clear()
+        self.index.update(zip(pieces, range(len(pieces))))
+        self._append(ids, ends - sizes, sizes)
+        self.hits[: self.n] = hits
+
+    def _append(self, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+        while self.n + len(sizes) > len(self.starts):
+            self.starts, self.sizes, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.hits))
+        self.store[self.used : self.used + len(ids)] = ids
+        self.starts[self.n : self.n + len(sizes)] = self.used + starts
+        self.sizes[self.n : self.n + len(sizes)] = sizes
+        self.used += len(ids)
+        self.n += len(sizes)
+
     def _learn(self) -> None:
         """Encode the new segments, kept without the space before them (those that have none begin with FIRST).
 
@@ -75,8 +100,11 @@ class Encoder:
         sizes = np.zeros(len(new), np.int64)
         ids = [np.zeros(0, np.uint32)] * 2
         if some:
-            joined = [" " + " ".join(some[k : k + JOINED]) for k in range(0, len(some), JOINED)]
-            ids[0] = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+            parts = []
+            for a in range(0, len(some), 100 * JOINED):  # the library's own results are large: a few at a time
+                joined = [" " + " ".join(some[k : min(k + JOINED, a + 100 * JOINED)]) for k in range(a, min(len(some), a + 100 * JOINED), JOINED)]
+                parts += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+            ids[0] = np.concatenate(parts)
             sizes[plain] = np.diff(np.append(np.flatnonzero(self.spaced[ids[0]]), len(ids[0])))
         if rest:
             got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
@@ -85,21 +113,12 @@ class Encoder:
         starts = np.zeros(len(new), np.int64)
         starts[plain] = np.cumsum(sizes[plain]) - sizes[plain]
         starts[~plain] = len(ids[0]) + np.cumsum(sizes[~plain]) - sizes[~plain]
-        both = np.concatenate(ids)
-        while self.used + len(both) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
-        while self.n + len(new) > len(self.starts):
-            self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        self.store[self.used : self.used + len(both)] = both
-        self.starts[self.n : self.n + len(new)] = self.used + starts
-        self.sizes[self.n : self.n + len(new)] = sizes
-        self.used += len(both)
-        self.n += len(new)
+        self._append(np.concatenate(ids), starts, sizes)
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another and the number of ids of each text. texts: strings without nulls, a list or an Arrow array."""
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-        parts = [self._encode(texts.slice(a, b - a)) for a, b in slices(texts)]
+        parts = [self._encode(texts.slice(a, b - a)) for a, b in slices(texts, 8_000_000)]
         if not parts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -109,15 +128,16 @@ class Encoder:
         if self.index.new:
             self._learn()
         sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.store[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        place = np.repeat(self.starts[at] - ends + sizes, sizes)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = self.store[place]
         sums, edge = np.concatenate([[0], ends]), np.concatenate([[0], np.cumsum(per)])
-        return ids, sums[edge[1:]] - sums[edge[:-1]]
+        return ids, (sums[edge[1:]] - sums[edge[:-1]]).astype(np.int64)
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.n > self.cache:
-            self._clear()
+            self._trim()
         number = self.index.__getitem__
         odd = pc.match_substring_regex(texts, _ODD)
         whole = np.zeros(len(texts), bool)
@@ -129,10 +149,12 @@ class Encoder:
         edge = lists.offsets.to_numpy()
         if len(edge) > 1:
             words = lists.values.dictionary_encode()
-            at = np.fromiter(map(number, words.dictionary.to_pylist()), np.int64, len(words.dictionary))[words.indices.to_numpy()]
+            own, places = np.fromiter(map(number, words.dictionary.to_pylist()), np.int32, len(words.dictionary)), words.indices.to_numpy()
+            at = own[places]
             firsts = lists.values.take(pa.array(edge[:-1])).to_pylist()
             at[edge[:-1]] = np.fromiter((number(FIRST + p) for p in firsts), np.int64, len(firsts))
             ids, counts = self._ids(at, np.diff(edge))
+            self.hits[own] += np.bincount(places, minlength=len(own)).astype(np.int32)
         else:
             ids, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if easy.all():
@@ -160,6 +182,15 @@ def encoder(path: str | None = None) -> Encoder:
     return _encoders[key]
 
 
+def give_back() -> None:
+    """Return freed memory to the system; called when a task ends, since Python workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The same with one more id after each text."""
     return np.insert(ids, np.cumsum(counts), end).astype(np.uint32, copy=False), counts + 1

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.model import AXES, Grid
 
+#: Fixed value: results depend on it.
 BINS = 65537
 
 

@@ -120,7 +120,7 @@ def fill_holes(mask: DataFrame, grid: Grid, most: float) -> DataFrame:
 def lateral_circularity(df: DataFrame, dots: DataFrame, grid: Grid, sigma: float) -> DataFrame:
     """dots (id, x, y, z) with the ratio of the smaller to the larger eigenvalue of the intensity-weighted offsets' covariance in a soft disc
     of radius 1.75 max(sigma, 1). The buffer's empty cells count as zeros; -1 when outside or flat."""
-    radius = 1.75 * max(sigma, 1.0)
+    radius = 1.75 * max(sigma, 1.0)  # a fixed value
     r = int(radius) + 1
     n = float((2 * r + 1) ** 2)
     p = dots.select("id", *[F.floor(F.col(a) + 0.5).cast("int").alias("c" + a) for a in AXES])

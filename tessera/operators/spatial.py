@@ -13,6 +13,8 @@ from tessera.checkpoints import stored
 from tessera.functions import distance_squared
 from tessera.model import AXES
 
+#: Reach of the density and of the mean shift in sigmas, density that counts as a met point, length that vectors must exceed.
+DENSITY_REACH, SHIFT_REACH, MET, SHORTEST = 2.5, 10.0, 0.7, 1.0
 #: Bytes of query vectors that are shipped to all tasks at once; more are searched in blocks.
 BLOCK = 32_000_000
 
@@ -111,13 +113,13 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "pid", "d2")
 
 
-def density(queries: DataFrame, points: DataFrame, sigma: float, reach: float = 2.5) -> DataFrame:
+def density(queries: DataFrame, points: DataFrame, sigma: float, reach: float = DENSITY_REACH) -> DataFrame:
     """(id, kde): sum of exp(-d^2 / (2 sigma^2)) over the points within reach sigma of each query."""
     got = ball_join(queries, points, reach * sigma).groupBy("qid").agg(F.sum(F.exp(-F.col("d2") / (2 * sigma * sigma))).alias("kde"))
     return queries.join(got, queries["id"] == got["qid"], "left").select("id", F.coalesce("kde", F.lit(0.0)).alias("kde"))
 
 
-def mean_shift_step(queries: DataFrame, points: DataFrame, sigma: float, reach: float = 10.0) -> DataFrame:
+def mean_shift_step(queries: DataFrame, points: DataFrame, sigma: float, reach: float = SHIFT_REACH) -> DataFrame:
     """queries moved to the kernel-weighted mean of the points around them; where the weight is below 1e-9 they stay."""
     w = F.exp(-F.col("d2") / (2 * sigma * sigma))
     got = ball_join(queries, points, reach * sigma).groupBy("qid").agg(F.sum(w).alias("w"), *[F.sum(w * F.col("p" + a)).alias("s" + a) for a in AXES])
@@ -136,7 +138,7 @@ def mode_search(points: DataFrame, sigma: float, rounds: int = 100) -> tuple[flo
     for _ in range(rounds):
         d2 = sum(((F.col(a) - v) * (F.col(a) - v) for a, v in zip(AXES, q)), F.lit(0.0))
         w = F.exp(-d2 / (2 * sigma * sigma))
-        r = near.where(d2 < (10 * sigma) ** 2).agg(F.sum(w).alias("w"), *[F.sum(w * F.col(a)).alias(a) for a in AXES]).first()
+        r = near.where(d2 < (SHIFT_REACH * sigma) ** 2).agg(F.sum(w).alias("w"), *[F.sum(w * F.col(a)).alias(a) for a in AXES]).first()
         new = tuple(r[a] / r["w"] for a in AXES) if r["w"] and r["w"] >= 1e-9 else q
         if max(abs(a - b) for a, b in zip(new, q)) < 1e-12:
             break
@@ -166,7 +168,7 @@ def band_join(a: DataFrame, b: DataFrame, sigma: float, relative: float) -> Data
     minus, plus = (F.sqrt(sum(((F.col("ad" + c) + s * F.col("bd" + c)) * (F.col("ad" + c) + s * F.col("bd" + c)) for c in AXES), F.lit(0.0))) for s in (-1, 1))
     hit = hit.withColumns({"minus": minus, "plus": plus, "top": F.greatest("la", "lb")})
     hit = hit.withColumns({"diff": F.least("minus", "plus"), "swapped": F.col("plus") < F.col("minus")})
-    return hit.where((F.col("top") > 1.0) & (F.col("diff") / F.col("top") < relative + sigma / F.col("top"))).select("ai", "aj", "bi", "bj", "diff", "swapped")
+    return hit.where((F.col("top") > SHORTEST) & (F.col("diff") / F.col("top") < relative + sigma / F.col("top"))).select("ai", "aj", "bi", "bj", "diff", "swapped")
 
 
 def hypotheses(a: DataFrame, b: DataFrame, matches: DataFrame) -> DataFrame:
@@ -181,7 +183,7 @@ def displacement_peak(a: DataFrame, b: DataFrame, capture: float, sigma: float,
     Differences are counted by cell; each cell asks for the cells within 2.5 sigma. Nothing is compared outside that reach."""
     d = ball_join(b, a, capture).select(*[F.floor((F.col("p" + c) - F.col("q" + c)) / step + 0.5).cast("int").alias(c) for c in AXES])
     cells = d.groupBy(*AXES).agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.xxhash64(*AXES))
-    r = 2.5 * sigma / step
+    r = DENSITY_REACH * sigma / step
     around = ball_join(cells, cells, r).join(cells.select(F.col("id").alias("pid"), "n"), "pid")
     kde = around.groupBy("qx", "qy", "qz").agg(F.sum(F.col("n") * F.exp(-F.col("d2") * step * step / (2 * sigma * sigma))).alias("kde"))
     best = kde.orderBy(F.col("kde").desc(), "qx", "qy", "qz").limit(1)
@@ -218,7 +220,7 @@ def alignment_significance(a: DataFrame, b: DataFrame, delta: tuple[float, float
     """(n_aligned, kde, expected, goodness): how many points of b, moved by -delta, meet points of a (density above 0.7), against how many would by
     chance if both were spread over cells of sigma^3 in the larger bounding box."""
     moved = b.select("id", *[(F.col(c) - d).alias(c) for c, d in zip(AXES, delta)])
-    met = density(moved, a, sigma).agg(F.count_if(F.col("kde") > 0.7).alias("n_aligned"), F.sum("kde").alias("kde"))
+    met = density(moved, a, sigma).agg(F.count_if(F.col("kde") > MET).alias("n_aligned"), F.sum("kde").alias("kde"))
     size = lambda df, p: df.agg(F.count(F.lit(1)).alias("n" + p), ((F.max("x") - F.min("x")) * (F.max("y") - F.min("y")) * (F.max("z") - F.min("z")) / sigma**3).alias("c" + p))
     one = met.crossJoin(size(a, "a")).crossJoin(size(b, "b"))  # single rows
     cells = F.greatest("ca", "cb")

@@ -17,7 +17,11 @@ def reduce_planes(df: DataFrame, grid: Grid, how: str = "max") -> DataFrame:
     return agg.projection(df, how).select("x", "y", F.lit(0).alias("z"), "v")
 
 
-def sigmas(first: float = 3.5, n: int = 3) -> list[float]:
+#: Smallest scale, number of scales, number of trees.
+FIRST_SCALE, SCALES, TREES = 3.5, 3, 201
+
+
+def sigmas(first: float = FIRST_SCALE, n: int = SCALES) -> list[float]:
     return [first * 2 ** (k / 2) for k in range(n)]
 
 
@@ -26,7 +30,7 @@ def features(plane: DataFrame, scales: list[float]) -> tuple[DataFrame, list[str
     return got, [c for c in got.columns if c not in AXES]
 
 
-def train(plane: DataFrame, annotated: DataFrame, scales: list[float], trees: int = 201, seed: int = 0) -> tuple[DataFrame, list[str]]:
+def train(plane: DataFrame, annotated: DataFrame, scales: list[float], trees: int = TREES, seed: int = 0) -> tuple[DataFrame, list[str]]:
     """annotated (x, y, label), labels below 0 are not annotated. Leaves of cbrt(n) pixels."""
     table, names = features(plane, scales)
     rows = table.join(annotated.where("label >= 0").select("x", "y", "label"), ["x", "y"]).withColumn("id", F.col("y").cast("long") * 1_000_000 + F.col("x"))

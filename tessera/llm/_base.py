@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -57,6 +58,18 @@ def stored(df: DataFrame, name: str, scope: str = "op") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2500):
+    """Arrow batches of fewer rows for what is planned and run within: whole texts are long, and JVM and worker hold a batch each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release(scope: str | None = None) -> None:
     """Delete the shared tables of a scope (None: all). Call it once what was derived from them has been written."""
     kept = []

@@ -191,7 +191,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in keep], pa.binary()), pa.array([s for _, s in keep], pa.binary())], ["cls", "items"])
         tokens.give_back()
 
-    return B.stored(some.select("cls", "text").mapInArrow(run, "cls binary, items binary").dropDuplicates(["cls"]), "sets")
+    with B.small_batches(docs.sparkSession):
+        return B.stored(some.select("cls", "text").mapInArrow(run, "cls binary, items binary").dropDuplicates(["cls"]), "sets")
 
 
 def _stars(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -261,7 +262,8 @@ def class_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", tex
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, n_shingles, component_id (the smallest identifier reachable), kept."""
-    rows = B.stored(sketch(docs, id_col, text_col), "sketches")
+    with B.small_batches(docs.sparkSession):
+        rows = B.stored(sketch(docs, id_col, text_col), "sketches")
     full = rows.where(F.col("cls").isNotNull())
     classes = B.stored(full.groupBy("cls").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("id").alias("id"), F.count(F.lit(1)).alias("size")), "classes")
     labels = class_links(docs, classes, id_col, text_col)

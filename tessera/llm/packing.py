@@ -21,6 +21,8 @@ from tessera.llm import _base as B
 from tessera.llm import tokens
 
 BUCKETS, DIMS, BITS = 512, 3, 16
+#: A row carries at most this many ids, so that long documents, neighbours on the curve, do not make a range heavier than others.
+CHUNK = 4096
 SEQUENCE = 1024
 
 
@@ -66,13 +68,14 @@ def curve_keys(ids: np.ndarray, counts: np.ndarray, projection: np.ndarray) -> n
     return hilbert_key(np.minimum(unit * (1 << BITS), (1 << BITS) - 1).astype(np.int64))
 
 
-def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = 0) -> DataFrame:
-    """(id, key, n, ids): each document's ids with the end id, 16 bit and compressed, and its Hilbert key. Written once into the shared folder."""
+def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = 0, cache: int = tokens.CACHE) -> DataFrame:
+    """(id, key, n, start, ids): each document's ids with the end id, 16 bit and compressed, CHUNK at most a row from start on, its number of ids and
+    its Hilbert key. Written once into the shared folder."""
 
     def run(batches):
         import zstandard
 
-        encoder, projection, squeeze = tokens.encoder(vocabulary), _projection(), zstandard.ZstdCompressor(level=1)
+        encoder, projection, squeeze = tokens.encoder(vocabulary, cache), _projection(), zstandard.ZstdCompressor(level=1)
         width = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
             texts, own = batch.column("text"), batch.column("id")
@@ -80,13 +83,16 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
                 ids, counts = tokens.with_end(*encoder.encode(texts.slice(a, b - a)), end)
                 keys = curve_keys(ids, counts, projection)
                 small, edge = ids.astype(width), np.concatenate([[0], np.cumsum(counts)])
-                yield pa.RecordBatch.from_arrays(
-                    [own.slice(a, b - a), pa.array(keys), pa.array(counts), pa.array([squeeze.compress(small[edge[k] : edge[k + 1]].tobytes()) for k in range(b - a)], pa.binary())], ["id", "key", "n", "ids"]
-                )
-        tokens.give_back()
+                rows = -(-counts // CHUNK)
+                of = np.repeat(np.arange(b - a), rows)
+                start = (np.arange(len(of)) - np.repeat(np.cumsum(rows) - rows, rows)) * CHUNK
+                packed = [squeeze.compress(small[edge[k] + at : min(edge[k] + at + CHUNK, edge[k + 1])].tobytes()) for k, at in zip(of, start)]
+                yield pa.RecordBatch.from_arrays([own.slice(a, b - a).take(pa.array(of)), pa.array(keys[of]), pa.array(counts[of]), pa.array(start), pa.array(packed, pa.binary())], ["id", "key", "n", "start", "ids"])
+            tokens.give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), B.text_of(text_col).alias("text"))
-    return B.stored(rows.mapInArrow(run, "id long, key long, n long, ids binary"), "tokens")
+    with B.small_batches(docs.sparkSession):
+        return B.stored(rows.mapInArrow(run, "id long, key long, n long, start long, ids binary"), "tokens")
 
 
 def tail_cuts(n: int) -> list[int]:
@@ -94,13 +100,13 @@ def tail_cuts(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, vocabulary: str | None = None, end: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, vocabulary: str | None = None, end: int = 0, with_ids: bool = False, cache: int = tokens.CACHE) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, key, and ids (array<int>) if with_ids.
 
     A range fills sequences of length ids one after another; only its last ids are cut to powers of two. Ranges number their
-    sequences apart (range << 40), so no task waits for another's totals."""
-    made = tokenized(docs, id_col, text_col, vocabulary, end).withColumn("row", F.monotonically_increasing_id())
-    keys = ["key", "id", "row"]
+    sequences apart (range << 40), so no task waits for another's totals. cache: segments that a worker remembers, for speed against memory."""
+    made = tokenized(docs, id_col, text_col, vocabulary, end, cache).withColumn("row", F.monotonically_increasing_id())
+    keys = ["key", "id", "start", "row"]
     width = 2 if tokens.encoder(vocabulary).tokenizer.get_vocab_size() <= 1 << 16 else 4
     schema = f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, key long" + ", ids array<int>" * with_ids
 
@@ -126,12 +132,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
             sequence += 1
 
         for batch in batches:
-            for own, key, packed in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), batch.column("ids").to_pylist()):
+            for own, key, whole, start, packed in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "n", "start", "ids"))):
                 ids = np.frombuffer(open_.decompress(packed), f"<u{width}")
                 at = 0
                 while at < len(ids):
                     take = min(length - offset, len(ids) - at)
-                    tail.append((own, at, ids[at : at + take], len(ids), key))
+                    tail.append((own, start + at, ids[at : at + take], whole, key))
                     at, offset = at + take, offset + take
                     if offset == length:
                         emit(tail)
@@ -154,4 +160,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
             yield rows()
         tokens.give_back()
 
-    return made.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "key", "ids").mapInArrow(run, schema)
+    return made.repartitionByRange(*keys).sortWithinPartitions(*keys).select("id", "key", "n", "start", "ids").mapInArrow(run, schema)

@@ -237,12 +237,14 @@ def write_files(docs: DataFrame, uri: str | None = None, id_col: str = "doc_id",
                 own = ids.slice(a, b - a)
                 out.add(own.fill_null(0).to_numpy(zero_copy_only=False), own.is_null().to_numpy(zero_copy_only=False), got, counts)
                 n, total = n + b - a, total + len(got)
+            tokens.give_back()
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "docs": [n], "ids": [total]})
         tokens.give_back()
 
-    return B.stored(ordered(docs, id_col, text_col).mapInArrow(write, "part long, path string, docs long, ids long"), "manifest")
+    with B.small_batches(docs.sparkSession):
+        return B.stored(ordered(docs, id_col, text_col).mapInArrow(write, "part long, path string, docs long, ids long"), "manifest")
 
 
 def read_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:

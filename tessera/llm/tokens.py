@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Segments that a worker remembers; when there are more, the half that it met most often stays.
-CACHE = 300_000
+CACHE = 400_000
 #: New segments that are encoded as one text.
 JOINED = 100
 #: A lone surrogate, which no decoded text holds.
@@ -174,16 +174,17 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, cache: int = CACHE) -> Encoder:
     """The worker's encoder for a vocabulary file: Python workers live on between tasks."""
     key = path or vocabulary_path()
     if key not in _encoders:
         _encoders[key] = Encoder(key)
+    _encoders[key].cache = cache
     return _encoders[key]
 
 
 def give_back() -> None:
-    """Return freed memory to the system; called when a task ends, since Python workers live on."""
+    """Return freed memory to the system; called between batches and when a task ends, since Python workers live on."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

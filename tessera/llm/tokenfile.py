@@ -31,6 +31,8 @@ MAGIC = b"TESSPFR1"
 BLOCK = 256
 #: The share of a block's ids that the packed width must hold.
 PERCENTILE = 0.9
+#: Segments that a worker remembers here: it holds little else.
+CACHE = 1_000_000
 #: Blocks that are encoded or decoded at once.
 BATCH = 4096
 
@@ -62,7 +64,8 @@ def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[byte
     for w in np.unique(width):
         if w:
             at = np.flatnonzero(width == w)
-            bits = np.unpackbits(np.ascontiguousarray(rest[at].astype("<u4")).view(np.uint8).reshape(len(at), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
+            room = 2 if w <= 16 else 4  # bytes that the width fits in
+            bits = np.unpackbits(np.ascontiguousarray(rest[at].astype(f"<u{room}")).view(np.uint8).reshape(len(at), BLOCK, room), axis=2, bitorder="little")[:, :, :w]
             out[(starts[at] + 8)[:, None] + np.arange(w * BLOCK // 8)] = np.packbits(np.ascontiguousarray(bits).reshape(len(at), -1), axis=1, bitorder="little")
     b, p = np.nonzero(over)
     if len(b):
@@ -226,7 +229,7 @@ def write_files(docs: DataFrame, uri: str | None = None, id_col: str = "doc_id",
     def write(batches):
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         path, out, n, total = f"{uri}/part-{part:06d}-{attempt}.pfor", None, 0, 0
-        encoder = tokens.encoder(vocabulary)
+        encoder = tokens.encoder(vocabulary, CACHE)
         for batch in batches:
             if not batch.num_rows:
                 continue

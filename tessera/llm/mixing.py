@@ -2,8 +2,8 @@
 
 Sources get target sizes by weight (water-filling under a cap of max_repeat times their own size). Blocks of equal size are
 allocated to sources by highest quotients target / (2 k + 1), then each source's blocks to its shards likewise, which gives
-integer quotas for each shard and source. Within a shard and source the documents stand in a seeded order, cut into blocks;
-a quota of q of n blocks takes every block q div n times and q mod n blocks once more, chosen by a seeded permutation.
+integer quotas for each shard and source. Within a shard and source the documents stand in a seeded order. A quota of words takes
+every document quota div size of the stream times, and those at the head of the order, whole, once more until the rest is used up.
 
 Cases: a null text has size 0; documents of size 0 are never taken; a null source is a source of its own, last in order; rows
 that repeat are rows like any other; an empty table gives an empty result; other columns are ignored.
@@ -21,8 +21,6 @@ RESOLUTION, MIN_BLOCK = 1_000_000, 16
 #: Documents are dealt to this many bins of their source; a shard is a set of bins.
 BINS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
-#: Primes above any number of blocks in a shard: multiplying by one permutes the block numbers.
-PRIMES = (1_000_000_007, 1_000_000_009, 1_000_000_021, 1_000_000_033, 1_000_000_087, 1_000_000_093, 1_000_000_097, 1_000_000_103)
 
 
 def source_weights(sources: DataFrame, cycle: int = 3) -> DataFrame:
@@ -89,41 +87,57 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     p = plan.withColumnRenamed("source", "_s")
     streams = streams.join(p, streams["source"].eqNullSafe(p["_s"])).drop("_s")
     streams = sainte_lague(streams, "stream_size", F.col("quota"), ["source"], ["source", "shard"], "take")
-    blocks = F.greatest(F.ceil(F.col("stream_size") / block), F.lit(1).cast("long"))
-    streams = streams.withColumn("blocks", blocks).withColumn("take", F.least("take", F.col("blocks") * max_repeat))
-    streams = streams.withColumns({"epochs": F.floor(F.col("take") / F.col("blocks")), "extra": F.col("take") % F.col("blocks")})
+    wanted = F.least(F.col("take") * block, F.col("stream_size") * max_repeat)
+    streams = streams.withColumn("epochs", F.when(F.col("stream_size") > 0, F.floor(wanted / F.col("stream_size"))).otherwise(F.lit(0).cast("long")))
+    streams = B.stored(streams.withColumn("extra", wanted - F.col("epochs") * F.col("stream_size")), "streams")
     # Where each bin's documents begin in their stream: running sums over at most BINS / shards rows a stream.
     ahead = Window.partitionBy("source", "shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     placed = bins.withColumn("shard", shard).withColumn("bin_at", F.coalesce(F.sum("bin_size").over(ahead), F.lit(0).cast("long")))
-    st = streams.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "source_size", "target", "blocks", "epochs", "extra")
-    placed = placed.join(st, placed["source"].eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h"))).drop("_s", "_h")
+    st = streams.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "source_size", "target", "epochs", "extra")
+    placed = B.stored(placed.join(st, placed["source"].eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h"))).drop("_s", "_h"), "placed")
+    cuts = _cuts(rows, placed)
+    placed = placed.join(cuts, placed["source"].eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h")), "left").drop("_s", "_h")
+    # Both sides are dealt by (source, bin), of which none holds more than a thousandth of a source.
+    told = _starts(rows, placed.withColumn("cut", F.coalesce("cut", "extra")))
+    more = F.when(F.col("at") + F.col("size") <= F.col("cut"), F.col("size")).otherwise(F.lit(0).cast("long"))
+    return told.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", "shard", (F.col("epochs") * F.col("size") + more).alias("taken"), "epochs")
+
+
+def _starts(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """rows of the bins in placed, with placed's columns and at, where the document begins in its stream."""
     within = Window.partitionBy("source", "bin").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     own = rows.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0).cast("long")))
-    pl = placed.select(F.col("source").alias("_s"), F.col("bin").alias("_b"), "shard", "bin_at", "source_size", "target", "blocks", "epochs", "extra")
-    # Both sides are dealt by (source, bin), of which none holds more than a thousandth of a source.
-    told = own.join(pl, own["source"].eqNullSafe(F.col("_s")) & (F.col("bin") == F.col("_b"))).drop("_s", "_b").withColumn("at", F.col("at") + F.col("bin_at"))
-    prime = F.element_at(F.array(*[F.lit(x) for x in PRIMES]), (F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), F.lit(len(PRIMES))) + 1).cast("int")).cast("long")
-    turn = F.pmod(F.xxhash64(F.lit(seed + 1), "source", "shard"), F.col("blocks"))
-    told = told.withColumns({"_p": prime % F.col("blocks"), "_t": turn})
-    extra = F.aggregate(
-        F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)),
-        F.lit(0).cast("long"),
-        lambda acc, b: acc
-        + F.when(
-            (F.pmod((b % F.col("blocks")) * F.col("_p") + F.col("_t"), F.col("blocks"))) < F.col("extra"),
-            F.least(F.col("at") + F.col("size"), (b + 1) * block) - F.greatest(F.col("at"), b * block),
-        ).otherwise(F.lit(0).cast("long")),
-    )
-    taken = F.when(F.col("size") > 0, F.col("epochs") * F.col("size") + F.when(F.col("extra") > 0, extra).otherwise(F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
-    return told.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", "shard", taken.alias("taken"), "epochs")
+    pl = placed.withColumnsRenamed({"source": "_s", "bin": "_b"})
+    return own.join(pl, own["source"].eqNullSafe(F.col("_s")) & (F.col("bin") == F.col("_b"))).drop("_s", "_b").withColumn("at", F.col("at") + F.col("bin_at"))
+
+
+def _cuts(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """(_s, _h, cut): for each stream that takes part of a pass, where it ends: before or after the document in which its extra words end.
+
+    From the largest such document on, the choice that keeps the source's sum closer to its quota is made, so a source misses by half
+    of one of them at most. One bin a stream is read, one row a stream gathered."""
+    ends = placed.where((F.col("extra") > 0) & (F.col("bin_at") <= F.col("extra")) & (F.col("extra") < F.col("bin_at") + F.col("bin_size")))
+    b = ends.select(F.col("source").alias("_s"), F.col("bin").alias("_b"))
+    few = rows.join(b, rows["source"].eqNullSafe(F.col("_s")) & (F.col("bin") == F.col("_b")), "left_semi")
+    last = _starts(few, ends).where((F.col("at") <= F.col("extra")) & (F.col("extra") < F.col("at") + F.col("size")))
+    held = last.groupBy("source").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("first"), "shard", "at", "size", "extra"))).alias("ends"))
+    start = F.struct(F.lit(0).cast("long").alias("over"), F.array().cast("array<struct<shard:int,cut:bigint>>").alias("cuts"))
+
+    def step(acc, x):
+        without, within = acc["over"] + x["at"] - x["extra"], acc["over"] + x["at"] + x["size"] - x["extra"]
+        less = F.abs(without) <= F.abs(within)
+        cut = F.struct(x["shard"].alias("shard"), F.when(less, x["at"]).otherwise(x["at"] + x["size"]).alias("cut"))
+        return F.struct(F.when(less, without).otherwise(within).alias("over"), F.concat(acc["cuts"], F.array(cut)).alias("cuts"))
+
+    return held.select(F.col("source").alias("_s"), F.explode(F.aggregate("ends", start, step)["cuts"]).alias("c")).select("_s", F.col("c.shard").alias("_h"), F.col("c.cut").alias("cut"))
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs as the mix takes them: a document whose taken words are t of its size s stands round(t / s) times, once at least if t > 0;
-    documents of which nothing is taken go. Columns as they were; rows with the same identifier share their mean."""
+    """docs as the mix takes them: a document of size s of which t words are taken, a multiple of s, stands t / s times.
+    Columns as they were; rows with the same identifier share their mean."""
     columns = docs.columns
     told = mix(docs, id_col, **options)
-    times = F.when(F.col("taken") > 0, F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int"))).otherwise(0)
+    times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
     copies = told.select(F.col(id_col).alias("_id"), times.alias("_n")).groupBy("_id").agg(F.round(F.avg("_n")).cast("int").alias("_n")).where("_n > 0")
     joined = docs.join(copies, docs[id_col].cast("long").eqNullSafe(F.col("_id")))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*columns)

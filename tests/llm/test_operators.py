@@ -410,6 +410,23 @@ def test_sainte_lague(spark):
         assert {p: n for p, n in got.items() if n} == dict(want)
 
 
+def test_mix_meets_targets_in_whole_documents(spark):
+    """Documents of many blocks: each source's words after the stage meet its target but for half a document and a few blocks."""
+    size = lambda k: 200 + 37 * k % 101
+    rows = [(k, "w " * size(k), ("a", "b", "c", "d", None)[k % 5]) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    told = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    assert all(r.taken % r.size == 0 for r in told.values())
+    words = Counter()
+    for r in mixing.apply_mix(docs).collect():
+        words[r.source] += size(r.doc_id)
+    target = {r.source: r.target for r in told.values()}
+    own = {r.source: r.source_size for r in told.values()}
+    assert min(target[s] / own[s] for s in own) < 0.6
+    for s in target:
+        assert abs(words[s] - target[s]) <= 150 + 4 * mixing.MIN_BLOCK, (s, words[s], target[s])
+
+
 def test_mix_odd(odd, none, docs):
     assert mixing.mix(odd).count() == 6 and mixing.mix(none).count() == 0
     got = mixing.apply_mix(docs)

@@ -1,8 +1,8 @@
 """License scan by ordered signature rules.
 
 A text is folded to words: ASCII letters in lower case, digits and everything beyond ASCII; all else separates. Rules are
-regexes over the words joined by single spaces. Each names keywords of which the text must hold all, so most texts meet no
-regex at all. Where detections overlap, one whose words lie within those of another of higher or equal priority goes. Base
+regexes over the words joined by single spaces. Each has keywords, words that stand in every text its regex can match, so most
+texts meet no regex at all. Where detections overlap, one whose words lie within those of another of higher or equal priority goes. Base
 phrases are found apart from the rules and always stay.
 
 Cases: a null text counts as empty, has no words and score 0; rows that repeat get equal results; null identifiers are kept;
@@ -261,20 +261,59 @@ proprietary | unauthorized copying prohibited | unauthorized copying of this fil
 """
 
 
+#: Stands for whatever a pattern leaves open.
+WILD = "\0"
+
+
 class Rule:
-    """priority: the higher wins; gate: words that must all be there."""
+    """priority: the higher wins; gate: words that must all be there; some: words of which one must be there, unless empty."""
 
-    __slots__ = ("label", "priority", "weight", "gate", "pattern")
+    __slots__ = ("label", "priority", "weight", "gate", "some", "pattern")
 
-    def __init__(self, label: str, priority: int, weight: float, gate: frozenset, pattern: str):
-        self.label, self.priority, self.weight, self.gate = label, priority, weight, gate
+    def __init__(self, label: str, priority: int, weight: float, gate: frozenset, some: frozenset, pattern: str):
+        self.label, self.priority, self.weight, self.gate, self.some = label, priority, weight, gate, some
         self.pattern = re.compile(rb"(?<= )(?:" + pattern.encode() + rb")(?= )")
 
 
-def _gate(pattern: str) -> frozenset:
-    """The plain words that every match of the pattern holds."""
-    bare = re.sub(r"\([^()]*\)\??", " ", re.sub(r"\([^()]*\([^()]*\)[^()]*\)\??", " ", pattern))
-    return frozenset(w.encode() for w in bare.split() if re.fullmatch(r"[a-z0-9]+", w))
+def variants(pattern: str) -> list[str]:
+    r"""All texts that the pattern matches, with WILD where it leaves open what stands there. Groups, alternatives, classes, '?', '\w*' and '.{a,b}?'."""
+
+    def either(at: int) -> tuple[list[str], int]:
+        found: list[str] = []
+        while True:
+            some, at = row(at)
+            found += some
+            if at == len(pattern) or pattern[at] == ")":
+                return found, at + 1
+            at += 1
+
+    def row(at: int) -> tuple[list[str], int]:
+        out = [""]
+        while at < len(pattern) and pattern[at] not in "|)":
+            if wild := re.compile(r"\\w\*|\.\{\d+,\d+\}\?").match(pattern, at):
+                item, at = [WILD], wild.end()
+            elif pattern.startswith("(?!", at):
+                item, at = [""], pattern.index(")", at) + 1
+            elif pattern[at] == "(":
+                item, at = either(at + 1)
+            elif pattern[at] == "[":
+                end = pattern.index("]", at)
+                item, at = [chr(c) for c in range(128) if re.match(pattern[at : end + 1], chr(c))], end + 1
+            else:
+                item, at = [pattern[at]], at + 1
+            if at < len(pattern) and pattern[at] == "?":
+                item, at = [*item, ""], at + 1
+            out = [x + y for x in out for y in item]
+        return out, at
+
+    return either(0)[0]
+
+
+def _gate(pattern: str) -> tuple[frozenset, frozenset]:
+    """Words that every match of the pattern holds, and, where there are none, words of which every match holds one."""
+    held = [frozenset(w.encode() for w in v.split() if WILD not in w) for v in variants(pattern)]
+    every = frozenset.intersection(*held)
+    return every, frozenset() if every else frozenset(max(h, key=lambda w: (len(w), w)) for h in held)
 
 
 def rules() -> list[Rule]:
@@ -282,22 +321,22 @@ def rules() -> list[Rule]:
     out = []
     for line in filter(None, SENTENCES.strip().split("\n")):
         label, words, pattern = line.split(" | ")
-        gate = frozenset(w.encode() for w in words.split() if w != "asis")
-        out.append(Rule(label, 40, 1.0, gate, pattern))
-    named = [line.split(" | ") for line in filter(None, NAMES.strip().split("\n"))]
-    for label, pattern in named:
-        out.append(Rule(label, 30, 0.9, _gate(pattern) | {b"under"}, rf"(licen[sc]ed|released|distributed|available|provided|published) under (the )?(terms of the )?({pattern})"))
+        gate = frozenset(w.encode() for w in words.split()) & _gate(pattern)[0]
+        out.append(Rule(label, 40, 1.0, gate, frozenset(), pattern))
+    named = [(*line.split(" | "), *_gate(line.split(" | ")[1])) for line in filter(None, NAMES.strip().split("\n"))]
+    for label, pattern, gate, some in named:
+        out.append(Rule(label, 30, 0.9, gate | {b"under"}, some, rf"(licen[sc]ed|released|distributed|available|provided|published) under (the )?(terms of the )?({pattern})"))
     for label in dict.fromkeys(x[0] for x in named):
         tag = re.sub(r"[^a-z0-9]+", " ", label)
-        out.append(Rule(label, 20, 0.95, frozenset((b"spdx", tag.split()[0].encode())), rf"spdx licen[sc]e identifier {tag}( only| or later)?"))
-    for label, pattern in named:
-        out.append(Rule(label, 10, 0.7, _gate(pattern), pattern))
+        out.append(Rule(label, 20, 0.95, frozenset((b"spdx", tag.split()[0].encode())), frozenset(), rf"spdx licen[sc]e identifier {tag}( only| or later)?"))
+    for label, pattern, gate, some in named:
+        out.append(Rule(label, 10, 0.7, gate, some, pattern))
     return out
 
 
 RULES = rules()
 _FOLD = bytes(32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_ANY = frozenset().union(*(r.gate for r in RULES))
+_ANY = frozenset().union(*(r.gate | r.some for r in RULES))
 
 
 def fold(text: str) -> list[bytes]:
@@ -320,7 +359,7 @@ def detections(words: list[bytes], joined: bytes) -> list[tuple[int, int, str, i
     found = []
     if there:
         for k, r in enumerate(RULES):
-            if r.gate <= there:
+            if r.gate <= there and (not r.some or not r.some.isdisjoint(there)):
                 for m in r.pattern.finditer(joined):
                     a = joined.count(b" ", 0, m.start()) - 1
                     found.append((a, a + joined.count(b" ", m.start(), m.end()) + 1, r.label, r.priority, r.weight, k))

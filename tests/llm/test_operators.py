@@ -363,6 +363,28 @@ def test_license_names_pass_gates():
         assert scan(plain), (label, plain)
 
 
+def test_license_rules_with_and_without_optional_parts():
+    """Every text of a name, and of a sentence, passes the gate of its own rule and is found under its own label."""
+    for text, label in {"GPLv2": "gpl-2.0", "GPLv3": "gpl-3.0", "LGPLv2.1": "lgpl-2.1", "AGPLv3": "agpl-3.0", "Apache License v2.0": "apache-2.0", "MPL v2.0": "mpl-2.0", "Artistic License v2": "artistic-2.0"}.items():
+        assert scan(text) == [label], text
+    assert "cc-by-sa" in scan("Creative Commons Attribution ShareAlike") and "cc-by-nc-sa" in scan("Creative Commons Attribution NonCommercial ShareAlike")
+    assert "cc-by-sa" in scan("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License")
+    lines = [(k, *line.split(" | ")) for k, line in enumerate(filter(None, licenses.NAMES.strip().split("\n")))]
+    names = {label: [r for r in licenses.RULES if r.priority == 10 and r.label == label] for _, label, _ in lines}
+    for _, label, pattern in lines:
+        for text in licenses.variants(pattern):
+            text = text.replace(licenses.WILD, "x")
+            joined, words = b" " + text.encode() + b" ", set(text.encode().split())
+            own = [r for r in names[label] if r.pattern.fullmatch(joined, 1, len(joined) - 1) or r.pattern.search(joined)]
+            assert any(r.gate <= words and (not r.some or r.some & words) for r in own), (label, text)
+            found = {d[2] for d in licenses.detections(text.encode().split(), joined)}
+            assert label in found, (label, text, found)
+    for line in filter(None, licenses.SENTENCES.strip().split("\n")):
+        label, _, pattern = line.split(" | ")
+        for text in licenses.variants(pattern):
+            assert scan(text.replace(licenses.WILD, "x ")), (label, text)
+
+
 # ---------------------------------------------------------------- 10
 
 

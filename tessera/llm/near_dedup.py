@@ -243,9 +243,12 @@ def _rest_pairs(stars: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def class_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, label): classes that have links, with one label a component. classes: (cls, n, sig, id), one row a class."""
+    """(node, label): classes that have links, with one label a component. classes: (cls, n, sig, id), one row a class.
+
+    Classes without identifier have no set to compare, so they are no members, and above all no pivots, of a bucket."""
+    classes = classes.where("id is not null")
     stars, met = _stars(classes)
-    wanted = met.join(classes.select("cls", "id"), "cls").where("id is not null")
+    wanted = met.join(classes.select("cls", "id"), "cls")
     sets = _full_sets(docs, wanted, id_col, text_col)
     compared = B.stored(_compared(_alive(stars, classes), sets), "stars")
     labels = components(compared.where("linked").select("a", "b"))

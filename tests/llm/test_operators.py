@@ -142,6 +142,16 @@ def test_near_pivots(spark):
     assert got == {d: c for d, (_, c) in near_truth(rows).items()}
 
 
+def test_near_pivot_without_identifier(spark):
+    """Near copies link although the text that would be their buckets' pivot has no identifier."""
+    base = [f"w{k}" for k in range(20000)]
+    texts = [" ".join(base[:at] + [f"v{at}"] + base[at + 1 :]) for at in (100, 7000, 11000, 19000)]
+    texts.sort(key=lambda t: near_dedup._digest(near_dedup.shingle_sets([t])[0]))
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[2]), (None, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.component_id, r.kept) for r in near_dedup.near_groups(docs).collect()} == {1: (1, True), 2: (1, False), 3: (1, False), None: (None, True)}
+
+
 def test_near_odd(odd, none, docs, rows):
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in near_dedup.near_groups(odd).collect()) == [(0, 0, 0), (0, 1, 1), (1, 1, 1), (1, 1, 1), (1, 1, 1), (5, 1, 5)]
     assert near_dedup.near_groups(none).count() == 0

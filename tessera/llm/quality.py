@@ -10,7 +10,7 @@ Whole words in endless repetition are likely n-grams; for them the share of 12-s
 is held against quantiles of the same held-out text.
 
 Cases: a null or empty text has null perplexity, no repetition, and is kept; a null or unseen language takes the limits over
-all languages; without trusted text every document is kept; short texts are pulled towards their language's median by
+all languages; so does one of fewer than LEAST_HELD held-out texts; without trusted text every document is kept; short texts are pulled towards their language's median by
 PRIOR symbols; rows that repeat get equal results; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -28,10 +28,9 @@ SYMBOLS, ORDER = 40, 4
 GRAMS = SYMBOLS**ORDER
 #: One in HELD trusted documents is held out for the quantiles.
 HELD = 5
-#: A limit lies SPREAD times as far above the median as the quantile HIGH does, in log perplexity MIN_SPREAD at least: a rejected good document
-#: costs more than a kept bad one, and few held-out documents of a language say little about its tail.
-HIGH, SPREAD, MIN_SPREAD = 0.99, 4, 0.35
-#: For the share of repeated windows, likewise twice as far, LEAST_REPEATS at least.
+#: The limit of log perplexity is this quantile of held-out text; languages with fewer than LEAST_HELD texts take the limits over all.
+HIGH, LEAST_HELD = 0.99, 100
+#: The limit for the share of repeated windows lies twice as far above the median as the quantile does, LEAST_REPEATS at least.
 LEAST_REPEATS = 0.4
 PRIOR = 60
 #: Log probabilities are counted in steps of 1 / GRID for the quantiles.
@@ -201,11 +200,11 @@ def scored(docs: DataFrame, table: np.ndarray, text: str, carry: list[str], pref
 
 
 def _limits(held: DataFrame, score: str) -> DataFrame:
-    """(lang, all, mid, high) of score on the grid; lang and all group by language and once over all (all = 1)."""
+    """(lang, all, mid, high, n) of score on the grid, n rows; lang and all group by language and once over all (all = 1)."""
     cells = held.select("lang", F.floor(F.col(score) * GRID).cast("long").alias("cell")).groupBy("lang", "cell").agg(F.count(F.lit(1)).alias("n"))
     both = cells.select("lang", F.lit(0).alias("all"), "cell", "n").unionByName(cells.groupBy("cell").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), F.lit(1).alias("all"), "cell", "n"))
     exact = lambda q: F.percentile("cell", F.lit(q), F.col("n"))
-    return both.groupBy("lang", "all").agg((exact(0.5) / GRID).alias("mid"), (exact(HIGH) / GRID).alias("high"))
+    return both.groupBy("lang", "all").agg((exact(0.5) / GRID).alias("mid"), (exact(HIGH) / GRID).alias("high"), F.sum("n").alias("n"))
 
 
 class Classifier:
@@ -228,7 +227,12 @@ class Classifier:
             return cls(table, None)
         mean = own.where(F.col("n_symbols") >= PRIOR).withColumn("score", F.col("nll") / F.col("n_symbols"))
         mean = own.withColumn("score", F.col("nll") / F.col("n_symbols")) if mean.isEmpty() else mean
-        nll = _limits(mean, "score").select("lang", "all", "mid", (F.col("mid") + F.greatest(SPREAD * (F.col("high") - F.col("mid")), F.lit(MIN_SPREAD))).alias("limit"))
+        mids = _limits(mean, "score").where((F.col("all") == 1) | (F.col("n") >= LEAST_HELD)).select(F.col("lang").alias("_m"), F.col("all").alias("_b"), "mid")
+        # The quantile is of the score that is held against it, short texts pulled towards the median as apply() does.
+        told = own.where(F.col("n_symbols") > 0).withColumn("all", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("lang", F.when(F.col("all") == 0, F.col("lang")))
+        told = told.join(F.broadcast(mids), told["lang"].eqNullSafe(F.col("_m")) & (F.col("all") == F.col("_b")))
+        cells = told.withColumn("cell", F.ceil((F.col("nll") + PRIOR * F.col("mid")) / (F.col("n_symbols") + PRIOR) * GRID).cast("long")).groupBy("lang", "all", "mid", "cell").agg(F.count(F.lit(1)).alias("n"))
+        nll = cells.groupBy("lang", "all", "mid").agg((F.percentile("cell", F.lit(HIGH), F.col("n")) / GRID).alias("limit"))
         rep = _limits(own, "repeats").select(F.col("lang").alias("_l"), F.col("all").alias("_a"), F.greatest(2 * F.col("high") - F.col("mid"), F.lit(LEAST_REPEATS)).alias("repeat_limit"))
         return cls(table, B.stored(nll.join(rep, nll["lang"].eqNullSafe(rep["_l"]) & (nll["all"] == rep["_a"]), "left").drop("_l", "_a"), "limits"))
 

@@ -530,6 +530,20 @@ def test_classifier_keeps_clean_and_rejects_junk(spark):
     assert got[got.quality == 0].keep.mean() < 0.2
 
 
+def test_limit_is_a_quantile(spark):
+    """Of a language's many held-out texts about one in a hundred lies above the limit."""
+    import random
+
+    r = random.Random(5)
+    letters = "eeeeeeeeetttttaaaaooiinnsshrdlu   "
+    text = lambda odd: "".join(r.choice("zqxjkvwy" if r.random() < odd else letters) for _ in range(300))
+    rows = [(k, text(0.3 * r.random()), "en") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = {x.doc_id: x for x in quality.classify(docs, docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")).collect()}
+    held = [x.doc_id for x in docs.where(f"lang = 'en' AND pmod(xxhash64(doc_id), {quality.HELD}) = 0").collect()]
+    assert len(held) > 300 and 0.002 < sum(not got[d].keep for d in held) / len(held) < 0.02
+
+
 def test_classifier_odd(spark, odd, none, docs):
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (5, 0, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
     empty = labels.limit(0)

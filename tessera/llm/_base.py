@@ -161,34 +161,33 @@ def _bit(h):
 
 
 def make_filter(keys: DataFrame, key) -> DataFrame:
-    """Bitmaps (bucket, bits) of the hashed keys: at most FILTER_BUCKETS rows of 4 KB. It has no false negatives; as it fills
+    """Bitmaps (f_bucket, f_bits) of the hashed keys: at most FILTER_BUCKETS rows of 4 KB. It has no false negatives; as it fills
     up on larger inputs, more rows pass that an exact join behind it drops."""
     h = F.xxhash64(key)
-    return keys.select(_bucket(h).alias("_bucket"), _bit(h).alias("_pos")).groupBy("_bucket").agg(F.expr("bitmap_construct_agg(_pos)").alias("_bits"))
+    return keys.select(_bucket(h).alias("f_bucket"), _bit(h).alias("f_pos")).groupBy("f_bucket").agg(F.expr("bitmap_construct_agg(f_pos)").alias("f_bits"))
 
 
-def split_by_filter(rows: DataFrame, key, filt: DataFrame) -> DataFrame:
-    """rows with the boolean column _maybe: false where key surely is not in the filter."""
-    h = F.xxhash64(key)
-    byte = F.expr("cast(conv(hex(substring(_bits, cast(_pos div 8 as int) + 1, 1)), 16, 10) as int)")
-    hit = F.coalesce(byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(_pos % 8 as int)) as int)")) != 0, F.lit(False))
-    return (
-        rows.withColumns({"_bucket": _bucket(h), "_pos": _bit(h)})
-        .join(F.broadcast(filt), "_bucket", "left")
-        .withColumn("_maybe", hit)
-        .drop("_bucket", "_pos", "_bits")
-    )
-
-
-def semi_by_id(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is in ids, moving only rows that pass the bounded filter, so texts of other rows are not shuffled."""
-    filt = make_filter(ids, F.col(key))
-    return split_by_filter(rows, F.col(key), filt).where("_maybe").drop("_maybe").join(ids.select(key).distinct(), key, "left_semi")
-
-
-def anti_by_id(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not in ids; only rows that pass the bounded filter are shuffled."""
-    filt = make_filter(ids, F.col(key))
-    told = split_by_filter(rows, F.col(key), filt)
-    maybe = told.where("_maybe").drop("_maybe").join(ids.select(key).distinct(), key, "left_anti")
-    return told.where(~F.col("_maybe")).drop("_maybe").unionByName(maybe)
+def split_by_filter(rows: DataFrame, filt: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (column key and others of the operator's own) in two: those whose key surely is not in the filter, and the others."""
+    h = F.xxhash64("key")
+    byte = F.expr("cast(conv(hex(substring(f_bits, cast(f_pos div 8 as int) + 1, 1)), 16, 10) as int)")
+    hit = F.coalesce(byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(f_pos % 8 as int)) as int)")) != 0, F.lit(False))
+    told = rows.withColumns({"f_bucket": _bucket(h), "f_pos": _bit(h)}).join(F.broadcast(filt), "f_bucket", "left").withColumn("f_maybe", hit).drop("f_bucket", "f_pos", "f_bits")
+    return told.where(~F.col("f_maybe")).drop("f_maybe"), told.where("f_maybe").drop("f_maybe")
+
+
+def keyed(rows: DataFrame, key) -> DataFrame:
+    """(key, row): each row as one struct, so that no name of its columns can clash; select("row.*") gives it back."""
+    return rows.select(key.alias("key"), F.struct("*").alias("row"))
+
+
+def semi_rows(rows: DataFrame, key, ids: DataFrame) -> DataFrame:
+    """rows, columns as they were, whose key is in ids (column key), moving only rows that pass the bounded filter, so texts of other rows are not shuffled."""
+    maybe = split_by_filter(keyed(rows, key), make_filter(ids, F.col("key")))[1]
+    return maybe.join(ids.select("key").distinct(), "key", "left_semi").select("row.*")
+
+
+def anti_rows(rows: DataFrame, key, gone: DataFrame) -> DataFrame:
+    """rows, columns as they were, whose key is not in gone (column key); only rows that pass the bounded filter are shuffled."""
+    stay, maybe = split_by_filter(keyed(rows, key), make_filter(gone, F.col("key")))
+    return stay.select("row.*").unionByName(maybe.join(gone.select("key").distinct(), "key", "left_anti").select("row.*"))

@@ -1,13 +1,14 @@
 """Exact deduplication by a log-structured merge index, DataFrame functions only.
 
-Rows are dealt to memtables. A memtable flushes a run: one row a digest (smallest identifier, count), sorted by digest, with a
-filter over its digests. Compaction merges the runs level by level and keeps the smallest identifiers; the merged run has a
-filter of its repeated digests. Rows whose digest passes that filter are the hits; their texts are compared byte by byte
-within each digest before a copy may go.
+Rows are inserted batch by batch. A batch is collected in memtables, the hash tables of its tasks' partial sums, and flushed as one run
+of level 0: one row a digest (smallest identifier, count), sorted by digest, with a filter over its digests. An inserted batch probes the
+filters of the runs already there, and what passes is looked up in the run. When FAN_IN runs stand on one level they are merged into one
+of the next level; compact() merges what is left, of whatever levels. Merging keeps the smallest identifiers. Digests found again, in a
+batch or in an older run, are hits: their texts are compared byte by byte before a copy may go.
 
 Cases: a null text counts as empty; null identifiers sort after all others; of rows with equal text and equal identifier one
 stays, the others are its copies (which one is not told apart in the decision columns, drop_exact_copies keeps one of them);
-an empty table gives an empty result; other columns pass through drop_exact_copies and do not take part.
+an empty table gives an empty result; other columns, whatever their names, pass through drop_exact_copies and do not take part.
 """
 
 from __future__ import annotations
@@ -19,77 +20,97 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _base as B
 
-#: Runs that one compaction step merges.
-FAN_IN = 4
+#: Runs of one level that are merged into one of the next.
+FAN_IN = 3
+#: Batches in which a whole table is inserted.
+BATCHES = 4
+
+
+def _digest(norm):
+    return F.unhex(F.sha2(norm.cast("binary"), 256))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest): SHA-256 of the text with each run of white space replaced by one space."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(B.normalized(B.text_of(text_col)).cast("binary"), 256)).alias("digest"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), _digest(B.normalized(B.text_of(text_col))).alias("digest"))
+
+
+class Run:
+    """A sorted table (digest, keep_id, n), one row a digest, and its filter, both in the shared folder."""
+
+    def __init__(self, merged: DataFrame, level: int, scope: str):
+        self.level = level
+        self.rows = B.stored(merged.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n")).sortWithinPartitions("digest"), f"run{level}", scope)
+        self.filter = B.stored(B.make_filter(self.rows, F.col("digest")), "filter", scope)
 
 
 class MergeIndex:
-    """Sorted digest runs (digest, keep_id, n) in the shared folder, newest level first.
+    """Runs by age, oldest first. insert() flushes and merges, find() looks digests up, compact() leaves one run, hits() are digests seen again."""
 
-    insert() flushes memtables as runs, compact() merges them, index() is the compacted run, repeated_filter() its filter."""
+    def __init__(self, scope: str = "op"):
+        self.scope, self.runs, self.seen = scope, [], []
 
-    def __init__(self, spark, memtables: int = 4, scope: str = "op"):
-        self.spark, self.memtables, self.scope, self.runs = spark, memtables, scope, []
+    def find(self, rows: DataFrame) -> DataFrame:
+        """(digest, keep_id, n) of those digests of rows that some run holds: each run is probed through its filter, then joined."""
+        told = [B.split_by_filter(rows.select("digest", F.col("digest").alias("key")), r.filter)[1].select("digest").join(r.rows, "digest") for r in self.runs]
+        return reduce(DataFrame.unionByName, told).groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
 
     def insert(self, rows: DataFrame) -> None:
-        """Flush rows (id, digest) as one sorted run a memtable; one job and one shuffle write them all."""
-        flushed = B.stored(
-            rows.withColumn("memtable", F.pmod(F.xxhash64("id"), F.lit(self.memtables)).cast("int"))
-            .groupBy("memtable", "digest")
-            .agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-            .sortWithinPartitions("memtable", "digest"),
-            "runs",
-            self.scope,
-        )
-        self.runs += [flushed.where(F.col("memtable") == k).drop("memtable") for k in range(self.memtables)]
+        """Flush rows (id, digest) as a run; note which of its digests are hits; merge levels that are full."""
+        new = Run(rows.select("digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n")), 0, self.scope)
+        again = new.rows.where(F.col("n") > 1).select("digest")
+        self.seen.append(B.stored((again.unionByName(self.find(new.rows).select("digest")) if self.runs else again).distinct(), "hits", self.scope))
+        self.runs.append(new)
+        while len(own := [r for r in self.runs if r.level == self.runs[-1].level]) >= FAN_IN:
+            self._merge(own)
+
+    def _merge(self, runs: list[Run]) -> None:
+        merged = Run(reduce(DataFrame.unionByName, [r.rows for r in runs]), max(r.level for r in runs) + 1, self.scope)
+        self.runs = [r for r in self.runs if r not in runs] + [merged]
 
     def compact(self) -> DataFrame:
-        """Merge runs FAN_IN at a time, level by level, into one: smallest identifier and number of rows of each digest."""
-        level = self.runs
-        while len(level) > 1:
-            level = [reduce(DataFrame.unionByName, level[k : k + FAN_IN]).groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n")) for k in range(0, len(level), FAN_IN)]
-        self.runs = [B.stored(level[0].sortWithinPartitions("digest"), "index", self.scope)]
-        return self.runs[0]
+        """The one run that is left when all are merged: smallest identifier and number of rows of each digest."""
+        if len(self.runs) > 1:
+            self._merge(self.runs)
+        return self.runs[0].rows
+
+    def hits(self) -> DataFrame:
+        """(digest): digests of more than one row."""
+        return reduce(DataFrame.unionByName, self.seen).distinct()
 
-    def index(self) -> DataFrame:
-        return self.runs[0] if len(self.runs) == 1 else self.compact()
 
-    def repeated_filter(self) -> DataFrame:
-        """Bitmaps of fixed size over the digests that more than one row has."""
-        return B.make_filter(self.index().where(F.col("n") > 1), F.col("digest"))
+def build(rows: DataFrame, batches: int = BATCHES, scope: str = "op") -> MergeIndex:
+    """An index of rows (id, digest), inserted batch by batch."""
+    lsm = MergeIndex(scope)
+    for k in range(batches):
+        lsm.insert(rows.where(F.pmod(F.xxhash64("id", "digest"), F.lit(batches)) == k))
+    return lsm
 
 
-def _with_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    norm = docs.select(F.col(id_col).cast("long").alias("id"), B.normalized(B.text_of(text_col)).alias("norm"))
-    return norm.withColumn("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
+def _told(rows: DataFrame, lsm: MergeIndex) -> DataFrame:
+    """rows (id, digest) with keep_id and n."""
+    return B.lookup(rows, lsm.compact(), "digest", "n", rows.count())
 
 
-def verify(docs: DataFrame, index: MergeIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of hits whose texts are not all the same bytes: (digest). Empty unless SHA-256 collides.
+def verify(docs: DataFrame, told: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Digests of hits whose texts are not all the same bytes: (digest). Empty unless SHA-256 collides. told: rows of hits (id).
 
-    Within a digest the smallest and the largest text are compared; both are aggregated on the map side, so a group of any
-    size sends one row a task."""
-    hits = B.split_by_filter(_with_text(docs, id_col, text_col), F.col("digest"), index.repeated_filter()).where("_maybe")
-    return hits.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where(F.col("a") != F.col("b")).select("digest")
+    Only texts whose identifier passes the filter of the hits' are normalised again. Within a digest the smallest and the largest text
+    are compared; both are aggregated on the map side, so a group of any size sends one row a task."""
+    rows = docs.select(F.col(id_col).cast("long").alias("key"), B.text_of(text_col).alias("text"))
+    hits = B.split_by_filter(rows, B.make_filter(told, F.col("id")))[1].select(B.normalized(F.col("text")).alias("norm"))
+    return hits.groupBy(_digest(F.col("norm")).alias("digest")).agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where(F.col("a") != F.col("b")).select("digest")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtables: int = 4) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """One row per document: id_col, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
     rows = B.stored(digests(docs, id_col, text_col), "digests")
-    lsm = MergeIndex(spark, memtables)
-    lsm.insert(rows)
-    index = lsm.compact()
-    total = rows.count()
-    bad = B.stored(verify(docs, lsm, id_col, text_col), "unequal")
-    found = B.lookup(rows, index, "digest", "n", total)
+    lsm = build(rows, batches)
+    found = _told(rows, lsm)
+    bad = B.stored(verify(docs, rows.join(lsm.hits(), "digest", "left_semi"), id_col, text_col), "unequal")
     if not bad.isEmpty():  # digests that collide: their rows are grouped by the text itself
-        odd = _with_text(docs, id_col, text_col).join(bad, "digest", "left_semi")
+        norm = docs.select(F.col(id_col).cast("long").alias("id"), B.normalized(B.text_of(text_col)).alias("norm")).withColumn("digest", _digest(F.col("norm")))
+        odd = norm.join(bad, "digest", "left_semi")
         exact = odd.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
         found = found.join(bad, "digest", "left_anti").unionByName(odd.join(exact, ["digest", "norm"]).drop("norm"))
     return found.select(
@@ -97,20 +118,30 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtables: int = 4) -> DataFrame:
-    """docs without the copies, columns as they were. Rows whose digest is not in the filter pass straight through; only hits are looked up."""
-    spark, columns = docs.sparkSession, docs.columns
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
+    """docs without the copies, columns as they were.
+
+    Copies are known by identifier, so texts are digested once. Rows without identifier, rows that share one and rows of colliding
+    digests, usually none, are decided by their text instead."""
     rows = B.stored(digests(docs, id_col, text_col), "digests")
-    lsm = MergeIndex(spark, memtables)
-    lsm.insert(rows)
-    index, total = lsm.compact(), rows.count()
-    bad = B.stored(verify(docs, lsm, id_col, text_col), "unequal")
-    own = docs.withColumn("_digest", F.unhex(F.sha2(B.normalized(B.text_of(text_col)).cast("binary"), 256)))
-    told = B.split_by_filter(own, F.col("_digest"), lsm.repeated_filter())
-    single, hits = told.where(~F.col("_maybe")), told.where("_maybe")
-    if not bad.isEmpty():
-        hits = hits.join(bad.withColumnRenamed("digest", "_digest"), "_digest", "left_anti")
-        single = single.unionByName(told.join(bad.withColumnRenamed("digest", "_digest"), "_digest", "left_semi"))  # never lose a text that only shares a digest
-    named = index.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"), F.col("n").alias("_n"))
-    first = B.lookup(hits, named, "_digest", "_n", total, "inner").where(F.col(id_col).cast("long").eqNullSafe(F.col("_keep"))).dropDuplicates(["_digest"])
-    return single.select(*columns).unionByName(first.select(*columns))
+    lsm = build(rows, batches)
+    told = B.stored(_told(rows, lsm), "told")
+    repeated = told.where(F.col("n") > 1)
+    bad = B.stored(verify(docs, repeated, id_col, text_col), "unequal")
+    odd = told.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 or id is null").select("id")
+    odd = B.stored(odd.unionByName(told.join(bad, "digest", "left_semi").select("id")).distinct(), "odd")
+    gone = B.stored(repeated.where(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("key")).distinct(), "copies")
+    own = F.col(id_col).cast("long")
+    if odd.isEmpty():
+        return B.anti_rows(docs, own, gone)
+    both = gone.unionByName(odd.select(F.col("id").alias("key")))
+    left = B.anti_rows(docs.where(own.isNotNull()), own, both)
+    other = docs.where(own.isNull()).unionByName(B.semi_rows(docs, own, odd.select(F.col("id").alias("key"))))
+    other = other.select(own.alias("id"), B.normalized(B.text_of(text_col)).alias("norm"), F.struct("*").alias("row")).withColumn("digest", _digest(F.col("norm")))
+    equal = other.join(bad, "digest", "left_semi")
+    groups = equal.groupBy("norm").agg(F.min("id").alias("keep_id"))  # all rows of a colliding digest are here
+    chosen = equal.join(groups, "norm").where(F.col("id").eqNullSafe(F.col("keep_id"))).select("norm", "row")
+    plain = other.join(bad, "digest", "left_anti").select("digest", "id", "norm", "row")
+    named = told.groupBy("digest").agg(F.first("keep_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    first = B.lookup(plain, named, "digest", "n", told.count(), "inner").where(F.col("id").eqNullSafe(F.col("keep_id"))).select("norm", "row")
+    return left.unionByName(first.unionByName(chosen).dropDuplicates(["norm"]).select("row.*"))

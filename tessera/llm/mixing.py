@@ -135,9 +135,8 @@ def _cuts(rows: DataFrame, placed: DataFrame) -> DataFrame:
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs as the mix takes them: a document of size s of which t words are taken, a multiple of s, stands t / s times.
     Columns as they were; rows with the same identifier share their mean."""
-    columns = docs.columns
     told = mix(docs, id_col, **options)
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    copies = told.select(F.col(id_col).alias("_id"), times.alias("_n")).groupBy("_id").agg(F.round(F.avg("_n")).cast("int").alias("_n")).where("_n > 0")
-    joined = docs.join(copies, docs[id_col].cast("long").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*columns)
+    copies = told.select(F.col(id_col).alias("key"), times.alias("n")).groupBy("key").agg(F.round(F.avg("n")).cast("int").alias("n")).where("n > 0")
+    rows, own = B.keyed(docs, F.col(id_col).cast("long")), copies.withColumnRenamed("key", "own")
+    return rows.join(own, F.col("key").eqNullSafe(F.col("own"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")

@@ -179,9 +179,8 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(cls, items): full sets of the classes wanted (id, cls), from one document each. Only texts that pass a bounded filter move."""
-    rows = _rows(docs, id_col, text_col).where("id is not null")
-    filt = B.make_filter(wanted, F.col("id"))
-    some = B.split_by_filter(rows, F.col("id"), filt).where("_maybe").drop("_maybe").join(wanted, "id")
+    rows = _rows(docs, id_col, text_col).where("id is not null").withColumnRenamed("id", "key")
+    some = B.split_by_filter(rows, B.make_filter(wanted, F.col("id")))[1].join(wanted.withColumnRenamed("id", "key"), "key")
 
     def run(batches):
         for batch in batches:
@@ -283,5 +282,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows of one identifier stay or go together."""
     told = near_groups(docs, id_col, text_col)
-    gone = B.stored(told.groupBy(F.col(id_col).alias("_id")).agg(F.max("kept").alias("kept")).where("not kept").select("_id"), "dropped")
-    return B.anti_by_id(docs.withColumn("_id", F.col(id_col).cast("long")), gone, "_id").select(*docs.columns)
+    gone = B.stored(told.groupBy(F.col(id_col).alias("key")).agg(F.max("kept").alias("kept")).where("not kept").select("key"), "dropped")
+    return B.anti_rows(docs, F.col(id_col).cast("long"), gone)

@@ -197,11 +197,11 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end: int = 0) -> tuple[np.ndar
     return np.insert(ids, np.cumsum(counts), end).astype(np.uint32, copy=False), counts + 1
 
 
-def slices(texts: pa.Array, limit: int = 4_000_000):
-    """Ranges of rows of about limit bytes, so that what a worker holds does not grow with the batch."""
+def slices(texts: pa.Array, limit: int = 4_000_000, rows: int = 1 << 30):
+    """Ranges of rows of about limit bytes, at most so many rows, so that what a worker holds does not grow with the batch."""
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
     start = 0
     while start < len(texts):
-        end = int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + limit)) + 1
-        yield start, min(end, len(texts))
+        end = min(int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + limit)) + 1, start + rows, len(texts))
+        yield start, end
         start = end

@@ -12,7 +12,10 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -343,17 +346,38 @@ def fold(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def base_places(joined: bytes) -> list[tuple[int, str]]:
-    """(word, label) of each place where a base phrase's words stand one after another. joined: words between single spaces, and one at both ends."""
+def spaces_of(joined: bytes) -> np.ndarray:
+    """Where the spaces of joined are: word k stands after space k. joined: words between single spaces, and one at both ends."""
+    return np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+
+
+def base_places(joined: bytes, spaces: np.ndarray) -> list[tuple[int, str]]:
+    """(word, label) of each place where a base phrase's words stand one after another."""
     found = []
     for phrase, label in BASE:
         needle, at = b" " + phrase + b" ", -1
         while (at := joined.find(needle, at + 1)) >= 0:
-            found.append((joined.count(b" ", 0, at), label))
+            found.append((int(np.searchsorted(spaces, at)), label))
     return found
 
 
-def detections(words: list[bytes], joined: bytes) -> list[tuple[int, int, str, int, float]]:
+def outermost(found: list[tuple]) -> list[tuple]:
+    """found (first word, word after the last, label, priority, weight, rule) without those whose words lie within those of one of higher
+    priority, or of equal priority and longer or, if as long, of an earlier rule. One sweep by first word for each priority."""
+    kept: list[tuple] = []
+    for priority in sorted({d[3] for d in found}, reverse=True):
+        kept.sort(key=lambda d: d[0])
+        starts, reach, far, new = [d[0] for d in kept], list(accumulate((d[1] for d in kept), max)), -1, []
+        for d in sorted((d for d in found if d[3] == priority), key=lambda d: (d[0], -d[1], d[5])):
+            k = bisect_right(starts, d[0])
+            if d[1] > max(far, reach[k - 1] if k else -1):
+                far = d[1]
+                new.append(d)
+        kept += new
+    return kept
+
+
+def detections(words: list[bytes], joined: bytes, spaces: np.ndarray) -> list[tuple[int, int, str, int, float]]:
     """(first word, word after the last, label, priority, weight) of the rules, without those that lie within one of higher or equal priority."""
     there = _ANY.intersection(words)
     found = []
@@ -361,13 +385,9 @@ def detections(words: list[bytes], joined: bytes) -> list[tuple[int, int, str, i
         for k, r in enumerate(RULES):
             if r.gate <= there and (not r.some or not r.some.isdisjoint(there)):
                 for m in r.pattern.finditer(joined):
-                    a = joined.count(b" ", 0, m.start()) - 1
-                    found.append((a, a + joined.count(b" ", m.start(), m.end()) + 1, r.label, r.priority, r.weight, k))
-    kept: list = []
-    for d in sorted(found, key=lambda d: (-d[3], d[0] - d[1], d[0], d[5])):
-        if not any(x[0] <= d[0] and d[1] <= x[1] for x in kept):
-            kept.append(d)
-    return sorted(d[:5] for d in kept)
+                    a, b = np.searchsorted(spaces, m.span()).tolist()
+                    found.append((a - 1, b, r.label, r.priority, r.weight, k))
+    return sorted(d[:5] for d in outermost(found))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -382,7 +402,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for text in batch.column("text").slice(a, b - a).to_pylist():
                     words = fold(text)
                     joined = b" " + b" ".join(words) + b" "
-                    base, found = base_places(joined), detections(words, joined)
+                    spaces = spaces_of(joined)
+                    base, found = base_places(joined, spaces), detections(words, joined, spaces)
                     own = {label for _, label in base}
                     at = [w for w, _ in base]
                     out.append(

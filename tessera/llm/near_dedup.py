@@ -19,6 +19,7 @@ empty result; other columns are ignored (drop_near_copies passes them through).
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from itertools import chain
 from math import comb
 
@@ -207,8 +208,9 @@ def _stars(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stars, degree.select("cls")
 
 
-def _rest_pairs(stars: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b, kept = false): members of a star with unlike labels that may still link. stars: as compared, of three or more members.
+def _rest_pairs(stars: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """(a, b, kept = false): members of a star with unlike labels that may still link; None if there are none. stars: as compared, of three or
+    more members.
 
     To link, x and y must share t = 75 (|x| + |y|) / 175 - min(|x & p|, |y & p|) shingles or more outside the pivot."""
     named = stars.select(F.col("a").alias("x"), F.col("b").alias("p"), F.col("na").alias("n"), "shared", "rest").join(labels.select(F.col("node").alias("x"), "label"), "x", "left").withColumn("label", F.coalesce("label", "x"))
@@ -216,7 +218,7 @@ def _rest_pairs(stars: DataFrame, labels: DataFrame) -> DataFrame:
     of = B.stored(of, "open")
     total = of.agg(F.sum("size")).first()[0]
     if not total:
-        return stars.select("a", "b", F.lit(False).alias("kept")).where("false")
+        return None
     mine = B.lookup(named, of, "p", "size", total, "inner")
     half = lambda n, m: NUMERATOR * (n + m) / float(NUMERATOR + DENOMINATOR)
     smallest = F.greatest(F.col("least"), F.ceil(NUMERATOR * F.col("n") / DENOMINATOR))
@@ -224,21 +226,24 @@ def _rest_pairs(stars: DataFrame, labels: DataFrame) -> DataFrame:
     # The rests, as one number for pivot and shingle; those that one member alone has cannot be shared but come first in the order.
     items = mine.select("x", "p", F.explode("rest").alias("h")).select("x", "p", F.xxhash64("p", "h").alias("e"))
     counts = B.stored(items.groupBy("e").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
-    common = B.lookup(items, counts, "e", "df", counts.agg(F.sum("df")).first()[0] or 1, "inner")
+    common = B.stored(B.lookup(items, counts, "e", "df", counts.agg(F.sum("df")).first()[0] or 1, "inner"), "common")
     order, whole = Window.partitionBy("x", "p").orderBy("df", "e"), Window.partitionBy("x", "p")
     ranked = common.withColumns({"k": F.row_number().over(order) - 1, "own": F.count(F.lit(1)).over(whole)})
     posts = ranked.join(mine.drop("rest", "least", "size"), ["x", "p"]).withColumn("k", F.col("m") - F.col("own") + F.col("k")).where((F.col("t") <= 0) | (F.col("k") <= F.col("m") - F.col("t")))
-    posts = B.stored(posts.select("e", "x", "label", "n", "shared", "m", "k"), "posts")
-    other = posts.select("e", *[F.col(c).alias(c + "2") for c in ("x", "label", "n", "shared", "m", "k")])
+    posts = B.stored(posts.select("e", "df", "x", "label", "n", "shared", "m", "k"), "posts")
+    other = posts.select("e", "df", *[F.col(c).alias(c + "2") for c in ("x", "label", "n", "shared", "m", "k")])
     lacks = half(F.col("n"), F.col("n2")) - F.least("shared", "shared2") - 1e-9
-    near = posts.join(other, "e").where((F.col("x") < F.col("x2")) & (F.col("label") != F.col("label2")) & (F.least(F.col("m") - F.col("k"), F.col("m2") - F.col("k2")) >= lacks))
+    near = B.block_pairs(posts, other, "e", "df", ("x", "x2")).where((F.col("x") < F.col("x2")) & (F.col("label") != F.col("label2")) & (F.least(F.col("m") - F.col("k"), F.col("m2") - F.col("k2")) >= lacks))
+    pairs = [B.stored(near.select("x", "x2").distinct(), "near")]
     # Pairs that need to share nothing outside the pivot: one of them lies outside the pivot's component, since both reach it otherwise.
     roots = labels.select(F.col("node").alias("p"), F.col("label").alias("root"))
     far = mine.drop("rest").join(roots, "p", "left").where((F.col("label") != F.coalesce("root", "p")) & (half(F.col("n"), F.col("least")) - 1e-9 <= F.col("shared")))
-    all_ = mine.select("p", *[F.col(c).alias(c + "2") for c in ("x", "label", "n", "shared")])
-    inner = far.join(all_, "p").where((F.col("x") != F.col("x2")) & (F.col("label") != F.col("label2")) & (lacks <= 0))
-    both = near.select("x", "x2").unionByName(inner.select("x", "x2"))
-    return both.select(F.least("x", "x2").alias("a"), F.greatest("x", "x2").alias("b"), F.lit(False).alias("kept")).distinct()
+    far = B.stored(far.select("p", "size", "x", "label", "n", "shared"), "far")
+    if not far.isEmpty():
+        all_ = mine.select("p", "size", *[F.col(c).alias(c + "2") for c in ("x", "label", "n", "shared")]).join(far.select("p").distinct(), "p", "left_semi")
+        inner = B.block_pairs(far, all_, "p", "size", ("x", "x2")).where((F.col("x") != F.col("x2")) & (F.col("label") != F.col("label2")) & (lacks <= 0))
+        pairs.append(inner.select("x", "x2"))
+    return reduce(DataFrame.unionByName, pairs).select(F.least("x", "x2").alias("a"), F.greatest("x", "x2").alias("b"), F.lit(False).alias("kept")).distinct()
 
 
 def class_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,19 +252,22 @@ def class_links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", tex
     Classes without identifier have no set to compare, so they are no members, and above all no pivots, of a bucket."""
     classes = classes.where("id is not null")
     stars, met = _stars(classes)
-    wanted = met.join(classes.select("cls", "id"), "cls")
+    alive = B.stored(_alive(B.stored(stars, "pairs"), classes), "alive")
+    wanted = B.stored(met.join(classes.select("cls", "id"), "cls"), "met")
     sets = _full_sets(docs, wanted, id_col, text_col)
-    compared = B.stored(_compared(_alive(stars, classes), sets), "stars")
+    compared = B.stored(_compared(alive, sets), "stars")
     labels = components(compared.where("linked").select("a", "b"))
     pairs = _rest_pairs(compared.where("kept"), labels)
-    more = B.stored(_compared(_alive(pairs, classes), sets).where("linked").select("a", "b"), "links")
+    if pairs is None:
+        return labels
+    more = B.stored(_compared(B.stored(_alive(B.stored(pairs, "pairs"), classes), "alive"), sets).where("linked").select("a", "b"), "links")
     if more.isEmpty():
         return labels
     named = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias("l" + c))
-    joined = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    joined = B.stored(more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), "links")
     roots = components(joined)  # labels that the new links join
     both = labels.unionByName(joined.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))).groupBy("node").agg(F.min("label").alias("label"))
-    return both.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    return B.stored(both.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -107,7 +107,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     sequences apart (range << 40), so no task waits for another's totals. cache: segments that a worker remembers, for speed against memory."""
     made = tokenized(docs, id_col, text_col, vocabulary, end, cache).withColumn("row", F.monotonically_increasing_id())
     keys = ["key", "id", "start", "row"]
-    width = 2 if tokens.encoder(vocabulary).tokenizer.get_vocab_size() <= 1 << 16 else 4
     schema = f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, key long" + ", ids array<int>" * with_ids
 
     def run(batches):
@@ -133,7 +132,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
 
         for batch in batches:
             for own, key, whole, start, packed in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "n", "start", "ids"))):
-                ids = np.frombuffer(open_.decompress(packed), f"<u{width}")
+                raw = open_.decompress(packed)
+                ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * min(CHUNK, whole - start) else "<u4")
                 at = 0
                 while at < len(ids):
                     take = min(length - offset, len(ids) - at)

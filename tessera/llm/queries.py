@@ -12,7 +12,7 @@ LABELS = "labels.parquet"
 
 
 def op1_quality_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, perplexity, limit, repeats, repeat_limit, keep."""
+    """doc_id, perplexity, limit, keep."""
     return quality.classify(B.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/{LABELS}"))
 
 
@@ -28,7 +28,7 @@ def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(said(base).cast("binary"), 256).alias("base_sha256"),
         said(F.col("findings")).alias("spans"),
         said(live).alias("live_spans"),
-        F.coalesce(F.array_max(F.transform("findings", lambda s: s["owners"])), F.lit(0).cast("long")).alias("most_owners"),
+        *[F.coalesce(F.array_max(F.transform("findings", lambda s: s[c])), F.lit(0).cast("long")).alias(f"most_{c}") for c in ("owners", "repos")],
     )
 
 
@@ -70,7 +70,6 @@ QUERIES = {f.__name__: f for f in (op1_quality_kneser_ney, op2_secret_ownership,
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
 
-
 def _secret_sql() -> str:
     """Offsets are running sums of the lengths of matches and of what lies between them, as in the operator."""
     kinds = [("assign", secrets.ASSIGN, 2, 6)] + [(k, p, 1, 0) for k, p, _ in secrets.BASE_KINDS + secrets.ADDED_KINDS]
@@ -88,12 +87,12 @@ m AS ({" UNION ALL ".join(one)}),
 s AS MATERIALIZED (SELECT row, owner, repo, kind, rank, value,
   list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a,
   list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS b FROM m),
-o AS (SELECT value, count(DISTINCT owner) AS owners FROM s GROUP BY value),
+o AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM s GROUP BY value),
 f AS (SELECT row, list(kind || ':' || a || ':' || b ORDER BY a, rank) AS spans, list(kind || ':' || a || ':' || b ORDER BY a, rank) FILTER (rank < 3) AS base,
-  list(kind || ':' || a || ':' || b ORDER BY a, rank) FILTER (owners <= {secrets.EXAMPLE_OWNERS}) AS live, max(owners) AS most,
+  list(kind || ':' || a || ':' || b ORDER BY a, rank) FILTER (owners <= {secrets.EXAMPLE_OWNERS} AND repos <= {secrets.EXAMPLE_REPOS}) AS live, max(owners) AS most, max(repos) AS most_repos,
   count(*) FILTER (kind = 'assign') AS na, count(*) FILTER (kind = 'access') AS nc, count(*) FILTER (kind = 'hex') AS nh FROM s JOIN o USING (value) GROUP BY row)
 SELECT doc_id, coalesce(na, 0) AS n_assign, coalesce(nc, 0) AS n_access, coalesce(nh, 0) AS n_hex, sha256(coalesce(array_to_string(base, ','), '')) AS base_sha256,
-  coalesce(array_to_string(spans, ','), '') AS spans, coalesce(array_to_string(live, ','), '') AS live_spans, coalesce(most, 0) AS most_owners
+  coalesce(array_to_string(spans, ','), '') AS spans, coalesce(array_to_string(live, ','), '') AS live_spans, coalesce(most, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos
 FROM d LEFT JOIN f USING (row)"""
 
 

@@ -1,7 +1,9 @@
 """Secret scan with corpus-wide ownership frequency, DataFrame functions only.
 
 Patterns give candidate spans. The values of candidates are hashed and counted over the whole corpus by distinct repositories
-and distinct owners: a value that many owners have is a widely copied example, one that a single owner has is live-looking.
+and distinct owners: a value that several owners have, or that one owner has in many repositories, is a widely copied example; one that
+a single owner has in few repositories is live-looking. A corpus without repositories needs a stand-in: by default an owner (source)
+has one repository for each language.
 
 Cases: a null text counts as empty; a null owner or repository counts as one of its own; rows that repeat count as rows (the
 distinct counts do not change); overlapping kinds all stay; an empty table gives an empty result; other columns are ignored.
@@ -30,8 +32,10 @@ ADDED_KINDS = [
     ("key", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", "-----BEGIN"),
     ("url", r"\b[a-z][a-z0-9+.-]*://[^\s:/@]{1,64}:([^\s:/@]{6,128})@", "://"),
 ]
-#: A value that more owners than this have is an example.
-EXAMPLE_OWNERS = 1
+#: A value that more owners than EXAMPLE_OWNERS have, or that stands in more repositories than EXAMPLE_REPOS, is an example.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 1, 2
+#: Matches whose offsets are added up one after another; runs of so many are put together afterwards.
+RUN = 256
 #: Base kinds in the order that breaks ties of start.
 ORDER = {"assign": 0, "access": 1, "hex": 2} | {k: 3 + i for i, (k, _, _) in enumerate(ADDED_KINDS)}
 
@@ -43,22 +47,20 @@ def _spans(text, kind: str, pattern: str, gate, value_group: int, least: int = 0
     gaps = F.split(text, pattern, -1)
     found, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
     joined = F.zip_with(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), values, lambda x, v: F.struct(F.char_length(x["g"]).alias("gap"), F.char_length(x["m"]).alias("len"), v.alias("value")))
-    empty = F.lit(None).cast("array<struct<kind:string,rank:int,start:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,rank:int,start:int,end:int,value:string>>").alias("out"))
-    walked = F.aggregate(
-        joined,
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["len"]).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(F.lit(kind).alias("kind"), F.lit(ORDER[kind]).alias("rank"), (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["len"]).alias("end"), x["value"].alias("value"))
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    kind_ = "array<struct<kind:string,rank:int,start:int,end:int,value:string>>"
+    empty = F.lit(None).cast(kind_)
+
+    def step(acc, x):
+        end = acc["at"] + x["gap"] + x["len"]
+        one = F.struct(F.lit(kind).alias("kind"), F.lit(ORDER[kind]).alias("rank"), (acc["at"] + x["gap"]).alias("start"), end.alias("end"), x["value"].alias("value"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    def run(acc, part):  # appending copies what is there, so long lists are made of runs
+        own = F.aggregate(part, F.struct(acc["at"].alias("at"), F.array().cast(kind_).alias("out")), step)
+        return F.transform(F.array(own), lambda o: F.struct(o["at"].alias("at"), F.concat(acc["out"], F.array(o["out"])).alias("out")))[0]
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(joined) / RUN).cast("int")), lambda k: F.slice(joined, k * RUN + 1, RUN))
+    walked = F.flatten(F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind_}>").alias("out")), run, lambda acc: acc["out"]))
     walked = F.filter(walked, lambda s: F.char_length(s["value"]) >= least) if least else walked
     return F.coalesce(F.when(gate, walked).otherwise(empty), F.array().cast("array<struct<kind:string,rank:int,start:int,end:int,value:string>>"))
 
@@ -86,10 +88,10 @@ def ownership(spans: DataFrame) -> DataFrame:
     return by_owner.groupBy("value_hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"), F.sum("n").alias("n"))
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = "lang", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = "lang", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """One row per document: id_col and findings, array<struct<kind, start, end, value_sha256, owners, repos, live>> by start, then kind.
 
-    live: no more than example_owners owners hold the value anywhere in the corpus."""
+    live: no more than example_owners owners, and no more than example_repos repositories, hold the value anywhere in the corpus."""
     seen = B.stored(
         candidates(docs, id_col, text_col, owner_col, repo_col).withColumn(
             "spans",
@@ -104,7 +106,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told = B.lookup(flat.drop("owner", "repo"), stats, "value_hash", "n", total)
     found = told.groupBy("row").agg(
         F.sort_array(
-            F.collect_list(F.struct("start", "rank", "kind", "end", "value_sha256", "owners", "repos", (F.col("owners") <= example_owners).alias("live")))
+            F.collect_list(F.struct("start", "rank", "kind", "end", "value_sha256", "owners", "repos", ((F.col("owners") <= example_owners) & (F.col("repos") <= example_repos)).alias("live")))
         ).alias("f")
     )
     none = "array<struct<kind:string,start:int,end:int,value_sha256:string,owners:bigint,repos:bigint,live:boolean>>"

@@ -46,8 +46,9 @@ HIGH, LEAST_HELD = 0.99, 100
 PRIOR = 60
 #: Log probabilities are counted in steps of 1 / GRID for the quantiles.
 GRID = 1000
-#: N-grams are dealt to SHARDS by a hash; a group of blocks has about GROUP bytes of postings in a shard.
-SHARDS, GROUP = 32, 32 << 20
+#: N-grams are dealt to SHARDS by a hash. A group of blocks has about GROUP bytes of text for each shard, but at least COPIES times as many as the
+#: shard's probabilities, which are repeated for every group: so they never move more bytes than a part of the postings.
+SHARDS, GROUP, COPIES = 32, 8 << 20, 4
 #: A block holds about BLOCK bytes of text, at most ROWS documents; a longer document is a block of its own, sorted PIECE symbols at a time.
 BLOCK, ROWS, PIECE = 6_000_000, 8192, 1 << 22
 #: Rows of a packed table of probabilities.
@@ -297,7 +298,8 @@ def document_costs(rows: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -
     spark = rows.sparkSession
     with B.small_batches(spark):
         table = B.stored(_packed(smoothed(_distinct_grams(rows), levels)), "scores")
-    groups = max(1, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (SHARDS * GROUP))
+    size = table.agg(F.sum(F.octet_length("grams") + F.octet_length("costs"))).first()[0] or 0
+    groups = max(1, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // max(SHARDS * GROUP, COPIES * size))
     kinds = {"block": pa.int64(), "sums": pa.binary()} | _INFO
     names, info = list(kinds), list(_INFO)
     nothing = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in _INFO_SQL.split(", ")]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.model import AXES, Grid
+from tessera.operators.ordered import running
 
 #: Fixed value: results depend on it.
 BINS = 65537
@@ -101,12 +102,10 @@ def otsu(hist: DataFrame, bins: int = BINS) -> DataFrame:
 
 
 def exact_percentile(df: DataFrame, value: str, percent: float) -> DataFrame:
-    """The floor(percent / 100 * n)-th smallest value, from 0, without interpolation. Counts by value find it without sorting all rows in one task."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    n = F.sum("n").over(Window.partitionBy())
-    run = F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    k = F.least(F.floor(F.lit(percent / 100.0) * F.col("all")), F.col("all") - 1)
-    return counts.withColumns({"run": run, "all": n}).where(F.col("run") > k).agg(F.min(value).alias("value"))
+    """The floor(percent / 100 * n)-th smallest value, from 0, without interpolation. Counts by value are summed range by range."""
+    counts = df.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    k = F.least(F.floor(F.lit(percent / 100.0) * F.col("all_n")), F.col("all_n") - 1)
+    return running(counts, ["value"], ["n"]).where(F.col("run_n") > k).agg(F.min("value").alias("value"))
 
 
 def majority(df: DataFrame, keys: list[str], label: str) -> DataFrame:
@@ -136,6 +135,11 @@ def head(df: DataFrame, column: str, n: int, tie: str) -> DataFrame:
     return ordered if n < 0 else ordered.limit(n)
 
 
+def positive_prefix(df: DataFrame, column: str) -> DataFrame:
+    """The rows before the first value that is not positive, values falling: all positive ones, so no sort is needed to tell them."""
+    return df.where(F.col(column) > 0)
+
+
 def concatenate_columns(a: DataFrame, b: DataFrame, row: str = "_row") -> DataFrame:
     """Rows side by side by row number; both must have as many."""
     if a.count() != b.count():
@@ -151,8 +155,8 @@ def concatenate_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def random_subset(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """Exactly n rows, chosen by a seeded hash of key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """Exactly n rows, those whose seeded hash of key comes first."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 def kfold(df: DataFrame, row: str, k: int) -> DataFrame:

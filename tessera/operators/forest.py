@@ -6,22 +6,26 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera.checkpoints import stored
 from tessera.functions import log_factorial_ratio
+from tessera.operators.agg import kfold
+from tessera.operators.ordered import running
 
 NODES = "tree int, node int, left int, right int, var int, th double, label int, gain double"
 
 
 def _cuts(df: DataFrame, feature: str, labels: list[int]) -> DataFrame:
-    """(k, lo, hi, l0.., r0..): class counts left and right of each place between unlike values; k rows lie to the left.
+    """(f, next, k, all, l0.., r0..): class counts left and right of each place between unlike values; k rows lie to the left.
 
-    Rows of a value are counted first, so windows run over distinct values."""
+    Rows of a value are counted first; running sums over the distinct values go range by range."""
     counts = df.groupBy(F.col(feature).alias("f")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("label") == c).alias(f"n{c}") for c in labels])
-    w, every = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    out = counts.withColumns({"k": F.sum("n").over(w), "all": F.sum("n").over(every), "next": F.lead("f").over(Window.orderBy("f"))} | {f"l{c}": F.sum(f"n{c}").over(w) for c in labels} | {f"t{c}": F.sum(f"n{c}").over(every) for c in labels})
-    return out.where("next is not null").withColumns({f"r{c}": F.col(f"t{c}") - F.col(f"l{c}") for c in labels})
+    own = running(counts, ["f"], ["n", *[f"n{c}" for c in labels]], "f").where("after is not null")
+    return own.select("f", F.col("after").alias("next"), F.col("run_n").alias("k"), F.col("all_n").alias("all"), *[F.col(f"run_n{c}").alias(f"l{c}") for c in labels], *[(F.col(f"all_n{c}") - F.col(f"run_n{c}")).alias(f"r{c}") for c in labels])
 
 
 def _sum(cols: list[Column]) -> Column:
@@ -121,36 +125,64 @@ def fit_binned(df: DataFrame, features: list[str], trees: int = 100, depth: int
     return RandomForestClassifier(featuresCol="_v", labelCol="label", numTrees=trees, maxDepth=depth, subsamplingRate=0.632, bootstrap=False, featureSubsetStrategy="sqrt", seed=seed).fit(rows)
 
 
-def _depth(nodes: DataFrame) -> int:
-    """Longest path of a node table; the table is the model, bounded by the check in predict."""
-    best, depth = 0, {}
-    for r in nodes.select("tree", "node", "left", "right").orderBy("tree", "node").toLocalIterator():
-        d = depth.pop((r["tree"], r["node"]), 0)
-        best = max(best, d)
-        if r["left"]:
-            depth[r["tree"], r["left"]] = depth[r["tree"], r["right"]] = d + 1
-    return max(1, best)
+#: Nodes that are applied at once; larger models are applied some trees at a time.
+NODES_AT_ONCE = 5_000_000
+
+
+def _votes(df: DataFrame, nodes: DataFrame, features: list[str], out: str) -> DataFrame:
+    """df with out, the labels that the trees of nodes give a row. Nodes are shipped as arrays; rows are walked down a level at a time, all
+    rows of a batch at once."""
+    table = nodes.select("tree", "node", "left", "right", "var", "th", "label").orderBy("tree", "node").toArrow()  # at most NODES_AT_ONCE rows
+    tree, node = (table.column(c).to_numpy() for c in ("tree", "node"))
+    starts = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]])) if len(tree) else np.zeros(0, np.int64)
+    place = np.repeat(starts, np.diff(np.append(starts, len(tree))))
+    left, right = (np.where(table.column("left").to_numpy() == 0, np.arange(len(tree)), place + table.column(c).to_numpy()) for c in ("left", "right"))
+    if len(tree) and not np.array_equal(node, np.arange(len(tree)) - place):
+        raise ValueError("a tree's nodes are numbered from 0 without gaps")
+    shipped = df.sparkSession.sparkContext.broadcast((starts, left, right, table.column("var").to_numpy(), table.column("th").to_numpy(), table.column("label").to_numpy()))
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+    names = schema.names
+
+    def run(batches):
+        starts, left, right, var, th, label = shipped.value
+        for batch in batches:
+            x = np.stack([batch.column(f).cast(pa.float64()).to_numpy(zero_copy_only=False) for f in features], axis=1)
+            got = np.empty((batch.num_rows, len(starts)), np.int32)
+            for k, start in enumerate(starts):
+                at, rows = np.full(batch.num_rows, start), np.arange(batch.num_rows)
+                while len(rows):
+                    here = at[rows]
+                    new = np.where(x[rows, var[here]] < th[here], left[here], right[here])
+                    at[rows], rows = new, rows[new != here]
+                got[:, k] = label[at]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(starts)), pa.array(got.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names)
+
+    return df.mapInArrow(run, schema)
 
 
 def predict(df: DataFrame, nodes: DataFrame, features: list[str]) -> DataFrame:
-    """df with prediction: majority of the trees, the smallest label among equals.
-
-    Rows and trees meet once; a row then walks a tree's nodes, held as one array a tree, by an array function, so no shuffle follows a
-    level. The model is broadcast: it has a row a tree, and its size is checked by the number of nodes."""
-    if nodes.count() > 5_000_000:
-        raise ValueError("a model of this size should be applied tree by tree")
-    packed = nodes.groupBy("tree").agg(F.sort_array(F.collect_list(F.struct("node", "left", "right", "var", "th", "label"))).alias("nodes"), F.max("node").alias("last"))
-    values = F.array(*[F.col(f).cast("double") for f in features])
-    met = df.select("*", values.alias("_x")).crossJoin(F.broadcast(packed))
-    # Children have larger numbers than their parent, so a path's length is known from parents' depths.
-    steps = _depth(nodes)
-    step = lambda at: F.element_at("nodes", at + 1)
-    walk = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)), F.lit(0), lambda at, _: F.when(step(at)["left"] == 0, at).otherwise(F.when(F.element_at("_x", step(at)["var"] + 1) < step(at)["th"], step(at)["left"]).otherwise(step(at)["right"]))
-    )
-    voted = met.withColumn("vote", step(walk)["label"]).groupBy("id", "vote").agg(F.count(F.lit(1)).alias("n"))
-    best = voted.groupBy("id").agg(F.max_by("vote", F.struct(F.col("n"), -F.col("vote"))).alias("prediction"))
-    return df.join(best, "id")
+    """df with prediction: majority of the trees, the smallest label among equals. No shuffle: votes are counted within the row.
+
+    The model is shipped to the tasks if it has at most NODES_AT_ONCE nodes; a larger one some trees at a time, each pass adding its votes to
+    the stored rows. A single tree must not exceed the bound."""
+    sizes = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).orderBy("tree").collect()  # one row a tree
+    groups, size = [[]], 0
+    for r in sizes:
+        if r["n"] > NODES_AT_ONCE:
+            raise ValueError("a tree of this size cannot be shipped to a task")
+        if size + r["n"] > NODES_AT_ONCE:
+            groups, size = [*groups, []], 0
+        groups[-1].append(r["tree"])
+        size += r["n"]
+    rows, votes = df, []
+    for k, trees in enumerate(groups):
+        some = nodes if len(groups) == 1 else nodes.where(F.col("tree").between(trees[0], trees[-1]))
+        rows = _votes(rows if not k else stored(rows), some, features, f"votes_{k}")
+        votes.append(F.col(f"votes_{k}"))
+    every = F.concat(*votes)
+    best = F.array_max(F.transform(F.array_distinct(every), lambda v: F.struct(F.size(F.filter(every, lambda x: x == v)).alias("n"), (-v).alias("label"))))
+    return rows.withColumn("prediction", -best["label"]).select(*df.columns, "prediction")
 
 
 def tree_expression(nodes: list[tuple], features: list[str], at: int = 0) -> Column:
@@ -181,4 +213,14 @@ def confusion(df: DataFrame) -> DataFrame:
 def feature_ranks(df: DataFrame, features: list[str]) -> DataFrame:
     """(id, feature, rank): place of each row in each feature's order, from 0, ties by identifier."""
     long = df.select("id", F.explode(F.create_map(*[x for f in features for x in (F.lit(f), F.col(f).cast("double"))])).alias("feature", "value"))
-    return long.withColumn("rank", F.row_number().over(Window.partitionBy("feature").orderBy("value", "id")) - 1).select("id", "feature", "rank")
+    got = running(long.withColumn("one", F.lit(1)), ["feature", "value", "id"], ["one"])  # every row has every feature
+    return got.select("id", "feature", F.pmod(F.col("run_one") - 1, F.col("all_one") / len(features)).cast("int").alias("rank"))
+
+
+def cross_validate(df: DataFrame, features: list[str], folds: int = 5, **options) -> DataFrame:
+    """(fold, n, accuracy): each fold of identifiers predicted by a forest that is fitted on the others."""
+    rows, out = kfold(df, "id", folds), []
+    for k in range(folds):
+        own = predict(rows.where(F.col("fold") == k), stored(fit(rows.where(F.col("fold") != k), features, **options)), features)
+        out.append(accuracy(own).select(F.lit(k).alias("fold"), "n", "accuracy"))
+    return reduce(DataFrame.unionByName, out)

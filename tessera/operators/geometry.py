@@ -129,26 +129,23 @@ def divide(n: int, most: int) -> list[tuple[int, int]]:
     return [(a, b - 1) for a, b in zip(edges, edges[1:])]
 
 
-def tile_catalogue(df: DataFrame, grid: Grid, most: int, overlap: int) -> DataFrame:
-    """(tile, cx0, cx1, cy0, cy1: core; hx0 .. hy1: with the halo, clipped). As many rows as tiles: planning data."""
-    rows = []
-    for y0, y1 in divide(grid.ny, most):
-        for x0, x1 in divide(grid.nx, most):
-            rows.append((len(rows), x0, x1, y0, y1, max(0, x0 - overlap), min(grid.nx - 1, x1 + overlap), max(0, y0 - overlap), min(grid.ny - 1, y1 + overlap)))
-    return df.sparkSession.createDataFrame(rows, "tile int, cx0 int, cx1 int, cy0 int, cy1 int, hx0 int, hx1 int, hy0 int, hy1 int")
-
-
 def split_tiles(df: DataFrame, grid: Grid, most: int, overlap: int) -> DataFrame:
-    """Voxels with each tile whose halo holds them and their merge weight there: 1 in the core, falling linearly through the halo."""
-    tiles = tile_catalogue(df, grid, most, overlap)
-    hit = df.join(F.broadcast(tiles), F.col("x").between(F.col("hx0"), F.col("hx1")) & F.col("y").between(F.col("hy0"), F.col("hy1")))
+    """Voxels with each tile whose halo holds them and their merge weight there: 1 in the core, falling linearly through the halo.
 
-    def ramp(a: str) -> Column:
-        p, c0, c1 = F.col(a), F.col(f"c{a}0"), F.col(f"c{a}1")
-        out = F.greatest(c0 - p, p - c1, F.lit(0))
-        return 1.0 - out / F.lit(float(overlap + 1))
+    Tiles of an axis begin at k * n / count, rounded as divide() does, so a voxel finds the few whose halo may hold it by arithmetic."""
+    nx, ny = len(divide(grid.nx, most)), len(divide(grid.ny, most))
 
-    return hit.select("tile", *AXES, "v", F.least(ramp("x"), ramp("y")).alias("w"))
+    def candidates(a: str, n: int, count: int) -> Column:
+        at = lambda c: F.floor((c * count + count - 1) / n)
+        low, high = at(F.greatest(F.lit(0), F.col(a) - overlap)) - 1, at(F.least(F.lit(n - 1), F.col(a) + overlap)) + 1
+        return F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), low), F.least(F.lit(count - 1).cast("long"), high)))
+
+    hit = df.withColumn("kx", candidates("x", grid.nx, nx)).withColumn("ky", candidates("y", grid.ny, ny))
+    edge = lambda k, n, count: F.bround(k * n / count).cast("int")
+    cores = {"cx0": edge(F.col("kx"), grid.nx, nx), "cx1": edge(F.col("kx") + 1, grid.nx, nx) - 1, "cy0": edge(F.col("ky"), grid.ny, ny), "cy1": edge(F.col("ky") + 1, grid.ny, ny) - 1}
+    out = lambda a: F.greatest(F.col(f"c{a}0") - F.col(a), F.col(a) - F.col(f"c{a}1"), F.lit(0))
+    hit = hit.withColumns(cores).withColumns({"ox": out("x"), "oy": out("y")}).where((F.col("ox") <= overlap) & (F.col("oy") <= overlap))
+    return hit.select((F.col("ky") * nx + F.col("kx")).cast("int").alias("tile"), *AXES, "v", (1.0 - F.greatest("ox", "oy") / F.lit(float(overlap + 1))).alias("w"))
 
 
 def merge_tiles(tiles: DataFrame) -> DataFrame:
@@ -179,6 +176,26 @@ def trim_margin(df: DataFrame, axis: str, share: float = 0.001) -> DataFrame:
     return df.crossJoin(F.broadcast(keep)).where(F.col(axis).between(F.col("a"), F.col("b"))).withColumn(axis, (F.col(axis) - F.col("a")).cast("int")).select(*AXES, "v")
 
 
+def centre_z(df: DataFrame, grid: Grid) -> tuple[DataFrame, Grid]:
+    """A kernel cut along z so that its brightest plane is the middle one; planes that have no partner on the other side go."""
+    top = df.groupBy("z").agg(F.max("v").alias("m")).agg(F.max_by("z", F.struct("m", -F.col("z"))).alias("z")).first()["z"]
+    half = min(top, grid.nz - 1 - top)
+    return df.where(F.col("z").between(top - half, top + half)).withColumn("z", (F.col("z") - (top - half)).cast("int")), Grid(grid.nx, grid.ny, 2 * half + 1)
+
+
+def crop_by_image(df: DataFrame, grid: Grid, image: Grid) -> tuple[DataFrame, Grid]:
+    """A kernel cut to 2 n - 1 planes of each axis around its middle, n the image's size: what lies farther out reaches no pair of the image's
+    voxels, so nothing is lost."""
+    sizes = []
+    for a in AXES:
+        n, most = grid.size(a), 2 * image.size(a) - 1
+        if n > most:
+            first = (n - 1) // 2 - (most - 1) // 2
+            df = df.where(F.col(a).between(first, first + most - 1)).withColumn(a, (F.col(a) - first).cast("int"))
+        sizes.append(min(n, most))
+    return df, Grid(*sizes)
+
+
 def make_odd(df: DataFrame, grid: Grid) -> tuple[DataFrame, Grid]:
     """Even dimensions grow by one plane of zeros."""
     wide = Grid(*[n + 1 - n % 2 for n in (grid.nx, grid.ny, grid.nz)])

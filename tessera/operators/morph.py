@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.checkpoints import stored
 from tessera.model import AXES, Grid, others
+from tessera.operators import dense
+from tessera.operators.ordered import running
 
 
 def neighbour_max(df: DataFrame, deep: bool) -> DataFrame:
@@ -30,10 +32,8 @@ def neighbour_max(df: DataFrame, deep: bool) -> DataFrame:
 
 def local_maxima(df: DataFrame, grid: Grid) -> DataFrame:
     """Interior voxels strictly above all 26 neighbours and 0; in planes strictly above their 8 neighbours."""
-    deep = grid.nz > 1
-    inner = reduce(lambda a, b: a & b, [F.col(a).between(1, grid.size(a) - 2) for a in ("xyz" if deep else "xy")])
-    above = F.col("v") > (F.greatest(F.col("m"), F.lit(0.0)) if deep else F.col("m"))
-    return neighbour_max(df, deep).where(inner & above).select(*AXES, "v")
+    reach = (1, 1, 1 if grid.nz > 1 else 0)
+    return dense.over_blocks(df, grid, lambda v, first: {"v": v, None: dense.maxima(v, first, grid)}, reach, "v double")
 
 
 def _vertex(a: Column, b: Column, c: Column, ya: Column, yb: Column, yc: Column) -> Column:
@@ -92,8 +92,7 @@ def components(mask: DataFrame, grid: Grid) -> DataFrame:
         if new.where("label <> was").isEmpty():
             break
     named = pixels.join(labels, pixels["run"] == labels["node"]).select("x", "y", F.col("label").alias("root"))
-    # Ranks among the regions: one row a region.
-    roots = named.select("root").distinct().withColumn("label", F.row_number().over(Window.orderBy("root")))
+    roots = running(named.select("root").distinct().withColumn("one", F.lit(1)), ["root"], ["one"]).select("root", F.col("run_one").cast("int").alias("label"))
     return named.join(roots, "root").select("x", "y", "label")
 
 

@@ -58,8 +58,8 @@ def _gauss3(v: np.ndarray, sigma: float) -> np.ndarray:
     return v
 
 
-def deconvolve(image: np.ndarray, kernel: np.ndarray, o: Options = Options()) -> tuple[np.ndarray, int, list[float]]:
-    """(result, iterations made, mean squared forward error before each)."""
+def deconvolve(image: np.ndarray, kernel: np.ndarray, o: Options = Options(), each=lambda: None) -> tuple[np.ndarray, int, list[float]]:
+    """(result, iterations made, mean squared forward error before each). each is called when an error has been computed."""
     if o.method == "identity":
         return image.astype(float), 0, []
     image = image.astype(float)
@@ -98,6 +98,7 @@ def deconvolve(image: np.ndarray, kernel: np.ndarray, o: Options = Options()) ->
             p = np.maximum(x + alpha * (x - last), o.floor)
         y = forward(p)
         errors.append(float(((y[own] - image) ** 2).mean()))
+        each()
         if len(errors) > 1 and (o.stop == "relative" and abs(errors[-1] - errors[-2]) / errors[-1] < o.tolerance or o.stop == "absolute" and errors[-1] < o.tolerance):
             break
         ratio = np.full(shape, 1e-6 if o.method == "rl" else 0.0)

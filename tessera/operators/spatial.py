@@ -140,7 +140,7 @@ def mode_search(points: DataFrame, sigma: float, rounds: int = 100) -> tuple[flo
         w = F.exp(-d2 / (2 * sigma * sigma))
         r = near.where(d2 < (SHIFT_REACH * sigma) ** 2).agg(F.sum(w).alias("w"), *[F.sum(w * F.col(a)).alias(a) for a in AXES]).first()
         new = tuple(r[a] / r["w"] for a in AXES) if r["w"] and r["w"] >= 1e-9 else q
-        if max(abs(a - b) for a, b in zip(new, q)) < 1e-12:
+        if max(abs(a - b) for a, b in zip(new, q)) < 1e-7 * sigma:
             break
         q = new
     return q

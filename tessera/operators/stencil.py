@@ -1,7 +1,8 @@
 """Stencils: separable convolution with boundary modes and the filters that are built of it.
 
 A pass along an axis gathers each line once (one shuffle; a line is as long as the axis), computes all its values by array
-functions and deals them out again. Lines must be dense: see Grid.fill.
+functions and deals them out again. Lines must be dense: see Grid.fill. Filters of several passes work on dense blocks with halos instead
+(tessera.operators.dense): one shuffle for all passes.
 """
 
 from __future__ import annotations
@@ -9,10 +10,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.model import AXES, Grid, others
+from tessera.operators import dense
 
 MODES = ("valid", "mirror", "periodic", "weighted", "zeros", "normalized")
 
@@ -94,92 +97,112 @@ def gaussian_d2(sigma: float) -> list[float]:
     return [(i * i - sigma**2) / sigma**4 * t / sum(g) for i, t in zip(range(-r, r + 1), g)]
 
 
+def _reach(**taps: list[float]) -> tuple[int, int, int]:
+    return tuple(len(taps[a]) // 2 if a in taps else 0 for a in AXES)
+
+
 def smooth(df: DataFrame, grid: Grid, lateral: float, axial: float | None = None) -> DataFrame:
     """Gaussian smoothing, weights at borders normalised; sigma of 0 or less skips an axis, z only with more than one plane."""
     axial = lateral if axial is None else axial
     taps = {a: gaussian(lateral) for a in "xy" if lateral > 0}
     if axial > 0 and grid.nz > 1:
         taps["z"] = gaussian(axial, 2 * grid.nz - 1)
-    return separable(df, taps, "normalized")
-
 
-def _combined(parts: list[DataFrame], **expressions: Column) -> DataFrame:
-    """Branches over the same voxels as columns p0, p1, ... of one table (a single aggregation), then expressions of them."""
-    tagged = reduce(DataFrame.unionByName, [p.withColumn("part", F.lit(k)) for k, p in enumerate(parts)])
-    wide = tagged.groupBy(*AXES).agg(*[F.max(F.when(F.col("part") == k, F.col("v"))).alias(f"p{k}") for k in range(len(parts))])
-    return wide.select(*AXES, *[c.alias(k) for k, c in expressions.items()])
+    def work(v, first):
+        for a, t in taps.items():
+            v = dense.correlate(v, a, t, "normalized")
+        return {"v": v}
 
+    return dense.over_blocks(df, grid, work, _reach(**taps), "v double")
 
-def laplacian_of_gaussian(df: DataFrame, grid: Grid, lateral: float, axial: float | None = None) -> DataFrame:
-    """Sum over the axes of minus the second derivative along one and the Gaussian along the others, mirrored borders.
 
-    Branches share their passes along x."""
-    axial = lateral if axial is None else axial
+def log_of_gaussian(v: np.ndarray, deep: bool, lateral: float, axial: float) -> np.ndarray:
+    """Of a block: the sum over the axes of minus the second derivative along one and the Gaussian along the others, mirrored borders."""
     g, d2 = gaussian(lateral), [-t for t in gaussian_d2(lateral)]
-    gx, dx = convolve(df, "x", g), convolve(df, "x", d2)
-    xy, yx = convolve(dx, "y", g), convolve(gx, "y", d2)
-    if grid.nz == 1:
-        return _combined([xy, yx], v=F.col("p0") + F.col("p1"))
+    gx, dx = dense.correlate(v, "x", g), dense.correlate(v, "x", d2)
+    flat = dense.correlate(dx, "y", g) + dense.correlate(gx, "y", d2)
+    if not deep:
+        return flat
     gz, dz = gaussian(axial), [-t for t in gaussian_d2(axial)]
-    flat = convolve(_combined([xy, yx], v=F.col("p0") + F.col("p1")), "z", gz)
-    deep = convolve(convolve(gx, "y", g), "z", dz)
-    return _combined([flat, deep], v=F.col("p0") + F.col("p1"))
+    return dense.correlate(flat, "z", gz) + dense.correlate(dense.correlate(gx, "y", g), "z", dz)
+
+
+def _log_reach(grid: Grid, lateral: float, axial: float) -> tuple[int, int, int]:
+    return math.ceil(4 * lateral), math.ceil(4 * lateral), math.ceil(4 * axial) if grid.nz > 1 else 0
+
+
+def laplacian_of_gaussian(df: DataFrame, grid: Grid, lateral: float, axial: float | None = None) -> DataFrame:
+    """See log_of_gaussian; one shuffle, to blocks."""
+    axial = lateral if axial is None else axial
+    return dense.over_blocks(df, grid, lambda v, first: {"v": log_of_gaussian(v, grid.nz > 1, lateral, axial)}, _log_reach(grid, lateral, axial), "v double")
 
 
-def partial(df: DataFrame, axis: str, sigma: float, order: int = 1) -> DataFrame:
+def log_maxima(df: DataFrame, grid: Grid, lateral: float, axial: float) -> DataFrame:
+    """(x, y, z, v): the strict local maxima of the Laplacian of Gaussian; only they leave their blocks."""
+
+    def work(v, first):
+        out = log_of_gaussian(v, grid.nz > 1, lateral, axial)
+        return {"v": out, None: dense.maxima(out, first, grid)}
+
+    return dense.over_blocks(df, grid, work, tuple(r + 1 for r in _log_reach(grid, lateral, axial)), "v double")
+
+
+def partial(df: DataFrame, axis: str, sigma: float, order: int = 1, grid: Grid | None = None) -> DataFrame:
     """Gaussian derivative along axis, Gaussian along the other lateral axis; borders are not normalised."""
-    other = "y" if axis == "x" else "x"
-    return convolve(convolve(df, axis, gaussian_d1(sigma) if order == 1 else gaussian_d2(sigma), "zeros"), other, gaussian(sigma), "zeros")
+    r = math.ceil(4 * sigma)
+    return dense.over_blocks(df, dense.extent(df, grid), lambda v, first: {"v": _partial(v, axis, sigma, order)}, (r, r, 0), "v double")
 
 
-def determinant_of_hessian(df: DataFrame, sigma: float) -> DataFrame:
+def _partial(v: np.ndarray, axis: str, sigma: float, order: int = 1) -> np.ndarray:
+    own = gaussian_d1(sigma) if order == 1 else gaussian_d2(sigma)
+    return dense.correlate(dense.correlate(v, axis, own, "zeros"), "y" if axis == "x" else "x", gaussian(sigma), "zeros")
+
+
+def determinant_of_hessian(df: DataFrame, sigma: float, grid: Grid | None = None) -> DataFrame:
     """Ixx Iyy - Ixy^2 of planes."""
-    g, d1, d2 = gaussian(sigma), gaussian_d1(sigma), gaussian_d2(sigma)
-    xx, yy, xy = (convolve(convolve(df, "x", a), "y", b) for a, b in ((d2, g), (g, d2), (d1, d1)))
-    return _combined([xx, yy, xy], v=F.col("p0") * F.col("p1") - F.col("p2") * F.col("p2"))
+    g, d1, d2, r = gaussian(sigma), gaussian_d1(sigma), gaussian_d2(sigma), math.ceil(4 * sigma)
+
+    def work(v, first):
+        xx, yy, xy = (dense.correlate(dense.correlate(v, "x", a), "y", b) for a, b in ((d2, g), (g, d2), (d1, d1)))
+        return {"v": xx * yy - xy * xy}
 
+    return dense.over_blocks(df, dense.extent(df, grid), work, (r, r, 0), "v double")
 
-def gradient_magnitude(df: DataFrame, sigma: float) -> DataFrame:
-    return _combined([partial(df, "x", sigma), partial(df, "y", sigma)], v=F.sqrt(F.col("p0") * F.col("p0") + F.col("p1") * F.col("p1")))
+
+def gradient_magnitude(df: DataFrame, sigma: float, grid: Grid | None = None) -> DataFrame:
+    r = math.ceil(4 * sigma)
+    return dense.over_blocks(df, dense.extent(df, grid), lambda v, first: {"v": np.hypot(_partial(v, "x", sigma), _partial(v, "y", sigma))}, (r, r, 0), "v double")
 
 
-def focus_score(df: DataFrame, sigma: float = 3.0) -> DataFrame:
+def focus_score(df: DataFrame, sigma: float = 3.0, grid: Grid | None = None) -> DataFrame:
     """(z, score): each plane's summed gradient magnitude."""
-    return gradient_magnitude(df, sigma).groupBy("z").agg(F.sum("v").alias("score"))
+    return gradient_magnitude(df, sigma, grid).groupBy("z").agg(F.sum("v").alias("score"))
 
 
-def eigenvalues(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
+def eigenvalues(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of [[a, b], [b, c]], the larger first."""
-    mean, root = (a + c) / 2, F.sqrt((a - c) * (a - c) / 4 + b * b)
+    mean, root = (a + c) / 2, np.sqrt((a - c) * (a - c) / 4 + b * b)
     return mean + root, mean - root
 
 
-def pixel_features(df: DataFrame, sigmas: list[float]) -> DataFrame:
+def pixel_features(df: DataFrame, sigmas: list[float], grid: Grid | None = None) -> DataFrame:
     """Seven features of each pixel and sigma: Gaussian, LoG, gradient magnitude, two eigenvalues of the structure tensor and of the Hessian.
 
-    Columns s<sigma>_<feature>."""
-    out = None
-    for s in sigmas:
-        g, d1, d2 = gaussian(s), gaussian_d1(s), gaussian_d2(s)
-        pass2 = lambda a, b: convolve(convolve(df, "x", a, "normalized" if a is g else "zeros"), "y", b, "normalized" if b is g else "zeros")
-        base = _combined([pass2(g, g), pass2(d1, g), pass2(g, d1), pass2(d2, g), pass2(g, d2), pass2(d1, d1)], **{k: F.col(f"p{i}") for i, k in enumerate(("g", "dx", "dy", "dxx", "dyy", "dxy"))})
-        products = [base.select(*AXES, (F.col(a) * F.col(b)).alias("v")) for a, b in (("dx", "dx"), ("dx", "dy"), ("dy", "dy"))]
-        tensor = _combined([separable(p, {"x": g, "y": g}, "normalized") for p in products], a=F.col("p0"), b=F.col("p1"), c=F.col("p2"))
-        t1, t2 = eigenvalues(F.col("a"), F.col("b"), F.col("c"))
-        h1, h2 = eigenvalues(F.col("dxx"), F.col("dxy"), F.col("dyy"))
-        name = f"s{s:g}_".replace(".", "_")
-        own = base.join(tensor, list(AXES)).select(
-            *AXES,
-            F.col("g").alias(name + "gauss"),
-            (-F.col("dxx") - F.col("dyy")).alias(name + "log"),
-            F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias(name + "gm"),
-            t1.alias(name + "st1"),
-            t2.alias(name + "st2"),
-            h1.alias(name + "he1"),
-            h2.alias(name + "he2"),
-        )
-        out = own if out is None else out.join(own, list(AXES))
-    return out
+    Columns s<sigma>_<feature>. All scales are computed in one pass over blocks."""
+    names = [f"s{s:g}_".replace(".", "_") + f for s in sigmas for f in ("gauss", "log", "gm", "st1", "st2", "he1", "he2")]
+    r = math.ceil(4 * max(sigmas)) + math.ceil(3 * max(sigmas)) + 1
+
+    def work(v, first):
+        out = []
+        for s in sigmas:
+            g, d1, d2 = gaussian(s), gaussian_d1(s), gaussian_d2(s)
+            both = lambda u, a, b, g=g: dense.correlate(dense.correlate(u, "x", a, "normalized" if a is g else "zeros"), "y", b, "normalized" if b is g else "zeros")
+            dx, dy, dxx, dyy, dxy = (both(v, a, b) for a, b in ((d1, g), (g, d1), (d2, g), (g, d2), (d1, d1)))
+            tensor = eigenvalues(*(both(u, g, g) for u in (dx * dx, dx * dy, dy * dy)))
+            out += [both(v, g, g), -dxx - dyy, np.sqrt(dx * dx + dy * dy), *tensor, *eigenvalues(dxx, dxy, dyy)]
+        return dict(zip(names, out))
+
+    return dense.over_blocks(df, dense.extent(df, grid), work, (r, r, 0), ", ".join(f"{n} double" for n in names))
 
 
 def cumulative_sum(df: DataFrame, axis: str) -> DataFrame:

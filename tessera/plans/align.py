@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.checkpoints import stored
-from tessera.operators import spatial
+from tessera.operators import agg, spatial
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,7 @@ def align(a: DataFrame, b: DataFrame, sigma: float = 0.4, relative: float = 0.01
     its mode) is replaced by the grid search within the capture radius."""
 
     def strongest(p: DataFrame) -> DataFrame:
-        p = p.where("value > 0") if "value" in p.columns else p
+        p = agg.positive_prefix(p, "value") if "value" in p.columns else p
         order = [F.col("value").desc(), "id"] if "value" in p.columns else ["id"]
         return stored(p.orderBy(*order).limit(limit))
 

@@ -19,7 +19,7 @@ def detect(df: DataFrame, grid: Grid, sigma: float = 1.0, sigma_z: float = 1.0,
     if scales:
         dots = morph.scale_space_maxima({s: stencil.laplacian_of_gaussian(df, grid, s * sigma, s * sigma_z) for s in scales}, grid)
     else:
-        dots = morph.local_maxima(stencil.laplacian_of_gaussian(df, grid, sigma, sigma_z), grid)
+        dots = stencil.log_maxima(df, grid, sigma, sigma_z)
     dots = stored(dots.withColumnRenamed("v", "value"))  # few rows, read for the histogram and for the result
     cut = agg.otsu(agg.log_counts(agg.histogram(dots, "value"))).select(F.col("value").alias("cut"))
     told = dots.join(F.broadcast(cut), how="left").withColumn("use", F.coalesce((F.col("value") > F.col("cut")).cast("int"), F.lit(1))).drop("cut")

@@ -12,7 +12,7 @@ from tessera.operators import agg, forest, stencil
 def reduce_planes(df: DataFrame, grid: Grid, how: str = "max") -> DataFrame:
     """max, sum, mean over z, or the sharpest plane (focus)."""
     if how == "focus":
-        best = stencil.focus_score(df, 1.0).agg(F.max_by("z", F.struct("score", -F.col("z"))).alias("best"))
+        best = stencil.focus_score(df, 1.0, grid).agg(F.max_by("z", F.struct("score", -F.col("z"))).alias("best"))
         return df.crossJoin(F.broadcast(best)).where(F.col("z") == F.col("best")).select("x", "y", F.lit(0).alias("z"), "v")
     return agg.projection(df, how).select("x", "y", F.lit(0).alias("z"), "v")
 

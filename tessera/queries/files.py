@@ -73,8 +73,8 @@ def npy_table(spark, d) -> DataFrame:
     from tessera.sources.files import write_bytes
 
     write_bytes(out + "/.keep", b"")
-    npy.write_table(views.features(spark, d).orderBy("id").select("f0", "f1").limit(500), out + "/table.npy")
-    return spark.read.format("tessera_npy").option("path", out + "/table.npy").load().select(F.col("y").alias("row"), F.col("x").alias("column"), F.round("v", 4).alias("v"))
+    npy.write_table(views.features(spark, d).orderBy("id").select("f0", "f1"), out + "/table.npy")
+    return spark.read.format("tessera_npy").option("path", out + "/table.npy").load().select(F.col("y").alias("row"), F.col("x").alias("column"), F.round("v", 2).alias("v"))
 
 
 def tsv_round_trip(spark, d) -> DataFrame:
@@ -142,7 +142,7 @@ S |= {
     "tiff_info": "SELECT 32 AS m, 32 AS n, 4 AS p, 16 AS bits, 7.5::DOUBLE AS x_resolution, 0.3::DOUBLE AS z_spacing, true AS supported, 'ImageJ=1;spacing=0.3' AS flat_description",
     "tiff_skip_existing": "SELECT true AS first, false AS again",
     "npy_round_trip": f"SELECT x, y, z, v FROM {_G} g",
-    "npy_table": f"SELECT CAST(id - 1 AS INT) AS row, 0 AS \"column\", round(f0::FLOAT::DOUBLE, 4) AS v FROM {_FT} a WHERE id <= 500 UNION ALL SELECT CAST(id - 1 AS INT), 1, round(f1::FLOAT::DOUBLE, 4) FROM {_FT} b WHERE id <= 500",
+    "npy_table": f"SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INT) AS row, 0 AS \"column\", round(f0::FLOAT::DOUBLE, 2) AS v FROM {_FT} a UNION ALL SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INT), 1, round(f1::FLOAT::DOUBLE, 2) FROM {_FT} b",
     "tsv_round_trip": f"SELECT f0::FLOAT AS f0, count(*) AS n, round(sum(f1::FLOAT::DOUBLE), 3) AS f1 FROM {_FT} a GROUP BY 1",
     "csv_fixed": "SELECT * FROM (VALUES (1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE), (0.0, 0.0, 7.5), (100.0, -3.0, 9.0)) t(a, b, c)",
     "csv_six_decimals": f"SELECT id, printf('%.6f', f3::DOUBLE) AS text FROM {_FT} a",

@@ -25,9 +25,9 @@ def add(name: str, run, sql: str | None = None) -> None:
 
 
 _d2 = "((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z))"
-add("ball_join", lambda s, d: spatial.ball_join(views.shifted(s, d), views.points(s, d), 2.5).select("qid", "pid", "d2"), f"SELECT q.id AS qid, p.id AS pid, {_d2} AS d2 FROM {H} q JOIN {P} p ON {_d2} < 6.25")
-add("nearest_neighbours", lambda s, d: spatial.nearest(views.shifted(s, d), views.points(s, d), 5), f"SELECT qid, rank, pid, d2 FROM (SELECT q.id AS qid, p.id AS pid, {_d2} AS d2, CAST(row_number() OVER (PARTITION BY q.id ORDER BY {_d2}, p.id) AS INT) AS rank FROM {H} q, {P} p) z WHERE rank <= 5")
-add("closest_point", lambda s, d: spatial.nearest(views.shifted(s, d), views.points(s, d), 1).select("qid", "pid", "d2"), f"SELECT qid, pid, d2 FROM (SELECT q.id AS qid, p.id AS pid, {_d2} AS d2, row_number() OVER (PARTITION BY q.id ORDER BY {_d2}, p.id) AS rank FROM {H} q, {P} p) z WHERE rank = 1")
+add("ball_join", lambda s, d: rounded(spatial.ball_join(views.shifted(s, d), views.points(s, d), 2.5).select("qid", "pid", "d2")), f"SELECT q.id AS qid, p.id AS pid, {r6(_d2)} AS d2 FROM {H} q JOIN {P} p ON {_d2} < 6.25")
+add("nearest_neighbours", lambda s, d: rounded(spatial.nearest(views.shifted(s, d), views.points(s, d), 5)), f"SELECT qid, rank, pid, {r6('d2')} AS d2 FROM (SELECT q.id AS qid, p.id AS pid, {_d2} AS d2, CAST(row_number() OVER (PARTITION BY q.id ORDER BY {_d2}, p.id) AS INT) AS rank FROM {H} q, {P} p) z WHERE rank <= 5")
+add("closest_point", lambda s, d: rounded(spatial.nearest(views.shifted(s, d), views.points(s, d), 1).select("qid", "pid", "d2")), f"SELECT qid, pid, {r6('d2')} AS d2 FROM (SELECT q.id AS qid, p.id AS pid, {_d2} AS d2, row_number() OVER (PARTITION BY q.id ORDER BY {_d2}, p.id) AS rank FROM {H} q, {P} p) z WHERE rank = 1")
 
 
 def _vectors(s, d):
@@ -43,17 +43,18 @@ add(
 add("kernel_density", lambda s, d: rounded(spatial.density(views.shifted(s, d), views.points(s, d), 1.5)), f"SELECT q.id, {r6(f'coalesce(sum(CASE WHEN {_d2} < 14.0625 THEN exp(-{_d2} / 4.5) END), 0.0)')} AS kde FROM {H} q, {P} p GROUP BY q.id")
 _w = f"exp(-{_d2} / 2.0)"
 _ms = ", ".join(r6(f"CASE WHEN sum({_w}) FILTER ({_d2} < 100) >= 1e-9 THEN sum({_w} * p.{a}) FILTER ({_d2} < 100) / sum({_w}) FILTER ({_d2} < 100) ELSE q.{a} END") + f" AS {a}" for a in "xyz")
-add("mean_shift_step", lambda s, d: rounded(spatial.mean_shift_step(views.shifted(s, d).where("id % 7 = 0"), views.points(s, d), 1.0)), f"SELECT q.id, {_ms} FROM {H} q, {P} p WHERE q.id % 7 = 0 GROUP BY q.id, q.x, q.y, q.z")
-add("pair_differences", lambda s, d: spatial.pair_differences(views.points(s, d), 2.0), f"SELECT q.id AS i, p.id AS j, p.x - q.x AS dx, p.y - q.y AS dy, p.z - q.z AS dz FROM {P} q JOIN {P} p ON q.id < p.id AND {_d2} < 4.0")
-add("all_pair_differences", lambda s, d: spatial.pair_differences(views.points(s, d).where("id % 40 = 1")), f"SELECT q.id AS i, p.id AS j, p.x - q.x AS dx, p.y - q.y AS dy, p.z - q.z AS dz FROM {P} q JOIN {P} p ON q.id < p.id WHERE q.id % 40 = 1 AND p.id % 40 = 1")
+add("mean_shift_step", lambda s, d: rounded(spatial.mean_shift_step(views.shifted(s, d), views.points(s, d), 1.0)), f"SELECT q.id, {_ms} FROM {H} q, {P} p GROUP BY q.id, q.x, q.y, q.z")
+add("pair_differences", lambda s, d: rounded(spatial.pair_differences(views.points(s, d), 2.0)), f"SELECT q.id AS i, p.id AS j, {r6('p.x - q.x')} AS dx, {r6('p.y - q.y')} AS dy, {r6('p.z - q.z')} AS dz FROM {P} q JOIN {P} p ON q.id < p.id AND {_d2} < 4.0")
+SM = f"({views.SMALL_SQL})"
+add("all_pair_differences", lambda s, d: rounded(spatial.pair_differences(views.small_points(s, d))), f"SELECT q.id AS i, p.id AS j, {r6('p.x - q.x')} AS dx, {r6('p.y - q.y')} AS dy, {r6('p.z - q.z')} AS dz FROM {SM} q JOIN {SM} p ON q.id < p.id")
 
 
 def _pairs(s, d):
-    a = views.points(s, d).where("id % 60 = 0")
+    a = views.small_points(s, d)
     return spatial.pair_differences(a), spatial.pair_differences(geometry.transform_points(a, move=(4.0, 2.0, -1.0)).select("id", "x", "y", "z"))
 
 
-_pd = f"(SELECT q.id AS i, p.id AS j, p.x - q.x AS dx, p.y - q.y AS dy, p.z - q.z AS dz FROM {P} q JOIN {P} p ON q.id < p.id WHERE q.id % 60 = 0 AND p.id % 60 = 0)"
+_pd = f"(SELECT q.id AS i, p.id AS j, p.x - q.x AS dx, p.y - q.y AS dy, p.z - q.z AS dz FROM {SM} q JOIN {SM} p ON q.id < p.id)"
 _minus = "sqrt((a.dx - b.dx) * (a.dx - b.dx) + (a.dy - b.dy) * (a.dy - b.dy) + (a.dz - b.dz) * (a.dz - b.dz))"
 _plus = _minus.replace(" - b.", " + b.")
 _top = "greatest(sqrt(a.dx * a.dx + a.dy * a.dy + a.dz * a.dz), sqrt(b.dx * b.dx + b.dy * b.dy + b.dz * b.dz))"
@@ -72,13 +73,25 @@ add(
 
 
 def _align(s, d):
-    a = views.points(s, d)
-    got = align.align(a, geometry.transform_points(a.where("id % 3 = 0"), move=(4.0, 2.0, -1.0)).select("id", "x", "y", "z"), limit=60)
-    return s.createDataFrame([(got.dx, got.dy, got.dz, got.kde, got.goodness, got.method)], "dx double, dy double, dz double, kde double, goodness double, method string")
-
-
-add("align_points", _align)
-add("displacement_peak", lambda s, d: rounded(spatial.displacement_peak(views.shifted(s, d), views.points(s, d).where("id % 3 = 0"), 6.0, 0.4)))
+    a = views.small_points(s, d)
+    got = align.align(a, geometry.transform_points(a, move=(4.0, 2.0, -1.0)).select("id", "x", "y", "z"))
+    return s.createDataFrame([(round(got.dx, 3) + 0.0, round(got.dy, 3) + 0.0, round(got.dz, 3) + 0.0, got.method)], "dx double, dy double, dz double, method string")
+
+
+#: The planted shift is what the pairs of the two sets must vote for.
+add("align_points", _align, "SELECT 4.0::DOUBLE AS dx, 2.0::DOUBLE AS dy, -1.0::DOUBLE AS dz, 'pairs' AS method")
+_cell = ", ".join(f"CAST(floor((p.{a} - q.{a}) / 0.5 + 0.5) AS INT) AS {a}" for a in "xyz")
+_peak = f"""WITH d AS MATERIALIZED (SELECT x, y, z, count(*) AS n FROM (SELECT {_cell} FROM {P} q JOIN {H} p ON {_d2} < 36.0) c GROUP BY 1, 2, 3),
+k AS (SELECT p.x, p.y, p.z, sum(q.n * exp(-{_d2} * 0.25 / {2 * 0.4 * 0.4!r})) AS kde FROM d p JOIN d q ON {_d2} < 4.0 GROUP BY 1, 2, 3)
+SELECT x * 0.5::DOUBLE AS dx, y * 0.5::DOUBLE AS dy, z * 0.5::DOUBLE AS dz, {r6("kde")} AS kde FROM k ORDER BY k.kde DESC, x, y, z LIMIT 1"""
+add("displacement_peak", lambda s, d: rounded(spatial.displacement_peak(views.shifted(s, d), views.points(s, d), 6.0, 0.4)), _peak)
+_far = "((p.x - m.x) * (p.x - m.x) + (p.y - m.y) * (p.y - m.y) + (p.z - m.z) * (p.z - m.z))"
+_near = "sum(exp(-{d} / 8.0) * p.{a}) FILTER ({d} < 400.0) / sum(exp(-{d} / 8.0)) FILTER ({d} < 400.0) AS {a}"
+_modes = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM {P} t),
+b AS (SELECT q.x, q.y, q.z FROM p q, p GROUP BY q.id, q.x, q.y, q.z ORDER BY sum(CASE WHEN {_d2} < 25.0 THEN exp(-{_d2} / 8.0) END) DESC, q.id LIMIT 1),
+m(k, x, y, z) AS (SELECT 0, x, y, z FROM b UNION ALL SELECT m.k + 1, {", ".join(_near.format(d=_far, a=a) for a in "xyz")} FROM m, p WHERE m.k < 100 GROUP BY m.k)
+SELECT round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(z, 3) + 0.0 AS z FROM m WHERE k = 100"""
+add("mode_search", lambda s, d: s.createDataFrame([tuple(round(v, 3) + 0.0 for v in spatial.mode_search(views.points(s, d), 2.0))], "x double, y double, z double"), _modes)
 
 # ---------------------------------------------------------------- forest
 _labels = [0, 1, 2]
@@ -92,10 +105,10 @@ _entropy = f"{log_p('k')} - {log_p('l0')} - {log_p('l1')} - {log_p('l2')} + {log
 add("gini_split", lambda s, d: rounded(forest.gini_split(views.features(s, d), "f0", _labels)), _cuts.format(c="f0") + f"SELECT k::BIGINT AS n_left, r::BIGINT AS n_right, {r6(_gini)} AS gini, {r6('th')} AS threshold FROM c ORDER BY {_gini}, k LIMIT 1")
 add("entropy_split", lambda s, d: forest.entropy_split(views.features(s, d), "f0", _labels).select("n_left", "n_right", F.round("entropy", 3).alias("entropy"), F.round("threshold", 6).alias("threshold")), _cuts.format(c="f0") + f"SELECT k::BIGINT AS n_left, r::BIGINT AS n_right, round({_entropy}, 3) AS entropy, round(th, 6) AS threshold FROM c ORDER BY {_entropy}, k LIMIT 1")
 #: Two small fixed trees: tree, node, left, right, var, th, label, gain.
-_NODES = [(0, 0, 1, 2, 0, 25.5, 0, 12.0), (0, 1, 0, 0, 0, 0.0, 1, 0.0), (0, 2, 3, 4, 3, 40000.0, 1, 4.0), (0, 3, 0, 0, 0, 0.0, 2, 0.0), (0, 4, 0, 0, 0, 0.0, 0, 0.0), (1, 0, 1, 2, 1, 0.05, 0, 6.0), (1, 1, 0, 0, 0, 0.0, 0, 0.0), (1, 2, 0, 0, 0, 0.0, 1, 0.0), (2, 0, 1, 2, 2, 0.04, 0, 2.0), (2, 1, 0, 0, 0, 0.0, 1, 0.0), (2, 2, 0, 0, 0, 0.0, 2, 0.0)]
+_NODES = [(0, 0, 1, 2, 0, 250000.5, 0, 12.0), (0, 1, 0, 0, 0, 0.0, 1, 0.0), (0, 2, 3, 4, 3, 250.5, 1, 4.0), (0, 3, 0, 0, 0, 0.0, 2, 0.0), (0, 4, 0, 0, 0, 0.0, 0, 0.0), (1, 0, 1, 2, 1, 500.5, 0, 6.0), (1, 1, 0, 0, 0, 0.0, 0, 0.0), (1, 2, 0, 0, 0, 0.0, 1, 0.0), (2, 0, 1, 2, 2, 3.5, 0, 2.0), (2, 1, 0, 0, 0, 0.0, 1, 0.0), (2, 2, 0, 0, 0, 0.0, 2, 0.0)]
 _names = ["f0", "f1", "f2", "f3"]
-_t0 = "CASE WHEN f0 < 25.5 THEN 1 WHEN f3 < 40000 THEN 2 ELSE 0 END"
-_votes = f"SELECT id, label, {_t0} AS v FROM {FT} a UNION ALL SELECT id, label, CASE WHEN f1 < 0.05 THEN 0 ELSE 1 END FROM {FT} b UNION ALL SELECT id, label, CASE WHEN f2 < 0.04 THEN 1 ELSE 2 END FROM {FT} c"
+_t0 = "CASE WHEN f0 < 250000.5 THEN 1 WHEN f3 < 250.5 THEN 2 ELSE 0 END"
+_votes = f"SELECT id, label, {_t0} AS v FROM {FT} a UNION ALL SELECT id, label, CASE WHEN f1 < 500.5 THEN 0 ELSE 1 END FROM {FT} b UNION ALL SELECT id, label, CASE WHEN f2 < 3.5 THEN 1 ELSE 2 END FROM {FT} c"
 _pred = f"SELECT id, label, v AS prediction FROM (SELECT id, label, v, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, v) AS r FROM ({_votes}) x GROUP BY 1, 2, 3) z WHERE r = 1"
 
 
@@ -109,4 +122,6 @@ add("forest_accuracy", lambda s, d: rounded(forest.accuracy(_predicted(s, d))),
 add("forest_confusion", lambda s, d: forest.confusion(_predicted(s, d)), f"SELECT label, prediction, count(*) AS n FROM ({_pred}) y GROUP BY 1, 2")
 add("forest_importance", lambda s, d: rounded(forest.importance(s.createDataFrame(_NODES, forest.NODES), _names)), "SELECT * FROM (VALUES (0, 'f0', 0.5), (1, 'f1', 0.25), (2, 'f2', round(2.0 / 24, 6)), (3, 'f3', round(4.0 / 24, 6))) t(var, name, importance)")
 add("feature_ranks", lambda s, d: forest.feature_ranks(views.features(s, d), ["f0", "f3"]), " UNION ALL ".join(f"SELECT id, '{f}' AS feature, CAST(row_number() OVER (ORDER BY {f}, id) - 1 AS INT) AS rank FROM {FT} a" for f in ("f0", "f3")))
-add("forest_fit", lambda s, d: forest.fit(views.features(s, d).where("id % 8 = 0"), _names, trees=6, least=40, kind="entropy"))
+add("forest_fit", lambda s, d: forest.fit(views.features(s, d), _names, trees=6, least=40, kind="entropy"))
+add("forest_cross_validation", lambda s, d: forest.cross_validate(views.features(s, d), _names, trees=5, least=200))
+add("forest_fold_accuracy", lambda s, d: rounded(agg.kfold(_predicted(s, d), "id", 5).groupBy("fold").agg((F.count_if(F.col("prediction") == F.col("label")) / F.count(F.lit(1))).alias("accuracy"))), f"SELECT CAST(id % 5 AS INT) AS fold, {r6('count(*) FILTER (prediction = label) / count(*)')} AS accuracy FROM ({_pred}) y GROUP BY 1")

@@ -260,8 +260,8 @@ simple3("table_equality", lambda v: v.sparkSession.createDataFrame([(agg.same_ta
 add("sort_head", lambda s, d: agg.head(views.features(s, d), "f3", 25, "id").select("id", "f3"), f"SELECT id, f3 FROM ({views.FEATURES_SQL}) q ORDER BY f3 DESC, id LIMIT 25")
 add("concatenate_rows", lambda s, d: agg.concatenate_rows(views.features(s, d).select("id", "f0"), views.features(s, d).select("id", "f3")), f"SELECT id, f0 FROM ({views.FEATURES_SQL}) a UNION ALL SELECT id, f3 FROM ({views.FEATURES_SQL}) b")
 add("concatenate_columns", lambda s, d: agg.concatenate_columns(views.features(s, d).selectExpr("id as _row", "f0"), views.features(s, d).selectExpr("id as _row", "f3 as other")), f"SELECT id AS _row, f0, f3 AS other FROM ({views.FEATURES_SQL}) a")
-add("row_selection", lambda s, d: views.features(s, d).where("f1 > 0.05").select("id", "f1"), f"SELECT id, f1 FROM ({views.FEATURES_SQL}) a WHERE f1 > 0.05")
-add("random_subset", lambda s, d: agg.random_subset(views.features(s, d), "id", 100).select("id"))
+add("row_selection", lambda s, d: views.features(s, d).where("f1 > 500").select("id", "f1"), f"SELECT id, f1 FROM ({views.FEATURES_SQL}) a WHERE f1 > 500")
+add("random_subset", lambda s, d: agg.random_subset(views.features(s, d), "id", 100).select("id"), f"SELECT id FROM ({views.FEATURES_SQL}) a ORDER BY md5('0:' || id), id LIMIT 100")
 add("kfold", lambda s, d: agg.kfold(views.features(s, d), "id", 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n")), f"SELECT CAST(id % 5 AS INT) AS fold, count(*) AS n FROM ({views.FEATURES_SQL}) a GROUP BY 1")
 
 # ---------------------------------------------------------------- reconstruction

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import sources
 from tessera.sources import npy, tiff
-from tessera.sources.files import open_in, resolve
+from tessera.sources.files import open_in, resolve, write_bytes
 from tessera.sources.tiff import SCHEMA
 
 
@@ -48,3 +48,33 @@ def read_raw(spark: SparkSession, path: str, nx: int, ny: int, nz: int, planes:
 
 def raw_to_tiff(spark: SparkSession, path: str, out: str, nx: int, ny: int, nz: int, bits: int = 16) -> DataFrame:
     return tiff.write(_named(read_raw(spark, path, nx, ny, nz)), out, bits)
+
+
+def write_raw(df: DataFrame, path: str, nx: int, ny: int, planes: int = 8) -> DataFrame:
+    """A volume (x, y, z, v) as headerless float32 slabs path/<first plane>.raw, x fastest, each of so many planes by one task: (path)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        z = table.column("z").to_numpy()
+        first = int(z.min()) // planes * planes
+        data = np.zeros((int(z.max()) - first + 1, ny, nx), "<f4")
+        data[z - first, table.column("y").to_numpy(), table.column("x").to_numpy()] = table.column("v").to_numpy()
+        name = f"{path}/{first:08d}.raw"
+        write_bytes(name, data.tobytes())
+        return pa.table({"path": [name]})
+
+    slab = F.floor(F.col("z") / planes).cast("int").alias("slab")
+    return df.select("x", "y", "z", "v", slab).groupBy("slab").applyInArrow(run, "path string")
+
+
+def read_slabs(spark: SparkSession, path: str, nx: int, ny: int) -> DataFrame:
+    """The slabs that write_raw has written, as one volume (x, y, z, v); slabs are read in parallel."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.raw").load(path).select("path", "content")
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                data = np.frombuffer(content.as_py(), "<f4").reshape(-1, ny, nx)
+                zz, yy, xx = (a.ravel().astype(np.int32) for a in np.indices(data.shape))
+                yield pa.RecordBatch.from_arrays([pa.array(xx), pa.array(yy), pa.array(zz + np.int32(int(name.rsplit("/", 1)[1][:-4]))), pa.array(data.ravel().astype(np.float64))], ["x", "y", "z", "v"])
+
+    return files.mapInArrow(run, "x int, y int, z int, v double")

@@ -14,10 +14,12 @@ SUMS3 = "SELECT CAST(l_partkey % 32 AS INT) AS x, CAST(l_orderkey % 32 AS INT) A
 #: For DuckDB, with missing voxels filled.
 GRID3_SQL = f"SELECT g.x, g.y, g.z, coalesce(s.v, 0.0) AS v FROM {_AXES} g LEFT JOIN ({SUMS3}) s ON s.x = g.x AND s.y = g.y AND s.z = g.z"
 GRID2_SQL = f"SELECT x, y, CAST(0 AS INT) AS z, sum(v) AS v FROM ({GRID3_SQL}) q GROUP BY x, y"
-POINTS_SQL = "SELECT l_orderkey * 8 + l_linenumber AS id, CAST(max(l_quantity) AS DOUBLE) AS x, CAST(max(round(l_discount * 100)) AS DOUBLE) AS y, CAST(max(round(l_tax * 100)) AS DOUBLE) AS z FROM lineitem WHERE l_suppkey % 25 = 0 GROUP BY 1"
-SHIFTED_SQL = f"SELECT id, x + 4.0 AS x, y + 2.0 AS y, z - 1.0 AS z FROM ({POINTS_SQL}) p WHERE id % 3 = 0"
+#: Whole tables as points: customers for neighbourhoods, suppliers where all pairs of a small set are asked for.
+POINTS_SQL = "SELECT c_custkey AS id, c_acctbal / 100 AS x, CAST(c_nationkey AS DOUBLE) AS y, CAST(c_custkey % 101 AS DOUBLE) / 10 AS z FROM customer"
+SMALL_SQL = "SELECT s_suppkey AS id, s_acctbal / 100 AS x, CAST(s_nationkey AS DOUBLE) AS y, CAST(s_suppkey % 101 AS DOUBLE) / 10 AS z FROM supplier"
+SHIFTED_SQL = f"SELECT id, x + 4.0 AS x, y + 2.0 AS y, z - 1.0 AS z FROM ({POINTS_SQL}) p"
 SIGNAL_SQL = "SELECT CAST(h AS INT) AS x, CAST(0 AS INT) AS y, CAST(0 AS INT) AS z, CAST(count(*) AS DOUBLE) AS v FROM (SELECT CAST(floor(unix_seconds / 3600) AS BIGINT) - 473352 AS h FROM {seconds}) q GROUP BY 1"
-FEATURES_SQL = "SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, l_quantity AS f0, l_discount AS f1, l_tax AS f2, l_extendedprice AS f3, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label FROM lineitem"
+FEATURES_SQL = "SELECT o_orderkey AS id, o_totalprice AS f0, CAST(o_custkey % 1000 AS DOUBLE) AS f1, CAST(substring(o_orderpriority, 1, 1) AS DOUBLE) AS f2, CAST(o_orderkey * 7 % 503 AS DOUBLE) AS f3, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS label FROM orders"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +39,15 @@ def grid2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, POINTS_SQL)
+    return _sql(spark, sf_dir, POINTS_SQL, "customer")
+
+
+def small_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, SMALL_SQL, "supplier")
 
 
 def shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir).where("id % 3 = 0")
-    return p.selectExpr("id", "x + 4.0 as x", "y + 2.0 as y", "z - 1.0 as z")
+    return points(spark, sf_dir).selectExpr("id", "x + 4.0 as x", "y + 2.0 as y", "z - 1.0 as z")
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,5 +60,5 @@ SIGNAL_DUCK = "SELECT CAST(i AS INT) AS x, CAST(0 AS INT) AS y, CAST(0 AS INT) A
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, f0 .. f3, label). The identifier is a hash-free total order of the columns, so it is the same in every engine."""
-    return _sql(spark, sf_dir, FEATURES_SQL)
+    """(id, f0 .. f3, label) of all orders."""
+    return _sql(spark, sf_dir, FEATURES_SQL, "orders")

@@ -48,7 +48,7 @@ PRIOR = 60
 GRID = 1000
 #: N-grams are dealt to SHARDS by a hash. A group of blocks has about GROUP bytes of text for each shard, but at least COPIES times as many as the
 #: shard's probabilities, which are repeated for every group: so they never move more bytes than a part of the postings.
-SHARDS, GROUP, COPIES = 32, 8 << 20, 4
+SHARDS, GROUP, COPIES = 32, 4 << 20, 4
 #: A block holds about BLOCK bytes of text, at most ROWS documents; a longer document is a block of its own, sorted PIECE symbols at a time.
 BLOCK, ROWS, PIECE = 6_000_000, 8192, 1 << 22
 #: Rows of a packed table of probabilities.
@@ -159,23 +159,29 @@ def shard_of(g: np.ndarray) -> np.ndarray:
     return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(SHARDS)
 
 
-def _occurrences(g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct pairs of n-gram and document with their numbers. Units are renumbered densely, so that a pair mostly fits one word."""
-    parts = [((g >> np.uint64(UNIT * k)) & np.uint64(0xFFFF)).astype(np.uint16) for k in range(ORDER)]
-    there = np.flatnonzero(np.bincount(parts[0], minlength=1 << UNIT))
-    for p in parts[1:]:
-        there = np.union1d(there, np.flatnonzero(np.bincount(p, minlength=1 << UNIT)))
-    bits, first = max(1, int(len(there) - 1).bit_length()), int(doc[0])
+def _occurrences(unit: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs of n-gram and document with their numbers. doc: the document of the n-gram that begins at each unit but the last
+    ORDER - 1, -1 for none, ascending otherwise. Units are renumbered densely, so that a pair mostly fits one word."""
+    there = np.flatnonzero(np.bincount(unit, minlength=1 << UNIT))
+    inside = doc >= 0
+    own = doc[inside]
+    if not len(own):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bits, first = max(1, int(len(there) - 1).bit_length()), int(own[0])
     room = 64 - ORDER * bits
-    if int(doc[-1]) - first >= 1 << room:  # many symbols: fewer documents at a time
-        half = int(np.searchsorted(doc, (first + int(doc[-1]) + 1) // 2))
-        return tuple(np.concatenate(x) for x in zip(_occurrences(g[:half], doc[:half]), _occurrences(g[half:], doc[half:])))
-    code = np.zeros(1 << UNIT, np.uint64)
-    code[there] = np.arange(len(there), dtype=np.uint64)
-    key = np.zeros(len(g), np.uint64)
-    for p in reversed(parts):
-        key = (key << np.uint64(bits)) | code[p]
-    key = (key << np.uint64(room)) | (doc - first).astype(np.uint64) if room else key
+    if int(own[-1]) - first >= 1 << room:  # many symbols: fewer documents at a time
+        half = int(np.flatnonzero(doc >= (first + int(own[-1]) + 1) // 2)[0])
+        return tuple(np.concatenate(x) for x in zip(_occurrences(unit[: half + ORDER - 1], doc[:half]), _occurrences(unit[half:], doc[half:])))
+    code = np.zeros(1 << UNIT, np.uint16)
+    code[there] = np.arange(len(there))
+    small, key = code[unit], np.zeros(len(doc), np.uint64)
+    for k in range(ORDER):
+        np.left_shift(key, np.uint64(bits), out=key)
+        np.bitwise_or(key, small[k : k + len(doc)], out=key)
+    key = key[inside]
+    if room:
+        np.left_shift(key, np.uint64(room), out=key)
+        np.bitwise_or(key, (own - first).astype(np.uint16), out=key)
     key.sort()
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     n, key = np.diff(np.append(at, len(key))), key[at]
@@ -186,9 +192,9 @@ def _occurrences(g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, own + first, n
 
 
-def _payloads(g: np.ndarray, doc: np.ndarray, squeeze) -> list[tuple[int, bytes]]:
+def _payloads(unit: np.ndarray, doc: np.ndarray, squeeze) -> list[tuple[int, bytes]]:
     """(shard, postings): distinct n-grams, how many documents each has, those documents and how often each holds it."""
-    gram, own, n = _occurrences(g, doc)
+    gram, own, n = _occurrences(unit, doc)
     shard = shard_of(gram).astype(np.int8)
     order = np.argsort(shard, kind="stable")
     gram, own, n, edge = gram[order], own[order].astype(np.uint16), n[order].astype(np.uint32), np.searchsorted(shard[order], np.arange(SHARDS + 1))
@@ -197,9 +203,9 @@ def _payloads(g: np.ndarray, doc: np.ndarray, squeeze) -> list[tuple[int, bytes]
         if a < b:
             at = np.flatnonzero(np.concatenate([[True], gram[a + 1 : b] != gram[a : b - 1]]))
             size = np.diff(np.append(at, b - a)).astype(np.uint16)
-            small = n[a:b] < 255
-            head = np.array([len(at), b - a, int((~small).sum())], np.uint32)
-            parts = [head, np.diff(gram[a:b][at], prepend=np.uint64(0)), size, np.diff(own[a:b], prepend=np.uint16(0)), np.where(small, n[a:b], 255).astype(np.uint8), n[a:b][~small]]
+            few = n[a:b] < 255
+            head = np.array([len(at), b - a, int((~few).sum())], np.uint32)
+            parts = [head, np.diff(gram[a:b][at], prepend=np.uint64(0)), size, np.diff(own[a:b], prepend=np.uint16(0)), np.where(few, n[a:b], 255).astype(np.uint8), n[a:b][~few]]
             out.append((s, squeeze.compress(b"".join(p.tobytes() for p in parts))))
     return out
 
@@ -236,12 +242,15 @@ def postings(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for a, b in tokens.slices(batch.column("text"), BLOCK, ROWS):
                 m = b - a
-                g, sizes = own_grams(batch.column("text").slice(a, m).to_pylist())
-                doc = np.repeat(np.arange(m), sizes)
+                unit, ends = units(batch.column("text").slice(a, m).to_pylist())
+                sizes = np.diff(ends, prepend=0) - (ORDER - 1)
+                doc = np.full(max(0, len(unit) - ORDER + 1), -1, np.int16)  # an n-gram begins ORDER - 1 units before the one it ends in
+                for k, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist())):
+                    doc[end - size - ORDER + 1 : end - ORDER + 1] = k
                 own = {c: batch.column(c).slice(a, m) for c in ("id", "lang", "k1", "k2")}
                 place = np.array([part, at], np.int64).tobytes() + b"".join(own[c].to_numpy(zero_copy_only=False).tobytes() for c in ("k1", "k2"))
                 block = int(np.uint64(xxhash.xxh3_64_intdigest(place)).view(np.int64))
-                told = [x for k in range(0, len(g), PIECE) for x in _payloads(g[k : k + PIECE], doc[k : k + PIECE], squeeze)]
+                told = [x for k in range(0, len(doc), PIECE) for x in _payloads(unit[k : k + PIECE + ORDER - 1], doc[k : k + PIECE], squeeze)]
                 yield _batch(names, kinds, m, own | {"shard": np.full(m, block % SHARDS), "block": np.full(m, block), "doc": np.arange(m), "symbols": sizes, "parts": np.full(m, len(told))})
                 yield _batch(names, kinds, len(told), {"shard": [s for s, _ in told], "block": [block] * len(told), "docs": [m] * len(told), "payload": [p for _, p in told]})
                 at += 1
@@ -255,7 +264,7 @@ def _distinct_grams(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a, b in tokens.slices(batch.column("text"), BLOCK):
+            for a, b in tokens.slices(batch.column("text"), BLOCK // 2):
                 g = own_grams(batch.column("text").slice(a, b - a).to_pylist())[0]
                 g = np.unique(np.concatenate([np.unique(g[k : k + PIECE]) for k in range(0, len(g), PIECE)])) if len(g) else g
                 for k in range(0, len(g), 50_000):

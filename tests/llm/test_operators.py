@@ -611,22 +611,24 @@ def test_perplexity_limits_and_decisions(spark, docs, rows, monkeypatch):
 
 
 def test_occurrences_of_many_symbols():
+    import zstandard
+
     r = np.random.default_rng(3)
-    for spread in (40, 3000, 60_000):
+    for spread in (1, 40, 3000, 60_000):
         unit = r.integers(0, spread, 9000).astype(np.uint16)
-        g, doc = quality.grams(unit), np.sort(r.integers(0, 700, len(unit) - quality.ORDER + 1))
-        want = Counter(zip(g.tolist(), doc.tolist()))
-        gram, own, n = quality._occurrences(g, doc)
+        g, doc = quality.grams(unit), np.sort(r.integers(0, 700, len(unit) - quality.ORDER + 1)).astype(np.int16)
+        doc[r.random(len(doc)) < 0.2] = -1
+        want = Counter((x, d) for x, d in zip(g.tolist(), doc.tolist()) if d >= 0)
+        gram, own, n = quality._occurrences(unit, doc)
         assert Counter(dict(zip(zip(gram.tolist(), own.tolist()), n.tolist()))) == want
-        import zstandard
-
         told = Counter()
-        for shard, packed in quality._payloads(g, doc, zstandard.ZstdCompressor()):
+        for shard, packed in quality._payloads(unit, doc, zstandard.ZstdCompressor()):
             gram, size, own, n = quality._opened(packed, zstandard.ZstdDecompressor())
             assert (quality.shard_of(gram) == shard).all()
             for x, d, c in zip(np.repeat(gram, size).tolist(), own.tolist(), n.tolist()):
                 told[x, d] += c
         assert told == want
+    assert not quality._payloads(np.full(9, 10, np.uint16), np.full(6, -1, np.int16), zstandard.ZstdCompressor())
 
 
 def test_classifier_keeps_clean_and_rejects_junk(spark):

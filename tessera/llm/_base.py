@@ -149,15 +149,16 @@ def with_dim(rows: DataFrame, dim: DataFrame, key: str, bound: int = DIM_ROWS) -
     return left.join(right, left[key].eqNullSafe(F.col("_dim_key")) & (F.col("_salt") == F.col("_dim_salt")), "left").drop("_dim_key", "_salt", "_dim_salt")
 
 
-def block_pairs(left: DataFrame, right: DataFrame, key: str, size: str, row: tuple[str, str], width: int = 500) -> DataFrame:
-    """left joined with right (columns other than key named apart) on key, no task having more than about width rows of either side for a key.
-
-    size: how many rows have the key, on both sides; row: a column that tells the rows of left and of right apart. The rows of a
-    large key are dealt to blocks of width, and every block of the one side meets every block of the other under a key of its own."""
-    blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col(size) / width))
-    own, every = (lambda c: F.pmod(F.xxhash64(c), blocks).cast("int")), F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))
-    a = left.withColumn("block_a", own(row[0])).withColumn("block_b", every)
-    b = right.withColumn("block_b", own(row[1])).withColumn("block_a", every).drop(size)
+def block_pairs(left: DataFrame, right: DataFrame, key: str, sizes: tuple[str, str], rows: tuple[str, str], width: int = 2000) -> DataFrame:
+    """left joined with right (other columns named apart) on key, no task having more than about width rows of either side for a key.
+
+    sizes: how many rows of left and of right have the key, columns of both; rows: a column that tells the rows of left and of right apart.
+    The rows of a large key are dealt to blocks of width, and every block of the one side meets every block of the other under a key of its own."""
+    blocks = [F.greatest(F.lit(1).cast("long"), F.ceil(F.col(c) / width)) for c in sizes]
+    own = [F.pmod(F.xxhash64(c), n).cast("int") for c, n in zip(rows, blocks)]
+    every = [F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))) for n in blocks]
+    a = left.withColumn("block_a", own[0]).withColumn("block_b", every[1])
+    b = right.withColumn("block_b", own[1]).withColumn("block_a", every[0]).drop(*sizes)
     return a.join(b, [key, "block_a", "block_b"]).drop("block_a", "block_b")
 
 

@@ -219,29 +219,33 @@ def _rest_pairs(stars: DataFrame, labels: DataFrame) -> DataFrame | None:
     total = of.agg(F.sum("size")).first()[0]
     if not total:
         return None
+    # Labels are unlike only if one of them is not the pivot's: only rows of such labels (minor) look for others.
+    roots = labels.select(F.col("node").alias("p"), F.col("label").alias("root"))
+    of = of.join(roots, "p", "left").withColumn("root", F.coalesce("root", "p"))
     mine = B.lookup(named, of, "p", "size", total, "inner")
     half = lambda n, m: NUMERATOR * (n + m) / float(NUMERATOR + DENOMINATOR)
     smallest = F.greatest(F.col("least"), F.ceil(NUMERATOR * F.col("n") / DENOMINATOR))
-    mine = B.stored(mine.withColumn("m", F.size("rest")).withColumn("t", F.ceil(half(F.col("n"), smallest) - F.col("shared") - 1e-9)).where(F.col("t") <= F.col("m")), "rests")
-    # The rests, as one number for pivot and shingle; those that one member alone has cannot be shared but come first in the order.
-    items = mine.select("x", "p", F.explode("rest").alias("h")).select("x", "p", F.xxhash64("p", "h").alias("e"))
-    counts = B.stored(items.groupBy("e").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
-    common = B.stored(B.lookup(items, counts, "e", "df", counts.agg(F.sum("df")).first()[0] or 1, "inner"), "common")
+    t = F.ceil(half(F.col("n"), smallest) - F.col("shared") - 1e-9)
+    mine = B.stored(mine.withColumns({"m": F.size("rest"), "t": t, "minor": F.col("label") != F.col("root")}).where(F.col("t") <= F.col("m")), "rests")
+    # The rests, as one number for pivot and shingle; those that one member alone has cannot be shared but come first in the order, and
+    # those that no minor row has join nothing but keep their places.
+    items = mine.select("x", "p", "minor", F.explode("rest").alias("h")).select("x", "p", "minor", F.xxhash64("p", "h").alias("e"))
+    counts = B.stored(items.groupBy("e").agg(F.count(F.lit(1)).alias("df"), F.count_if("minor").alias("minors")).where("df > 1"), "counts")
+    common = B.lookup(items.drop("minor"), counts, "e", "df", counts.agg(F.sum("df")).first()[0] or 1, "inner")
     order, whole = Window.partitionBy("x", "p").orderBy("df", "e"), Window.partitionBy("x", "p")
-    ranked = common.withColumns({"k": F.row_number().over(order) - 1, "own": F.count(F.lit(1)).over(whole)})
-    posts = ranked.join(mine.drop("rest", "least", "size"), ["x", "p"]).withColumn("k", F.col("m") - F.col("own") + F.col("k")).where((F.col("t") <= 0) | (F.col("k") <= F.col("m") - F.col("t")))
-    posts = B.stored(posts.select("e", "df", "x", "label", "n", "shared", "m", "k"), "posts")
-    other = posts.select("e", "df", *[F.col(c).alias(c + "2") for c in ("x", "label", "n", "shared", "m", "k")])
+    ranked = common.withColumns({"k": F.row_number().over(order) - 1, "own": F.count(F.lit(1)).over(whole)}).where("minors > 0")
+    posts = ranked.join(mine.drop("rest", "least", "size", "root"), ["x", "p"]).withColumn("k", F.col("m") - F.col("own") + F.col("k")).where((F.col("t") <= 0) | (F.col("k") <= F.col("m") - F.col("t")))
+    posts = B.stored(posts.select("e", "df", "minors", "minor", "x", "label", "n", "shared", "m", "k"), "posts")
+    other = posts.select("e", "df", "minors", *[F.col(c).alias(c + "2") for c in ("x", "label", "n", "shared", "m", "k")])
     lacks = half(F.col("n"), F.col("n2")) - F.least("shared", "shared2") - 1e-9
-    near = B.block_pairs(posts, other, "e", "df", ("x", "x2")).where((F.col("x") < F.col("x2")) & (F.col("label") != F.col("label2")) & (F.least(F.col("m") - F.col("k"), F.col("m2") - F.col("k2")) >= lacks))
+    near = B.block_pairs(posts.where("minor"), other, "e", ("minors", "df"), ("x", "x2")).where((F.col("label") != F.col("label2")) & (F.least(F.col("m") - F.col("k"), F.col("m2") - F.col("k2")) >= lacks))
     pairs = [B.stored(near.select("x", "x2").distinct(), "near")]
-    # Pairs that need to share nothing outside the pivot: one of them lies outside the pivot's component, since both reach it otherwise.
-    roots = labels.select(F.col("node").alias("p"), F.col("label").alias("root"))
-    far = mine.drop("rest").join(roots, "p", "left").where((F.col("label") != F.coalesce("root", "p")) & (half(F.col("n"), F.col("least")) - 1e-9 <= F.col("shared")))
-    far = B.stored(far.select("p", "size", "x", "label", "n", "shared"), "far")
+    # Pairs that need to share nothing outside the pivot.
+    far = mine.where(F.col("minor") & (half(F.col("n"), F.col("least")) - 1e-9 <= F.col("shared")))
+    far = B.stored(far.select("p", "size", F.lit(1).alias("few"), "x", "label", "n", "shared"), "far")
     if not far.isEmpty():
-        all_ = mine.select("p", "size", *[F.col(c).alias(c + "2") for c in ("x", "label", "n", "shared")]).join(far.select("p").distinct(), "p", "left_semi")
-        inner = B.block_pairs(far, all_, "p", "size", ("x", "x2")).where((F.col("x") != F.col("x2")) & (F.col("label") != F.col("label2")) & (lacks <= 0))
+        all_ = mine.select("p", "size", F.lit(1).alias("few"), *[F.col(c).alias(c + "2") for c in ("x", "label", "n", "shared")]).join(far.select("p").distinct(), "p", "left_semi")
+        inner = B.block_pairs(far, all_, "p", ("few", "size"), ("x", "x2")).where((F.col("x") != F.col("x2")) & (F.col("label") != F.col("label2")) & (lacks <= 0))
         pairs.append(inner.select("x", "x2"))
     return reduce(DataFrame.unionByName, pairs).select(F.least("x", "x2").alias("a"), F.greatest("x", "x2").alias("b"), F.lit(False).alias("kept")).distinct()
 

@@ -408,7 +408,7 @@ def test_outermost():
 def test_long_licence_text_takes_linear_time(spark):
     text = "Licensed under the MIT License. See CC BY 4.0, GPLv2 and Apache License, Version 2.0. " * 20_000
     got = licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
-    assert (got.n_words, got.n_base, got.first_word, got.last_word) == (340_000, 60_000, 3, 339_995) and len(got.findings) >= 60_000
+    assert (got.n_words, got.n_base, got.first_word, got.last_word) == (340_000, 60_000, 3, 339_995) and len(got.findings) == 40_000
 
 
 def test_license_rules(odd, none):

@@ -165,13 +165,11 @@ def predict(df: DataFrame, nodes: DataFrame, features: list[str]) -> DataFrame:
     """df with prediction: majority of the trees, the smallest label among equals. No shuffle: votes are counted within the row.
 
     The model is shipped to the tasks if it has at most NODES_AT_ONCE nodes; a larger one some trees at a time, each pass adding its votes to
-    the stored rows. A single tree must not exceed the bound."""
+    the stored rows. One tree is always shipped whole: the task that grew it has held it and its rows."""
     sizes = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).orderBy("tree").collect()  # one row a tree
     groups, size = [[]], 0
     for r in sizes:
-        if r["n"] > NODES_AT_ONCE:
-            raise ValueError("a tree of this size cannot be shipped to a task")
-        if size + r["n"] > NODES_AT_ONCE:
+        if size and size + r["n"] > NODES_AT_ONCE:
             groups, size = [*groups, []], 0
         groups[-1].append(r["tree"])
         size += r["n"]

@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from tessera.llm import _base as B
 
 CELLS = 65536
+#: Parts of a hot cell.
+BINS = 64
 NODES = 128
 
 
@@ -82,16 +84,22 @@ def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
         F.crc32(text.cast("binary")).alias("text_crc32"),
         h.bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("cell"),
         h.alias("h"),
+        F.monotonically_increasing_id().alias("row"),
     )
     rows = B.stored(rows, "ring")
     counts = {c: n for c, n in rows.groupBy("cell").count().collect()}  # at most CELLS rows
     spark = docs.sparkSession
     schema = T.StructType([T.StructField(k, T.LongType() if k in ("lo", "hi", "base") else T.IntegerType(), False) for k in ("cell", "lo", "hi", "shard", "base")])
     parts = spark.createDataFrame([(c, a, b, s, t) for c, a, b, s, t in settle(counts, shards, nodes, seed)], schema)
-    parts = parts.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "shard", "base"))).alias("parts"))
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("h", "id", "text_crc32", "size")) - 1
-    # One row a cell, CELLS at most: a proven bound, so it is broadcast.
-    placed = rows.withColumn("rank", rank.cast("long")).join(F.broadcast(parts), "cell")
+    parts = parts.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "shard", "base"))).alias("parts"), F.max("hi").alias("rows"))
+    # One row a cell, CELLS at most: a proven bound, so it is broadcast. A cell of more than a thousandth of the rows (one identifier, or none, that
+    # many rows bear) is counted off in BINS parts, of which there are fewer than a thousand times BINS.
+    hot = F.col("rows") > max(1, sum(counts.values()) // B.HOT_SHARE)
+    told = rows.join(F.broadcast(parts), "cell").withColumn("bin", F.when(hot, F.pmod("row", F.lit(BINS))).otherwise(0).cast("int"))
+    before = Window.partitionBy("cell").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = told.where(hot).groupBy("cell", "bin").agg(F.count(F.lit(1)).alias("n")).select("cell", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    rank = F.row_number().over(Window.partitionBy("cell", "bin").orderBy("h", "id", "text_crc32", "size", "row")) - 1
+    placed = told.withColumn("rank", rank.cast("long")).join(F.broadcast(ahead), ["cell", "bin"], "left").withColumn("rank", F.col("rank") + F.coalesce("ahead", F.lit(0)))
     part = F.element_at(F.filter("parts", lambda p: (p["lo"] <= F.col("rank")) & (F.col("rank") < p["hi"])), 1)
     return placed.withColumn("part", part).select(
         F.col("id").alias(id_col), "size", "text_crc32", F.col("part.shard").alias("shard"), (F.col("part.base") + F.col("rank") - F.col("part.lo")).alias("slot")

@@ -366,6 +366,15 @@ def test_ring_moves_little(spark):
     assert sum(a[k] != b[k] for k in a) < 0.4 * len(a)  # dealing anew by modulo moves eight ninths
 
 
+def test_ring_with_a_hot_identifier(spark):
+    """A third of the rows without identifier and a third that share one: slots stay gapless and counts equal, and the hot cells are counted off in parts."""
+    docs = spark.range(3000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) AS doc_id", "'text' AS text")
+    slots = defaultdict(list)
+    for r in sharding.shard_rows(docs, 8).collect():
+        slots[r.shard].append(r.slot)
+    assert [sorted(s) == list(range(len(s))) for s in slots.values()] == [True] * 8 and {len(s) for s in slots.values()} == {375}
+
+
 def test_ring_odd(odd, none):
     got = sharding.shard_rows(odd, 4).collect()
     assert sorted(Counter(r.shard for r in got).values()) == [1, 1, 2, 2]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,21 +98,27 @@ def grow_tree(x: np.ndarray, y: np.ndarray, classes: int, features: np.ndarray,
 def fit(df: DataFrame, features: list[str], trees: int = 100, share: float = 0.632, least: int = 1, kind: str = "gini", seed: int = 0) -> DataFrame:
     """The node table of a forest of exact trees, each grown by one task on its own subsample without replacement and sqrt(features) features.
 
-    A tree's subsample must fit a task: share bounds it. For tables beyond that use fit_binned, which never gathers rows."""
+    A tree's subsample must fit a task: share bounds it. For tables beyond that use fit_binned, which never gathers rows. Only the chosen
+    features of a row go to a tree."""
     classes = (df.agg(F.max("label")).first()[0] or 0) + 1
     width = max(1, round(len(features) ** 0.5))
+    chosen = [sorted(np.random.default_rng([seed, t]).choice(len(features), width, replace=False).tolist()) for t in range(trees)]
     dealt = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     key = F.pmod(F.xxhash64(F.lit(seed), "tree", "id"), F.lit(1_000_000))
-    dealt = dealt.where(key < int(share * 1_000_000)).select("tree", "id", "label", *features)
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values("id")
-        chosen = np.sort(np.random.default_rng([seed, tree]).choice(len(features), width, replace=False))
-        rows = grow_tree(pdf[features].to_numpy(float), pdf["label"].to_numpy(int), classes, chosen, least, kind)
-        return pd.DataFrame([(tree, *r) for r in rows], columns=[c.split()[0] for c in NODES.split(", ")])
-
-    return dealt.groupBy("tree").applyInPandas(grow, NODES)
+    values = F.array(*[F.col(f).cast("double") for f in features])
+    own = F.transform(F.element_at(F.lit(chosen), F.col("tree") + 1), lambda k: F.element_at(values, k.cast("int") + 1))
+    dealt = dealt.where(key < int(share * 1_000_000)).select("tree", "id", "label", own.alias("x"))
+
+    def grow(table: pa.Table) -> pa.Table:
+        tree, order = table.column("tree")[0].as_py(), np.argsort(table.column("id").to_numpy(), kind="stable")
+        x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, width)[order]
+        rows = grow_tree(x, table.column("label").to_numpy()[order].astype(int), classes, np.arange(width), least, kind)
+        node, left, right, var, th, label, gain = (np.array(c) for c in zip(*rows))
+        var = np.array(chosen[tree])[var] * (left > 0)
+        kinds = dict(zip(("tree", "node", "left", "right", "var", "th", "label", "gain"), (pa.int32(),) * 5 + (pa.float64(), pa.int32(), pa.float64())))
+        return pa.table({c: pa.array(v, k) for (c, k), v in zip(kinds.items(), (np.full(len(node), tree), node, left, right, var, th, label, gain))})
+
+    return dealt.groupBy("tree").applyInArrow(grow, NODES)
 
 
 def fit_binned(df: DataFrame, features: list[str], trees: int = 100, depth: int = 10, seed: int = 0):

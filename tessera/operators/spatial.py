@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from tessera.model import AXES
 DENSITY_REACH, SHIFT_REACH, MET, SHORTEST = 2.5, 10.0, 0.7, 1.0
 #: Bytes of query vectors that are shipped to all tasks at once; more are searched in blocks.
 BLOCK = 32_000_000
+#: Queries whose distances to an Arrow batch a task computes at once.
+QUERIES = 256
 
 
 def _prefixed(points: DataFrame, p: str) -> DataFrame:
@@ -70,47 +73,55 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, radius: float | None
     return out.select("qid", "rank", "pid", "d2")
 
 
+def _best(vectors: DataFrame, qids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
+    """(qid, rank, pid, d2) of one block of queries against all vectors, stored. Each task keeps its k best of each query."""
+    shipped = vectors.sparkSession.sparkContext.broadcast((qids, q))
+
+    def run(batches):
+        qids, q = shipped.value
+        norm = (q * q).sum(axis=1)
+        keep_d, keep_p = np.full((len(q), 0), 0.0), np.full((len(q), 0), 0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p = batch.column("id").to_numpy(zero_copy_only=False)
+            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(p), -1)
+            own, new_d, new_p = (flat * flat).sum(axis=1), [], []
+            for at in range(0, len(q), QUERIES):
+                some = slice(at, at + QUERIES)
+                d = np.maximum(norm[some, None] - 2 * (q[some] @ flat.T) + own[None], 0)
+                d, ids = np.hstack([keep_d[some], d]), np.hstack([keep_p[some], np.broadcast_to(p, (len(norm[some]), len(p)))])
+                order = np.lexsort((ids, d))[:, :k]
+                new_d.append(np.take_along_axis(d, order, 1))
+                new_p.append(np.take_along_axis(ids, order, 1))
+            keep_d, keep_p = np.concatenate(new_d), np.concatenate(new_p)
+        n = keep_d.shape[1]
+        for at in range(0, len(q) if n else 0, QUERIES):
+            some = slice(at, at + QUERIES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[some], n)), pa.array(keep_p[some].ravel()), pa.array(keep_d[some].ravel())], ["qid", "pid", "d2"])
+
+    order = Window.partitionBy("qid").orderBy("d2", "pid")
+    found = vectors.select("id", "embedding").mapInArrow(run, "qid long, pid long, d2 double")
+    out = stored(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "pid", "d2"))
+    shipped.destroy()
+    return out
+
+
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(qid, rank, pid, d2) in any dimension: (id, embedding array<float>) of a stated query set against all rows.
 
-    Query blocks of bounded size are shipped; each task keeps its k best of each query, so k rows a query and task are shuffled."""
-    rows = queries.select("id", "embedding").orderBy("id").toLocalIterator()
-    blocks, ids, own, size = [], [], [], 0
-    for r in rows:
+    Queries come in blocks of BLOCK bytes, one after another, so the driver and a task hold one block, however many queries there are."""
+    ids, own, size, out = [], [], 0, []
+    for r in queries.select("id", "embedding").orderBy("id").toLocalIterator():
         ids.append(r["id"])
         own.append(np.array(r["embedding"], np.float64))
         size += own[-1].nbytes
         if size >= BLOCK:
-            blocks.append((np.array(ids), np.stack(own)))
+            out.append(_best(vectors, np.array(ids), np.stack(own), k))
             ids, own, size = [], [], 0
     if ids:
-        blocks.append((np.array(ids), np.stack(own)))
-    best = None
-    for qids, q in blocks:
-        shipped = vectors.sparkSession.sparkContext.broadcast((qids, q))
-
-        def run(batches, shipped=shipped):
-            qids, q = shipped.value
-            keep_d, keep_p = np.full((len(q), 0), 0.0), np.full((len(q), 0), 0, np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                p = batch.column("id").to_numpy(zero_copy_only=False)
-                flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(p), -1)
-                d = np.stack([((flat - row) ** 2).sum(axis=1) for row in q])
-                d, ids = np.hstack([keep_d, d]), np.hstack([keep_p, np.broadcast_to(p, (len(q), len(p)))])
-                order = np.lexsort((ids, d))[:, :k]
-                keep_d, keep_p = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
-            n = keep_d.shape[1]
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(keep_p.ravel()), pa.array(keep_d.ravel())], ["qid", "pid", "d2"])
-
-        part = vectors.select("id", "embedding").mapInArrow(run, "qid long, pid long, d2 double")
-        best = part if best is None else best.unionByName(part)
-    if best is None:
-        return vectors.sparkSession.createDataFrame([], "qid long, rank int, pid long, d2 double")
-    order = Window.partitionBy("qid").orderBy("d2", "pid")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "pid", "d2")
+        out.append(_best(vectors, np.array(ids), np.stack(own), k))
+    return reduce(DataFrame.unionByName, out) if out else vectors.sparkSession.createDataFrame([], "qid long, rank int, pid long, d2 double")
 
 
 def density(queries: DataFrame, points: DataFrame, sigma: float, reach: float = DENSITY_REACH) -> DataFrame:

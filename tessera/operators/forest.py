@@ -60,6 +60,7 @@ def _impurity(counts: np.ndarray, kind: str) -> np.ndarray:
     n = counts.sum(axis=-1)
     if kind == "gini":
         return n - (counts.astype(float) ** 2).sum(axis=-1) / np.maximum(n, 1)
+    # Fixed values, from which the criterion follows: ln n! exact up to 8, the approximation of Stirling above.
     lf = lambda k: np.where(k > 8, k * np.log(np.maximum(k, 1)) - k + 0.5 * np.log(2 * np.pi * np.maximum(k, 1)), np.log(np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320]))[np.minimum(k, 8).astype(int)])
     return lf(n) - lf(counts).sum(axis=-1)
 

@@ -74,6 +74,7 @@ def deconvolve(image: np.ndarray, kernel: np.ndarray, o: Options = Options(), ea
     k = np.fft.rfftn(padded)
     forward = lambda v: np.fft.irfftn(np.fft.rfftn(v) * k, shape, axes=range(v.ndim))
     back = lambda v: np.fft.irfftn(np.fft.rfftn(v) * np.conj(k), shape, axes=range(v.ndim))
+    # Fixed values here and below, which results depend on: weights of 0.01 or less count as none; ratios keep 1e-6 from 0.
     weight = np.ones(shape)
     if o.border:
         ones = np.zeros(shape)

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from tessera.llm import _base as B
 
 #: Runs of one level that are merged into one of the next.
-FAN_IN = 3
+FAN_IN = 2
 #: Batches in which a whole table is inserted.
-BATCHES = 4
+BATCHES = 3
 
 
 def _digest(norm):

@@ -68,7 +68,7 @@ def curve_keys(ids: np.ndarray, counts: np.ndarray, projection: np.ndarray) -> n
     return hilbert_key(np.minimum(unit * (1 << BITS), (1 << BITS) - 1).astype(np.int64))
 
 
-def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = 0, cache: int = tokens.CACHE) -> DataFrame:
+def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end: int = 0, cache: int = tokens.CACHE, slice_bytes: int = 8_000_000, keep: bool = True) -> DataFrame:
     """(id, key, n, start, ids): each document's ids with the end id, 16 bit and compressed, CHUNK at most a row from start on, its number of ids and
     its Hilbert key. Written once into the shared folder."""
 
@@ -79,7 +79,7 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
         width = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
             texts, own = batch.column("text"), batch.column("id")
-            for a, b in tokens.slices(texts, 8_000_000):
+            for a, b in tokens.slices(texts, slice_bytes):
                 ids, counts = tokens.with_end(*encoder.encode(texts.slice(a, b - a)), end)
                 keys = curve_keys(ids, counts, projection)
                 small, edge = ids.astype(width), np.concatenate([[0], np.cumsum(counts)])
@@ -89,6 +89,9 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
                 packed = [squeeze.compress(small[edge[k] + at : min(edge[k] + at + CHUNK, edge[k + 1])].tobytes()) for k, at in zip(of, start)]
                 yield pa.RecordBatch.from_arrays([own.slice(a, b - a).take(pa.array(of)), pa.array(keys[of]), pa.array(counts[of]), pa.array(start), pa.array(packed, pa.binary())], ["id", "key", "n", "start", "ids"])
             tokens.give_back()
+        if not keep:
+            tokens.forget()
+            tokens.give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), B.text_of(text_col).alias("text"))
     with B.small_batches(docs.sparkSession):
@@ -100,12 +103,13 @@ def tail_cuts(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, vocabulary: str | None = None, end: int = 0, with_ids: bool = False, cache: int = tokens.CACHE) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, vocabulary: str | None = None, end: int = 0, with_ids: bool = False, cache: int = tokens.CACHE, slice_bytes: int = 8_000_000, keep: bool = True) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, key, and ids (array<int>) if with_ids.
 
     A range fills sequences of length ids one after another; only its last ids are cut to powers of two. Ranges number their
-    sequences apart (range << 40), so no task waits for another's totals. cache: segments that a worker remembers, for speed against memory."""
-    made = tokenized(docs, id_col, text_col, vocabulary, end, cache).withColumn("row", F.monotonically_increasing_id())
+    sequences apart (range << 40), so no task waits for another's totals. Speed against memory of workers: cache, the segments that
+    one remembers; slice_bytes, the text that it encodes at once; keep, whether it holds the vocabulary after the task."""
+    made = tokenized(docs, id_col, text_col, vocabulary, end, cache, slice_bytes, keep).withColumn("row", F.monotonically_increasing_id())
     keys = ["key", "id", "start", "row"]
     schema = f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, key long" + ", ids array<int>" * with_ids
 

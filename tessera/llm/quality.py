@@ -50,7 +50,7 @@ GRID = 1000
 #: shard's probabilities, which are repeated for every group: so they never move more bytes than a part of the postings.
 SHARDS, GROUP, COPIES = 32, 4 << 20, 4
 #: A block holds about BLOCK bytes of text, at most ROWS documents; a longer document is a block of its own, sorted PIECE symbols at a time.
-BLOCK, ROWS, PIECE = 6_000_000, 8192, 1 << 22
+BLOCK, ROWS, PIECE = 4_000_000, 8192, 1 << 22
 #: Rows of a packed table of probabilities.
 PACKED = 20_000
 

@@ -183,6 +183,11 @@ def encoder(path: str | None = None, cache: int = CACHE) -> Encoder:
     return _encoders[key]
 
 
+def forget() -> None:
+    """Let the worker's encoders go, for what runs in it next; the next task that needs one reads the vocabulary again."""
+    _encoders.clear()
+
+
 def give_back() -> None:
     """Return freed memory to the system; called between batches and when a task ends, since Python workers live on."""
     pa.default_memory_pool().release_unused()

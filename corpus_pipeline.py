@@ -42,8 +42,8 @@ def _mix(spark, docs, sf_dir):
 
 
 def _pack(spark, docs, sf_dir):
-    """Pieces of sequences of 1024 ids. Workers that earlier stages have used remember fewer segments."""
-    return packing.pack(docs, cache=100_000)
+    """Pieces of sequences of 1024 ids. Workers that other stages use too remember less and hold nothing afterwards."""
+    return packing.pack(docs, cache=50_000, slice_bytes=3_000_000, keep=False)
 
 
 STAGES = [("quality", _stage(_quality)), ("exact_dedup", _stage(_exact)), ("near_dedup", _stage(_near)), ("mixing", _stage(_mix)), ("packing", _stage(_pack))]

@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: shared-folder tables, skew-safe joins and bounded filters."""
+"""What the operators of this subpackage share: shared-folder tables, skew-safe joins and filters."""
 
 from __future__ import annotations
 
@@ -10,10 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import bloom
+
 #: White space of the text contracts, as a Java/Python character class.
 BLANK = r"[\x20\x09-\x0D]+"
-#: A filter has this many buckets of 32768 bits: 4 MB in all, whatever the input's size.
-FILTER_BUCKETS = 1024
 #: A key that holds more than one part in HOT_SHARE of all rows is hot; so there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
 #: Dimension tables of at most this many rows are broadcast.
@@ -165,30 +165,21 @@ def block_pairs(left: DataFrame, right: DataFrame, key: str, sizes: tuple[str, s
     return a.join(b, [key, "block_a", "block_b"]).drop("block_a", "block_b")
 
 
-# ---------------------------------------------------------------- a filter of fixed size
-
-
-def _bucket(h):
-    return F.shiftrightunsigned(h, 15).bitwiseAND(F.lit(FILTER_BUCKETS - 1)).cast("int")
-
+# ---------------------------------------------------------------- rows by their keys, moving few
 
-def _bit(h):
-    return h.bitwiseAND(F.lit(32767)).cast("long")
 
+def make_filter(keys: DataFrame, key) -> bloom.Filter:
+    """A blocked Bloom filter sized by the counted keys; keys should be cheap to count."""
+    return bloom.make(keys, key, keys.count())
 
-def make_filter(keys: DataFrame, key) -> DataFrame:
-    """Bitmaps (f_bucket, f_bits) of the hashed keys: at most FILTER_BUCKETS rows of 4 KB. It has no false negatives; as it fills
-    up on larger inputs, more rows pass that an exact join behind it drops."""
-    h = F.xxhash64(key)
-    return keys.select(_bucket(h).alias("f_bucket"), _bit(h).alias("f_pos")).groupBy("f_bucket").agg(F.expr("bitmap_construct_agg(f_pos)").alias("f_bits"))
 
+def split_by_filter(rows: DataFrame, filt: bloom.Filter) -> tuple[DataFrame, DataFrame]:
+    """rows (column key and others of the operator's own) in two: those whose key surely is not in the filter, and the others.
 
-def split_by_filter(rows: DataFrame, filt: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows (column key and others of the operator's own) in two: those whose key surely is not in the filter, and the others."""
-    h = F.xxhash64("key")
-    byte = F.expr("cast(conv(hex(substring(f_bits, cast(f_pos div 8 as int) + 1, 1)), 16, 10) as int)")
-    hit = F.coalesce(byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(f_pos % 8 as int)) as int)")) != 0, F.lit(False))
-    told = rows.withColumns({"f_bucket": _bucket(h), "f_pos": _bit(h)}).join(F.broadcast(filt), "f_bucket", "left").withColumn("f_maybe", hit).drop("f_bucket", "f_pos", "f_bits")
+    Rows with texts are not moved for a filter that is too large to be broadcast: all of them may be in it then, and the exact join decides."""
+    if filt.blocks > bloom.BROADCAST_BLOCKS:
+        return rows.where(F.lit(False)), rows
+    told = bloom.told(rows, F.col("key"), filt)
     return told.where(~F.col("f_maybe")).drop("f_maybe"), told.where("f_maybe").drop("f_maybe")
 
 

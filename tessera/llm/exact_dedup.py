@@ -1,6 +1,6 @@
 """Exact deduplication by a log-structured merge index, DataFrame functions only.
 
-Rows are inserted batch by batch. A batch is collected in memtables, the hash tables of its tasks' partial sums, and flushed as one run
+Rows are inserted batch by batch, at most MEMTABLE rows each. A batch is collected in memtables, the hash tables of its tasks' partial sums, and flushed as one run
 of level 0: one row a digest (smallest identifier, count), sorted by digest, with a filter over its digests. An inserted batch probes the
 filters of the runs already there, and what passes is looked up in the run. When FAN_IN runs stand on one level they are merged into one
 of the next level; compact() merges what is left, of whatever levels. Merging keeps the smallest identifiers. Digests found again, in a
@@ -15,15 +15,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import _base as B
+from tessera.llm import bloom
 
 #: Runs of one level that are merged into one of the next.
 FAN_IN = 2
-#: Batches in which a whole table is inserted.
-BATCHES = 3
+#: A whole table is inserted in as many batches as it has times this many rows, but in BATCHES at least.
+MEMTABLE, BATCHES = 1 << 28, 3
 
 
 def _digest(norm):
@@ -38,18 +39,41 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 class Run:
     """A sorted table (digest, keep_id, n), one row a digest, and its filter, both in the shared folder."""
 
-    def __init__(self, merged: DataFrame, level: int, scope: str):
-        self.level = level
-        self.rows = B.stored(merged.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n")).sortWithinPartitions("digest"), f"run{level}", scope)
-        self.filter = B.stored(B.make_filter(self.rows, F.col("digest")), "filter", scope)
+    def __init__(self, path: str, level: int, rows: DataFrame, filt: bloom.Filter):
+        self.path, self.level, self.rows, self.filter = path, level, rows, filt
+
+    @classmethod
+    def flush(cls, merged: DataFrame, level: int, scope: str) -> Run:
+        spark = merged.sparkSession
+        path = B.new_path(spark, f"run{level}", scope)
+        merged.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n")).sortWithinPartitions("digest").write.parquet(f"{path}/rows")
+        rows = spark.read.parquet(f"{path}/rows")
+        B.make_filter(rows, F.col("digest")).table.write.parquet(f"{path}/filter")
+        return cls.open(spark, path, level)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, level: int) -> Run:
+        rows = spark.read.parquet(f"{path}/rows")
+        return cls(path, level, rows, bloom.Filter(spark.read.parquet(f"{path}/filter"), bloom.blocks_for(rows.count())))
 
 
 class MergeIndex:
-    """Runs by age, oldest first. insert() flushes and merges, find() looks digests up, compact() leaves one run, hits() are digests seen again."""
+    """Runs by age, oldest first. insert() flushes and merges, find() looks digests up, compact() leaves one run, hits() are digests seen again.
+
+    state() names the runs, from which a later session opens the index again; runs of a scope of their own outlive the operators' tables."""
 
     def __init__(self, scope: str = "op"):
         self.scope, self.runs, self.seen = scope, [], []
 
+    def state(self) -> list[tuple[str, int]]:
+        return [(r.path, r.level) for r in self.runs]
+
+    @classmethod
+    def open(cls, spark: SparkSession, state: list[tuple[str, int]], scope: str = "op") -> MergeIndex:
+        lsm = cls(scope)
+        lsm.runs = [Run.open(spark, path, level) for path, level in state]
+        return lsm
+
     def find(self, rows: DataFrame) -> DataFrame:
         """(digest, keep_id, n) of those digests of rows that some run holds: each run is probed through its filter, then joined."""
         told = [B.split_by_filter(rows.select("digest", F.col("digest").alias("key")), r.filter)[1].select("digest").join(r.rows, "digest") for r in self.runs]
@@ -57,7 +81,7 @@ class MergeIndex:
 
     def insert(self, rows: DataFrame) -> None:
         """Flush rows (id, digest) as a run; note which of its digests are hits; merge levels that are full."""
-        new = Run(rows.select("digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n")), 0, self.scope)
+        new = Run.flush(rows.select("digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n")), 0, self.scope)
         again = new.rows.where(F.col("n") > 1).select("digest")
         self.seen.append(B.stored((again.unionByName(self.find(new.rows).select("digest")) if self.runs else again).distinct(), "hits", self.scope))
         self.runs.append(new)
@@ -65,7 +89,7 @@ class MergeIndex:
             self._merge(own)
 
     def _merge(self, runs: list[Run]) -> None:
-        merged = Run(reduce(DataFrame.unionByName, [r.rows for r in runs]), max(r.level for r in runs) + 1, self.scope)
+        merged = Run.flush(reduce(DataFrame.unionByName, [r.rows for r in runs]), max(r.level for r in runs) + 1, self.scope)
         self.runs = [r for r in self.runs if r not in runs] + [merged]
 
     def compact(self) -> DataFrame:
@@ -79,9 +103,9 @@ class MergeIndex:
         return reduce(DataFrame.unionByName, self.seen).distinct()
 
 
-def build(rows: DataFrame, batches: int = BATCHES, scope: str = "op") -> MergeIndex:
-    """An index of rows (id, digest), inserted batch by batch."""
-    lsm = MergeIndex(scope)
+def build(rows: DataFrame, batches: int | None = None, scope: str = "op") -> MergeIndex:
+    """An index of rows (id, digest), a stored table, inserted batch by batch."""
+    lsm, batches = MergeIndex(scope), batches or max(BATCHES, -(-rows.count() // MEMTABLE))
     for k in range(batches):
         lsm.insert(rows.where(F.pmod(F.xxhash64("id", "digest"), F.lit(batches)) == k))
     return lsm
@@ -102,7 +126,7 @@ def verify(docs: DataFrame, told: DataFrame, id_col: str = "doc_id", text_col: s
     return hits.groupBy(_digest(F.col("norm")).alias("digest")).agg(F.min("norm").alias("a"), F.max("norm").alias("b")).where(F.col("a") != F.col("b")).select("digest")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int | None = None) -> DataFrame:
     """One row per document: id_col, keep_id, group_size, kept, text_sha256."""
     rows = B.stored(digests(docs, id_col, text_col), "digests")
     lsm = build(rows, batches)
@@ -118,7 +142,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int | None = None) -> DataFrame:
     """docs without the copies, columns as they were.
 
     Copies are known by identifier, so texts are digested once. Rows without identifier, rows that share one and rows of colliding

@@ -2,7 +2,9 @@
 
 A text is folded to words: ASCII letters in lower case, digits and everything beyond ASCII; all else separates. Rules are
 regexes over the words joined by single spaces. Each has keywords, words that stand in every text its regex can match, so most
-texts meet no regex at all. Where detections overlap, one whose words lie within those of another of higher or equal priority goes. Base
+texts meet no regex at all. Sentences come before notices ("licensed under the ..."), these before tags ("SPDX-License-Identifier: ...",
+"license: ..."; every name of an expression with OR, AND and brackets is a tag), these before identifiers (Apache-2.0, GPLv3, LGPL-2.1-only,
+GPL-2.0-or-later, GPL-2.0+) and bare names. Where detections overlap, one whose words lie within those of another of higher or equal priority goes. Base
 phrases are found apart from the rules and always stay.
 
 Cases: a null text counts as empty, has no words and score 0; rows that repeat get equal results; null identifiers are kept;
@@ -264,6 +266,12 @@ proprietary | unauthorized copying prohibited | unauthorized copying of this fil
 """
 
 
+#: Licenses that say "or any later version": each has a label of its own for that.
+LATER = {x: f"{x}-or-later" for x in ("gpl-1.0", "gpl-2.0", "gpl-3.0", "lgpl-2.0", "lgpl-2.1", "lgpl-3.0", "agpl-1.0", "agpl-3.0", "gfdl-1.1", "gfdl-1.2", "gfdl-1.3")}
+#: Labels without version that are licenses' tags only where a text speaks of a license.
+CONTEXT = r"(?:spdx licen[sc]e identifier|licen[sc]es?(?: expression| type| id| is)?|licen[sc]ed under(?: the)?)"
+_SPOKEN = frozenset(x.encode() for x in ("spdx", "license", "licence", "licenses", "licences", "licensed", "licenced"))
+
 #: Stands for whatever a pattern leaves open.
 WILD = "\0"
 
@@ -319,27 +327,73 @@ def _gate(pattern: str) -> tuple[frozenset, frozenset]:
     return every, frozenset() if every else frozenset(max(h, key=lambda w: (len(w), w)) for h in held)
 
 
+def identifier(label: str) -> str | None:
+    """How a versioned label is written in short, over folded words: apache 2 0, apache v2, apachev2; None for other labels."""
+    if not (m := re.fullmatch(r"(.+)-(\d+)(?:\.(\d+[a-z]?))?", label)):
+        return None
+    name, major, minor = re.sub(r"[^a-z0-9]+", " ", m[1]), m[2], m[3]
+    rest = "" if minor is None else "( 0)?" if minor == "0" else f" {minor}"
+    return f"{name} {major}" + (f" {minor}" if minor else "") + f"|{name} ?v ?{major}{rest}"
+
+
 def rules() -> list[Rule]:
-    """In order: sentences of texts and notices, notices that name a license, tags, bare names."""
+    """In order: sentences of texts and notices, notices that name a license, identifiers, bare names. Tags are found apart, see TAG."""
     out = []
     for line in filter(None, SENTENCES.strip().split("\n")):
         label, words, pattern = line.split(" | ")
         gate = frozenset(w.encode() for w in words.split()) & _gate(pattern)[0]
         out.append(Rule(label, 40, 1.0, gate, frozenset(), pattern))
     named = [(*line.split(" | "), *_gate(line.split(" | ")[1])) for line in filter(None, NAMES.strip().split("\n"))]
+    notice = "(licen[sc]ed|released|distributed|available|provided|published) under (the )?(terms of the )?"
     for label, pattern, gate, some in named:
-        out.append(Rule(label, 30, 0.9, gate | {b"under"}, some, rf"(licen[sc]ed|released|distributed|available|provided|published) under (the )?(terms of the )?({pattern})"))
-    for label in dict.fromkeys(x[0] for x in named):
-        tag = re.sub(r"[^a-z0-9]+", " ", label)
-        out.append(Rule(label, 20, 0.95, frozenset((b"spdx", tag.split()[0].encode())), frozenset(), rf"spdx licen[sc]e identifier {tag}( only| or later)?"))
+        out.append(Rule(label, 30, 0.9, gate | {b"under"}, some, rf"{notice}({pattern})"))
+    short = {label: identifier(label) for label in dict.fromkeys(x[0] for x in named)}
+    for label, pattern in short.items():
+        if pattern:
+            if label in LATER:
+                whole = "|".join(p for x, p, *_ in named if x == label) + "|" + pattern
+                later = rf"({whole}) or (at your option )?(any )?later( version)?"
+                out.append(Rule(LATER[label], 32, 0.9, *_gate(later), later))
+            out.append(Rule(label, 15, 0.8, *_gate(pattern), rf"({pattern})( only)?"))
     for label, pattern, gate, some in named:
         out.append(Rule(label, 10, 0.7, gate, some, pattern))
     return out
 
 
+def tags() -> tuple[list[str], str]:
+    """Labels, and a pattern of all tags whose k-th group is the k-th label's: the longer first."""
+    labels = dict.fromkeys(line.split(" | ")[0] for line in NAMES.strip().split("\n"))
+    forms = [(LATER[x], f"(?:{identifier(x)}) or later") for x in LATER]
+    forms += sorted(((x, f"(?:{p})(?: only)?" if (p := identifier(x)) else re.sub(r"[^a-z0-9]+", " ", x)) for x in labels), key=lambda f: -len(f[1]))
+    forms = [(x, f + r"(?! licen[sc]e )" if x == "mit" else f) for x, f in forms]  # a base phrase, which is found apart
+    return [x for x, _ in forms], "|".join(f"({p.replace('( 0)?', '(?: 0)?')})" for _, p in forms)
+
+
 RULES = rules()
+TAGGED, _TAG = tags()
+TAG = re.compile(rb" (?:" + _TAG.encode() + rb")(?= )")
+#: Where a text speaks of a license, before tags.
+SPOKEN = re.compile(rb"(?<= )" + CONTEXT.encode() + rb"(?= )")
+TAG_PRIORITY, TAG_WEIGHT = 20, 0.95
+
+
+def tagged(joined: bytes) -> list[tuple[int, int, str]]:
+    """(start, end, label) of every tag that follows words for a license, or a tag that does and a joining word."""
+    found = []
+    for m in SPOKEN.finditer(joined):
+        at = m.end()
+        while t := TAG.match(joined, at):
+            found.append((t.start() + 1, t.end(), TAGGED[t.lastindex - 1]))
+            at = t.end()
+            if join := _JOIN.match(joined, at):
+                at = join.end()
+    return found
+
+
+_JOIN = re.compile(rb" (?:or|and|with)(?= )")
 _FOLD = bytes(32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_ANY = frozenset().union(*(r.gate | r.some for r in RULES))
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_ANY = _SPOKEN.union(*(r.gate | r.some for r in RULES))
 
 
 def fold(text: str) -> list[bytes]:
@@ -377,7 +431,13 @@ def outermost(found: list[tuple]) -> list[tuple]:
     return kept
 
 
-def detections(words: list[bytes], joined: bytes, spaces: np.ndarray) -> list[tuple[int, int, str, int, float]]:
+def plus_words(text: str) -> set[int]:
+    """Which words a + follows at once, as in GPL-2.0+."""
+    raw = text.encode("utf-8", "surrogatepass")
+    return {k for k, m in enumerate(_WORD.finditer(raw)) if raw[m.end() : m.end() + 1] == b"+"}
+
+
+def detections(words: list[bytes], joined: bytes, spaces: np.ndarray, text: str = "") -> list[tuple[int, int, str, int, float]]:
     """(first word, word after the last, label, priority, weight) of the rules, without those that lie within one of higher or equal priority."""
     there = _ANY.intersection(words)
     found = []
@@ -387,7 +447,15 @@ def detections(words: list[bytes], joined: bytes, spaces: np.ndarray) -> list[tu
                 for m in r.pattern.finditer(joined):
                     a, b = np.searchsorted(spaces, m.span()).tolist()
                     found.append((a - 1, b, r.label, r.priority, r.weight, k))
-    return sorted(d[:5] for d in outermost(found))
+        if not _SPOKEN.isdisjoint(there):
+            for start, end, label in tagged(joined):
+                a, b = np.searchsorted(spaces, (start, end)).tolist()
+                found.append((a - 1, b, label, TAG_PRIORITY, TAG_WEIGHT, len(RULES)))
+    found = [d[:5] for d in outermost(found)]
+    if "+" in text and any(d[2] in LATER for d in found):
+        plus = plus_words(text)
+        found = [(*d[:2], LATER.get(d[2], d[2]) if d[1] - 1 in plus else d[2], *d[3:]) for d in found]
+    return sorted(found)
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -403,7 +471,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     words = fold(text)
                     joined = b" " + b" ".join(words) + b" "
                     spaces = spaces_of(joined)
-                    base, found = base_places(joined, spaces), detections(words, joined, spaces)
+                    base, found = base_places(joined, spaces), detections(words, joined, spaces, text)
                     own = {label for _, label in base}
                     at = [w for w, _ in base]
                     out.append(

@@ -5,8 +5,12 @@ allocated to sources by highest quotients target / (2 k + 1), then each source's
 integer quotas for each shard and source. Within a shard and source the documents stand in a seeded order. A quota of words takes
 every document quota div size of the stream times, and those at the head of the order, whole, once more until the rest is used up.
 
+Documents of equal source, identifier and size, repeated rows and rows without identifier above all, are one group in every step and stand one
+after another in the order, so a group may hold any part of the rows; a quota that ends within a group takes so many of its documents.
+
 Cases: a null text has size 0; documents of size 0 are never taken; a null source is a source of its own, last in order; rows
-that repeat are rows like any other; an empty table gives an empty result; other columns are ignored.
+that repeat are rows like any other; an empty table gives an empty result; other columns are ignored. The table of sources, a row a
+source, is summed and ranked in one task; all else is dealt out.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from tessera.llm import _base as B
 RESOLUTION, MIN_BLOCK = 1_000_000, 16
 #: Documents are dealt to this many bins of their source; a shard is a set of bins.
 BINS = 1024
+#: Documents of one group that a task writes at a time.
+RUN = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -69,13 +75,14 @@ def sainte_lague(parties: DataFrame, votes: str, seats, by: list[str], ties: lis
     return p.join(w, on, "left").withColumn(out, F.col("_low") + F.coalesce("_won", F.lit(0).cast("long"))).select(*parties.columns, out)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=source_weights, max_repeat: int = 3, shards: int = 8, seed: int = 0) -> DataFrame:
-    """One row per document: id_col, size, source, source_size, target, shard, taken (words that the mix takes, repeats counted), epochs."""
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=source_weights, max_repeat: int = 3, shards: int = 8, seed: int = 0) -> DataFrame:
+    """One row per group of documents of equal id, source and size: id, source, size, docs, source_size, target, shard, epochs (how often each
+    of its documents is taken) and more (how many of them are taken once more)."""
     assert BINS % shards == 0 and 1 <= max_repeat
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(B.text_of(text_col), F.lit(WORD)).cast("long").alias("size"))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "id", "size"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), _size(text_col).alias("size"))
+    rows = rows.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("docs")).withColumns({"h": F.xxhash64(F.lit(seed), "id", "size"), "words": F.col("size") * F.col("docs")})
     rows = B.stored(rows.withColumn("bin", F.pmod(F.col("h"), F.lit(BINS)).cast("int")), "sizes")
-    bins = B.stored(rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "bins")
+    bins = B.stored(rows.groupBy("source", "bin").agg(F.sum("words").alias("bin_size")), "bins")
     sources = bins.groupBy("source").agg(F.sum("bin_size").alias("source_size"))
     # The table of sources has a row a source; all windows without a key run over it alone.
     plan = B.stored(targets(weights(sources), max_repeat), "targets")
@@ -97,16 +104,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = B.stored(placed.join(st, placed["source"].eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h"))).drop("_s", "_h"), "placed")
     cuts = _cuts(rows, placed)
     placed = placed.join(cuts, placed["source"].eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h")), "left").drop("_s", "_h")
-    # Both sides are dealt by (source, bin), of which none holds more than a thousandth of a source.
+    # Both sides are dealt by (source, bin), of which none holds more than a thousandth of a source's groups.
     told = _starts(rows, placed.withColumn("cut", F.coalesce("cut", "extra")))
-    more = F.when(F.col("at") + F.col("size") <= F.col("cut"), F.col("size")).otherwise(F.lit(0).cast("long"))
-    return told.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", "shard", (F.col("epochs") * F.col("size") + more).alias("taken"), "epochs")
+    fit = F.floor((F.col("cut") - F.col("at")) / F.col("size"))
+    more = F.when(F.col("size") > 0, F.greatest(F.lit(0).cast("long"), F.least("docs", fit))).otherwise(F.lit(0).cast("long"))
+    return told.select("id", "source", "size", "docs", "source_size", "target", "shard", F.when(F.col("size") > 0, F.col("epochs")).otherwise(F.lit(0).cast("long")).alias("epochs"), more.alias("more"))
+
+
+def _size(text_col: str):
+    return F.regexp_count(B.text_of(text_col), F.lit(WORD)).cast("long")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """One row per document: id_col, size, source, source_size, target, shard, taken (words that the mix takes, repeats counted), epochs. options: see decide."""
+    told = B.stored(decide(docs, id_col, **options), "decided")
+    parts = told.select("*", F.explode(F.array(F.struct(F.col("more").alias("n"), F.lit(1).alias("plus")), F.struct((F.col("docs") - F.col("more")).alias("n"), F.lit(0).alias("plus")))).alias("x")).where("x.n > 0")
+    # A large group is written by many tasks, RUN documents at a time.
+    runs = parts.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("x.n") - 1) / RUN))))
+    if not told.where(F.col("docs") > RUN).isEmpty():
+        runs = runs.repartition(F.xxhash64("id", "source", "size", "x", "run"))
+    each = runs.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(RUN).cast("long"), F.col("x.n") - F.col("run") * RUN))))
+    return each.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", "shard", ((F.col("epochs") + F.col("x.plus")) * F.col("size")).alias("taken"), "epochs")
 
 
 def _starts(rows: DataFrame, placed: DataFrame) -> DataFrame:
-    """rows of the bins in placed, with placed's columns and at, where the document begins in its stream."""
+    """rows of the bins in placed, with placed's columns and at, where the group begins in its stream."""
     within = Window.partitionBy("source", "bin").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    own = rows.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0).cast("long")))
+    own = rows.withColumn("at", F.coalesce(F.sum("words").over(within), F.lit(0).cast("long")))
     pl = placed.withColumnsRenamed({"source": "_s", "bin": "_b"})
     return own.join(pl, own["source"].eqNullSafe(F.col("_s")) & (F.col("bin") == F.col("_b"))).drop("_s", "_b").withColumn("at", F.col("at") + F.col("bin_at"))
 
@@ -119,7 +143,8 @@ def _cuts(rows: DataFrame, placed: DataFrame) -> DataFrame:
     ends = placed.where((F.col("extra") > 0) & (F.col("bin_at") <= F.col("extra")) & (F.col("extra") < F.col("bin_at") + F.col("bin_size")))
     b = ends.select(F.col("source").alias("_s"), F.col("bin").alias("_b"))
     few = rows.join(b, rows["source"].eqNullSafe(F.col("_s")) & (F.col("bin") == F.col("_b")), "left_semi")
-    last = _starts(few, ends).where((F.col("at") <= F.col("extra")) & (F.col("extra") < F.col("at") + F.col("size")))
+    last = _starts(few, ends).where((F.col("at") <= F.col("extra")) & (F.col("extra") < F.col("at") + F.col("words")))
+    last = last.withColumn("at", F.col("at") + F.floor((F.col("extra") - F.col("at")) / F.col("size")) * F.col("size"))  # the document within its group
     held = last.groupBy("source").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("first"), "shard", "at", "size", "extra"))).alias("ends"))
     start = F.struct(F.lit(0).cast("long").alias("over"), F.array().cast("array<struct<shard:int,cut:bigint>>").alias("cuts"))
 
@@ -132,11 +157,31 @@ def _cuts(rows: DataFrame, placed: DataFrame) -> DataFrame:
     return held.select(F.col("source").alias("_s"), F.explode(F.aggregate("ends", start, step)["cuts"]).alias("c")).select("_s", F.col("c.shard").alias("_h"), F.col("c.cut").alias("cut"))
 
 
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs as the mix takes them: a document of size s of which t words are taken, a multiple of s, stands t / s times.
-    Columns as they were; rows with the same identifier share their mean."""
-    told = mix(docs, id_col, **options)
-    times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    copies = told.select(F.col(id_col).alias("key"), times.alias("n")).groupBy("key").agg(F.round(F.avg("n")).cast("int").alias("n")).where("n > 0")
-    rows, own = B.keyed(docs, F.col(id_col).cast("long")), copies.withColumnRenamed("key", "own")
-    return rows.join(own, F.col("key").eqNullSafe(F.col("own"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """docs as the mix takes them, each as often as decided, columns as they were.
+
+    Rows are told by their identifier where all are there and unlike, else by source, identifier and size together. Of a group that is taken
+    in part, at most one a source and shard, the rows are written once and counted off partition by partition."""
+    told = B.stored(decide(docs, id_col, text_col, source_col, **options), "decided")
+    own, source = F.col(id_col).cast("long"), F.col(source_col).cast("string")
+    if told.groupBy("id").agg(F.sum("docs").alias("n")).where("n > 1 or id is null").isEmpty():
+        key, named = own, F.col("id")
+    else:
+        known = lambda i, s, n: F.struct(i.isNull().alias("a"), F.coalesce(i, F.lit(0)).alias("b"), s.isNull().alias("c"), F.coalesce(s, F.lit("")).alias("d"), n.alias("e"))
+        key, named = known(own, source, _size(text_col)), known(F.col("id"), F.col("source"), F.col("size"))
+    index = told.select(named.alias("key"), "docs", "epochs", "more")
+    total = told.agg(F.sum("docs")).first()[0] or 0
+    rows = B.keyed(docs, key)
+    if index.where(F.col("docs") > max(1, total // B.HOT_SHARE)).isEmpty():
+        met = rows.join(index, "key")
+    else:
+        met = B.lookup(rows, index, "key", "docs", total, "inner")
+    split = (F.col("more") > 0) & (F.col("more") < F.col("docs"))
+    out = met.where(~split).select("row", (F.col("epochs") + F.when(F.col("more") > 0, 1).otherwise(0)).alias("n"))
+    if not index.where(split).isEmpty():
+        some = B.stored(met.where(split).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "split")
+        ahead = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        before = some.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c")).select("key", "part", F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("before"))
+        rank = F.row_number().over(Window.partitionBy("key", "part").orderBy("at")) + F.col("before")
+        out = out.unionByName(some.join(before, ["key", "part"]).select("row", (F.col("epochs") + F.when(rank <= F.col("more"), 1).otherwise(0)).alias("n")))
+    return out.where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("row.*")

@@ -290,9 +290,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, columns as they were. Only rows that a bounded filter takes for copies move.
-
-    Rows of one identifier stay or go together."""
-    told = near_groups(docs, id_col, text_col)
-    gone = B.stored(told.groupBy(F.col(id_col).alias("key")).agg(F.max("kept").alias("kept")).where("not kept").select("key"), "dropped")
-    return B.anti_rows(docs, F.col(id_col).cast("long"), gone)
+    """docs with one document of each component, columns as they were. Only rows that a filter takes for copies move.
+
+    Rows without identifier and rows that share one, usually none, are written once with numbers of their own, beyond all identifiers, and
+    are documents like any other: each stays or goes by its own text."""
+    own = F.col(id_col).cast("long")
+    odd = B.stored(docs.select(own.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or key is null").select("key"), "odd")
+    dropped = lambda told, key: B.stored(told.where("not kept").select(F.col(key).alias("key")), "dropped")
+    if odd.isEmpty():
+        return B.anti_rows(docs, own, dropped(near_groups(docs, id_col, text_col), id_col))
+    low, top = docs.agg(F.min(own), F.max(own)).first()
+    first = 0 if top is None else top + 1 if top < 1 << 62 else low - (1 << 61)
+    if first < -(1 << 63):  # identifiers reach from end to end: all rows are numbered anew
+        first, plain, strange = 0, docs.where(F.lit(False)), docs
+    else:
+        plain, strange = B.anti_rows(docs.where(own.isNotNull()), own, odd), docs.where(own.isNull()).unionByName(B.semi_rows(docs, own, odd))
+    strange = strange.select((F.lit(first) + F.monotonically_increasing_id()).alias("key"), B.text_of(text_col).alias("text"), F.struct("*").alias("row"))
+    strange = B.stored(strange, "strange")
+    every = plain.select(own.alias("key"), B.text_of(text_col).alias("text")).unionByName(strange.select("key", "text"))
+    gone = dropped(near_groups(every, "key", "text"), "key")
+    return B.anti_rows(plain, own, gone).unionByName(strange.join(gone, "key", "left_anti").select("row.*"))

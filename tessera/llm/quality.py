@@ -46,9 +46,10 @@ HIGH, LEAST_HELD = 0.99, 100
 PRIOR = 60
 #: Log probabilities are counted in steps of 1 / GRID for the quantiles.
 GRID = 1000
-#: N-grams are dealt to SHARDS by a hash. A group of blocks has about GROUP bytes of text for each shard, but at least COPIES times as many as the
+#: N-grams are dealt to shards by a hash of FINE values: so many that a shard has about SHARD_GRAMS distinct ones (16 bytes each, held and sorted by a
+#: worker), but LEAST_SHARDS at least. A group of blocks has about GROUP bytes of text for each shard, but at least COPIES times as many as the
 #: shard's probabilities, which are repeated for every group: so they never move more bytes than a part of the postings.
-SHARDS, GROUP, COPIES = 32, 4 << 20, 4
+FINE, SHARD_GRAMS, LEAST_SHARDS, GROUP, COPIES = 1 << 16, 1_000_000, 32, 4 << 20, 4
 #: A block holds about BLOCK bytes of text, at most ROWS documents; a longer document is a block of its own, sorted PIECE symbols at a time.
 BLOCK, ROWS, PIECE = 4_000_000, 8192, 1 << 22
 #: Rows of a packed table of probabilities.
@@ -155,8 +156,16 @@ def smoothed(wanted: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -> Da
     return got.where(F.col("p").isNotNull()).unionByName(backed.select(*got.columns))
 
 
-def shard_of(g: np.ndarray) -> np.ndarray:
-    return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(SHARDS)
+def fine_of(g: np.ndarray) -> np.ndarray:
+    return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(FINE)
+
+
+def shard_of(g: np.ndarray, shards: int) -> np.ndarray:
+    return (fine_of(g) * np.uint64(shards) // np.uint64(FINE)).astype(np.int32)
+
+
+def shards_for(grams: int) -> int:
+    return min(FINE, max(LEAST_SHARDS, -(-grams // SHARD_GRAMS)))
 
 
 def _occurrences(unit: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,12 +201,12 @@ def _occurrences(unit: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, own + first, n
 
 
-def _payloads(unit: np.ndarray, doc: np.ndarray, squeeze) -> list[tuple[int, bytes]]:
+def _payloads(unit: np.ndarray, doc: np.ndarray, squeeze, shards: int) -> list[tuple[int, bytes]]:
     """(shard, postings): distinct n-grams, how many documents each has, those documents and how often each holds it."""
     gram, own, n = _occurrences(unit, doc)
-    shard = shard_of(gram).astype(np.int8)
+    shard = shard_of(gram, shards)
     order = np.argsort(shard, kind="stable")
-    gram, own, n, edge = gram[order], own[order].astype(np.uint16), n[order].astype(np.uint32), np.searchsorted(shard[order], np.arange(SHARDS + 1))
+    gram, own, n, edge = gram[order], own[order].astype(np.uint16), n[order].astype(np.uint32), np.searchsorted(shard[order], np.arange(shards + 1))
     out = []
     for s, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
         if a < b:
@@ -230,7 +239,7 @@ def _batch(names: list[str], kinds: dict, n: int, given: dict) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(given[c], kinds[c]) if c in given else pa.nulls(n, kinds[c]) for c in names], names)
 
 
-def postings(rows: DataFrame) -> DataFrame:
+def postings(rows: DataFrame, shards: int) -> DataFrame:
     """rows (text, id, lang, k1, k2) as postings (shard, block, docs, payload) and one row a document (shard, block, doc, id, lang, k1, k2, symbols,
     parts), parts being the number of its block's postings. A block's number is a hash of its place and its documents, so postings and
     documents of unlike runs of a task never meet."""
@@ -250,8 +259,8 @@ def postings(rows: DataFrame) -> DataFrame:
                 own = {c: batch.column(c).slice(a, m) for c in ("id", "lang", "k1", "k2")}
                 place = np.array([part, at], np.int64).tobytes() + b"".join(own[c].to_numpy(zero_copy_only=False).tobytes() for c in ("k1", "k2"))
                 block = int(np.uint64(xxhash.xxh3_64_intdigest(place)).view(np.int64))
-                told = [x for k in range(0, len(doc), PIECE) for x in _payloads(unit[k : k + PIECE + ORDER - 1], doc[k : k + PIECE], squeeze)]
-                yield _batch(names, kinds, m, own | {"shard": np.full(m, block % SHARDS), "block": np.full(m, block), "doc": np.arange(m), "symbols": sizes, "parts": np.full(m, len(told))})
+                told = [x for k in range(0, len(doc), PIECE) for x in _payloads(unit[k : k + PIECE + ORDER - 1], doc[k : k + PIECE], squeeze, shards)]
+                yield _batch(names, kinds, m, own | {"shard": np.full(m, block % shards), "block": np.full(m, block), "doc": np.arange(m), "symbols": sizes, "parts": np.full(m, len(told))})
                 yield _batch(names, kinds, len(told), {"shard": [s for s, _ in told], "block": [block] * len(told), "docs": [m] * len(told), "payload": [p for _, p in told]})
                 at += 1
         tokens.give_back()
@@ -260,7 +269,7 @@ def postings(rows: DataFrame) -> DataFrame:
 
 
 def _distinct_grams(rows: DataFrame) -> DataFrame:
-    """(gram, shard) of all texts."""
+    """(gram, fine) of all texts."""
 
     def run(batches):
         for batch in batches:
@@ -269,10 +278,10 @@ def _distinct_grams(rows: DataFrame) -> DataFrame:
                 g = np.unique(np.concatenate([np.unique(g[k : k + PIECE]) for k in range(0, len(g), PIECE)])) if len(g) else g
                 for k in range(0, len(g), 50_000):
                     part = g[k : k + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(shard_of(part).astype(np.int32))], ["gram", "shard"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(fine_of(part).astype(np.int32))], ["gram", "fine"])
         tokens.give_back()
 
-    return rows.select("text").mapInArrow(run, "gram long, shard int").distinct()
+    return rows.select("text").mapInArrow(run, "gram long, fine int").distinct()
 
 
 def _packed(scores: DataFrame) -> DataFrame:
@@ -306,9 +315,11 @@ def document_costs(rows: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -
     Only rows' postings move, once: they are made twice as small as the texts by putting equal n-grams of a block together."""
     spark = rows.sparkSession
     with B.small_batches(spark):
-        table = B.stored(_packed(smoothed(_distinct_grams(rows), levels)), "scores")
+        grams_ = B.stored(_distinct_grams(rows), "distinct")
+        shards = shards_for(grams_.count())
+        table = B.stored(_packed(smoothed(grams_.select("gram", F.floor(F.col("fine") * F.lit(shards).cast("long") / FINE).cast("int").alias("shard")), levels)), "scores")
     size = table.agg(F.sum(F.octet_length("grams") + F.octet_length("costs"))).first()[0] or 0
-    groups = max(1, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // max(SHARDS * GROUP, COPIES * size))
+    groups = max(1, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // max(shards * GROUP, COPIES * size))
     kinds = {"block": pa.int64(), "sums": pa.binary()} | _INFO
     names, info = list(kinds), list(_INFO)
     nothing = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in _INFO_SQL.split(", ")]
@@ -341,7 +352,7 @@ def document_costs(rows: DataFrame, levels: list[tuple[DataFrame, DataFrame]]) -
         tokens.give_back()
 
     with B.small_batches(spark, 1000):
-        work = postings(rows).select("shard", F.pmod("block", F.lit(groups)).cast("int").alias("part"), F.lit(1).alias("tag"), "block", "docs", F.lit(None).cast("binary").alias("grams"), F.col("payload").alias("body"), *info)
+        work = postings(rows, shards).select("shard", F.pmod("block", F.lit(groups)).cast("int").alias("part"), F.lit(1).alias("tag"), "block", "docs", F.lit(None).cast("binary").alias("grams"), F.col("payload").alias("body"), *info)
         both = keys.unionByName(work).repartition("shard", "part").sortWithinPartitions("shard", "part", "tag")
         sums = B.stored(both.mapInArrow(add_up, "block long, sums binary, " + _INFO_SQL), "sums")
 

@@ -114,11 +114,11 @@ def _url_sql() -> str:
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)
     words = ", ".join(f"'{w}'" for w in urls.UNWANTED)
     tracking = urls.TRACKING
-    return f"""
+    return rf"""
 WITH p AS (SELECT row_number() OVER () AS row, page_id, coalesce(url, '') AS u FROM pages),
 q AS (SELECT row, page_id, {after} AS rest FROM p),
 h AS (SELECT row, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
-  list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{tracking}'))) AS params FROM q),
+  list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{tracking}'))) AS params FROM q),
 n AS (SELECT row, page_id, host, path, regexp_replace(regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':(80|443)?$', ''), '\.+$', ''), '^www\.', '') AS name,
   regexp_replace(regexp_replace(regexp_replace(path, '/+', '/', 'g'), '(/index)?\.html?$', ''), '/$', '') AS way, array_to_string(params, '&') AS query FROM h),
 c AS (SELECT row, page_id, host, path, CASE WHEN name = '' THEN '' ELSE name || way || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical FROM n),

@@ -67,6 +67,25 @@ def test_later_batches_keep_smallest_identifiers(spark):
         assert {bytes(x.digest): (x.keep_id, x.n) for x in lsm.compact().collect()} == want and len(lsm.runs) == 1
 
 
+def test_stored_index_is_opened_again(spark):
+    """Runs are found again by their paths, and an index that already stood takes more batches."""
+    rows = lambda a, b: spark.createDataFrame([(k, b"%d" % (k % 50)) for k in range(a, b)], "id long, digest binary")
+    first = exact_dedup.build(rows(100, 400), batches=3)
+    later = exact_dedup.MergeIndex.open(spark, first.state())
+    assert [x.level for x in later.runs] == [x.level for x in first.runs] and len(later.runs) > 1
+    later.insert(rows(0, 40))
+    assert {bytes(x.digest) for x in later.hits().collect()} == {b"%d" % k for k in range(40)}
+    assert {bytes(x.digest): (x.keep_id, x.n) for x in later.compact().collect()} == {b"%d" % k: (k, 7) if k < 40 else (100 + k - 50 * (k >= 50), 6) if k < 50 else None for k in range(50)} | {b"%d" % k: (k + 100, 6) for k in range(40, 50)}
+
+
+def test_batches_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MEMTABLE", 20)
+    seen = []
+    monkeypatch.setattr(exact_dedup.MergeIndex, "insert", lambda self, rows: seen.append(rows.count()))
+    exact_dedup.build(spark.createDataFrame([(k, b"%d" % k) for k in range(150)], "id long, digest binary"))
+    assert len(seen) == 8 and sum(seen) == 150
+
+
 def test_exact_copies_without_or_with_shared_identifiers(spark):
     rows = [(1, "a b", "x"), (1, "a  b", "y"), (1, "c", "x"), (None, "a b", "x"), (None, "d", "x"), (None, "d", "x"), (2, "c", "x"), (3, "e", "x"), (4, "e", "y"), (5, None, "x"), (6, "", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
@@ -475,6 +494,26 @@ def test_license_rules_with_and_without_optional_parts():
             assert scan(text.replace(licenses.WILD, "x ")), (label, text)
 
 
+def license_labels(text):
+    words = licenses.fold(text)
+    joined = b" " + b" ".join(words) + b" "
+    return {d[2] for d in licenses.detections(words, joined, licenses.spaces_of(joined), text)}
+
+
+def test_every_label_as_tag_and_identifier():
+    for label in dict.fromkeys(line.split(" | ")[0] for line in licenses.NAMES.strip().split("\n")):
+        forms = [f"SPDX-License-Identifier: {label}", f"License: {label}", f'"license": "{label}"', f"SPDX-License-Identifier: MIT OR {label}", f"SPDX-License-Identifier: ({label} AND ISC) OR MIT"]
+        if licenses.identifier(label):
+            forms += [label, label.upper(), f"see {label}-only.", f"{label} OR MIT"]
+        for text in forms:
+            assert label in license_labels(text), text
+    for label, later in licenses.LATER.items():
+        for text in (f"{label}+", f"{label}-or-later", f"License: {label}-or-later", f"SPDX-License-Identifier: {label}+", f"licensed under {label}-or-later", f"SPDX-License-Identifier: MIT OR {label}-or-later"):
+            assert later in license_labels(text) and label not in license_labels(text), text
+    assert license_labels("released under the MPLv2, or GPLv3") == {"mpl-2.0", "gpl-3.0"}
+    assert not license_labels("the MIT students read the license and mit nothing")
+
+
 # ---------------------------------------------------------------- 10
 
 
@@ -539,6 +578,35 @@ def test_mix_meets_targets_in_whole_documents(spark):
         assert abs(words[s] - target[s]) <= 150 + 4 * mixing.MIN_BLOCK, (s, words[s], target[s])
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_mix_with_missing_and_repeated_identifiers(spark, hot):
+    """A third of the rows have no identifier, a third share one: each source's words after the stage still meet its target."""
+    size = (lambda k: 50) if hot else (lambda k: 40 + 37 * k % 61)
+    rows = [((None, k % 7, 1000 + k)[k % 3], "w " * size(k), ("a", "b", "c", None)[k // 3 % 4], k) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row int").repartition(5)
+    told = mixing.mix(docs).collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in told) == Counter((d, s, size(k)) for d, _, s, k in rows)
+    planned, target, words, copies = Counter(), {}, Counter(), Counter()
+    for r in told:
+        assert r.taken % r.size == 0 and r.taken <= 3 * r.size
+        planned[r.source] += r.taken
+        target[r.source] = r.target
+    for r in mixing.apply_mix(docs).collect():
+        words[r.source] += size(r.row)
+        copies[r.row] += 1
+    assert words == planned and max(copies.values()) <= 3
+    for s in target:
+        assert abs(words[s] - target[s]) <= 110 + 4 * mixing.MIN_BLOCK, (s, words[s], target[s])
+
+
+def test_mix_of_one_large_group(spark, monkeypatch):
+    """Rows that are all alike are taken in part, by many runs."""
+    monkeypatch.setattr(mixing, "RUN", 7)
+    docs = spark.createDataFrame([(None, "a b c", "x", 1)] * 400 + [(k, "d e f", "y", 2) for k in range(100)], "doc_id long, text string, source string, z int").repartition(6)
+    told = Counter((r.source, r.taken) for r in mixing.mix(docs).collect())
+    assert sum(told.values()) == 500 and {s: sum(t * n for (x, t), n in told.items() if x == s) for s in "xy"} == Counter({s: 3 * n for s, n in Counter(r.source for r in mixing.apply_mix(docs).collect()).items()})
+
+
 def test_mix_odd(odd, none, docs):
     assert mixing.mix(odd).count() == 6 and mixing.mix(none).count() == 0
     got = mixing.apply_mix(docs)
@@ -642,13 +710,13 @@ def test_occurrences_of_many_symbols():
         gram, own, n = quality._occurrences(unit, doc)
         assert Counter(dict(zip(zip(gram.tolist(), own.tolist()), n.tolist()))) == want
         told = Counter()
-        for shard, packed in quality._payloads(unit, doc, zstandard.ZstdCompressor()):
+        for shard, packed in quality._payloads(unit, doc, zstandard.ZstdCompressor(), 40):
             gram, size, own, n = quality._opened(packed, zstandard.ZstdDecompressor())
-            assert (quality.shard_of(gram) == shard).all()
+            assert (quality.shard_of(gram, 40) == shard).all()
             for x, d, c in zip(np.repeat(gram, size).tolist(), own.tolist(), n.tolist()):
                 told[x, d] += c
         assert told == want
-    assert not quality._payloads(np.full(9, 10, np.uint16), np.full(6, -1, np.int16), zstandard.ZstdCompressor())
+    assert not quality._payloads(np.full(9, 10, np.uint16), np.full(6, -1, np.int16), zstandard.ZstdCompressor(), 40)
 
 
 def test_classifier_keeps_clean_and_rejects_junk(spark):
@@ -685,6 +753,40 @@ def test_classifier_odd(spark, odd, none, docs):
 INTERNAL = "key row n copy own f_bucket f_pos f_bits f_maybe _hot id lang2 k1 k2 held symbols nll mid limit all keep digest norm keep_id rows label node cls sig bucket size taken source_size shard bin h at epochs extra target low kept _id _maybe _bucket _n _keep _digest _copy _text _lang".split()
 
 
+def test_more_shards_for_more_grams(docs, monkeypatch):
+    """Shards follow the distinct n-grams, so a worker's table stays as large as it was; perplexities do not depend on them."""
+    assert quality.shards_for(10**9) == 1000 and quality.shards_for(10**5) == quality.LEAST_SHARDS
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    few = {r.doc_id: r.perplexity for r in quality.classify(docs, labels).collect()}
+    monkeypatch.setattr(quality, "SHARD_GRAMS", 40)
+    got = {r.doc_id: r.perplexity for r in quality.classify(docs, labels).collect()}
+    assert all(got[d] is None if p is None else got[d] == pytest.approx(p, rel=1e-5) for d, p in few.items()) and len(got) == len(few)
+
+
+def test_near_copies_without_identifier(spark):
+    """Rows without identifier, or with a shared one, are near copies of one another and of others like any row."""
+    import random
+
+    r = random.Random(5)
+    text = lambda: [r.choice("abcdefghijklmnop") * r.randint(1, 3) for _ in range(80)]
+    stems, rows = [text() for _ in range(6)], []
+    for k in range(60):
+        words = list(stems[k % 6])
+        words[r.randrange(80)] = "changed"
+        rows.append(((None, 5, k)[k % 3] if k < 45 else None, " ".join(words), k, "x"))
+    rows += [(None, None, 100, "x"), (None, "", 101, "x"), (None, "one two", 102, "x"), (None, "ONE two", 103, "x"), (-(1 << 63), "far end", 104, "x")]
+    for extra in ([], [((1 << 63) - 1, "other end", 105, "x")]):
+        docs = spark.createDataFrame(rows + extra, "doc_id long, text string, row int, key string").repartition(4)
+        got = near_dedup.drop_near_copies(docs)
+        assert got.columns == docs.columns
+        left = [x.row for x in got.collect()]
+        own = [(x[2], x[1]) for x in rows + extra]
+        groups = defaultdict(list)
+        for d, (_, c) in near_truth(own).items():
+            groups[c].append(d)
+        assert len(left) == len(set(left)) == len(groups) and all(len(set(g) & set(left)) == 1 for g in groups.values())
+
+
 @pytest.mark.parametrize("stage", ["keep_good", "drop_exact_copies", "drop_near_copies", "apply_mix"])
 def test_clashing_columns(spark, docs, rows, stage):
     """Columns that bear the operators' own names come back as they were."""

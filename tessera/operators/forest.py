@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,76 +59,191 @@ def _impurity(counts: np.ndarray, kind: str) -> np.ndarray:
     """Of rows of class counts, times their number for Gini so that sides can be added."""
     n = counts.sum(axis=-1)
     if kind == "gini":
-        return n - (counts.astype(float) ** 2).sum(axis=-1) / np.maximum(n, 1)
+        squares = sum(counts[..., c].astype(float) ** 2 for c in range(counts.shape[-1]))
+        return n - squares / np.maximum(n, 1)
     # Fixed values, from which the criterion follows: ln n! exact up to 8, the approximation of Stirling above.
     lf = lambda k: np.where(k > 8, k * np.log(np.maximum(k, 1)) - k + 0.5 * np.log(2 * np.pi * np.maximum(k, 1)), np.log(np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320]))[np.minimum(k, 8).astype(int)])
     return lf(n) - lf(counts).sum(axis=-1)
 
 
-def grow_tree(x: np.ndarray, y: np.ndarray, classes: int, features: np.ndarray, least: int, kind: str) -> list[tuple]:
-    """(node, left, right, var, th, label, gain) until nodes are pure, small, or cannot be cut. left 0 marks a leaf."""
-    nodes: list = [None]
-    work = [(0, np.arange(len(y)))]
-    while work:
-        at, rows = work.pop()
-        counts = np.bincount(y[rows], minlength=classes)
-        whole, best = float(_impurity(counts, kind)), None
-        if (counts > 0).sum() > 1 and len(rows) > least:
-            for f in features:
-                order = rows[np.argsort(x[rows, f], kind="stable")]
-                v = x[order, f]
-                cut = np.flatnonzero(v[1:] != v[:-1])
-                if not len(cut):
-                    continue
-                left = np.cumsum(np.eye(classes, dtype=np.int64)[y[order]], axis=0)[cut]
-                total = _impurity(left, kind) + _impurity(counts - left, kind)
-                k = int(np.argmin(total))
-                if total[k] < (best[0] if best else whole):
-                    best = (float(total[k]), int(f), float((v[cut[k]] + v[cut[k] + 1]) / 2), order, int(cut[k]) + 1)
-        if best is None:
-            nodes[at] = (at, 0, 0, 0, 0.0, int(np.argmax(counts)), 0.0)
-            continue
-        total, f, th, order, k = best
-        l, r = len(nodes), len(nodes) + 1
-        nodes += [None, None]
-        nodes[at] = (at, l, r, f, th, int(np.argmax(counts)), whole - total)
-        work += [(r, order[k:]), (l, order[:k])]
-    return nodes
-
-
-def fit(df: DataFrame, features: list[str], trees: int = 100, share: float = 0.632, least: int = 1, kind: str = "gini", seed: int = 0) -> DataFrame:
-    """The node table of a forest of exact trees, each grown by one task on its own subsample without replacement and sqrt(features) features.
-
-    A tree's subsample must fit a task: share bounds it. For tables beyond that use fit_binned, which never gathers rows. Only the chosen
-    features of a row go to a tree."""
+def grow_tree(x: np.ndarray, y: np.ndarray, classes: int, features: np.ndarray, least: int, kind: str, depth: int = 64) -> list[tuple]:
+    """(node, left, right, var, th, label, gain), level by level, until nodes are pure, of at most least rows, or cannot be cut. left 0 marks a leaf.
+
+    Every feature is sorted once. A level is a few passes over each feature's list, in which the rows of a node stand together, in order of
+    their values; rows then go left or right within the lists, so the order stays. Of equal cuts the first feature's first one is taken."""
+    lists = []  # of each feature: rows, values and labels, by node and value
+    for f in features:
+        order = np.argsort(x[:, f], kind="stable").astype(np.int32)
+        lists.append((order, x[order, f], y[order].astype(np.int16)))
+    starts, ids, made, out = np.zeros(1, np.int64), np.zeros(1, np.int64), 1, []
+    for level in range(depth + 1):
+        m = len(lists[0][0])
+        sizes = np.diff(np.append(starts, m))
+        seg = np.repeat(np.arange(len(starts), dtype=np.int32), sizes)
+        own = np.bincount(seg.astype(np.int64) * classes + lists[0][2], minlength=len(starts) * classes).reshape(-1, classes)
+        whole = _impurity(own, kind)
+        open_ = ((own > 0).sum(1) > 1) & (sizes > least) & (level < depth)
+        best, var, cut, th = whole.copy(), np.full(len(starts), -1), np.zeros(len(starts), np.int64), np.zeros(len(starts))
+        within = (seg[1:] == seg[:-1]) & open_[seg[:-1]] if m else np.zeros(0, bool)
+        for k, (_, v, label) in enumerate(lists):
+            at = np.flatnonzero((v[1:] != v[:-1]) & within)
+            if not len(at):
+                continue
+            here = seg[at]
+            base, left = starts[here], np.empty((len(at), classes), np.int64)
+            left[:, 0] = at + 1 - base
+            for c in range(1, classes):
+                run = np.cumsum(label == c, dtype=np.int64)
+                left[:, c] = run[at] - np.where(base > 0, run[base - 1], 0)
+                left[:, 0] -= left[:, c]
+            total = _impurity(left, kind) + _impurity(own[here] - left, kind)
+            first = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
+            low = np.minimum.reduceat(total, first)
+            hit = np.flatnonzero(total == np.repeat(low, np.diff(np.append(first, len(at)))))
+            hit = hit[np.r_[True, here[hit][1:] != here[hit][:-1]]]
+            better = low < best[here[first]]
+            s, at = here[hit][better], at[hit][better]
+            best[s], var[s], cut[s], th[s] = low[better], k, at - starts[s] + 1, (v[at] + v[at + 1]) / 2
+        split = var >= 0
+        children = np.where(split, made + 2 * (np.cumsum(split) - 1), 0)
+        made += 2 * int(split.sum())
+        shown = np.where(split, np.asarray(features)[var], 0)
+        out += zip(*(a.tolist() for a in (ids, children, children + split, shown, np.where(split, th, 0.0), own.argmax(1), np.where(split, whole - best, 0.0))), strict=True)
+        if not split.any():
+            break
+        left_of = np.zeros(len(y), bool)
+        for k, (order, _, _) in enumerate(lists):
+            mine = (var == k)[seg]
+            left_of[order[mine]] = (np.arange(m) - starts[seg] < cut[seg])[mine]
+        lefts, rights = cut[split], (sizes - cut)[split]
+        starts_new = np.r_[0, np.cumsum(np.stack([lefts, rights], 1).ravel())[:-1]]
+        stay = split[seg]
+        begin, both = np.r_[0, np.cumsum(lefts + rights)[:-1]], lefts + rights
+        to_left, to_right = np.repeat(starts_new[::2], both), np.repeat(starts_new[1::2], both)
+        for k, (order, v, label) in enumerate(lists):
+            order, v, label = order[stay], v[stay], label[stay]
+            l = left_of[order]
+            run = np.cumsum(l)
+            before = run - l - np.repeat(run[begin] - l[begin], both)  # rows of the node that go left, ahead of this one
+            place = np.where(l, to_left + before, to_right + np.arange(len(l)) - np.repeat(begin, both) - before)
+            moved = (np.empty_like(order), np.empty_like(v), np.empty_like(label))
+            for a, b in zip(moved, (order, v, label)):
+                a[place] = b
+            lists[k] = moved
+        starts = starts_new
+        ids = np.stack([children[split], children[split] + 1], 1).ravel()
+    return out
+
+
+#: Rows of a node that one task grows alone; larger nodes are cut by sums over the whole table, a level at a time.
+TASK_ROWS = 2_000_000
+
+
+def _side(p: str, n, classes: int, kind: str) -> Column:
+    """Impurity of a side, times its rows for Gini, from its class counts p0, p1, ..."""
+    if kind == "gini":
+        squares = _sum([F.col(f"{p}{c}").cast("double") * F.col(f"{p}{c}") for c in range(classes)])
+        return n - squares / n
+    return log_factorial_ratio(n) - _sum([log_factorial_ratio(F.col(f"{p}{c}")) for c in range(classes)])
+
+
+def best_cuts(rows: DataFrame, width: int, classes: int, kind: str) -> DataFrame:
+    """rows (tree, node, label, x, an array of width values) as (tree, node, rows, label, cut), one row a node; cut (total, f, k, th, whole) is null
+    where no cut is better than none.
+
+    Rows of equal value and class are counted before anything moves. The counts are then sorted by ranges of (tree, node, feature, value);
+    sums run within a range, and what a range begins in the midst of is carried over, one row a range."""
+    group = ["tree", "node", "f"]
+    each = rows.select("tree", "node", "label", F.posexplode("x").alias("f", "v"))
+    n_of = [f"n{c}" for c in range(classes)]
+    counts = each.groupBy(*group, "v").agg(*[F.count_if(F.col("label") == c).alias(n_of[c]) for c in range(classes)])
+    dealt = stored(counts.repartitionByRange(*group, "v").withColumn("range", F.spark_partition_id()))
+    parts = dealt.groupBy("range", *group).agg(*[F.sum(c).alias(c) for c in n_of], F.min("v").alias("first"))
+    ahead = Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)
+    parts = parts.select("range", *group, *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias("b" + c) for c in n_of], *[F.sum(c).over(whole).alias("a" + c) for c in n_of], F.lead("first").over(Window.partitionBy(*group).orderBy("range")).alias("beyond"))
+    w = Window.partitionBy("range", *group).orderBy("v")
+    run = dealt.withColumns({"l" + str(c): F.sum(n_of[c]).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in range(classes)} | {"next": F.lead("v").over(w)})
+    run = run.join(parts, ["range", *group]).withColumn("next", F.coalesce("next", "beyond"))
+    run = run.withColumns({f"l{c}": F.col(f"l{c}") + F.col(f"bn{c}") for c in range(classes)}).withColumns({f"r{c}": F.col(f"an{c}") - F.col(f"l{c}") for c in range(classes)})
+    run = run.withColumns({"k": _sum([F.col(f"l{c}") for c in range(classes)]), "all": _sum([F.col(f"an{c}") for c in range(classes)])})
+    own = _side("an", F.col("all"), classes, kind)
+    total = _side("l", F.col("k"), classes, kind) + _side("r", F.col("all") - F.col("k"), classes, kind)
+    cut = F.when(F.col("next").isNotNull(), F.struct(total.alias("total"), "f", "k", ((F.col("v") + F.col("next")) / 2).alias("th"), own.alias("whole")))
+    most = -F.array_max(F.array(*[F.struct(F.col(f"an{c}").alias("n"), F.lit(-c).alias("c")) for c in range(classes)]))["c"]
+    got = run.groupBy("tree", "node").agg(F.max("all").alias("rows"), F.first(most).alias("label"), F.min(cut).alias("cut"))
+    return got.withColumn("cut", F.when(F.col("cut.total") < F.col("cut.whole"), F.col("cut")))
+
+
+def fit(df: DataFrame, features: list[str], trees: int = 100, share: float = 0.632, least: int = 1, kind: str = "gini", seed: int = 0, width: int | None = None, depth: int = 60, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The node table of a forest of exact trees, each grown on its own subsample without replacement and width features, sqrt(features) unless given.
+
+    Nodes of more than task_rows rows are cut level by level: the best of all cuts of all open nodes is found by sums over value ranges, and
+    rows are routed by the winners, which are fewer than rows / task_rows. A smaller node's rows meet in one task, which grows what is
+    below it. So no tree and no node of more than task_rows rows is ever in one task. A tree that is cut alike at every level has the
+    nodes that a single task would give it."""
     classes = (df.agg(F.max("label")).first()[0] or 0) + 1
-    width = max(1, round(len(features) ** 0.5))
+    width = width or max(1, round(len(features) ** 0.5))
     chosen = [sorted(np.random.default_rng([seed, t]).choice(len(features), width, replace=False).tolist()) for t in range(trees)]
     dealt = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     key = F.pmod(F.xxhash64(F.lit(seed), "tree", "id"), F.lit(1_000_000))
     values = F.array(*[F.col(f).cast("double") for f in features])
     own = F.transform(F.element_at(F.lit(chosen), F.col("tree") + 1), lambda k: F.element_at(values, k.cast("int") + 1))
-    dealt = dealt.where(key < int(share * 1_000_000)).select("tree", "id", "label", own.alias("x"))
+    rows = dealt.where(key < int(share * 1_000_000)).select("tree", F.lit(0).cast("long").alias("node"), "id", F.col("label").cast("int").alias("label"), own.alias("x"))
+    # Places of nodes: the children of node k are 2 k + 1 and 2 k + 2.
+    top, small, level = [], [], 0
+    large = df.count() * share > task_rows / 2  # then some tree may need more than one task
+    while large:
+        rows = stored(rows)
+        sizes = stored(rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n")))
+        if sizes.where(F.col("n") > task_rows).isEmpty():
+            break
+        if level == depth:  # leaves of any size, from their class counts
+            votes = rows.groupBy("tree", "node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("tree", "node")
+            top.append(votes.agg(F.sum("n").alias("rows"), F.min_by("label", F.struct(-F.col("n"), "label")).alias("label")).withColumn("cut", F.lit(None).cast("struct<total:double,f:int,k:bigint,th:double,whole:double>")))
+            rows = rows.limit(0)
+            break
+        little, big = (F.broadcast(sizes.where(c).select("tree", "node")) for c in (F.col("n") <= task_rows, F.col("n") > task_rows))
+        small.append(rows.join(little, ["tree", "node"]))
+        rows = rows.join(big, ["tree", "node"])
+        cuts = stored(best_cuts(rows, width, classes, kind))
+        top.append(cuts)
+        won = F.broadcast(cuts.where(F.col("cut").isNotNull() & (F.col("rows") > least)).select("tree", "node", "cut.f", "cut.th"))
+        right = F.when(F.element_at("x", F.col("f") + 1) < F.col("th"), 1).otherwise(2)
+        rows = rows.join(won, ["tree", "node"]).select("tree", (2 * F.col("node") + right).alias("node"), "id", "label", "x")
+        level += 1
+    small.append(rows)
 
     def grow(table: pa.Table) -> pa.Table:
-        tree, order = table.column("tree")[0].as_py(), np.argsort(table.column("id").to_numpy(), kind="stable")
+        tree, place = table.column("tree")[0].as_py(), table.column("node")[0].as_py()
+        order = np.argsort(table.column("id").to_numpy(), kind="stable")
         x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, width)[order]
-        rows = grow_tree(x, table.column("label").to_numpy()[order].astype(int), classes, np.arange(width), least, kind)
-        node, left, right, var, th, label, gain = (np.array(c) for c in zip(*rows))
+        left_levels = depth - (place + 1).bit_length() + 1
+        node, left, right, var, th, label, gain = (np.array(c) for c in zip(*grow_tree(x, table.column("label").to_numpy()[order].astype(int), classes, np.arange(width), least, kind, left_levels)))
         var = np.array(chosen[tree])[var] * (left > 0)
-        kinds = dict(zip(("tree", "node", "left", "right", "var", "th", "label", "gain"), (pa.int32(),) * 5 + (pa.float64(), pa.int32(), pa.float64())))
-        return pa.table({c: pa.array(v, k) for (c, k), v in zip(kinds.items(), (np.full(len(node), tree), node, left, right, var, th, label, gain))})
-
-    return dealt.groupBy("tree").applyInArrow(grow, NODES)
-
-
-def fit_binned(df: DataFrame, features: list[str], trees: int = 100, depth: int = 10, seed: int = 0):
-    """A distributed forest for any table size: binned features, levels grown by aggregated histograms (pyspark.ml)."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = VectorAssembler(inputCols=features, outputCol="_v").transform(df)
-    return RandomForestClassifier(featuresCol="_v", labelCol="label", numTrees=trees, maxDepth=depth, subsamplingRate=0.632, bootstrap=False, featureSubsetStrategy="sqrt", seed=seed).fit(rows)
+        n = len(node)
+        return pa.table([pa.array(np.full(n, tree), pa.int32()), pa.array(np.full(n, place), pa.int64()), pa.array(np.full(n, n), pa.int32()), *(pa.array(a, pa.int32()) for a in (node, left, right, var)), pa.array(th, pa.float64()), pa.array(label, pa.int32()), pa.array(gain, pa.float64())], names=["tree", "place", "size", "node", "left", "right", "var", "th", "label", "gain"])
+
+    below = reduce(DataFrame.unionByName, small).groupBy("tree", "node").applyInArrow(grow, "tree int, place long, size int, node int, left int, right int, var int, th double, label int, gain double")
+    if not top:
+        return below.select(*[c.split()[0] for c in NODES.split(", ")])
+    picked = F.element_at(F.element_at(F.lit(chosen), F.col("tree") + 1), F.col("f") + 1).cast("int")
+    cut = F.when(F.col("rows") > least, F.col("cut"))
+    above = reduce(DataFrame.unionByName, top).withColumn("cut", cut).withColumn("f", F.col("cut.f"))
+    split = F.col("cut").isNotNull()
+    above = above.select(
+        "tree", F.col("node").alias("place"), F.lit(1).alias("size"), F.lit(0).alias("node"), F.when(split, 1).otherwise(0).alias("left"), F.when(split, 1).otherwise(0).alias("right"),
+        F.when(split, picked).otherwise(0).alias("var"), F.coalesce("cut.th", F.lit(0.0)).alias("th"), F.col("label").cast("int").alias("label"), F.coalesce(F.col("cut.whole") - F.col("cut.total"), F.lit(0.0)).alias("gain"), F.lit(True).alias("top"),
+    )
+    every = stored(above.unionByName(below.withColumn("top", F.lit(False))))
+    # Numbers from 0 without gaps: pieces of a tree, a node above or what a task grew, stand by place.
+    pieces = every.where("node = 0").select("tree", "place", (F.sum("size").over(Window.partitionBy("tree").orderBy("place")) - F.col("size")).cast("int").alias("at"))
+    pieces = stored(pieces)
+    child = lambda side, c: pieces.select("tree", F.col("place").alias(side), F.col("at").alias(c))
+    sides = every.join(pieces, ["tree", "place"]).withColumns({"p1": F.when(F.col("top"), 2 * F.col("place") + 1), "p2": F.when(F.col("top"), 2 * F.col("place") + 2)})
+    sides = sides.join(child("p1", "to_left"), ["tree", "p1"], "left").join(child("p2", "to_right"), ["tree", "p2"], "left")
+    link = lambda c, to: F.when(F.col("left") == 0, 0).otherwise(F.when(F.col("top"), F.col(to)).otherwise(F.col(c) + F.col("at"))).cast("int").alias(c)
+    return sides.select("tree", (F.col("node") + F.col("at")).cast("int").alias("node"), link("left", "to_left"), link("right", "to_right"), "var", "th", "label", "gain")
 
 
 #: Nodes that are applied at once; larger models are applied some trees at a time.

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.checkpoints import stored
 from tessera.functions import distance_squared
 from tessera.model import AXES
+from tessera.operators.tree import nearest as nearest
 
 #: Reach of the density and of the mean shift in sigmas, density that counts as a met point, length that vectors must exceed.
 DENSITY_REACH, SHIFT_REACH, MET, SHORTEST = 2.5, 10.0, 0.7, 1.0
@@ -39,40 +40,6 @@ def ball_join(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame
     return q.join(p, ["cx", "cy", "cz"]).drop("cx", "cy", "cz").withColumn("d2", distance_squared("q", "p")).where(F.col("d2") < radius * radius)
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, radius: float | None = None) -> DataFrame:
-    """(qid, rank, pid, d2): the k nearest points of each query, ties by identifier. Exact.
-
-    Ball joins with a radius that doubles: a query is done once k points lie within it. The first radius comes from the mean density."""
-    box = points.agg(*[F.min(a).alias(a + "0") for a in AXES], *[F.max(a).alias(a + "1") for a in AXES], F.count(F.lit(1)).alias("n")).first()
-    if not box["n"]:
-        return ball_join(queries, points, 1.0).select("qid", F.lit(1).alias("rank"), "pid", "d2")
-    far = queries.agg(*[F.min(a).alias(a + "0") for a in AXES], *[F.max(a).alias(a + "1") for a in AXES]).first()
-    if far["x0"] is None:
-        return ball_join(queries, points, 1.0).select("qid", F.lit(1).alias("rank"), "pid", "d2")
-    spans = [max(box[a + "1"] - box[a + "0"], 0.0) for a in AXES]
-    reach = math.sqrt(sum((max(box[a + "1"], far[a + "1"]) - min(box[a + "0"], far[a + "0"])) ** 2 for a in AXES)) * 1.001 + 1e-9
-    positive = [s for s in spans if s > 0] or [1.0]
-    r = radius or max(1e-9, (np.prod(positive) * 2 * k / box["n"]) ** (1 / len(positive)))
-    order = Window.partitionBy("qid").orderBy("d2", "pid")
-    left, done = queries, []
-    while True:
-        hits = ball_join(left, points, min(r, reach)).select("qid", "pid", "d2").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        hits = stored(hits)
-        if r >= reach:
-            done.append(hits)
-            break
-        full = hits.where(F.col("rank") == k).select("qid")
-        done.append(hits.join(full, "qid", "left_semi"))
-        left = stored(left.join(full.withColumnRenamed("qid", "id"), "id", "left_anti"))
-        if left.isEmpty():
-            break
-        r *= 2
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select("qid", "rank", "pid", "d2")
-
-
 def _best(vectors: DataFrame, qids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
     """(qid, rank, pid, d2) of one block of queries against all vectors, stored. Each task keeps its k best of each query."""
     shipped = vectors.sparkSession.sparkContext.broadcast((qids, q))

@@ -259,8 +259,12 @@ add("majority_vote", lambda s, d: agg.majority(views.table(s, d, "lineitem"), ["
 simple3("table_equality", lambda v: v.sparkSession.createDataFrame([(agg.same_table(v, geometry.flip(geometry.flip(v, G3), G3)), agg.same_table(v, maps.invert(v)))], "same boolean, other boolean"), "SELECT true AS same, false AS other")
 add("sort_head", lambda s, d: agg.head(views.features(s, d), "f3", 25, "id").select("id", "f3"), f"SELECT id, f3 FROM ({views.FEATURES_SQL}) q ORDER BY f3 DESC, id LIMIT 25")
 add("concatenate_rows", lambda s, d: agg.concatenate_rows(views.features(s, d).select("id", "f0"), views.features(s, d).select("id", "f3")), f"SELECT id, f0 FROM ({views.FEATURES_SQL}) a UNION ALL SELECT id, f3 FROM ({views.FEATURES_SQL}) b")
-add("concatenate_columns", lambda s, d: agg.concatenate_columns(views.features(s, d).selectExpr("id as _row", "f0"), views.features(s, d).selectExpr("id as _row", "f3 as other")), f"SELECT id AS _row, f0, f3 AS other FROM ({views.FEATURES_SQL}) a")
-add("row_selection", lambda s, d: views.features(s, d).where("f1 > 500").select("id", "f1"), f"SELECT id, f1 FROM ({views.FEATURES_SQL}) a WHERE f1 > 500")
+def _side_by_side(rows):
+    return agg.concatenate_columns(rows.select("_row", "f0"), rows.select("_row", F.col("f3").alias("other")))
+
+
+add("concatenate_columns", lambda s, d: _side_by_side(views.numbered(s, d)), f"SELECT _row, f0, f3 AS other FROM ({views.NUMBERED_SQL}) a")
+add("row_selection", lambda s, d: views.features(s, d).where("f0 > 27.5").select("id", "f0"), f"SELECT id, f0 FROM ({views.FEATURES_SQL}) a WHERE f0 > 27.5")
 add("random_subset", lambda s, d: agg.random_subset(views.features(s, d), "id", 100).select("id"), f"SELECT id FROM ({views.FEATURES_SQL}) a ORDER BY md5('0:' || id), id LIMIT 100")
 add("kfold", lambda s, d: agg.kfold(views.features(s, d), "id", 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n")), f"SELECT CAST(id % 5 AS INT) AS fold, count(*) AS n FROM ({views.FEATURES_SQL}) a GROUP BY 1")
 
@@ -289,7 +293,7 @@ add("heavy_ball", lambda s, d: rounded(recon.heavy_ball_rows(views.signal(s, d),
 _q, _g = g3()
 _w = _q.conv(_q.cte(f"SELECT x, y, z, 1.0 AS v FROM {_g}"), "x", _sig, "zeros", 32)
 add("boundary_weights", on3(lambda v: rounded(recon.boundary_weights(v, {"x": _sig}))), _q.out(f"SELECT x, y, z, {r6('1 / v')} AS v FROM {_w}"))
-simple3("start_flat", lambda v: rounded(recon.start(v)), "SELECT x, y, z, " + r6("(SELECT avg(v) FROM {g})") + " AS v FROM {g}")
+simple3("start_flat", lambda v: rounded(recon.start(v)), "SELECT x, y, z, " + r6("m") + " AS v FROM {g}, (SELECT avg(v) AS m FROM {g}) a")
 simple3("start_identity", lambda v: recon.start(v, "identity"), "SELECT x, y, z, v FROM {g}")
 _q, _g = g3()
 _p = _q.cte(f"SELECT x, y, z, 2 * sqrt(v + 0.375) AS v FROM {_g}")

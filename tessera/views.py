@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.model import Grid
+from tessera.operators.ordered import running
 
 GRID3, GRID2, HOURS = Grid(32, 32, 4), Grid(32, 32, 1), 720
 
@@ -14,12 +16,15 @@ SUMS3 = "SELECT CAST(l_partkey % 32 AS INT) AS x, CAST(l_orderkey % 32 AS INT) A
 #: For DuckDB, with missing voxels filled.
 GRID3_SQL = f"SELECT g.x, g.y, g.z, coalesce(s.v, 0.0) AS v FROM {_AXES} g LEFT JOIN ({SUMS3}) s ON s.x = g.x AND s.y = g.y AND s.z = g.z"
 GRID2_SQL = f"SELECT x, y, CAST(0 AS INT) AS z, sum(v) AS v FROM ({GRID3_SQL}) q GROUP BY x, y"
-#: Whole tables as points: customers for neighbourhoods, suppliers where all pairs of a small set are asked for.
-POINTS_SQL = "SELECT c_custkey AS id, c_acctbal / 100 AS x, CAST(c_nationkey AS DOUBLE) AS y, CAST(c_custkey % 101 AS DOUBLE) / 10 AS z FROM customer"
+#: All order lines as points; they thin out nowhere as the table grows, since x does. Suppliers where all pairs of a small set are asked for.
+POINTS_SQL = "SELECT l_orderkey * 8 + l_linenumber AS id, CAST(l_orderkey AS DOUBLE) / 20 AS x, max(l_extendedprice) / 1000 AS y, CAST(max(l_quantity) AS DOUBLE) / 10 AS z FROM lineitem GROUP BY l_orderkey, l_linenumber"
 SMALL_SQL = "SELECT s_suppkey AS id, s_acctbal / 100 AS x, CAST(s_nationkey AS DOUBLE) AS y, CAST(s_suppkey % 101 AS DOUBLE) / 10 AS z FROM supplier"
 SHIFTED_SQL = f"SELECT id, x + 4.0 AS x, y + 2.0 AS y, z - 1.0 AS z FROM ({POINTS_SQL}) p"
 SIGNAL_SQL = "SELECT CAST(h AS INT) AS x, CAST(0 AS INT) AS y, CAST(0 AS INT) AS z, CAST(count(*) AS DOUBLE) AS v FROM (SELECT CAST(floor(unix_seconds / 3600) AS BIGINT) - 473352 AS h FROM {seconds}) q GROUP BY 1"
-FEATURES_SQL = "SELECT o_orderkey AS id, o_totalprice AS f0, CAST(o_custkey % 1000 AS DOUBLE) AS f1, CAST(substring(o_orderpriority, 1, 1) AS DOUBLE) AS f2, CAST(o_orderkey * 7 % 503 AS DOUBLE) AS f3, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS label FROM orders"
+#: All order lines. Lines of one order may share a number, so id does not tell all rows apart; _row of NUMBERED_SQL does.
+FEATURES_SQL = "SELECT l_orderkey * 8 + l_linenumber AS id, CAST(l_quantity AS DOUBLE) AS f0, l_discount AS f1, l_tax AS f2, l_extendedprice AS f3, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label FROM lineitem"
+FEATURE_ORDER = ["id", "f3", "f0", "f1", "f2", "label"]
+NUMBERED_SQL = f"SELECT *, row_number() OVER (ORDER BY {', '.join(FEATURE_ORDER)}) AS _row FROM ({FEATURES_SQL}) f"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +44,7 @@ def grid2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, POINTS_SQL, "customer")
+    return _sql(spark, sf_dir, POINTS_SQL)
 
 
 def small_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,5 +65,11 @@ SIGNAL_DUCK = "SELECT CAST(i AS INT) AS x, CAST(0 AS INT) AS y, CAST(0 AS INT) A
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, f0 .. f3, label) of all orders."""
-    return _sql(spark, sf_dir, FEATURES_SQL, "orders")
+    """(id, f0 .. f3, label) of all order lines."""
+    return _sql(spark, sf_dir, FEATURES_SQL)
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """features with _row, from 1 in FEATURE_ORDER, range by range."""
+    rows = running(features(spark, sf_dir).withColumn("one", F.lit(1).cast("long")), FEATURE_ORDER, ["one"])
+    return rows.withColumnRenamed("run_one", "_row").drop("one", "all_one")

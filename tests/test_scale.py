@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera import checkpoints
 from tessera.model import Grid, to_tiles
-from tessera.operators import dense, forest, geometry, ordered, recon, stencil
+from tessera.operators import dense, forest, geometry, ordered, recon, stencil, tree
 from tessera.plans import restore
 from tessera.sources import convert, log, svg
 from tests.test_kernels import frame, volume_of
@@ -54,6 +54,120 @@ def test_tile_arithmetic_finds_all_tiles(spark):
         assert {(r.tile, r.x) for r in got.collect()} == want
 
 
+def all_nearest(q, p, k):
+    """{query: [(point, squared distance)]} by all distances; q and p: identifier to place."""
+    out = {}
+    for i, a in q.items():
+        d = sorted((float(sum((u - v) ** 2 for u, v in zip(a, b))), j) for j, b in p.items())[:k]
+        out[i] = [(j, x) for x, j in d]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["even", "clumps", "line", "lattice", "apart"])
+def test_nearest_over_many_partitions(spark, monkeypatch, kind):
+    """Partitions of 20 points: neighbours beyond the own one, ties, clumps of equal places, queries far outside."""
+    r = np.random.default_rng(len(kind))
+    monkeypatch.setattr(tree, "LEAF_ROWS", 4)
+    monkeypatch.setattr(tree, "QUERY_ROWS", 30)
+    b = {"even": r.random((300, 3)), "clumps": np.repeat(r.random((9, 3)), 40, 0), "line": r.random((300, 1)) * [1, 0, 0], "lattice": r.integers(0, 4, (300, 3)).astype(float), "apart": np.vstack([r.random((299, 3)), [[1e6, 0, 0]]])}[kind]
+    a = np.vstack([b[::5] + (0.01 if kind == "even" else 0), r.random((20, 3)) * 3 - 1, [[50.0, -9, 2]]])
+    q, p = ({7 * i - 100: tuple(map(float, v)) for i, v in enumerate(x)} for x in (a, b))
+    frame = lambda m: spark.createDataFrame([(i, *v) for i, v in m.items()], "id long, x double, y double, z double").repartition(3)
+    for k in (1, 6, 70):
+        got = {}
+        for x in tree.nearest(frame(q), frame(p), k, part_rows=20).orderBy("qid", "rank").collect():
+            got.setdefault(x.qid, []).append((x.pid, x.d2))
+        want = all_nearest(q, p, k)
+        assert {i: [j for j, _ in v] for i, v in got.items()} == {i: [j for j, _ in v] for i, v in want.items()}
+        assert all(np.allclose([d for _, d in got[i]], [d for _, d in want[i]]) for i in want)
+
+
+def slow_tree(x, y, least, kind, depth):
+    """{path: (var, th, label, gain)} by trying every cut of every feature in every node."""
+    out = {}
+
+    def weight(n):
+        n = np.asarray(n, float)
+        if kind == "gini":
+            return n.sum() - (n**2).sum() / max(n.sum(), 1)
+        ln = lambda k: np.log(float(np.prod(np.arange(1, k + 1)))) if k <= 8 else k * np.log(k) - k + 0.5 * np.log(2 * np.pi * k)
+        return ln(n.sum()) - sum(ln(c) for c in n)
+
+    def grow(path, rows):
+        own = np.bincount(y[rows], minlength=3)
+        best = (weight(own), None)
+        if len(rows) > least and (own > 0).sum() > 1 and len(path) < depth:
+            for f in range(x.shape[1]):
+                v = np.unique(x[rows, f])
+                for a, b in zip(v[:-1], v[1:]):
+                    left = rows[x[rows, f] <= a]
+                    l = np.bincount(y[left], minlength=3)
+                    total = weight(l) + weight(own - l)
+                    if total < best[0] - 1e-9:
+                        best = (total, (f, (a + b) / 2, left))
+        if best[1] is None:
+            out[path] = (0, 0.0, int(own.argmax()), 0.0)
+            return
+        f, th, left = best[1]
+        out[path] = (f, th, int(own.argmax()), weight(own) - best[0])
+        grow(path + "l", left)
+        grow(path + "r", np.setdiff1d(rows, left))
+
+    grow("", np.arange(len(y)))
+    return out
+
+
+def by_path(nodes):
+    """{path: (var, th, label, gain)} of node rows, which must be numbered from 0 without gaps."""
+    at = {n[0]: n for n in nodes}
+    assert sorted(at) == list(range(len(nodes)))
+    out, work = {}, [("", 0)]
+    while work:
+        path, k = work.pop()
+        _, left, right, var, th, label, gain = at[k]
+        out[path] = (var, th, label, gain)
+        work += [(path + "l", left), (path + "r", right)] if left else []
+    assert len(out) == len(nodes)
+    return out
+
+
+def same_tree(a, b):
+    assert a.keys() == b.keys()
+    for p in a:
+        assert a[p][0] == b[p][0] and a[p][2] == b[p][2] and a[p][1] == pytest.approx(b[p][1]) and a[p][3] == pytest.approx(b[p][3], abs=1e-6), p
+
+
+def test_tree_grown_level_by_level_equals_trying_every_cut():
+    kind = "gini"  # with entropies, which of equal cuts is the first hangs on their last digits
+    r = np.random.default_rng(6)
+    for n, values, least, depth in ((1, 3, 1, 60), (40, 4, 1, 60), (90, 1000, 3, 60), (120, 9, 1, 3), (60, 1, 1, 60), (150, 30, 20, 60)):
+        x, y = r.integers(0, values, (n, 3)).astype(float), r.integers(0, 3, n)
+        same_tree(by_path(forest.grow_tree(x, y, 3, np.arange(3), least, kind, depth)), slow_tree(x, y, least, kind, depth))
+
+
+def test_tree_by_entropy_takes_the_best_cuts():
+    r = np.random.default_rng(3)
+    x, y = r.random((70, 2)), r.integers(0, 3, 70)
+    got, want = (by_path(n) if isinstance(n, list) else n for n in (forest.grow_tree(x, y, 3, np.arange(2), 1, "entropy", 2), slow_tree(x, y, 1, "entropy", 2)))
+    same_tree(got, want)
+
+
+@pytest.mark.parametrize("kind, depth", [("gini", 60), ("entropy", 2), ("gini", 2)])
+def test_forest_cut_by_sums_equals_trees_of_tasks(spark, kind, depth):
+    """Nodes above 12 rows are cut by sums over ranges, those below by tasks; the trees are those that a task grows alone."""
+    r = np.random.default_rng(9)
+    rows = [(k, float(a), float(b), float(c), int((a + b > 9) + (c > 5))) for k, (a, b, c) in enumerate(r.integers(0, 11, (160, 3)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, label int").repartition(3)
+    options = {"trees": 2, "share": 0.8, "least": 2, "kind": kind, "width": 2, "depth": depth}
+    whole, parts = (forest.fit(df, list("abc"), task_rows=n, **options).collect() for n in (10**6, 12))
+    for tree in (0, 1):
+        one, other = ([tuple(x)[1:] for x in got if x.tree == tree] for got in (whole, parts))
+        assert len(one) > 3
+        same_tree(by_path(one), by_path(other))
+    model = spark.createDataFrame(parts, forest.NODES)
+    assert forest.predict(df, model, list("abc")).count() == 160
+
+
 def test_forest_in_parts_equals_whole(spark, monkeypatch):
     r = np.random.default_rng(4)
     rows = [(k, float(a), float(b), int(a + b > 1)) for k, (a, b) in enumerate(r.random((200, 2)))]

@@ -42,10 +42,16 @@ def distance_squared(a: str, b: str) -> Column:
     return sum(((F.col(a + c) - F.col(b + c)) * (F.col(a + c) - F.col(b + c)) for c in "xyz"), F.lit(0.0))
 
 
+def linear_grids(df: DataFrame, a: Column, b: Column, delta: Column) -> DataFrame:
+    """df with (i, value): for each row ceil((b - a) / delta) + 1 equally spaced values from a to b. Rows whose b is below a have none."""
+    wide = df.withColumns({"_a": a.cast("double"), "_b": b.cast("double"), "_n": (F.ceil((b - a) / delta) + 1).cast("int")}).where("_n > 0")
+    rows = wide.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return rows.withColumn("value", F.col("_a") + F.col("i") * (F.col("_b") - F.col("_a")) / F.greatest(F.lit(1), F.col("_n") - 1)).drop("_a", "_b", "_n")
+
+
 def linear_grid(spark: SparkSession, a: float, b: float, delta: float) -> DataFrame:
-    """(i, value): ceil((b - a) / delta) + 1 equally spaced values from a to b."""
-    n = math.ceil((b - a) / delta) + 1
-    return spark.range(n).select(F.col("id").cast("int").alias("i"), (F.lit(float(a)) + F.col("id") * (b - a) / max(1, n - 1)).alias("value"))
+    """(i, value) of one grid."""
+    return linear_grids(spark.range(1), F.lit(float(a)), F.lit(float(b)), F.lit(float(delta))).select("i", "value")
 
 
 def log_factorial_ratio(n: Column) -> Column:

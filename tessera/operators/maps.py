@@ -86,3 +86,8 @@ def to_u16(a: DataFrame, scaling: float = 0.0) -> DataFrame:
     finite = ~(F.isnan("v") | (F.abs("v") == float("inf")))
     value = F.greatest(F.lit(0.0), F.least(F.lit(65535.0), F.floor(F.col("v") * F.col("s") + 0.5).cast("double")))
     return scaled.select(*AXES, F.when(finite, value).otherwise(0.0).cast("int").alias("v"))
+
+
+def constant(df: DataFrame, value: float) -> DataFrame:
+    """A volume of the shape of df that holds one value."""
+    return df.select(*AXES, F.lit(float(value)).alias("v"))

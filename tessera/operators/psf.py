@@ -1,4 +1,4 @@
-"""Generators of point-spread functions: a volume from parameters, one task a plane."""
+"""Generators of point-spread functions: volumes from rows of parameters, made plane by plane."""
 
 from __future__ import annotations
 
@@ -6,34 +6,38 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import gauss, lorentz
-from tessera.model import AXES, VOXELS, Grid
+from tessera.checkpoints import stored
+from tessera.functions import gamma_from_fwhm, gauss, lorentz, sigma_from_fwhm
+from tessera.model import AXES, VOXELS
 
 
 def j0(x: np.ndarray) -> np.ndarray:
-    """Bessel function of order 0: the midpoint rule on its integral form, exact to rounding while x is below the number of nodes, beyond that the
-    leading asymptotic terms."""
+    """Bessel function of order 0: the midpoint rule on its integral form, exact to rounding while x is well below the number of nodes, beyond
+    200 the leading asymptotic terms."""
     x = np.abs(np.asarray(x, float))
     out = np.zeros_like(x)
     near = x < 200
-    t = (np.arange(256) + 0.5) * math.pi / 256
-    for k in range(0, len(t), 16):  # blocks bound the temporary
+    top = float(x[near].max(initial=0))
+    n = 64 if top < 40 else 128 if top < 100 else 256
+    t = (np.arange(n) + 0.5) * math.pi / n
+    for k in range(0, n, 16):  # blocks bound the temporary
         out[near] += np.cos(x[near][:, None] * np.sin(t[k : k + 16])).sum(axis=1)
-    out[near] /= 256
+    out[near] /= n
     far = x[~near]
     z = 1 / (8 * far)
     out[~near] = np.sqrt(2 / (math.pi * far)) * ((1 - 4.5 * z**2) * np.cos(far - math.pi / 4) + z * np.sin(far - math.pi / 4))
     return out
 
 
-def born_wolf_profile(r: np.ndarray, z: float, wavelength: float, na: float, index: float, nodes: int = 256) -> np.ndarray:
-    """|int_0^1 J0(k NA r rho) exp(-i k NA^2 rho^2 z / (2 n)) rho drho|^2 by Gauss-Legendre quadrature."""
-    rho, w = np.polynomial.legendre.leggauss(nodes)
-    rho, w = (rho + 1) / 2, w / 2
+def born_wolf_profile(r: np.ndarray, z: float, wavelength: float, na: float, index: float) -> np.ndarray:
+    """|int_0^1 J0(k NA r rho) exp(-i k NA^2 rho^2 z / (2 n)) rho drho|^2 by Gauss-Legendre quadrature, with two nodes a radian of the phase and 64 at least."""
     k = 2 * math.pi / wavelength
+    turns = k * na * float(np.max(r, initial=0)) + k * na * na * abs(z) / (2 * index)
+    rho, w = np.polynomial.legendre.leggauss(64 * max(1, math.ceil(turns / 32)))
+    rho, w = (rho + 1) / 2, w / 2
     phase = np.exp(-1j * k * na * na * rho * rho * z / (2 * index))
     value = (j0(k * na * r[:, None] * rho[None, :]) * (phase * rho * w)[None, :]).sum(axis=1)
     return np.abs(value) ** 2
@@ -64,32 +68,119 @@ def _lanczos5(v: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.maximum(out, 0)
 
 
-def born_wolf(spark: SparkSession, wavelength: float = 461.0, na: float = 1.45, index: float = 1.512, dxy: float = 130.0, dz: float = 300.0, nxy: int = 31, nz: int = 21, samples: int = 17, series: bool = False) -> DataFrame:
-    """Born-Wolf volume of unit sum: a radial profile with samples points a pixel, interpolated and integrated over pixels. Sizes are made odd."""
-    nxy, nz = nxy + 1 - nxy % 2, nz + 1 - nz % 2
-    grid, half = Grid(nxy, nxy, nz), nxy // 2
+def _volumes(params: DataFrame, nz: int, plane) -> DataFrame:
+    """For each row of params (key and numbers) a volume (key, x, y, z, v) of unit sum, its planes plane(row, z), z from -nz // 2, made by different tasks."""
+    names = [c for c in params.columns if c != "key"]
 
     def run(batches):
         for batch in batches:
-            for z in batch.column("id").to_pylist():
-                top = int(math.ceil((half + 1) * math.sqrt(2))) * samples
-                r = np.arange(top + samples) * dxy / samples
-                profile = (born_wolf_series if series else born_wolf_profile)(r, abs(z - nz // 2) * dz, wavelength, na, index)
-                sub = (np.arange(5) - 2) / 5
-                offs = np.arange(-half, half + 1)[:, None] + sub[None, :]
-                x = offs.reshape(-1)
-                d = np.sqrt(x[:, None] ** 2 + x[None, :] ** 2) * samples
-                fine = _lanczos5(profile, d.ravel()).reshape(d.shape)
-                plane = fine.reshape(nxy, 5, nxy, 5).mean(axis=(1, 3))
-                y, x = np.indices(plane.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(x.ravel().astype(np.int32)), pa.array(y.ravel().astype(np.int32)), pa.array(np.full(plane.size, z, np.int32)), pa.array(plane.ravel())], ["x", "y", "z", "v"])
+            for row in batch.to_pylist():
+                got = plane(row, row["z"] - nz // 2)
+                y, x = (a.ravel().astype(np.int32) for a in np.indices(got.shape))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(got.size, row["key"], np.int64)), pa.array(x), pa.array(y), pa.array(np.full(got.size, row["z"], np.int32)), pa.array(got.ravel())], ["key", *AXES, "v"])
+
+    each = params.select(F.col("key").cast("long").alias("key"), *[F.col(c).cast("double").alias(c) for c in names], F.explode(F.sequence(F.lit(0), F.lit(nz - 1))).alias("z"))
+    planes = stored(each.repartition("key", "z").mapInArrow(run, "key long, " + VOXELS))
+    total = planes.groupBy("key").agg(F.sum("v").alias("t"))
+    return planes.join(total, "key").select("key", *AXES, (F.col("v") / F.col("t")).alias("v"))
+
+
+def born_wolf_volumes(params: DataFrame, dxy: float = 130.0, dz: float = 300.0, nxy: int = 31, nz: int = 21, samples: int = 17, series: bool = False) -> DataFrame:
+    """Born-Wolf volumes (key, x, y, z, v) of unit sum, one for each row (key, wavelength, na, index): a radial profile with samples points a
+    pixel, interpolated and integrated over pixels. Sizes are made odd."""
+    nxy, nz = nxy + 1 - nxy % 2, nz + 1 - nz % 2
+    half = nxy // 2
+
+    def plane(p: dict, z: int) -> np.ndarray:
+        top = int(math.ceil((half + 1) * math.sqrt(2))) * samples
+        r = np.arange(top + samples) * dxy / samples
+        profile = (born_wolf_series if series else born_wolf_profile)(r, abs(z) * dz, p["wavelength"], p["na"], p["index"])
+        sub = (np.arange(5) - 2) / 5
+        x = (np.arange(-half, half + 1)[:, None] + sub[None, :]).reshape(-1)
+        d = np.sqrt(x[:, None] ** 2 + x[None, :] ** 2) * samples
+        fine = _lanczos5(profile, d.ravel()).reshape(d.shape)
+        return fine.reshape(nxy, 5, nxy, 5).mean(axis=(1, 3))
+
+    return _volumes(params, nz, plane)
+
+
+def born_wolf(spark: SparkSession, wavelength: float = 461.0, na: float = 1.45, index: float = 1.512, **options) -> DataFrame:
+    """One volume (x, y, z, v)."""
+    return born_wolf_volumes(spark.createDataFrame([(0, float(wavelength), float(na), float(index))], "key long, wavelength double, na double, index double"), **options).drop("key")
+
+
+def _simpson(a: np.ndarray, b: np.ndarray, fa: np.ndarray, fm: np.ndarray, fb: np.ndarray) -> np.ndarray:
+    return (b - a) / 6 * (fa + 4 * fm + fb)
+
+
+def adaptive(f, a: np.ndarray, b: np.ndarray, tolerance: float, least: int = 3, most: int = 30) -> np.ndarray:
+    """Integrals of f over many intervals at once, each halved until its own error estimate is small enough.
+
+    f(which, x) gives values for the interval numbers which. Each round halves all open pieces of all intervals together: the difference of
+    a piece's Simpson sum to that of its halves, divided by 15, is its error, which must be below tolerance times its share of the interval."""
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    out, who, whole = np.zeros(len(a)), np.arange(len(a)), b - a
+    m = (a + b) / 2
+    left, right, fa, fm, fb = a, b, f(who, a), f(who, m), f(who, b)
+    for level in range(most):
+        m = (left + right) / 2
+        one = _simpson(left, right, fa, fm, fb)
+        m1, m2 = (left + m) / 2, (m + right) / 2
+        f1, f2 = f(who, m1), f(who, m2)
+        halves = _simpson(left, m, fa, f1, fm) + _simpson(m, right, fm, f2, fb)
+        error = np.abs(halves - one) / 15
+        done = (error <= tolerance * np.where(whole[who] > 0, (right - left) / np.where(whole[who] > 0, whole[who], 1), 1)) & (level >= least) | (level == most - 1)
+        np.add.at(out, who[done], (halves + (halves - one) / 15)[done])
+        go = ~done
+        if not go.any():
+            break
+        who = np.concatenate([who[go], who[go]])
+        left, right = np.concatenate([left[go], m[go]]), np.concatenate([m[go], right[go]])
+        fa, fm, fb = np.concatenate([fa[go], fm[go]]), np.concatenate([f1[go], f2[go]]), np.concatenate([fm[go], fb[go]])
+    return out
+
+
+def line_integrals(x0: np.ndarray, y: np.ndarray, z: float, wavelength: float, na: float, index: float, width: float, tolerance: float = 1e-9) -> np.ndarray:
+    """Mean intensity of the Born-Wolf model along the line from x0 to x0 + width at height y, for many lines at once."""
+    return adaptive(lambda k, x: born_wolf_profile(np.sqrt(x * x + y[k] * y[k]), z, wavelength, na, index), x0, x0 + width, tolerance * width) / width
+
+
+def pixel_integrals(x0: np.ndarray, y0: np.ndarray, z: float, wavelength: float, na: float, index: float, width: float, tolerance: float = 1e-8) -> np.ndarray:
+    """Mean intensity over the squares of the given width at (x0, y0): adaptive halving along y, of line integrals along x.
+
+    The intensity is looked up in a cubic spline of its radial profile, which is finer than the tolerance asks for."""
+    far = float(np.sqrt(np.max((np.abs(x0) + width) ** 2 + (np.abs(y0) + width) ** 2)))
+    step = wavelength / na / 256
+    r = np.arange(-2, int(far / step) + 4) * step
+    table = born_wolf_profile(np.abs(r), z, wavelength, na, index)
 
-    planes = spark.range(0, grid.nz, 1, grid.nz).mapInArrow(run, VOXELS)
-    return _unit(planes)
+    def intensity(x: np.ndarray) -> np.ndarray:
+        at = x / step + 2
+        k = np.clip(np.floor(at).astype(int), 1, len(table) - 3)
+        t = at - k
+        p, q, u, v = table[k - 1], table[k], table[k + 1], table[k + 2]
+        return -t * (t - 1) * (t - 2) / 6 * p + (t + 1) * (t - 1) * (t - 2) / 2 * q - (t + 1) * t * (t - 2) / 2 * u + (t + 1) * t * (t - 1) / 6 * v
 
+    def rows(which: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return adaptive(lambda k, x: intensity(np.sqrt(x * x + y[k] * y[k])), x0[which], x0[which] + width, tolerance * width) / width
 
-def _unit(df: DataFrame) -> DataFrame:
-    return df.crossJoin(F.broadcast(df.agg(F.sum("v").alias("t")))).select(*AXES, (F.col("v") / F.col("t")).alias("v"))
+    return adaptive(rows, y0, y0 + width, tolerance * width) / width
+
+
+def pixel_volumes(params: DataFrame, dxy: float = 130.0, dz: float = 300.0, nxy: int = 15, nz: int = 5, tolerance: float = 1e-8) -> DataFrame:
+    """Born-Wolf volumes (key, x, y, z, v) of unit sum, one for each row (key, wavelength, na, index), whose voxels are integrals over their pixels."""
+    nxy, nz = nxy + 1 - nxy % 2, nz + 1 - nz % 2
+    half = nxy // 2
+
+    def plane(p: dict, z: int) -> np.ndarray:
+        # An eighth of the plane is enough: it is alike in x and y and in their signs.
+        v = {(a, b): 0.0 for a in range(half + 1) for b in range(a + 1)}
+        x0, y0 = (np.array([(k[c] - 0.5) * dxy for k in v]) for c in (0, 1))
+        v = dict(zip(v, pixel_integrals(x0, y0, abs(z) * dz, p["wavelength"], p["na"], p["index"], dxy, tolerance)))
+        at = np.abs(np.arange(nxy) - half)
+        return np.array([[v[max(i, j), min(i, j)] for i in at] for j in at])
+
+    return _volumes(params, nz, plane)
 
 
 def angular_spectrum_planes(wavelength: float, na: float, index: float, dxy: float, n: int, zs: list[float]) -> np.ndarray:
@@ -110,29 +201,37 @@ def pinhole(radius: float) -> np.ndarray:
     return k / k.sum()
 
 
-def angular_spectrum(spark: SparkSession, emission: float, excitation: float | None = None, na: float = 1.4, index: float = 1.515, dxy: float = 60.0, dz: float = 150.0, nxy: int = 63, nz: int = 21, pinhole_radius: float = 1.0) -> DataFrame:
-    """Wide-field volume of unit sum; with an excitation wavelength the confocal one: (emission blurred by the pinhole) times excitation."""
+def angular_spectrum_volumes(params: DataFrame, dxy: float = 60.0, dz: float = 150.0, nxy: int = 63, nz: int = 21, pinhole_radius: float = 1.0) -> DataFrame:
+    """Wide-field volumes (key, x, y, z, v) of unit sum, one for each row (key, emission, excitation, na, index); with an excitation wavelength
+    above 0 the confocal one: (emission blurred by the pinhole) times excitation."""
 
-    def run(batches):
-        for batch in batches:
-            for z in batch.column("id").to_pylist():
-                at = [(z - nz // 2) * dz]
-                plane = angular_spectrum_planes(emission, na, index, dxy, nxy, at)[0]
-                if excitation:
-                    k = pinhole(pinhole_radius)
-                    wide = np.zeros_like(plane)
-                    wide[: k.shape[0], : k.shape[1]] = k
-                    wide = np.roll(wide, (-(k.shape[0] // 2), -(k.shape[1] // 2)), (0, 1))
-                    plane = np.maximum(np.fft.ifft2(np.fft.fft2(plane) * np.fft.fft2(wide)).real, 0) * angular_spectrum_planes(excitation, na, index, dxy, nxy, at)[0]
-                y, x = np.indices(plane.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(x.ravel().astype(np.int32)), pa.array(y.ravel().astype(np.int32)), pa.array(np.full(plane.size, z, np.int32)), pa.array(plane.ravel())], ["x", "y", "z", "v"])
+    def plane(p: dict, z: int) -> np.ndarray:
+        got = angular_spectrum_planes(p["emission"], p["na"], p["index"], dxy, nxy, [z * dz])[0]
+        if p["excitation"]:
+            k = pinhole(pinhole_radius)
+            wide = np.zeros_like(got)
+            wide[: k.shape[0], : k.shape[1]] = k
+            wide = np.roll(wide, (-(k.shape[0] // 2), -(k.shape[1] // 2)), (0, 1))
+            got = np.maximum(np.fft.ifft2(np.fft.fft2(got) * np.fft.fft2(wide)).real, 0) * angular_spectrum_planes(p["excitation"], p["na"], p["index"], dxy, nxy, [z * dz])[0]
+        return got
 
-    return _unit(spark.range(0, nz, 1, nz).mapInArrow(run, VOXELS))
+    return _volumes(params, nz, plane)
 
 
-def sted(spark: SparkSession, fwhm_lateral: float, fwhm_axial: float, n: int, nz: int) -> DataFrame:
-    """Gaussian along z times a two-dimensional Lorentzian; columns only."""
-    gamma = fwhm_lateral / (2 * math.sqrt(2 ** (2 / 3) - 1))
-    sigma = fwhm_axial / (2 * math.sqrt(2 * math.log(2)))
+def angular_spectrum(spark: SparkSession, emission: float, excitation: float | None = None, na: float = 1.4, index: float = 1.515, **options) -> DataFrame:
+    """One volume (x, y, z, v)."""
+    return angular_spectrum_volumes(spark.createDataFrame([(0, float(emission), float(excitation or 0), float(na), float(index))], "key long, emission double, excitation double, na double, index double"), **options).drop("key")
+
+
+def sted_volumes(params: DataFrame, lateral: Column, axial: Column, n: int, nz: int) -> DataFrame:
+    """params with (x, y, z, v), one volume a row: a Gaussian along z times a two-dimensional Lorentzian; columns only."""
+    gamma, sigma = gamma_from_fwhm(lateral), sigma_from_fwhm(axial)
     at = lambda a, m: F.col(a) - float((m - 1) // 2)
-    return Grid(n, n, nz).frame(spark).withColumn("v", gauss(at("z", nz), F.lit(sigma)) * lorentz(at("x", n), at("y", n), F.lit(gamma)))
+    rows = params.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n * n * nz - 1))))
+    rows = rows.withColumns({"x": F.col("_i") % n, "y": F.floor(F.col("_i") / n).cast("int") % n, "z": F.floor(F.col("_i") / (n * n)).cast("int")})
+    return rows.withColumn("v", gauss(at("z", nz), sigma) * lorentz(at("x", n), at("y", n), gamma)).drop("_i")
+
+
+def sted(spark: SparkSession, fwhm_lateral: float, fwhm_axial: float, n: int, nz: int) -> DataFrame:
+    """One volume (x, y, z, v)."""
+    return sted_volumes(spark.range(1), F.lit(float(fwhm_lateral)), F.lit(float(fwhm_axial)), n, nz).select(*AXES, "v")

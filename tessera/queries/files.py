@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera import sources, views
 from tessera.checkpoints import shared_dir
+from tessera.queries.points import levels_sql
 from tessera.sources import npy, png, tables, tiff
 
 Q: dict = {}
@@ -73,22 +74,23 @@ def npy_table(spark, d) -> DataFrame:
     from tessera.sources.files import write_bytes
 
     write_bytes(out + "/.keep", b"")
-    npy.write_table(views.features(spark, d).orderBy("id").select("f0", "f1"), out + "/table.npy")
+    npy.write_table(views.table(spark, d, "orders").orderBy("o_orderkey").select("o_totalprice", F.col("o_custkey").cast("double")), out + "/table.npy")
     return spark.read.format("tessera_npy").option("path", out + "/table.npy").load().select(F.col("y").alias("row"), F.col("x").alias("column"), F.round("v", 2).alias("v"))
 
 
 def tsv_round_trip(spark, d) -> DataFrame:
     out = _folder(spark, "tsv")
-    tables.write(views.features(spark, d).orderBy("id").coalesce(1).select("f0", "f1", "f3"), out)
+    tables.write(views.features(spark, d).select("f0", "f1", "f3"), out)
     return tables.read(spark, out).groupBy("f0").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("f1").cast("double")), 3).alias("f1"))
 
 
 def csv_fixed(spark, d) -> DataFrame:
     """Garbage and missing cells become 0, short lines go."""
     out = _folder(spark, "csv")
-    rows = [("a, b ,c",), ("1,2,3",), ("x,,7.5",), ("4,5",), ("1e2,-3, 9 ",)]
-    spark.createDataFrame(rows, "value string").coalesce(1).write.text(out)
-    return tables.read(spark, out, ",").select(*[F.col(c).cast("double").alias(c) for c in "abc"])
+    price = F.when(F.col("p_size") % 5 == 0, "x").when(F.col("p_size") % 5 == 1, "").otherwise(F.col("p_retailprice").cast("string"))
+    line = F.when(F.col("p_partkey") % 7 == 0, F.concat_ws(",", "p_partkey", price)).otherwise(F.concat_ws(",", "p_partkey", price, F.concat(F.lit(" "), "p_size", F.lit(" "))))
+    views.table(spark, d, "part").select(line.alias("value")).write.text(out)
+    return tables.read(spark, out, ",", "a, b ,c").select(F.col("a").cast("long").alias("a"), F.round(F.col("b").cast("double"), 2).alias("b"), F.col("c").cast("int").alias("c"))
 
 
 def csv_six_decimals(spark, d) -> DataFrame:
@@ -96,12 +98,12 @@ def csv_six_decimals(spark, d) -> DataFrame:
 
 
 def log_scaling(spark, d) -> DataFrame:
-    from tessera.sources.files import write_bytes
-
+    """A log for each supplier: the last scaling counts, a third says none."""
     out = _folder(spark, "logs")
-    write_bytes(out + "/one.log.txt", b"start\nscaling: 2.5\nscaling: 1.25\n")
-    write_bytes(out + "/two.log.txt", b"start\n")
-    return tables.scaling(spark, spark.createDataFrame([("one",), ("two",), ("three",)], "image string"), out)
+    own = views.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("image"), "s_suppkey", "s_acctbal")
+    said = F.when(F.col("s_suppkey") % 3 != 0, F.array(F.lit("start"), F.lit("scaling: 7"), F.concat(F.lit("scaling: "), F.round("s_acctbal", 2).cast("string")))).otherwise(F.array(F.lit("start")))
+    tables.write_logs(own.select("image", F.posexplode(said).alias("at", "line")), out).write.format("noop").mode("overwrite").save()
+    return tables.scaling(spark, own.select("image"), out)
 
 
 def png_labels(spark, d) -> DataFrame:
@@ -112,11 +114,13 @@ def png_labels(spark, d) -> DataFrame:
 
 
 def model_round_trip(spark, d) -> DataFrame:
-    from tessera.checkpoints import stored
-    from tessera.operators import forest
-    from tessera.queries.points import _NODES
+    """A fitted model, written and read."""
+    from tessera.queries.points import grown
+    from tessera.queries.volumes import rounded
 
-    return stored(spark.createDataFrame(_NODES, forest.NODES)).groupBy("tree").agg(F.count(F.lit(1)).alias("nodes"), F.sum("gain").alias("gain"))
+    out = _folder(spark, "model")
+    grown(spark, d).write.parquet(out)
+    return rounded(spark.read.parquet(out)).drop("tree")
 
 
 def tiff_planes_stacked(spark, d) -> DataFrame:
@@ -142,12 +146,12 @@ S |= {
     "tiff_info": "SELECT 32 AS m, 32 AS n, 4 AS p, 16 AS bits, 7.5::DOUBLE AS x_resolution, 0.3::DOUBLE AS z_spacing, true AS supported, 'ImageJ=1;spacing=0.3' AS flat_description",
     "tiff_skip_existing": "SELECT true AS first, false AS again",
     "npy_round_trip": f"SELECT x, y, z, v FROM {_G} g",
-    "npy_table": f"SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INT) AS row, 0 AS \"column\", round(f0::FLOAT::DOUBLE, 2) AS v FROM {_FT} a UNION ALL SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INT), 1, round(f1::FLOAT::DOUBLE, 2) FROM {_FT} b",
+    "npy_table": "SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INT) AS row, 0 AS \"column\", round(o_totalprice::FLOAT::DOUBLE, 2) AS v FROM orders UNION ALL SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INT), 1, o_custkey::DOUBLE FROM orders",
     "tsv_round_trip": f"SELECT f0::FLOAT AS f0, count(*) AS n, round(sum(f1::FLOAT::DOUBLE), 3) AS f1 FROM {_FT} a GROUP BY 1",
-    "csv_fixed": "SELECT * FROM (VALUES (1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE), (0.0, 0.0, 7.5), (100.0, -3.0, 9.0)) t(a, b, c)",
+    "csv_fixed": "SELECT p_partkey AS a, CASE WHEN p_size % 5 IN (0, 1) THEN 0.0 ELSE round(p_retailprice::FLOAT::DOUBLE, 2) END AS b, p_size AS c FROM part WHERE p_partkey % 7 <> 0",
     "csv_six_decimals": f"SELECT id, printf('%.6f', f3::DOUBLE) AS text FROM {_FT} a",
-    "log_scaling": "SELECT * FROM (VALUES ('one', 1.25::DOUBLE), ('two', 1.0), ('three', 1.0)) t(image, scaling)",
+    "log_scaling": "SELECT CAST(s_suppkey AS VARCHAR) AS image, CASE WHEN s_suppkey % 3 <> 0 THEN round(s_acctbal, 2) ELSE 1.0 END AS scaling FROM supplier",
     "png_labels": f"SELECT x, y, CASE WHEN (x + y) % 4 = 3 THEN -1 ELSE (x + y) % 4 END AS label FROM ({views.GRID2_SQL}) g",
-    "model_round_trip": "SELECT * FROM (VALUES (0, 5, 16.0::DOUBLE), (1, 3, 6.0), (2, 3, 2.0)) t(tree, nodes, gain)",
+    "model_round_trip": levels_sql("SELECT * FROM nodes"),
     "tiff_planes_stacked": "SELECT CAST(i % 4 AS INT) AS x, CAST(i // 4 % 3 AS INT) AS y, CAST(i // 12 AS INT) AS z, CAST(i AS DOUBLE) AS v FROM range(24) t(i)",
 }

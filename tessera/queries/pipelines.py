@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from tessera import sources, views
 from tessera.model import AXES, Grid, to_tiles
 from tessera.operators import agg, fit, geometry, morph, psf, recon
-from tessera.plans import nuclei, restore
+from tessera.plans import dots, nuclei, restore
 from tessera.queries.files import _folder
 from tessera.queries.sql import Sql, r6
-from tessera.queries.volumes import G2, G3, rounded
+from tessera.queries.volumes import DOTS_SQL, G2, G3, rounded
 from tessera.sources import convert, log, svg, tables, tiff
 
 Q: dict = {}
@@ -44,14 +44,10 @@ add("iteration_metrics", lambda s, d: restore.iteration_metrics(to_tiles(views.g
 add("denoise_image", lambda s, d: restore.denoise_image(views.grid3(s, d), G3, iterations=5, tile=16, overlap=4))
 
 
-def _one_dot(spark):
-    """A kernel with a margin that is too weak to keep and a bright plane that is not the middle one."""
-    return spark.range(7 * 7 * 6).selectExpr("cast(id % 7 as int) x", "cast(id div 7 % 7 as int) y", "cast(id div 49 as int) z", "cast(if(id % 7 in (0, 6), 0, 100 - 10 * abs(id div 49 - 2)) as double) v")
-
-
 def _cropped(s, d):
-    kernel = geometry.trim_margin(_one_dot(s), "x", 0.001)
-    kernel, grid = geometry.centre_z(kernel, Grid(5, 7, 6))
+    """The volume as a kernel would be cut: weak margins, to its brightest plane, to what an image of 5 x 3 x 2 meets, to odd sizes."""
+    kernel = geometry.trim_margin(views.grid3(s, d), "x", 0.98)
+    kernel, grid = geometry.centre_z(kernel, Grid(kernel.agg(F.max("x")).first()[0] + 1, G3.ny, G3.nz))
     kernel, grid = geometry.crop_by_image(kernel, grid, Grid(5, 3, 2))
     odd, _ = geometry.make_odd(kernel.where("x < 4"), Grid(4, grid.ny, grid.nz))
     return odd
@@ -60,17 +56,22 @@ def _cropped(s, d):
 add(
     "kernel_crops",
     _cropped,
-    "SELECT CAST(a.i AS INT) AS x, CAST(b.i AS INT) AS y, CAST(c.i AS INT) AS z, CASE WHEN a.i < 4 THEN 100.0 - 10 * abs(c.i - 1) ELSE 0.0 END::DOUBLE AS v FROM range(5) a(i), range(5) b(i), range(3) c(i)",
+    """WITH g AS MATERIALIZED (SELECT * FROM ("""
+    + views.GRID3_SQL
+    + """) t), s AS (SELECT x, sum(v) AS s FROM g GROUP BY x), k AS (SELECT min(x) AS a, max(x) - min(x) + 1 AS w FROM s WHERE s >= 0.98 * (SELECT max(s) FROM s)),
+t AS MATERIALIZED (SELECT x - a AS x, y, z, v, w FROM g, k WHERE x BETWEEN a AND a + w - 1),
+h AS (SELECT z AS top, least(z, 3 - z) AS half FROM (SELECT z, max(v) AS m FROM t GROUP BY z) q ORDER BY m DESC, z LIMIT 1),
+c AS (SELECT CASE WHEN w > 9 THEN x - ((w - 1) // 2 - 4) ELSE x END AS x, y - 13 AS y, z - (top - half) AS z, v FROM t, h WHERE z BETWEEN top - half AND top + half AND y BETWEEN 13 AND 17)
+SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(z AS INT) AS z, v FROM c WHERE x BETWEEN 0 AND 3 UNION ALL SELECT 4, CAST(b.i AS INT), CAST(c.i AS INT), 0.0 FROM range(5) b(i), h, range(4) c(i) WHERE c.i <= 2 * half""",
 )
 # ---------------------------------------------------------------- registration
-add("register_shift", lambda s, d: s.createDataFrame([restore.register(geometry.circular_shift(_spot(s), G2, (5, -3, 0)), _spot(s), G2)], "dx int, dy int"), "SELECT 5 AS dx, -3 AS dy")
-
+def _moved(s, d):
+    plane = views.grid2(s, d)
+    return geometry.circular_shift(plane, G2, (5, -3, 0)), plane
 
-def _spot(spark):
-    return G2.frame(spark).withColumn("v", F.when(F.col("x").between(10, 15) & F.col("y").between(12, 14), F.col("x") + 2.0 * F.col("y")).otherwise(F.col("v")))
 
-
-add("shift_onto_reference", lambda s, d: restore.shift_image(geometry.circular_shift(_spot(s), G2, (5, -3, 0)), G2, reference=_spot(s)), "SELECT CAST(a.i AS INT) AS x, CAST(b.i AS INT) AS y, 0 AS z, CASE WHEN a.i BETWEEN 10 AND 15 AND b.i BETWEEN 12 AND 14 THEN a.i + 2.0 * b.i ELSE 0.0 END::DOUBLE AS v FROM range(32) a(i), range(32) b(i)")
+add("register_shift", lambda s, d: s.createDataFrame([restore.register(*_moved(s, d), G2)], "dx int, dy int"), "SELECT 5 AS dx, -3 AS dy FROM (SELECT count(*) FROM lineitem) t")
+add("shift_onto_reference", lambda s, d: restore.shift_image(_moved(s, d)[0], G2, reference=_moved(s, d)[1]), g2("SELECT x, y, z, CASE WHEN x <= 26 AND y >= 3 THEN v ELSE 0.0 END AS v FROM {g}"))
 
 
 # ---------------------------------------------------------------- conversions and files
@@ -92,22 +93,26 @@ def _there_and_back(s, d):
 
 
 def _log(s, d):
-    rows = log.provenance(s, "deconvolve", iterations=50, method="shb")
+    """The log of a run over the whole volume; seconds and bytes differ from run to run and are left out here."""
+    options = recon.Options(iterations=2)
+    out, told = log.measured(s, "deconvolve", lambda: restore.deconvolve_image(views.grid3(s, d), G3, _psf(s), options, tile=16, overlap=6), iterations=options.iterations, method=options.method)
     path = _folder(s, "logs") + "/run.log.txt"
-    log.write_log(rows, path)
-    return s.read.text(path).select(F.split_part("value", F.lit(": "), F.lit(1)).alias("key"), F.split_part("value", F.lit(": "), F.lit(2)).alias("value")).where("key like 'option%' or key = 'operation'")
+    log.write_log(told, path)
+    return s.read.text(path).select(F.split_part("value", F.lit(": "), F.lit(1)).alias("key"), F.split_part("value", F.lit(": "), F.lit(2)).alias("value")).where("key like 'option%' or key in ('operation', 'rows')")
 
 
 def _metrics_file(s, d):
+    """A table of measures an hour, through the sink and back."""
     out = _folder(s, "metrics")
-    tables.write(s.range(4).selectExpr("cast(id as int) iter", "cast(id * 0.5 as double) time", "100.0 / (id + 1) error").coalesce(1), out)
-    return tables.read(s, out).select(*[F.col(c).cast("double").alias(c) for c in ("iter", "time", "error")]).select("iter", "time", F.round("error", 3).alias("error"))
+    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600) - 473352
+    tables.write(views.table(s, d, "events").groupBy(hour.cast("int").alias("iter")).agg(F.count(F.lit(1)).cast("double").alias("time"), F.avg("value").alias("error")), out)
+    return tables.read(s, out).select(F.col("iter").cast("int").alias("iter"), F.col("time").cast("double").alias("time"), F.round(F.col("error").cast("double"), 2).alias("error"))
 
 
 for _name, _f in (("raw_to_tiff", _raw_to_tiff), ("convert_there_and_back", _there_and_back)):
     add(_name, _f, g3("SELECT x, y, z, v FROM {g}"))
-add("provenance_log", _log, "SELECT * FROM (VALUES ('operation', 'deconvolve'), ('option.iterations', '50'), ('option.method', 'shb')) t(key, value)")
-add("metrics_file", _metrics_file, "SELECT i::DOUBLE AS iter, i * 0.5::DOUBLE AS time, round(100.0::DOUBLE / (i + 1), 3) AS error FROM range(4) t(i)")
+add("provenance_log", _log, g3("SELECT * FROM (VALUES ('operation', 'deconvolve'), ('option.iterations', '2'), ('option.method', 'shb')) t(key, value) UNION ALL SELECT 'rows', CAST(count(*) AS VARCHAR) FROM {g}"))
+add("metrics_file", _metrics_file, "SELECT CAST(floor(epoch(ts) / 3600) - 473352 AS INT) AS iter, count(*)::DOUBLE AS time, round(avg(value)::FLOAT::DOUBLE, 2) AS error FROM events GROUP BY 1")
 
 
 # ---------------------------------------------------------------- dots
@@ -142,20 +147,18 @@ add("pixel_classification", _classified)
 
 
 # ---------------------------------------------------------------- pictures
-def _marks(s):
-    return s.range(9).selectExpr("id", "cast(id * 3 + 2 as double) x", "cast(30 - id * 2 as double) y", "cast(10 * id as double) value", "cast(id % 2 as int) use")
-
-
 def _overlay(mode):
     def run(s, d):
-        """The circles as the written picture has them."""
+        """The circles of detected dots as the written picture has them."""
+        volume = views.grid3(s, d)
         path = _folder(s, "svg") + "/picture.svg"
-        svg.write(views.grid3(s, d), svg.selected(_marks(s), mode, threshold=45.0, n=3), path)
+        found = dots.detect(volume, G3, 1.0, 1.0, n=40).withColumn("id", G3.raster())
+        svg.write(volume, svg.selected(found, mode, threshold=100.0, n=3), path)
         lines = s.read.text(path).where("value like '<circle%'")
         return lines.select(*[F.regexp_extract("value", f'{c}="([0-9.]+)"', 1).cast("double").alias(c) for c in ("cx", "cy", "r")])
 
     return run
 
 
-for _mode, _where in (("auto", "i % 2 = 1"), ("threshold", "10 * i > 45"), ("first", "i >= 6")):
-    add(f"svg_{_mode}", _overlay(_mode), f"SELECT i * 3 + 2.5::DOUBLE AS cx, 30 - i * 2 + 0.5::DOUBLE AS cy, 3.0::DOUBLE AS r FROM range(9) t(i) WHERE {_where}")
+for _mode, _where in (("auto", "WHERE use = 1"), ("threshold", "WHERE value > 100"), ("first", "ORDER BY value DESC LIMIT 3")):
+    add(f"svg_{_mode}", _overlay(_mode), f"SELECT x + 0.5::DOUBLE AS cx, y + 0.5::DOUBLE AS cy, 3.0::DOUBLE AS r FROM ({DOTS_SQL}) d {_where}")

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import functions as F
 
 from tessera import views
-from tessera.functions import axial_resolution, gamma_from_fwhm, lateral_resolution, linear_grid, sigma_from_fwhm
+from tessera.checkpoints import stored
+from tessera.functions import axial_resolution, gamma_from_fwhm, lateral_resolution, linear_grids, sigma_from_fwhm
 from tessera.model import AXES, Grid
 from tessera.operators import agg, geometry, maps, morph, psf, recon, stencil
 from tessera.plans import dots, nuclei
@@ -73,8 +74,8 @@ simple3("anscombe_round_trip", lambda v: rounded(maps.inverse_anscombe(maps.ansc
 simple3("saturation_counters", lambda v: maps.counters(v, 0.0), "SELECT count(*) FILTER (v = 0) AS n_background, count(*) FILTER (isnan(v) OR isinf(v)) AS n_not_finite FROM {g}")
 simple3("u16_values", maps.to_u16, "SELECT x, y, z, CAST(least(65535.0, floor(v * (65535.0 / (SELECT max(v) FROM {g})) + 0.5)) AS INT) AS v FROM {g}")
 simple3("threshold", lambda v: maps.threshold(v, 400.0), "SELECT x, y, z, CASE WHEN v > 400 THEN 1.0 ELSE 0.0 END AS v FROM {g}")
-add("constant_volume", lambda s, d: Grid(7, 5, 3).frame(s, 2.5), "SELECT CAST(a.i AS INT) AS x, CAST(b.i AS INT) AS y, CAST(c.i AS INT) AS z, CAST(2.5 AS DOUBLE) AS v FROM range(7) a(i), range(5) b(i), range(3) c(i)")
-add("linear_grid", lambda s, d: rounded(linear_grid(s, -2.0, 3.0, 0.3)), "SELECT CAST(i AS INT) AS i, " + r6("-2.0 + i * 5.0 / 17") + " AS value FROM range(18) t(i)")
+simple3("constant_volume", lambda v: maps.constant(v, 2.5), "SELECT x, y, z, CAST(2.5 AS DOUBLE) AS v FROM {g}")
+add("linear_grid", lambda s, d: linear_grids(views.table(s, d, "part").select("p_partkey", "p_size", "p_retailprice"), -F.col("p_size"), F.col("p_retailprice") / 100, F.lit(2.5)).select("p_partkey", "i", F.round("value", 9).alias("value")), f"SELECT p_partkey, CAST(i AS INT) AS i, round(-p_size + i * (p_retailprice / 100 + p_size) / greatest(1, n - 1), 9) AS value FROM (SELECT *, unnest(range(n)) AS i FROM (SELECT *, CAST(ceil((p_retailprice / 100 + p_size) / 2.5::DOUBLE) + 1 AS BIGINT) AS n FROM part) q) t")
 add(
     "optics",
     lambda s, d: rounded(views.table(s, d, "part").select("p_partkey", lateral_resolution(F.col("p_retailprice"), F.lit(1.4)).alias("lateral"), axial_resolution(F.col("p_retailprice"), F.lit(1.4)).alias("axial"), sigma_from_fwhm(F.col("p_retailprice")).alias("sigma"), gamma_from_fwhm(F.col("p_retailprice")).alias("gamma"))),
@@ -313,14 +314,39 @@ add("deconvolve_tiles", lambda s, d: _deconvolved(s, d, lambda t: recon.deconvol
 add("denoise_tiles", lambda s, d: _deconvolved(s, d, lambda t: recon.denoise_tiles(t, iterations=5)))
 
 # ---------------------------------------------------------------- generators
-_gamma, _sigma = 5.0 / (2 * math.sqrt(2 ** (2 / 3) - 1)), 4.0 / (2 * math.sqrt(2 * math.log(2)))
+_gamma, _sigma = f"(s_nationkey / 10.0::DOUBLE + 3) / {2 * math.sqrt(2 ** (2 / 3) - 1)!r}", f"(4.0::DOUBLE + s_suppkey % 3) / {2 * math.sqrt(2 * math.log(2))!r}"
+
+
+def _sted(s, d):
+    widths = psf.sted_volumes(views.table(s, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("s_nationkey") / 10.0 + 3.0, F.col("s_suppkey") % 3 + F.lit(4.0), 11, 7)
+    return widths.select("s_suppkey", *AXES, F.round("v", 9).alias("v"))
+
+
 add(
     "psf_sted",
-    lambda s, d: psf.sted(s, 5.0, 4.0, 11, 7).withColumn("v", F.round("v", 9)),
-    f"SELECT CAST(a.i AS INT) AS x, CAST(b.i AS INT) AS y, CAST(c.i AS INT) AS z, round(exp(-0.5 * (c.i - 3) * (c.i - 3) / ({_sigma!r} * {_sigma!r})) / ({_sigma!r} * sqrt(2 * pi())) * {_gamma!r} / pow((a.i - 5) * (a.i - 5) + (b.i - 5) * (b.i - 5) + {_gamma!r} * {_gamma!r}, 1.5) / (2 * pi()), 9) AS v FROM range(11) a(i), range(11) b(i), range(7) c(i)",
+    _sted,
+    f"SELECT s_suppkey, CAST(a.i AS INT) AS x, CAST(b.i AS INT) AS y, CAST(c.i AS INT) AS z, round(exp(-0.5 * (c.i - 3) * (c.i - 3) / (s * s)) / (s * sqrt(2 * pi())) * g / pow((a.i - 5) * (a.i - 5) + (b.i - 5) * (b.i - 5) + g * g, 1.5) / (2 * pi()), 9) AS v FROM (SELECT s_suppkey, {_gamma} AS g, {_sigma} AS s FROM supplier) p, range(11) a(i), range(11) b(i), range(7) c(i)",
 )
-add("psf_born_wolf", lambda s, d: psf.born_wolf(s, nxy=15, nz=5))
-add("psf_angular_spectrum", lambda s, d: psf.angular_spectrum(s, 500.0, 480.0, nxy=31, nz=5))
+
+
+def _shape(volumes):
+    """What closed form says of a volume, whatever its parameters: number of voxels, sum, brightest voxel, likeness to its mirror images."""
+    v = stored(volumes)
+    mirror = v.select("key", F.col("y").alias("x"), F.col("x").alias("y"), "z", F.col("v").alias("w"))
+    told = v.join(mirror, ["key", *AXES]).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.max_by(F.struct(*AXES), "v").alias("top"), F.max(F.abs(F.col("v") - F.col("w"))).alias("skew"))
+    return rounded(told.select("key", "n", "total", *[F.col(f"top.{a}").alias("top_" + a) for a in AXES], "skew"))
+
+
+def _sizes(s, d, *columns):
+    """Wavelengths and apertures that the parts' sizes stand for: one row a size."""
+    return views.table(s, d, "part").select(F.col("p_size").alias("key")).distinct().select("key", *columns)
+
+
+_wave, _na = (400 + 6 * F.col("key")).alias("wavelength"), (1.0 + F.col("key") / 125).alias("na")
+_shape_sql = "SELECT DISTINCT CAST(p_size AS BIGINT) AS key, CAST({n} * {n} * {nz} AS BIGINT) AS n, 1.0::DOUBLE AS total, {h} AS top_x, {h} AS top_y, {hz} AS top_z, 0.0::DOUBLE AS skew FROM part"
+add("psf_born_wolf", lambda s, d: _shape(psf.born_wolf_volumes(_sizes(s, d, _wave, _na, F.lit(1.512).alias("index")), nxy=9, nz=3)), _shape_sql.format(n=9, nz=3, h=4, hz=1))
+add("psf_pixel_integrals", lambda s, d: _shape(psf.pixel_volumes(_sizes(s, d, _wave, _na, F.lit(1.512).alias("index")), nxy=7, nz=3)), _shape_sql.format(n=7, nz=3, h=3, hz=1))
+add("psf_angular_spectrum", lambda s, d: _shape(psf.angular_spectrum_volumes(_sizes(s, d, (420 + 6 * F.col("key")).alias("emission"), (400 + 6 * F.col("key")).alias("excitation"), _na, F.lit(1.515).alias("index")), nxy=31, nz=5)), _shape_sql.format(n=31, nz=5, h=15, hz=2))
 
 # ---------------------------------------------------------------- pipelines
 _q, _g = g3()
@@ -328,8 +354,8 @@ _l = _q.neighbours(_q.log(_g, G3, 1.0, 1.0), True)
 _m = _q.cte(f"SELECT x, y, z, v AS value FROM {_l} WHERE v > greatest(m, 0) AND x BETWEEN 1 AND 30 AND y BETWEEN 1 AND 30 AND z BETWEEN 1 AND 2")
 _h = _q.histogram(_m, "value")
 _o = _q.otsu(_q.cte(f"SELECT bin, l, r, ln(1 + c) AS c FROM {_h}"))
-_dots = _q.out(f"SELECT x, y, z, {r6('m.value')} AS value, CASE WHEN m.value > o.value THEN 1 ELSE 0 END AS use FROM {_m} m, {_o} o ORDER BY m.value DESC LIMIT 40")
-add("dots_pipeline", on3(lambda v: rounded(dots.detect(v, G3, 1.0, 1.0, n=40))), _dots)
+DOTS_SQL = _q.out(f"SELECT x, y, z, {r6('m.value')} AS value, CASE WHEN m.value > o.value THEN 1 ELSE 0 END AS use FROM {_m} m, {_o} o ORDER BY m.value DESC LIMIT 40")
+add("dots_pipeline", on3(lambda v: rounded(dots.detect(v, G3, 1.0, 1.0, n=40))), DOTS_SQL)
 add("dots_fitted", on3(lambda v: dots.detect(v, G3, 1.0, 1.0, n=10, fitting=True, circularity=True)))
 simple3("nuclei_reduce_mean", lambda v: rounded(nuclei.reduce_planes(v, G3, "mean")), "SELECT x, y, 0 AS z, " + r6("avg(v)") + " AS v FROM {g} GROUP BY x, y")
 _q, _g = g3()

@@ -27,6 +27,11 @@ def write_bytes(path: str, data: bytes) -> None:
         f.write(data)
 
 
+def size_of(path: str) -> int:
+    fs, p = resolve(path)
+    return fs.get_file_info(p).size or 0
+
+
 def exists(path: str) -> bool:
     fs, p = resolve(path)
     return fs.get_file_info(p).type != pafs.FileType.NotFound

@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime
 import getpass
 import platform
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.sources.files import write_bytes
+from tessera.checkpoints import stored
+from tessera.sources.files import size_of, write_bytes
 
 
 def provenance(spark: SparkSession, name: str, **options) -> DataFrame:
@@ -18,6 +20,17 @@ def provenance(spark: SparkSession, name: str, **options) -> DataFrame:
     return spark.createDataFrame([(k, v) for k, v in rows], "key string, value string")
 
 
+def measured(spark: SparkSession, name: str, work, **options) -> tuple[DataFrame, DataFrame]:
+    """(result of work(), written once; its provenance with rows, bytes and seconds)."""
+    begin = time.monotonic()
+    out = stored(work())
+    files = out.inputFiles()
+    size = sum(size_of(f) for f in files)
+    told = {"rows": out.count(), "files": len(files), "bytes": size, "seconds": round(time.monotonic() - begin, 3)}
+    extra = spark.createDataFrame([(k, str(v)) for k, v in told.items()], "key string, value string")
+    return out, provenance(spark, name, **options).unionByName(extra)
+
+
 def write_log(log: DataFrame, path: str) -> str:
     """A log of key: value lines (tens of them) as one text file."""
     write_bytes(path, "".join(f"{r['key']}: {r['value']}\n" for r in log.collect()).encode())

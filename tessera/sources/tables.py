@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.files import write_bytes
 
-def read(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
-    """The first line names the columns; every cell is a number, cells that are not become 0, and lines with fewer cells than names go.
+
+def read(spark: SparkSession, path: str, separator: str = "\t", first_line: str | None = None) -> DataFrame:
+    """The first line (given, or else the file's) names the columns; every cell is a number, cells that are not become 0, and lines with fewer cells than names go.
 
     _row keeps the order of lines within files."""
-    head = spark.read.text(path).limit(1).first()
+    head = spark.read.text(path).limit(1).first() if first_line is None else (first_line,)
     if head is None:
         raise ValueError("an empty file")
     names = [n.strip(" \r\n") for n in head[0].split(separator)]
@@ -37,6 +40,17 @@ def column(df: DataFrame, name: str):
     return df.toDF(*[c if i == at[-1] or c != name else f"{c}__{i}" for i, c in enumerate(df.columns)])[name]
 
 
+def write_logs(lines: DataFrame, folder: str) -> DataFrame:
+    """lines (image, at, line) as one <image>.log.txt each in the folder, written by the tasks: (image, lines). A log is tens of lines."""
+
+    def put(t: pa.Table) -> pa.Table:
+        rows = t.sort_by("at")
+        write_bytes(f"{folder}/{rows.column('image')[0].as_py()}.log.txt", "".join(f"{x}\n" for x in rows.column("line").to_pylist()).encode())
+        return pa.table({"image": rows.column("image")[:1], "lines": pa.array([rows.num_rows], pa.int32())})
+
+    return lines.select(F.col("image").cast("string").alias("image"), "at", "line").groupBy("image").applyInArrow(put, "image string, lines int")
+
+
 def scaling(spark: SparkSession, images: DataFrame, logs: str) -> DataFrame:
     """images (image) with the last "scaling:" of <image>.log.txt in the folder logs, 1 where there is none."""
     lines = spark.read.text(f"{logs}/*.log.txt").select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))

@@ -227,6 +227,33 @@ def test_conversions(tmp_path, spark):
         convert.read_raw(spark, str(tmp_path / "a.raw"), 5, 4, 4)
 
 
+def test_pixel_integrals_match_a_fine_grid():
+    """Adaptive integrals of the model over pixels, against a grid of 60 x 60 Gauss-Legendre nodes in each."""
+    nodes, w = np.polynomial.legendre.leggauss(60)
+    for z, wavelength, na in ((0.0, 461.0, 1.45), (600.0, 520.0, 1.2)):
+        x0, y0 = np.array([-65.0, 65.0, 325.0, 455.0]), np.array([-65.0, -65.0, 195.0, 455.0])
+        got = psf.pixel_integrals(x0, y0, z, wavelength, na, 1.512, 130.0)
+        lines = psf.line_integrals(x0, y0, z, wavelength, na, 1.512, 130.0)
+        for k in range(4):
+            x, y = x0[k] + 65 * (nodes + 1), y0[k] + 65 * (nodes + 1)
+            v = psf.born_wolf_profile(np.sqrt(x[None, :] ** 2 + y[:, None] ** 2).ravel(), z, wavelength, na, 1.512).reshape(60, 60)
+            assert got[k] == pytest.approx((v * w[None, :] * w[:, None]).sum() / 4, abs=1e-7)
+            at = psf.born_wolf_profile(np.sqrt(x**2 + y0[k] ** 2), z, wavelength, na, 1.512)
+            assert lines[k] == pytest.approx((at * w).sum() / 2, abs=1e-7)
+
+
+def test_adaptive_halves_where_it_must():
+    a, b = np.array([0.0, 0.0, -1.0, 2.0]), np.array([1.0, np.pi, 1.0, 2.0])
+    seen = []
+
+    def f(k, x):
+        seen.append(len(x))
+        return np.select([k == 0, k == 1, k == 2], [np.exp(x), np.sin(x), np.sqrt(np.abs(x))], 1.0)
+
+    got = psf.adaptive(f, a, b, 1e-10)
+    assert np.allclose(got, [np.e - 1, 2, 4 / 3, 0], atol=1e-8) and sum(seen) < 3000
+
+
 def test_sql_functions(spark):
     register.register(spark)
     assert spark.sql("SELECT tessera_lateral_resolution(500D, 1.25D) AS a").first().a == 200

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,36 +66,103 @@ def scale_space_maxima(responses: dict[float, DataFrame], grid: Grid) -> DataFra
     return d.where(inner & top).select(*AXES, "v", F.element_at(listed, F.col("k") + 1).alias("scale"), F.when(end, F.element_at(listed, at)).otherwise(peak).alias("refined"))
 
 
-def _propagated(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """The smallest label of a node and its neighbours, then the label of that label."""
-    near = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-    step = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("next"))
-    jump = step.join(labels.select(F.col("node").alias("next"), F.col("label").alias("far")), "next", "left")
-    return jump.select("node", F.least("next", F.coalesce("far", "next")).alias("label"))
+#: Pixels along the side of a block that one task labels; equivalences that are broadcast.
+SIDE, FEW = 512, 500_000
 
 
-def components(mask: DataFrame, grid: Grid) -> DataFrame:
+def linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of 0 .. n - 1 that each can reach over the links (a, b)."""
+    label = np.arange(n)
+    while True:
+        la, lb = label[a], label[b]
+        if np.array_equal(la, lb):
+            return label
+        low = np.minimum(la, lb)
+        np.minimum.at(label, la, low)
+        np.minimum.at(label, lb, low)
+        while not np.array_equal(label, up := label[label]):
+            label = up
+
+
+def _within_blocks(on: DataFrame, grid: Grid, side: int) -> DataFrame:
+    """(x, y, root): root is the first pixel, in raster order, of the part of a region that lies in the pixel's block."""
+
+    def label(table: pa.Table) -> pa.Table:
+        key = np.sort(table.column("x").to_numpy().astype(np.int64) + grid.nx * table.column("y").to_numpy().astype(np.int64))
+        run = np.cumsum(np.r_[True, (key[1:] != key[:-1] + 1) | (key[1:] % grid.nx == 0)]) - 1
+        at = np.searchsorted(key, key + grid.nx)
+        there = at < len(key)
+        there[there] = key[at[there]] == key[there] + grid.nx
+        first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        root = key[first][linked(len(first), run[there], run[at[there]])][run]
+        return pa.table({"x": pa.array((key % grid.nx).astype(np.int32)), "y": pa.array((key // grid.nx).astype(np.int32)), "root": pa.array(root)})
+
+    block = lambda a: F.floor(F.col(a) / side).alias("b" + a)
+    return on.select("x", "y", block("x"), block("y")).groupBy("bx", "by").applyInArrow(label, "x int, y int, root long")
+
+
+def _seams(pixels: DataFrame, side: int) -> DataFrame:
+    """(level, sx, sy, a, b): roots that touch across a border of blocks, and the level and place of the smallest square of 2^level by 2^level blocks
+    that holds both."""
+    out = None
+    for axis, other in (("x", "y"), ("y", "x")):
+        ends = pixels.where(F.col(axis) % side == side - 1).select((F.col(axis) + 1).alias(axis), other, F.col("root").alias("a"))
+        met = ends.join(pixels.where(F.col(axis) % side == 0).select("x", "y", F.col("root").alias("b")), ["x", "y"])
+        block, behind = F.floor(F.col(axis) / side), F.floor(F.col(axis) / side) - 1
+        level = F.length(F.conv(block.bitwiseXOR(behind).cast("string"), 10, 2))
+        at = lambda a: F.expr(f"shiftright(cast(floor({a} / {side}) as bigint), level)")
+        own = met.withColumn("level", level.cast("int")).select("level", at("x").alias("sx"), at("y").alias("sy"), "a", "b")
+        out = own if out is None else out.unionByName(own)
+    return out.distinct()
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """(was, now) for the roots of each square that change when its seams (sx, sy, a, b) are closed. A square has at most as many as its two middle lines."""
+
+    def close(table: pa.Table) -> pa.Table:
+        a, b = (table.column(c).to_numpy() for c in "ab")
+        roots = np.unique(np.r_[a, b])
+        now = roots[linked(len(roots), np.searchsorted(roots, a), np.searchsorted(roots, b))]
+        return pa.table({"was": pa.array(roots[now != roots]), "now": pa.array(now[now != roots])})
+
+    return rows.groupBy("sx", "sy").applyInArrow(close, "was long, now long")
+
+
+def components(mask: DataFrame, grid: Grid, side: int | None = None) -> DataFrame:
     """(x, y, label) of the 4-connected regions where v > 0 in a plane; labels 1, 2, ... in raster order of each region's first pixel.
 
-    Runs along x are joined first (one window), so propagation goes from run to run: each round takes the smallest label among touching
-    runs, then the label of that label, until nothing changes."""
+    Blocks are labelled by one task each. Then only pairs of roots along the borders of blocks move: the seams within each square of 2 x 2 blocks are
+    closed, then those within 4 x 4, and so on, each square by one task that holds its two middle lines. The equivalences of all levels make
+    one table (was, now), by which the pixels' roots are replaced once; a root has no more pixels than a block, so no key is hot."""
+    side = side or SIDE
     on = mask.where((F.col("v") > 0) & (F.col("z") == 0)).select("x", "y")
-    w = Window.partitionBy("y").orderBy("x")
-    runs = on.withColumn("new", (F.col("x") != F.coalesce(F.lag("x").over(w) + 1, F.lit(-1))).cast("int"))
-    runs = runs.withColumn("start", F.max(F.when(F.col("new") == 1, F.col("x"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    pixels = stored(runs.select("x", "y", (F.col("start").cast("long") + grid.nx * F.col("y").cast("long")).alias("run")))
-    up = pixels.select("x", (F.col("y") + 1).alias("y"), F.col("run").alias("other"))
-    links = pixels.join(up, ["x", "y"]).select(F.col("run").alias("a"), F.col("other").alias("b")).distinct()
-    links = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = pixels.select(F.col("run").alias("node"), F.col("run").alias("label")).distinct()
-    while True:
-        new = stored(_propagated(_propagated(labels, links), links).join(labels.withColumnRenamed("label", "was"), "node"))
-        labels = new.select("node", "label")
-        if new.where("label <> was").isEmpty():
-            break
-    named = pixels.join(labels, pixels["run"] == labels["node"]).select("x", "y", F.col("label").alias("root"))
-    roots = running(named.select("root").distinct().withColumn("one", F.lit(1)), ["root"], ["one"]).select("root", F.col("run_one").cast("int").alias("label"))
-    return named.join(roots, "root").select("x", "y", "label")
+    pixels = stored(_within_blocks(on, grid, side))
+    named = pixels
+    if max(grid.nx, grid.ny) > side:
+        seams, told = stored(_seams(pixels, side)), None
+        for level in range(1, (max(grid.nx - 1, grid.ny - 1) // side).bit_length() + 1):
+            own = seams.where(F.col("level") == level)
+            if told is not None:
+                for c in "ab":
+                    own = own.join(told.select(F.col("was").alias(c), "now"), c, "left").withColumn(c, F.coalesce("now", c)).drop("now")
+            new = stored(_merged(own))
+            if told is not None:  # what had become a root that now changes goes on to the new one
+                later = new.select(F.col("was").alias("now"), F.col("now").alias("then"))
+                moved = told.join(F.broadcast(later) if new.count() <= FEW else later, "now", "left").select("was", F.coalesce("then", "now").alias("now"))
+                new = stored(moved.unionByName(new))
+            told = new
+        named = pixels.join(told.withColumnRenamed("was", "root"), "root", "left").select("x", "y", F.coalesce("now", "root").alias("root"))
+        named = stored(named)
+    roots = named.where(F.col("root") == F.col("x") + grid.nx * F.col("y").cast("long")).select("root")
+    ranks = running(roots.withColumn("one", F.lit(1)), ["root"], ["one"]).select("root", F.col("run_one").cast("int").alias("label"))
+    sizes = named.groupBy("root").agg(F.count(F.lit(1)).alias("n")).join(ranks, "root")
+    total, large = grid.nx * grid.ny, F.col("n") > max(1, grid.nx * grid.ny // 1000)  # fewer than a thousand regions are large
+    if total <= SIDE * SIDE:
+        return named.join(ranks, "root").select("x", "y", "label")
+    sizes = stored(sizes)
+    rest = named.join(F.broadcast(sizes.where(large).select("root", F.col("label").alias("of_large"))), "root", "left")
+    known = rest.where("of_large is not null").select("x", "y", F.col("of_large").alias("label"))
+    return known.unionByName(rest.where("of_large is null").join(sizes.where(~large), "root").select("x", "y", "label"))
 
 
 def areas(labelled: DataFrame) -> DataFrame:

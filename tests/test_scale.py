@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera import checkpoints
 from tessera.model import Grid, to_tiles
-from tessera.operators import dense, forest, geometry, ordered, recon, stencil, tree
+from tessera.operators import dense, forest, geometry, morph, ordered, recon, stencil, tree
 from tessera.plans import restore
 from tessera.sources import convert, log, svg
 from tests.test_kernels import frame, volume_of
@@ -54,6 +54,37 @@ def test_tile_arithmetic_finds_all_tiles(spark):
         assert {(r.tile, r.x) for r in got.collect()} == want
 
 
+def slow_labels(m):
+    """Labels by flooding, in raster order of the first pixels."""
+    out, n = np.zeros(m.shape, int), 0
+    for y, x in zip(*np.nonzero(m)):
+        if out[y, x]:
+            continue
+        n += 1
+        work = [(y, x)]
+        while work:
+            i, j = work.pop()
+            if 0 <= i < m.shape[0] and 0 <= j < m.shape[1] and m[i, j] and not out[i, j]:
+                out[i, j] = n
+                work += [(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["random", "snake", "full", "rings", "none"])
+def test_components_over_many_blocks(spark, monkeypatch, kind):
+    """Blocks of 4 x 4 pixels: regions that wind through all of them, one that fills all, none."""
+    monkeypatch.setattr(morph, "SIDE", 4)
+    r = np.random.default_rng(2)
+    h, w = 23, 37
+    y, x = np.indices((h, w))
+    m = {"random": r.random((h, w)) < 0.58, "snake": (y % 4 == 0) | ((y % 4 == 2) & False) | ((y % 8 < 4) & (x == w - 1)) | ((y % 8 >= 4) & (x == 0)), "full": x >= 0, "rings": np.maximum(abs(x - 18), abs(y - 11)) % 2 == 0, "none": x < 0}[kind]
+    got = np.zeros((h, w), int)
+    for p in morph.components(frame(spark, m[None].astype(float)), Grid(w, h)).collect():
+        assert got[p.y, p.x] == 0
+        got[p.y, p.x] = p.label
+    assert np.array_equal(got, slow_labels(m))
+
+
 def all_nearest(q, p, k):
     """{query: [(point, squared distance)]} by all distances; q and p: identifier to place."""
     out = {}

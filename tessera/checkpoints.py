@@ -33,6 +33,26 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, str]:
+    """df written in buckets of key, read back, and the table's name: grouping or joining it by key moves nothing. Rows of a task that belong to other
+    buckets go to files of those, so the next reader of a bucket finds them there."""
+    spark = df.sparkSession
+    name = f"tessera_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    _tables.append((spark, path))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    return spark.table(name), name
+
+
+def drop_bucketed(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    for k in reversed(range(len(_tables))):
+        if _tables[k][1].endswith(name):
+            there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables[k][1])
+            there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+            del _tables[k]
+
+
 def marks() -> int:
     """How many tables there are; release(since) deletes those made later."""
     return len(_tables)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera import checkpoints
 from tessera.model import Grid, to_tiles
 from tessera.operators import dense, forest, geometry, morph, ordered, recon, stencil, tree
-from tessera.plans import restore
+from tessera.plans import halo, restore
 from tessera.sources import convert, log, svg
 from tests.test_kernels import frame, volume_of
 
@@ -294,3 +294,32 @@ def test_rates_with_a_watermark(spark, tmp_path):
         q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).selectExpr("hour(window.start) h", "n", "total").collect()
     assert sorted((r.h, r.n, r.total) for r in got) == [(0, 2, 4.0), (5, 1, 5.0)]
+
+
+@pytest.mark.parametrize("method, border, start, stop", [("shb", 2, "flat", "fixed"), ("shb", 2, "smooth", "relative"), ("rl", 1, "identity", "fixed"), ("rl", 0, "flat", "absolute"), ("shb", 1, "flat", "absolute")])
+def test_halo_exchange_equals_the_whole_array(spark, method, border, start, stop):
+    """Tiles of 7 voxels and more: result, rounds and errors are those of one array."""
+    r = np.random.default_rng(8)
+    image = r.random((5, 23, 31)) * 50 + 1
+    z, y, x = np.indices((3, 5, 3)) - np.array([1, 2, 1]).reshape(3, 1, 1, 1)
+    kernel = np.exp(-(x * x + 0.4 * y * y + z * z) / 1.5) * (1 + 0.2 * x)
+    tolerance = {"relative": 0.2, "absolute": 150.0}.get(stop, 0.0)
+    o = recon.Options(method=method, iterations=6, border=border, start=start, stop=stop, tolerance=tolerance)
+    want, made, errors = recon.deconvolve(image + o.offset, kernel, o)
+    grid = Grid(31, 23, 5)
+    got, told = halo.deconvolve(frame(spark, image), grid, kernel, o, side=7)
+    assert np.allclose([x.error for x in told.orderBy("iter").collect()], errors, rtol=1e-9) and len(errors) == told.count()
+    assert np.allclose(volume_of(got, grid), np.maximum(want - o.offset, 0), atol=1e-6)
+    if stop != "fixed":
+        assert 1 < len(errors) <= 6 and made == len(errors) - (len(errors) < 6 or made < 6)
+
+
+def test_rounds_move_halos_only(spark):
+    """The plan of a round has no exchange: tiles stay in their buckets."""
+    rows = spark.range(40).selectExpr("cast(id % 8 as int) tile", "id")
+    a, one = checkpoints.bucketed(rows, "tile", 4)
+    b, two = checkpoints.bucketed(rows, "tile", 4)
+    work = a.groupBy("tile").cogroup(b.groupBy("tile")).applyInArrow(lambda p, q: p.select(["tile", "id"]), "tile int, id long")
+    assert work.count() == 40 and "Exchange" not in work._jdf.queryExecution().executedPlan().toString()
+    for name in (one, two):
+        checkpoints.drop_bucketed(spark, name)

@@ -30,6 +30,12 @@ class Options:
     prefilter: float = 0.0
 
 
+def kl_divergence(image: np.ndarray, model: np.ndarray) -> float:
+    """Sum of image ln(image / model) where both are above 0."""
+    both = (image > 0) & (model > 0)
+    return float((image[both] * np.log(image[both] / model[both])).sum())
+
+
 def work_shape(image: tuple, kernel: tuple, border: int) -> tuple:
     grow = {2: lambda m, p: m + p - 1, 1: lambda m, p: m + (p + 1) // 2, 0: max}[border]
     return tuple(grow(m, p) for m, p in zip(image, kernel))
@@ -58,8 +64,8 @@ def _gauss3(v: np.ndarray, sigma: float) -> np.ndarray:
     return v
 
 
-def deconvolve(image: np.ndarray, kernel: np.ndarray, o: Options = Options(), each=lambda: None) -> tuple[np.ndarray, int, list[float]]:
-    """(result, iterations made, mean squared forward error before each). each is called when an error has been computed."""
+def deconvolve(image: np.ndarray, kernel: np.ndarray, o: Options = Options(), each=lambda model, image: None) -> tuple[np.ndarray, int, list[float]]:
+    """(result, iterations made, mean squared forward error before each). each is called with the modelled and the real image when an error has been computed."""
     if o.method == "identity":
         return image.astype(float), 0, []
     image = image.astype(float)
@@ -99,7 +105,7 @@ def deconvolve(image: np.ndarray, kernel: np.ndarray, o: Options = Options(), ea
             p = np.maximum(x + alpha * (x - last), o.floor)
         y = forward(p)
         errors.append(float(((y[own] - image) ** 2).mean()))
-        each()
+        each(y[own], image)
         if len(errors) > 1 and (o.stop == "relative" and abs(errors[-1] - errors[-2]) / errors[-1] < o.tolerance or o.stop == "absolute" and errors[-1] < o.tolerance):
             break
         ratio = np.full(shape, 1e-6 if o.method == "rl" else 0.0)

@@ -136,14 +136,13 @@ class Tiling:
         core = (slice(None), slice(self.y.r, -self.y.r or None), slice(self.x.r, -self.x.r or None))
         own = inside[core]
         a, b = image[core][own], y[core][own]
-        both = (a > 0) & (b > 0)
         if o.method == "rl":
             ratio = np.where(inside, np.where(y > 0, image / np.where(y > 0, y, 1), o.floor), 1e-6)
         else:
             safe = np.where(np.abs(y) < 1e-6, np.copysign(1e-6, y), y)
             ratio = np.where(inside, image / safe, 0.0)
         new = np.maximum(p_wide[:, 2 * self.y.r : p_wide.shape[1] - 2 * self.y.r, 2 * self.x.r : p_wide.shape[2] - 2 * self.x.r] * weight * self._filtered(ratio, True), o.floor if o.method == "rl" else 0.0)
-        return new, float(((b - a) ** 2).sum()), float((a[both] * np.log(a[both] / b[both])).sum())
+        return new, float(((b - a) ** 2).sum()), recon.kl_divergence(a, b)
 
 
 _STATE = "tile int, kind int, source int, data binary, last binary, error double, kl double"

@@ -77,16 +77,21 @@ def shift_image(image: DataFrame, grid: Grid, by: tuple[float, float, float] | N
 
 
 def iteration_metrics(tiles: DataFrame, psf: DataFrame | np.ndarray, options: recon.Options = recon.Options()) -> DataFrame:
-    """(tile, iter, time, error): one row an iteration of each dense tile, with the seconds since its start, for the metrics sink."""
+    """(tile, iter, time, error, kl): one row an iteration of each dense tile, with the seconds since its start, for the metrics sink."""
     shipped = tiles.sparkSession.sparkContext.broadcast(psf if isinstance(psf, np.ndarray) else kernel_of(psf))
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 data = np.frombuffer(r["data"], "<f4").reshape(r["nz"], r["ny"], r["nx"])
-                begin, seconds = time.monotonic(), []
-                errors = recon.deconvolve(data + options.offset, shipped.value, options, lambda: seconds.append(time.monotonic() - begin))[2]
+                begin, seconds, kl = time.monotonic(), [], []
+
+                def each(model, image, begin=begin, seconds=seconds, kl=kl):
+                    kl.append(recon.kl_divergence(image, model))
+                    seconds.append(time.monotonic() - begin)
+
+                errors = recon.deconvolve(data + options.offset, shipped.value, options, each)[2]
                 n = len(errors)
-                yield pa.RecordBatch.from_arrays([pa.array([r["tile"]] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(seconds, pa.float64()), pa.array(errors, pa.float64())], ["tile", "iter", "time", "error"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["tile"]] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(seconds, pa.float64()), pa.array(errors, pa.float64()), pa.array(kl, pa.float64())], ["tile", "iter", "time", "error", "kl"])
 
-    return tiles.mapInArrow(run, "tile int, iter int, time double, error double")
+    return tiles.mapInArrow(run, "tile int, iter int, time double, error double, kl double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera import views
@@ -11,7 +12,7 @@ from tessera.checkpoints import stored
 from tessera.functions import axial_resolution, gamma_from_fwhm, lateral_resolution, linear_grids, sigma_from_fwhm
 from tessera.model import AXES, Grid
 from tessera.operators import agg, geometry, maps, morph, psf, recon, stencil
-from tessera.plans import dots, nuclei
+from tessera.plans import dots, halo, nuclei
 from tessera.queries.sql import Sql, r6
 from tessera.sources.png import grey, label_colors
 
@@ -289,6 +290,32 @@ def _recon_sql(kind: str, rounds: int) -> str:
     return q.out(f"SELECT x, y, z, {r6('v')} AS v FROM {x}")
 
 
+def _rounds_sql(rounds: int, stop: str, tolerance: float) -> str:
+    """(iter, error, kl) of the rounds of the heavy ball up to the one that stops it."""
+    q = Sql()
+    g = q.cte(views.SIGNAL_DUCK)
+    x = last = q.cte(f"SELECT x, y, z, (SELECT avg(v) FROM {g}) AS v FROM {g}")
+    told = []
+    for k in range(rounds):
+        a = min(max((k - 1) / (k + 2), 0.0), 1.0)
+        p = q.join([x, last], f"greatest(p0.v + {a!r} * (p0.v - p1.v), 0.01)")
+        model = q.conv(p, "x", _sig, "periodic", 720)
+        told.append(f"SELECT {k} AS iter, avg((m.v - g.v) * (m.v - g.v)) AS error, sum(CASE WHEN g.v > 0 AND m.v > 0 THEN g.v * ln(g.v / m.v) ELSE 0.0 END) AS kl FROM {model} m JOIN {g} g USING (x, y, z)")
+        x, last = q.join([p, q.conv(q.join([g, model], "p0.v / p1.v"), "x", _sig, "periodic", 720)], "greatest(p0.v * p1.v, 0.0)"), x
+    every = q.cte(" UNION ALL ".join(told))
+    ends = {"relative": f"abs(b.error - a.error) / b.error < {tolerance!r}", "absolute": f"b.error < {tolerance!r}"}[stop]
+    return q.out(f"SELECT iter, {r6('error')} AS error, {r6('kl')} AS kl FROM {every} WHERE iter <= coalesce((SELECT min(b.iter) FROM {every} b JOIN {every} a ON a.iter = b.iter - 1 WHERE {ends}), {rounds})")
+
+
+def _whole(s, d, side=64, **options):
+    """The signal in tiles that exchange halos."""
+    return halo.deconvolve(views.signal(s, d), Grid(views.HOURS, 1, 1), np.array(_sig).reshape(1, 1, 3), recon.Options(border=0, offset=0.0, **options), side)
+
+
+add("halo_heavy_ball", lambda s, d: rounded(_whole(s, d, method="shb", iterations=4)[0]), _recon_sql("shb", 4))
+add("halo_richardson_lucy", lambda s, d: rounded(_whole(s, d, method="rl", iterations=3)[0]), _recon_sql("rl", 3))
+for _stop, _tolerance in (("relative", 0.1), ("absolute", 40.0)):
+    add(f"halo_stop_{_stop}", lambda s, d, a=_stop, t=_tolerance: rounded(_whole(s, d, iterations=8, stop=a, tolerance=t)[1]), _rounds_sql(8, _stop, _tolerance))
 add("richardson_lucy", lambda s, d: rounded(recon.richardson_lucy_rows(views.signal(s, d), {"x": _sig}, 3)), _recon_sql("rl", 3))
 add("heavy_ball", lambda s, d: rounded(recon.heavy_ball_rows(views.signal(s, d), {"x": _sig}, 4)), _recon_sql("shb", 4))
 _q, _g = g3()

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.model import AXES, Grid, others
-from tessera.operators import dense
+from tessera.operators import dense, fourier
 
 MODES = ("valid", "mirror", "periodic", "weighted", "zeros", "normalized")
 
@@ -228,12 +228,9 @@ def cross_correlation(image: DataFrame, template: DataFrame, grid: Grid) -> Data
     """Normalised cross-correlation surface of two planes of one shape: (dx, dy, ncc), dx and dy the lag of the image over the template.
 
     Sums by lag over the overlap, normalised by the whole number of pixels and the template's deviation; where that norm is at most
-    1e-9 the plain sum of products stays. Rows meet in a join by template row, and sums by lag are combined before the shuffle."""
-    left = image.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("v").alias("av")).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(grid.ny - 1))))
-    right = template.select(F.col("x").alias("bx"), F.col("y").alias("row"), F.col("v").alias("bv"))
-    sums = left.join(right, "row").groupBy((F.col("ax") - F.col("bx")).alias("dx"), (F.col("ay") - F.col("row")).alias("dy")).agg(
-        F.sum("av").alias("sa"), F.sum(F.col("av") * F.col("av")).alias("saa"), F.sum(F.col("av") * F.col("bv")).alias("sab")
-    )
+    1e-9 the plain sum of products stays. Products come from Fourier transforms along the lines, the image's own sums from running sums."""
+    own = grid.fill(image).select("x", "y", F.col("v").alias("sa"), (F.col("v") * F.col("v")).alias("saa"))
+    sums = fourier.overlap_sums(own, grid, ["sa", "saa"]).join(fourier.lagged_products(image, template, grid), ["dx", "dy"])
     whole = template.agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("st"), F.stddev_samp("v").alias("sd"))  # one row
     sums = sums.crossJoin(F.broadcast(whole))
     spread = F.greatest(F.col("saa") - F.col("sa") * F.col("sa") / F.col("n"), F.lit(0.0))

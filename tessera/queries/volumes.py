@@ -11,7 +11,7 @@ from tessera import views
 from tessera.checkpoints import stored
 from tessera.functions import axial_resolution, gamma_from_fwhm, lateral_resolution, linear_grids, sigma_from_fwhm
 from tessera.model import AXES, Grid
-from tessera.operators import agg, geometry, maps, morph, psf, recon, stencil
+from tessera.operators import agg, fourier, geometry, maps, morph, psf, recon, stencil
 from tessera.plans import dots, halo, nuclei
 from tessera.queries.sql import Sql, r6
 from tessera.sources.png import grey, label_colors
@@ -162,6 +162,21 @@ _l = _q.cte(f"SELECT a.x - b.x AS dx, a.y - b.y AS dy, sum(a.v) AS sa, sum(a.v *
 _n = _q.cte(f"SELECT dx, dy, sab, sa, st, n, sqrt(greatest(saa - sa * sa / n, 0.0)) * sqrt(n - 1.0) * sd AS norm FROM {_l}, (SELECT count(*) AS n, sum(v) AS st, stddev_samp(v) AS sd FROM {_b}) t")
 add("cross_correlation", on2(lambda v: rounded(stencil.cross_correlation(geometry.crop(v, (0, 0, 0), (11, 11, 0)), geometry.crop(v, (5, 3, 0), (16, 14, 0)), Grid(12, 12)))), _q.out(f"SELECT dx, dy, {r6('CASE WHEN norm > 1e-9 THEN (sab - sa * st / n) / norm ELSE sab END')} AS ncc FROM {_n}"))
 
+_wide, _tall = [0.125, 0.25, 0.25, 0.25, 0.125], [0.25, 0.5, 0.25]
+
+
+def _by_fourier(v):
+    """The separable kernel as rows, through spectra."""
+    kernel = Grid(5, 3).frame(v.sparkSession).withColumn("v", F.element_at(F.lit(_wide), F.col("x") + 1) * F.element_at(F.lit(_tall), F.col("y") + 1))
+    return fourier.convolve(v, G3, kernel, Grid(5, 3))
+
+
+_q, _g = g3()
+_c = _q.conv(_q.conv(_g, "x", _wide, "zeros", 32), "y", _tall, "zeros", 32)
+add("fourier_convolution", on3(lambda v: rounded(_by_fourier(v))), _q.out(f"SELECT x, y, z, {r6('v')} AS v FROM {_c}"))
+simple3("fourier_round_trip", lambda v: rounded(fourier.transform(fourier.transform(fourier.complex_rows(v), G3), G3, True).select(*AXES, F.col("re").alias("v"), F.abs("im").alias("im"))), "SELECT x, y, z, " + r6("v") + " AS v, 0.0::DOUBLE AS im FROM {g}")
+add("fourier_line", lambda s, d: rounded(fourier.along(fourier.complex_rows(views.signal(s, d)), Grid(views.HOURS, 1), "x").select("x", "re", "im")), f"SELECT CAST(k.i AS INT) AS x, {r6('sum(v * cos(2 * pi() * ((k.i * g.x) % 720) / 720))')} AS re, {r6('-sum(v * sin(2 * pi() * ((k.i * g.x) % 720) / 720))')} AS im FROM range(720) k(i), ({views.SIGNAL_DUCK}) g GROUP BY k.i")
+
 
 def _features_sql(s: float) -> str:
     q, g = g2()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera import checkpoints
 from tessera.model import Grid, to_tiles
-from tessera.operators import dense, forest, geometry, morph, ordered, recon, stencil, tree
+from tessera.operators import dense, forest, fourier, geometry, morph, ordered, recon, stencil, tree
 from tessera.plans import halo, restore
 from tessera.sources import convert, log, svg
 from tests.test_kernels import frame, volume_of
@@ -323,3 +323,27 @@ def test_rounds_move_halos_only(spark):
     assert work.count() == 40 and "Exchange" not in work._jdf.queryExecution().executedPlan().toString()
     for name in (one, two):
         checkpoints.drop_bucketed(spark, name)
+
+
+def test_fourier_by_lines(spark, monkeypatch):
+    """Transforms in parts of few lines equal those of the whole array."""
+    monkeypatch.setattr(fourier, "LINES", 40)
+    r = np.random.default_rng(12)
+    v, k = r.random((3, 7, 10)), r.random((3, 3, 5))
+    grid, size = Grid(10, 7, 3), Grid(5, 3, 3)
+    want, got = np.fft.fftn(v), np.zeros(v.shape, complex)
+    for p in fourier.transform(fourier.complex_rows(frame(spark, v)), grid).collect():
+        got[p.z, p.y, p.x] = p.re + 1j * p.im
+    assert np.allclose(got, want)
+    padded = np.zeros((5, 9, 14))
+    padded[1:4, 1:8, 2:12] = v
+    slow = np.array([[[(padded[z : z + 3, y : y + 3, x : x + 5] * k[::-1, ::-1, ::-1]).sum() for x in range(10)] for y in range(7)] for z in range(3)])
+    assert np.allclose(volume_of(fourier.convolve(frame(spark, v), grid, frame(spark, k), size), grid), slow)
+
+
+def test_overlap_sums(spark):
+    v = np.random.default_rng(13).random((6, 8))
+    got = {(p.dx, p.dy): p.v for p in fourier.overlap_sums(frame(spark, v[None]), Grid(8, 6), ["v"]).collect()}
+    assert len(got) == 15 * 11
+    for (dx, dy), s in got.items():
+        assert s == pytest.approx(v[max(0, dy) : 6 + min(0, dy), max(0, dx) : 8 + min(0, dx)].sum())

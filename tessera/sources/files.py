@@ -27,6 +27,13 @@ def write_bytes(path: str, data: bytes) -> None:
         f.write(data)
 
 
+def remove(path: str) -> None:
+    """A folder and what is in it, if it is there."""
+    fs, p = resolve(path)
+    if fs.get_file_info(p).type == pafs.FileType.Directory:
+        fs.delete_dir(p)
+
+
 def size_of(path: str) -> int:
     fs, p = resolve(path)
     return fs.get_file_info(p).size or 0

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tessera.sources.files import listed, open_in, write_bytes
+from tessera.sources import strips
+from tessera.sources.files import listed, open_in
 from tessera.sources.tiff import SCHEMA
 
 TYPES = ("f8", "f4", "u1", "u2", "u4", "u8", "i1", "i2", "i4", "i8")
@@ -88,31 +89,17 @@ def encode(array: np.ndarray, dtype: str | None = None) -> bytes:
     return out.getvalue()
 
 
-def write(df: DataFrame, path: str, dtype: str = "<f4") -> DataFrame:
-    """Each image (image_id, x, y, z, v) as path/<image_id>.npy by one task: (path)."""
-
-    def run(pdf):
-        import pandas as pd
+def head_of(shape: tuple, dtype: str = "<f4") -> bytes:
+    buffer = io.BytesIO()
+    np.lib.format.write_array_header_1_0(buffer, {"descr": dtype, "fortran_order": False, "shape": shape})
+    return buffer.getvalue()
 
-        name = f"{path}/{pdf['image_id'].iloc[0]}.npy"
-        volume = np.zeros(tuple(int(pdf[a].max()) + 1 for a in "zyx"), dtype)
-        volume[pdf["z"], pdf["y"], pdf["x"]] = pdf["v"]
-        write_bytes(name, encode(volume))
-        return pd.DataFrame({"path": [name]})
 
-    return df.groupBy("image_id").applyInPandas(run, "path string")
+def write(df: DataFrame, path: str, dtype: str = "<f4") -> DataFrame:
+    """Each image (image_id, x, y, z, v) as path/<image_id>.npy: (path). Images of any size: see strips.write."""
+    return strips.write(df, path, ".npy", dtype, True, lambda v, top: v, lambda nx, ny, nz: iter([head_of((nz, ny, nx), dtype), *range(nz)])).select("path")
 
 
 def write_table(df: DataFrame, path: str) -> str:
-    """A float table, as many rows as it may have, as one two-dimensional array, streamed from one row group to the next."""
-    columns, n = df.columns, df.count()
-    buffer = io.BytesIO()
-    np.lib.format.write_array_header_1_0(buffer, {"descr": "<f4", "fortran_order": False, "shape": (n, len(columns))})
-    from tessera.sources.files import resolve
-
-    fs, p = resolve(path)
-    with fs.open_output_stream(p) as f:
-        f.write(buffer.getvalue())
-        for row in df.toLocalIterator(prefetchPartitions=True):
-            f.write(np.array(row, "<f4").tobytes())
-    return path
+    """A float table, as many rows as it may have, as one two-dimensional array in df's order, written by tasks and joined by one."""
+    return strips.write_rows(df, path, lambda rows, columns: head_of((rows, columns)))

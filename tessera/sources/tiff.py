@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tessera.sources.files import listed, open_in, write_bytes
+from tessera.sources import strips
+from tessera.sources.files import listed, open_in
 
 SCHEMA = "image_id string, x int, y int, z int, v double"
 INFO = "image_id string, m int, n int, p int, bits int, format int, compression int, photometric int, x_resolution double, y_resolution double, z_spacing double, description string, software string, supported boolean"
@@ -183,18 +184,19 @@ def info(spark, path: str) -> DataFrame:
     return spark.createDataFrame([(p,) for p in files], "path string").repartition(len(files)).mapInArrow(run, INFO)
 
 
-def encode(volume: np.ndarray, bits: int = 16, description: str = "", resolution: tuple[float, float] = (0.0, 0.0), software: str = "tessera", big: bool | None = None) -> bytes:
-    """A little-endian stack of volume (z, y, x), one strip a plane; big files where offsets need it."""
-    dtype, fmt = (np.dtype("<u2"), 1) if bits == 16 else (np.dtype("<f4"), 3)
-    nz, ny, nx = volume.shape
-    big = volume.size * dtype.itemsize + (1 << 20) >= 1 << 32 if big is None else big
+def pages(nx: int, ny: int, nz: int, bits: int = 16, description: str = "", resolution: tuple[float, float] = (0.0, 0.0), software: str = "tessera", big: bool | None = None):
+    """The pieces of a little-endian stack in the file's order: headers as bytes, planes as their numbers, one strip a plane; big files where offsets
+    need it."""
+    item, fmt = (2, 1) if bits == 16 else (4, 3)
+    big = nx * ny * nz * item + (nz << 10) + (1 << 20) >= 1 << 32 if big is None else big
     word, slot, entry = ("Q", 8, 20) if big else ("I", 4, 12)
-    out = bytearray(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16) if big else struct.pack("<2sHI", b"II", 42, 8))
+    head = struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16) if big else struct.pack("<2sHI", b"II", 42, 8)
+    yield head
+    here, size = len(head), nx * ny * item
+    texts = (description.encode("latin-1", "replace") + b"\0", software.encode() + b"\0")
+    ratio = lambda r: struct.pack("<II", int(round(r * 1_000_000)), 1_000_000)
+    tags = [(256, 4, 1, nx), (257, 4, 1, ny), (258, 3, 1, bits), (259, 3, 1, 1), (262, 3, 1, 1), (270, 2, len(texts[0]), texts[0]), (273, 16 if big else 4, 1, None), (277, 3, 1, 1), (278, 4, 1, ny), (279, 16 if big else 4, 1, size), (282, 5, 1, ratio(resolution[0])), (283, 5, 1, ratio(resolution[1])), (305, 2, len(texts[1]), texts[1]), (339, 3, 1, fmt)]
     for z in range(nz):
-        texts = [(270, description.encode("latin-1", "replace") + b"\0"), (305, software.encode() + b"\0")]
-        ratio = lambda r: struct.pack("<II", int(round(r * 1_000_000)), 1_000_000)
-        tags = [(256, 4, 1, nx), (257, 4, 1, ny), (258, 3, 1, bits), (259, 3, 1, 1), (262, 3, 1, 1), (270, 2, len(texts[0][1]), texts[0][1]), (273, 16 if big else 4, 1, None), (277, 3, 1, 1), (278, 4, 1, ny), (279, 16 if big else 4, 1, nx * ny * dtype.itemsize), (282, 5, 1, ratio(resolution[0])), (283, 5, 1, ratio(resolution[1])), (305, 2, len(texts[1][1]), texts[1][1]), (339, 3, 1, fmt)]
-        here = len(out)
         extra_at = here + (8 if big else 2) + entry * len(tags) + slot
         extra, rows = bytearray(), bytearray()
         pixels_at = extra_at + sum(len(t[3]) + len(t[3]) % 2 for t in tags if isinstance(t[3], bytes) and len(t[3]) > slot)
@@ -209,35 +211,32 @@ def encode(volume: np.ndarray, bits: int = 16, description: str = "", resolution
             else:
                 data = struct.pack("<" + {3: "H", 4: "I", 16: "Q"}[kind], value).ljust(slot, b"\0")
             rows += struct.pack("<HH" + word, tag, kind, count) + data
-        pixels = volume[z].astype(dtype).tobytes()
-        after = 0 if z == nz - 1 else pixels_at + len(pixels) + len(pixels) % 2
-        out += struct.pack("<Q" if big else "<H", len(tags)) + rows + struct.pack("<" + word, after) + extra + pixels + b"\0" * (len(pixels) % 2)
-    return bytes(out)
+        here = pixels_at + size + size % 2
+        yield struct.pack("<Q" if big else "<H", len(tags)) + bytes(rows) + struct.pack("<" + word, 0 if z == nz - 1 else here) + bytes(extra)
+        yield z
+        yield b"\0" * (size % 2)
+
+
+def encode(volume: np.ndarray, bits: int = 16, **options) -> bytes:
+    """A stack of volume (z, y, x) as one file; options: see pages."""
+    nz, ny, nx = volume.shape
+    dtype = "<u2" if bits == 16 else "<f4"
+    return b"".join(p if isinstance(p, bytes) else volume[p].astype(dtype).tobytes() for p in pages(nx, ny, nz, bits, **options))
 
 
 def write(df: DataFrame, path: str, bits: int = 16, scaling: float = 0.0, overwrite: bool = False, **tags) -> DataFrame:
-    """Write images (image_id, x, y, z, v), each as path/<image_id>.tif by one task: (path, written). A file that exists stays unless overwrite.
-
-    16 bit values are scaled by scaling, or 65535 / max where that is not positive, rounded and clamped. A task holds one image; larger ones
-    belong in tiles."""
-    from tessera.sources.files import exists
-
-    def run(pdf):
-        import pandas as pd
-
-        name = f"{path}/{pdf['image_id'].iloc[0]}.tif"
-        done = overwrite or not exists(name)
-        if done:
-            volume = np.zeros(tuple(int(pdf[a].max()) + 1 for a in "zyx"))
-            volume[pdf["z"], pdf["y"], pdf["x"]] = pdf["v"]
-            if bits == 16:
-                top = volume.max()
-                s = scaling if scaling > 0 and np.isfinite(scaling) else 65535 / top if top > 0 else 1.0
-                volume = np.where(np.isfinite(volume), np.clip(np.floor(volume * s + 0.5), 0, 65535), 0)
-            write_bytes(name, encode(volume, bits, **tags))
-        return pd.DataFrame({"path": [name], "written": [done]})
-
-    return df.groupBy("image_id").applyInPandas(run, "path string, written boolean")
+    """Write images (image_id, x, y, z, v), each as path/<image_id>.tif: (path, written). A file that exists stays unless overwrite.
+
+    16 bit values are scaled by scaling, or 65535 / max where that is not positive, rounded and clamped; what is not finite becomes 0. Images of
+    any size: see strips.write."""
+
+    def pixels(v: np.ndarray, top: float) -> np.ndarray:
+        if bits != 16:
+            return v
+        s = scaling if scaling > 0 and np.isfinite(scaling) else 65535 / top if top > 0 else 1.0
+        return np.where(np.isfinite(v), np.clip(np.floor(v * s + 0.5), 0, 65535), 0)
+
+    return strips.write(df, path, ".tif", "<u2" if bits == 16 else "<f4", overwrite, pixels, lambda nx, ny, nz: pages(nx, ny, nz, bits, **tags))
 
 
 def flat_description(text: str) -> str:

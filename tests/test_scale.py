@@ -8,7 +8,7 @@ from tessera import checkpoints
 from tessera.model import Grid, to_tiles
 from tessera.operators import dense, forest, fourier, geometry, morph, ordered, recon, stencil, tree
 from tessera.plans import halo, restore
-from tessera.sources import convert, log, svg
+from tessera.sources import convert, log, npy, strips, svg, tiff
 from tests.test_kernels import frame, volume_of
 
 
@@ -347,3 +347,36 @@ def test_overlap_sums(spark):
     assert len(got) == 15 * 11
     for (dx, dy), s in got.items():
         assert s == pytest.approx(v[max(0, dy) : 6 + min(0, dy), max(0, dx) : 8 + min(0, dx)].sum())
+
+
+@pytest.mark.parametrize("kind", ["tif16", "tif32", "npy"])
+def test_images_written_strip_by_strip(spark, monkeypatch, tmp_path, kind):
+    """Strips of two or three rows: the files are those that one task would write of the whole image, strips and planes without voxels included."""
+    monkeypatch.setattr(strips, "STRIP", 60)
+    r = np.random.default_rng(14)
+    one, two = r.random((3, 7, 9)) * 100, r.random((1, 4, 5)) * 7
+    one[1], two[0, 2:] = 0, 0
+    two[0, 3, 4] = 1
+    rows = [(n, x, y, z, float(v[z, y, x])) for n, v in (("one", one), ("two", two)) for z, y, x in np.argwhere(v > 0).tolist()]
+    df = spark.createDataFrame(rows, "image_id string, x int, y int, z int, v double").repartition(3)
+    out = str(tmp_path)
+    if kind == "npy":
+        assert sorted(x.path for x in npy.write(df, out).collect()) == [f"{out}/one.npy", f"{out}/two.npy"]
+        for n, v in (("one", one), ("two", two)):
+            assert (tmp_path / f"{n}.npy").read_bytes() == npy.encode(v.astype("<f4"))
+    else:
+        bits = int(kind[3:])
+        assert all(x.written for x in tiff.write(df, out, bits, description="some text", big=bits == 32).collect())
+        for n, v in (("one", one), ("two", two)):
+            scaled = np.clip(np.floor(v * (65535 / v.max()) + 0.5), 0, 65535) if bits == 16 else v
+            assert (tmp_path / f"{n}.tif").read_bytes() == tiff.encode(scaled, bits, description="some text", big=bits == 32)
+        (tmp_path / "two.tif").unlink()
+        assert {x.path[-7:]: x.written for x in tiff.write(df, out, bits).collect()} == {"one.tif": False, "two.tif": True}
+    assert not [f for f in tmp_path.iterdir() if f.is_dir()]
+
+
+def test_table_rows_written_by_tasks(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id * 2.5 as a", "cast(1000 - id as double) as b").repartition(7).orderBy("b")
+    path = npy.write_table(df, str(tmp_path / "t.npy"))
+    a = np.load(path)
+    assert a.shape == (1000, 2) and a[:, 1].tolist() == list(range(1, 1001)) and a[0, 0] == 2497.5

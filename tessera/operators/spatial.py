@@ -105,23 +105,45 @@ def mean_shift_step(queries: DataFrame, points: DataFrame, sigma: float, reach:
     return joined.select("id", *[F.when(F.col("w") >= 1e-9, F.col("s" + a) / F.col("w")).otherwise(F.col(a)).alias(a) for a in AXES])
 
 
+#: Points around a hypothesis that are searched as one array; where there are more, every step is a sum over the table.
+TOGETHER = 1_000_000
+
+
+def _step(p: np.ndarray, q: np.ndarray, sigma: float) -> np.ndarray:
+    d2 = ((p - q) ** 2).sum(1)
+    w = np.where(d2 < (SHIFT_REACH * sigma) ** 2, np.exp(-d2 / (2 * sigma * sigma)), 0.0)
+    return (w[:, None] * p).sum(0) / w.sum() if w.sum() >= 1e-9 else q
+
+
 def mode_search(points: DataFrame, sigma: float, rounds: int = 100) -> tuple[float, float, float]:
-    """Mean shift from the point of highest density. The hypotheses within reach, not the table, are what each round reads; one row returns."""
+    """Mean shift from the point of highest density.
+
+    The points within twice the reach of the hypothesis are counted; up to TOGETHER of them are fetched and shifted over as one array until the
+    hypothesis has moved by the reach, then those around its new place. More are never fetched: a step is then one sum over the table."""
     best = density(points, points, sigma).join(points, "id").orderBy(F.col("kde").desc(), "id").select("id", *AXES).limit(1)
     at = best.first()
     if at is None:
         raise ValueError("no points")
-    q = tuple(float(at[a]) for a in AXES)
-    near = stored(points)
-    for _ in range(rounds):
-        d2 = sum(((F.col(a) - v) * (F.col(a) - v) for a, v in zip(AXES, q)), F.lit(0.0))
+    q, table, reach, made = np.array([float(at[a]) for a in AXES]), stored(points.select(*[F.col(a).cast("double").alias(a) for a in AXES])), SHIFT_REACH * sigma, 0
+    while made < rounds:
+        d2 = sum(((F.col(a) - float(v)) * (F.col(a) - float(v)) for a, v in zip(AXES, q)), F.lit(0.0))
+        near = table.where(d2 < (2 * reach) ** 2)
+        if near.limit(TOGETHER + 1).count() <= TOGETHER:
+            t = near.toArrow()
+            p, home = np.stack([t.column(a).to_numpy() for a in AXES], 1), q
+            while made < rounds and ((q - home) ** 2).sum() <= reach * reach:
+                new, made = _step(p, q, sigma), made + 1
+                still, q = np.abs(new - q).max() < 1e-7 * sigma, new
+                if still:
+                    return tuple(map(float, q))
+            continue
         w = F.exp(-d2 / (2 * sigma * sigma))
-        r = near.where(d2 < (SHIFT_REACH * sigma) ** 2).agg(F.sum(w).alias("w"), *[F.sum(w * F.col(a)).alias(a) for a in AXES]).first()
-        new = tuple(r[a] / r["w"] for a in AXES) if r["w"] and r["w"] >= 1e-9 else q
-        if max(abs(a - b) for a, b in zip(new, q)) < 1e-7 * sigma:
+        r = table.where(d2 < reach**2).agg(F.sum(w).alias("w"), *[F.sum(w * F.col(a)).alias(a) for a in AXES]).first()
+        new, made = np.array([r[a] / r["w"] for a in AXES]) if r["w"] and r["w"] >= 1e-9 else q, made + 1
+        if np.abs(new - q).max() < 1e-7 * sigma:
             break
         q = new
-    return q
+    return tuple(map(float, q))
 
 
 def pair_differences(points: DataFrame, within: float | None = None) -> DataFrame:

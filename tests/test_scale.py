@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera import checkpoints
 from tessera.model import Grid, to_tiles
-from tessera.operators import dense, forest, fourier, geometry, morph, ordered, recon, stencil, tree
+from tessera.operators import dense, forest, fourier, geometry, morph, ordered, recon, spatial, stencil, tree
 from tessera.plans import halo, restore
 from tessera.sources import convert, log, npy, strips, svg, tiff
 from tests.test_kernels import frame, volume_of
@@ -380,3 +380,13 @@ def test_table_rows_written_by_tasks(spark, tmp_path):
     path = npy.write_table(df, str(tmp_path / "t.npy"))
     a = np.load(path)
     assert a.shape == (1000, 2) and a[:, 1].tolist() == list(range(1, 1001)) and a[0, 0] == 2497.5
+
+
+def test_mode_search_by_array_and_by_sums(spark, monkeypatch):
+    r = np.random.default_rng(15)
+    p = np.vstack([r.normal(0, 1, (150, 3)), r.normal(6, 0.7, (200, 3))])
+    df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(p)], "id long, x double, y double, z double")
+    got = spatial.mode_search(df, 1.0)
+    assert np.allclose(got, 6, atol=0.4)
+    monkeypatch.setattr(spatial, "TOGETHER", 3)
+    assert np.allclose(spatial.mode_search(df, 1.0), got, atol=1e-5)

@@ -76,8 +76,8 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def document_frequencies(rows: DataFrame) -> DataFrame:
-    """(lang, term, df): in how many rows of the language the term occurs."""
-    return rows.select("lang", "text").mapInArrow(_document_counts, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("df"))
+    """(lang, term, df): in how many rows of the language the term occurs. Workers have summed already, so Spark sums behind the shuffle only."""
+    return rows.select("lang", "text").mapInArrow(_document_counts, "lang string, term string, n long").repartition("lang", "term").groupBy("lang", "term").agg(F.sum("n").alias("df"))
 
 
 _built: tuple = (None, None)
@@ -130,7 +130,8 @@ def postings(rows: DataFrame, kept: DataFrame) -> DataFrame:
         own = spark.sparkContext.broadcast([(r.tid, r.term) for r in terms.where(F.col("shard") == k).collect()])
         with B.small_batches(spark):
             each = rows.mapInArrow(_occurrences(own, uuid.uuid4().hex), "lang string, source string, tids array<long>, ns array<long>")
-            each = each.select("lang", "source", F.explode(F.arrays_zip("tids", "ns")).alias("x")).groupBy("lang", "source", F.col("x.tids").alias("tid")).agg(F.sum("x.ns").alias("n"))
+            each = each.select("lang", "source", F.explode(F.arrays_zip("tids", "ns")).alias("x")).select("lang", "source", F.col("x.tids").alias("tid"), F.col("x.ns").alias("n"))
+            each = each.repartition("lang", "source", "tid").groupBy("lang", "source", "tid").agg(F.sum("n").alias("n"))
             parts.append(B.stored(each, "occurrences"))
         own.unpersist()
     counts = parts[0]

@@ -62,7 +62,7 @@ add(
 t AS MATERIALIZED (SELECT x - a AS x, y, z, v, w FROM g, k WHERE x BETWEEN a AND a + w - 1),
 h AS (SELECT z AS top, least(z, 3 - z) AS half FROM (SELECT z, max(v) AS m FROM t GROUP BY z) q ORDER BY m DESC, z LIMIT 1),
 c AS (SELECT CASE WHEN w > 9 THEN x - ((w - 1) // 2 - 4) ELSE x END AS x, y - 13 AS y, z - (top - half) AS z, v FROM t, h WHERE z BETWEEN top - half AND top + half AND y BETWEEN 13 AND 17)
-SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(z AS INT) AS z, v FROM c WHERE x BETWEEN 0 AND 3 UNION ALL SELECT 4, CAST(b.i AS INT), CAST(c.i AS INT), 0.0 FROM range(5) b(i), h, range(4) c(i) WHERE c.i <= 2 * half""",
+SELECT CAST(a.i AS INT) AS x, CAST(b.i AS INT) AS y, CAST(d.i AS INT) AS z, coalesce(v, 0.0) AS v FROM range(5) a(i) CROSS JOIN range(5) b(i) CROSS JOIN range(4) d(i) JOIN h ON d.i <= 2 * half LEFT JOIN c ON c.x = a.i AND c.y = b.i AND c.z = d.i AND a.i < 4""",
 )
 # ---------------------------------------------------------------- registration
 def _moved(s, d):

@@ -379,16 +379,16 @@ def _shape(volumes):
     return rounded(told.select("key", "n", "total", *[F.col(f"top.{a}").alias("top_" + a) for a in AXES], "skew"))
 
 
-def _sizes(s, d, *columns):
-    """Wavelengths and apertures that the parts' sizes stand for: one row a size."""
-    return views.table(s, d, "part").select(F.col("p_size").alias("key")).distinct().select("key", *columns)
+def _sizes(s, d, index, **columns):
+    """Wavelengths and apertures that the parts' sizes stand for: one row a size. columns: the first wavelength of each."""
+    sizes = views.table(s, d, "part").select(F.col("p_size").alias("key")).distinct()
+    return sizes.select("key", *[(v + 6 * F.col("key")).alias(c) for c, v in columns.items()], (1.0 + F.col("key") / 125).alias("na"), F.lit(index).alias("index"))
 
 
-_wave, _na = (400 + 6 * F.col("key")).alias("wavelength"), (1.0 + F.col("key") / 125).alias("na")
 _shape_sql = "SELECT DISTINCT CAST(p_size AS BIGINT) AS key, CAST({n} * {n} * {nz} AS BIGINT) AS n, 1.0::DOUBLE AS total, {h} AS top_x, {h} AS top_y, {hz} AS top_z, 0.0::DOUBLE AS skew FROM part"
-add("psf_born_wolf", lambda s, d: _shape(psf.born_wolf_volumes(_sizes(s, d, _wave, _na, F.lit(1.512).alias("index")), nxy=9, nz=3)), _shape_sql.format(n=9, nz=3, h=4, hz=1))
-add("psf_pixel_integrals", lambda s, d: _shape(psf.pixel_volumes(_sizes(s, d, _wave, _na, F.lit(1.512).alias("index")), nxy=7, nz=3)), _shape_sql.format(n=7, nz=3, h=3, hz=1))
-add("psf_angular_spectrum", lambda s, d: _shape(psf.angular_spectrum_volumes(_sizes(s, d, (420 + 6 * F.col("key")).alias("emission"), (400 + 6 * F.col("key")).alias("excitation"), _na, F.lit(1.515).alias("index")), nxy=31, nz=5)), _shape_sql.format(n=31, nz=5, h=15, hz=2))
+add("psf_born_wolf", lambda s, d: _shape(psf.born_wolf_volumes(_sizes(s, d, 1.512, wavelength=400), nxy=9, nz=3)), _shape_sql.format(n=9, nz=3, h=4, hz=1))
+add("psf_pixel_integrals", lambda s, d: _shape(psf.pixel_volumes(_sizes(s, d, 1.512, wavelength=400), nxy=7, nz=3)), _shape_sql.format(n=7, nz=3, h=3, hz=1))
+add("psf_angular_spectrum", lambda s, d: _shape(psf.angular_spectrum_volumes(_sizes(s, d, 1.515, emission=420, excitation=400), nxy=31, nz=5)), _shape_sql.format(n=31, nz=5, h=15, hz=2))
 
 # ---------------------------------------------------------------- pipelines
 _q, _g = g3()

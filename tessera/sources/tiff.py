@@ -217,11 +217,11 @@ def pages(nx: int, ny: int, nz: int, bits: int = 16, description: str = "", reso
         yield b"\0" * (size % 2)
 
 
-def encode(volume: np.ndarray, bits: int = 16, **options) -> bytes:
-    """A stack of volume (z, y, x) as one file; options: see pages."""
+def encode(volume: np.ndarray, bits: int = 16, description: str = "", resolution: tuple[float, float] = (0.0, 0.0), software: str = "tessera", big: bool | None = None) -> bytes:
+    """A stack of volume (z, y, x) as one file; see pages."""
     nz, ny, nx = volume.shape
     dtype = "<u2" if bits == 16 else "<f4"
-    return b"".join(p if isinstance(p, bytes) else volume[p].astype(dtype).tobytes() for p in pages(nx, ny, nz, bits, **options))
+    return b"".join(p if isinstance(p, bytes) else volume[p].astype(dtype).tobytes() for p in pages(nx, ny, nz, bits, description, resolution, software, big))
 
 
 def write(df: DataFrame, path: str, bits: int = 16, scaling: float = 0.0, overwrite: bool = False, **tags) -> DataFrame:

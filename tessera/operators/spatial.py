@@ -190,30 +190,151 @@ def displacement_peak(a: DataFrame, b: DataFrame, capture: float, sigma: float,
     return best.select(*[(F.col("q" + c) * step).alias("d" + c) for c in AXES], "kde")
 
 
+#: Grid points whose sums a task keeps; of larger grids it hands on those that each batch touches.
+KEPT = 1 << 22
+
+
+def displacement_density(d: DataFrame, capture: float, sigma: float, step: float = 0.5) -> DataFrame:
+    """(i, j, k, kde): density of the differences d (x, y, z) at the points (i, j, k) * width of a grid over the capture ball, the first at -capture.
+
+    Every difference adds to the grid points within its reach; sums are taken before the shuffle, which moves at most one row a task and grid point
+    where the grid has up to KEPT points."""
+    n = math.ceil(2 * capture / step) + 1
+    width, reach = 2 * capture / (n - 1), DENSITY_REACH * sigma
+    side = math.floor(2 * reach / width + 1e-9) + 1
+
+    def touched(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.ceil((p - reach + capture) / width).astype(np.int64)
+        at = first[:, :, None] + np.arange(side)
+        place = at * width - capture
+        d2, r2 = (place - p[:, :, None]) ** 2, place * place
+        fits = (at >= 0) & (at < n)
+        cells, sums = [], []
+        for i in range(side):
+            for j in range(side):
+                for k in range(side):
+                    away = d2[:, 0, i] + d2[:, 1, j] + d2[:, 2, k]
+                    use = (away < reach * reach) & fits[:, 0, i] & fits[:, 1, j] & fits[:, 2, k] & (r2[:, 0, i] + r2[:, 1, j] + r2[:, 2, k] <= capture * capture)
+                    cells.append(((at[:, 2, k] * n + at[:, 1, j]) * n + at[:, 0, i])[use])
+                    sums.append(np.exp(-away[use] / (2 * sigma * sigma)))
+        return np.concatenate(cells), np.concatenate(sums)
+
+    def rows(cells: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        ijk = (cells % n, cells // n % n, cells // (n * n))
+        return pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int32)) for c in ijk], pa.array(sums)], ["i", "j", "k", "kde"])
+
+    def run(batches):
+        total = np.zeros(n**3 if n**3 <= KEPT else 0)
+        for batch in batches:
+            cells, sums = touched(_coordinates(batch))
+            if total.size:
+                total += np.bincount(cells, sums, total.size)
+            else:
+                own, back = np.unique(cells, return_inverse=True)
+                yield rows(own, np.bincount(back, sums, len(own)))
+        yield rows(np.flatnonzero(total), total[total != 0])
+
+    return d.select(*AXES).mapInArrow(run, "i int, j int, k int, kde double").groupBy("i", "j", "k").agg(F.sum("kde").alias("kde"))
+
+
+#: Fixed values of the search: points along an axis on each side of a refinement, size at which it ends, distance besides sigma of a second peak.
+SIDE, FINEST, APART = 7, 1e-4, 2.0
+#: Differences that a task spreads over the grid, where there are so few that they lie in one file.
+SPREAD = 200_000
+#: Densities that differ by less than this share count as equal: sums in another order are that far apart.
+SAME = 1e-11
+
+
+def _refinements(sigma: float) -> list[np.ndarray]:
+    """The offsets of each refinement, a ball of a grid of 15 x 15 x 15, x slowest."""
+    steps = np.arange(-SIDE, SIDE + 1)
+    cube = np.stack(np.meshgrid(steps, steps, steps, indexing="ij"), -1).reshape(-1, 3)
+    ball = cube[(cube**2).sum(1) <= SIDE * SIDE] / SIDE
+    out, size = [], sigma
+    while size > FINEST:
+        out.append(ball * size)
+        size /= 2
+    return out
+
+
+def _densities(p: np.ndarray, centre: np.ndarray, offsets: np.ndarray, sigma: float, block: int = 4096) -> np.ndarray:
+    """Density of the points p at centre + offsets, within the density's reach.
+
+    A point that is in reach of all offsets adds a product of its three profiles, so those are summed by matrix products; others one by one."""
+    p, reach, size = p - centre, DENSITY_REACH * sigma, np.abs(offsets).max()
+    away = np.sqrt((p * p).sum(1))
+    whole, some = p[away < reach - size], p[(away >= reach - size) & (away < reach + size)]
+    axis = np.arange(-SIDE, SIDE + 1) * (size / SIDE)
+    at = np.rint(offsets / (size / SIDE)).astype(int) + SIDE
+    cube = np.zeros((axis.size**2, axis.size))
+    out = np.zeros(len(offsets))
+    for k in range(0, len(whole), block):
+        ex, ey, ez = (np.exp(-((whole[k : k + block, a, None] - axis) ** 2) / (2 * sigma * sigma)) for a in range(3))
+        cube += (ex[:, :, None] * ey[:, None, :]).reshape(len(ex), -1).T @ ez
+    for k in range(0, len(some), block // 8):
+        d2 = ((some[k : k + block // 8, None] - offsets) ** 2).sum(2)
+        out += np.where(d2 < reach * reach, np.exp(-d2 / (2 * sigma * sigma)), 0.0).sum(0)
+    return out + cube.reshape((axis.size,) * 3)[at[:, 0], at[:, 1], at[:, 2]]
+
+
+def _coordinates(t) -> np.ndarray:
+    return np.stack([t.column(a).to_numpy(zero_copy_only=False) for a in AXES], 1)
+
+
+def _refined(q: np.ndarray, kde: float, offsets: np.ndarray, densities: np.ndarray) -> tuple[np.ndarray, float]:
+    best = int(np.argmax(densities >= densities.max() * (1 - SAME)))
+    return (q + offsets[best], float(densities[best])) if densities[best] > kde * (1 + SAME) else (q, kde)
+
+
 def displacement_search(a: DataFrame, b: DataFrame, capture: float, sigma: float, step: float = 0.5) -> DataFrame:
-    """(dx, dy, dz, kde, second, goodness): the peak of the grid search refined to the mode of the differences' density, and the highest density
-    at a difference outside 2 + sigma of it. goodness: (k1 - k2) / (k1 + k2)."""
+    """(dx, dy, dz, kde, second, goodness): the displacement a - b where most differences within the capture radius agree; no row without differences.
+
+    A grid over the capture ball gives the first peak; balls of 15 points a diameter around the best so far, from sigma on and halved until 1e-4, refine it.
+    second: the highest density of the grid at 2 + sigma or more from the peak. goodness: (kde - second) / (kde + second). Ties go to the
+    first grid point by z, y, x, in refinements by x, y, z.
+
+    Only the differences that a refinement can reach are looked at again: up to TOGETHER of them by one task through all refinements, more where
+    they lie, with one row of sums a task and refinement."""
     spark = a.sparkSession
+    d = stored(ball_join(b, a, capture).select(*[(F.col("p" + c) - F.col("q" + c)).alias(c) for c in AXES]))
+    tasks = d.count() // SPREAD + 1  # small tables come in one file, though each row has much to add
+    grid = stored(displacement_density(d.repartition(tasks) if tasks <= 4 * spark.sparkContext.defaultParallelism else d, capture, sigma, step))
+    peak = grid.orderBy(F.round("kde", 9).desc(), "k", "j", "i").first()
     schema = "dx double, dy double, dz double, kde double, second double, goodness double"
-    d = stored(ball_join(b, a, capture).select(F.monotonically_increasing_id().alias("id"), *[(F.col("p" + c) - F.col("q" + c)).alias(c) for c in AXES]))
-    peak = displacement_peak(a, b, capture, sigma, step).first()
     if peak is None:
         return spark.createDataFrame([], schema)
-    q = (peak["dx"], peak["dy"], peak["dz"])
-    for _ in range(60):  # mean shift ends at the mode that ever finer grids close in on
-        d2 = sum(((F.col(c) - v) * (F.col(c) - v) for c, v in zip(AXES, q)), F.lit(0.0))
-        w = F.exp(-d2 / (2 * sigma * sigma))
-        r = d.where(d2 < (5 * sigma) ** 2).agg(F.sum(w).alias("w"), *[F.sum(w * F.col(c)).alias(c) for c in AXES]).first()
-        new = tuple(r[c] / r["w"] for c in AXES) if r["w"] else q
-        done = max(abs(x - y) for x, y in zip(new, q)) < 1e-6
-        q = new
-        if done:
-            break
-    one = spark.createDataFrame([(0, *q)], "id long, x double, y double, z double")
-    k1 = density(one, d, sigma).first()["kde"]
-    far = d.where(sum(((F.col(c) - v) * (F.col(c) - v) for c, v in zip(AXES, q)), F.lit(0.0)) > (2 + sigma) ** 2)
-    k2 = density(far, d, sigma).agg(F.max("kde").alias("k")).first()["k"] or 0.0
-    return spark.createDataFrame([(*q, k1, k2, (k1 - k2) / (k1 + k2) if k1 + k2 else 0.0)], schema)
+    width = 2 * capture / math.ceil(2 * capture / step)
+    q, kde = np.array([peak[c] * width - capture for c in "ijk"]), float(peak["kde"])
+    levels = _refinements(sigma)
+    around = lambda q, r: d.where(sum(((F.col(c) - float(v)) * (F.col(c) - float(v)) for c, v in zip(AXES, q)), F.lit(0.0)) < r * r)
+    near = around(q, (DENSITY_REACH + 2) * sigma)  # all refinements together move by less than 2 sigma
+    if near.limit(TOGETHER + 1).count() <= TOGETHER:
+
+        def run(table: pa.Table) -> pa.Table:
+            p, best, top = _coordinates(table), q, kde
+            for offsets in levels:
+                best, top = _refined(best, top, offsets, _densities(p, best, offsets, sigma))
+            return pa.table({"dx": [best[0]], "dy": [best[1]], "dz": [best[2]], "kde": [top]})
+
+        one = near.groupBy().applyInArrow(run, "dx double, dy double, dz double, kde double").first()
+        q, kde = np.array([one["dx"], one["dy"], one["dz"]]), one["kde"]
+    else:
+        for offsets in levels:
+
+            def sums(batches, centre=q, offsets=offsets):
+                total = np.zeros(len(offsets))
+                for batch in batches:
+                    total += _densities(_coordinates(batch), centre, offsets, sigma)
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(offsets)), pa.int32()), pa.array(total)], ["at", "s"])
+
+            told = around(q, DENSITY_REACH * sigma + np.abs(offsets).max()).mapInArrow(sums, "at int, s double").groupBy("at").agg(F.sum("s").alias("s"))
+            densities = np.zeros(len(offsets))
+            for r in told.collect():  # one row an offset, at most 15 x 15 x 15
+                densities[r["at"]] = r["s"]
+            q, kde = _refined(q, kde, offsets, densities)
+    away = sum(((F.col(c) * width - capture - float(v)) * (F.col(c) * width - capture - float(v)) for c, v in zip("ijk", q)), F.lit(0.0))
+    second = grid.where(away >= (APART + sigma) ** 2).agg(F.coalesce(F.max("kde"), F.lit(0.0)).alias("second"))
+    return second.select(*[F.lit(float(v)).alias("d" + c) for c, v in zip(AXES, q)], F.lit(kde).alias("kde"), "second", ((F.lit(kde) - F.col("second")) / (F.lit(kde) + F.col("second"))).alias("goodness"))
 
 
 def alignment_significance(a: DataFrame, b: DataFrame, delta: tuple[float, float, float], sigma: float) -> DataFrame:

@@ -21,7 +21,11 @@ class Alignment:
     method: str
 
 
-def align(a: DataFrame, b: DataFrame, sigma: float = 0.4, relative: float = 0.01, capture: float = 10.0, limit: int = 400) -> Alignment:
+#: Fixed value: points of each set that vote.
+VOTERS = 250
+
+
+def align(a: DataFrame, b: DataFrame, sigma: float = 0.4, relative: float = 0.01, capture: float = 10.0, limit: int = VOTERS) -> Alignment:
     """The displacement b - a. The strongest limit points (by value where there is one) of each set vote by pairs; a weak vote (density under 2 at
     its mode) is replaced by the grid search within the capture radius."""
 
@@ -40,7 +44,7 @@ def align(a: DataFrame, b: DataFrame, sigma: float = 0.4, relative: float = 0.01
             one = h.sparkSession.createDataFrame([(0, *mode)], "id long, x double, y double, z double")
             kde, delta, method = spatial.density(one, h, sigma).first()["kde"], tuple(-m for m in mode), "pairs"
     if kde < 2:
-        best = spatial.displacement_peak(b, a, capture, sigma).first()
+        best = spatial.displacement_search(sb, sa, capture, sigma).first()
         if best is not None:
             delta, kde, method = (best["dx"], best["dy"], best["dz"]), best["kde"], "grid"
     told = spatial.alignment_significance(a, b, delta, sigma).first()

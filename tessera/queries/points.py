@@ -104,6 +104,44 @@ _peak = f"""WITH {near(P, H, 6.0)}, d AS MATERIALIZED (SELECT x, y, z, count(*)
 k AS (SELECT p.x, p.y, p.z, sum(q.n * exp(-{_d2} * 0.25 / {2 * 0.4 * 0.4!r})) AS kde FROM d p JOIN d q ON q.x BETWEEN p.x - 1 AND p.x + 1 AND {_d2} < 4.0 GROUP BY 1, 2, 3)
 SELECT x * 0.5::DOUBLE AS dx, y * 0.5::DOUBLE AS dy, z * 0.5::DOUBLE AS dz, {r6("kde")} AS kde FROM k ORDER BY k.kde DESC, x, y, z LIMIT 1"""
 add("displacement_peak", lambda s, d: rounded(spatial.displacement_peak(views.shifted(s, d), views.points(s, d), 6.0, 0.4)), _peak)
+# ---------------------------------------------------------------- grid search with refinements and a second peak
+_gd = "((i * 0.5 - 6.0 - x) * (i * 0.5 - 6.0 - x) + (j * 0.5 - 6.0 - y) * (j * 0.5 - 6.0 - y) + (k * 0.5 - 6.0 - z) * (k * 0.5 - 6.0 - z))"
+_gk = ", ".join(f"CAST(floor(({a} + 6.0) / 0.5) AS INT) + {o}.s AS {c}" for a, o, c in (("x", "a", "i"), ("y", "b", "j"), ("z", "c", "k")))
+_steps = "(SELECT CAST(t - 3 AS INT) AS s FROM range(7) r(t))"
+_grid = f"""{near(P, H, 6.0)}, d AS MATERIALIZED (SELECT px - qx AS x, py - qy AS y, pz - qz AS z FROM n),
+g AS MATERIALIZED (SELECT i, j, k, sum(exp(-{_gd} / {2 * 0.4 * 0.4!r})) AS kde FROM (SELECT x, y, z, {_gk} FROM d, {_steps} a, {_steps} b, {_steps} c) e
+  WHERE {_gd} < 1.0 AND i BETWEEN 0 AND 24 AND j BETWEEN 0 AND 24 AND k BETWEEN 0 AND 24 AND (i * 0.5 - 6.0) * (i * 0.5 - 6.0) + (j * 0.5 - 6.0) * (j * 0.5 - 6.0) + (k * 0.5 - 6.0) * (k * 0.5 - 6.0) <= 36.0 GROUP BY i, j, k)"""
+_rd = "((d.x - x0) * (d.x - x0) + (d.y - y0) * (d.y - y0) + (d.z - z0) * (d.z - z0))"
+
+def _refined_sql(level: int) -> str:
+    """CTE r of the next level: the best of the offsets around r of this one, if it is better."""
+    size = 0.4 / 2**level / 7
+    return f"""r{level + 1} AS MATERIALIZED (SELECT CASE WHEN better THEN x0 ELSE x END AS x, CASE WHEN better THEN y0 ELSE y END AS y, CASE WHEN better THEN z0 ELSE z END AS z, CASE WHEN better THEN s ELSE kde END AS kde
+  FROM (SELECT *, s > (SELECT kde FROM r{level}) * (1 + 1e-11) AS better FROM (SELECT i, j, k, x0, y0, z0, sum(exp(-{_rd} / {2 * 0.4 * 0.4!r})) AS s
+    FROM (SELECT i, j, k, x + i * {size!r} AS x0, y + j * {size!r} AS y0, z + k * {size!r} AS z0 FROM r{level}, o) e, w d WHERE {_rd} < 1.0 GROUP BY ALL) u QUALIFY s >= max(s) OVER () * (1 - 1e-11) ORDER BY i, j, k LIMIT 1) t, r{level})"""
+
+
+_search = f"""WITH {_grid},
+r0 AS MATERIALIZED (SELECT i * 0.5::DOUBLE - 6.0 AS x, j * 0.5::DOUBLE - 6.0 AS y, k * 0.5::DOUBLE - 6.0 AS z, kde FROM g ORDER BY round(kde, 9) DESC, k, j, i LIMIT 1),
+w AS MATERIALIZED (SELECT d.* FROM d, r0 f WHERE (d.x - f.x) * (d.x - f.x) + (d.y - f.y) * (d.y - f.y) + (d.z - f.z) * (d.z - f.z) < 3.3),
+o AS MATERIALIZED (SELECT a.t - 7 AS i, b.t - 7 AS j, c.t - 7 AS k FROM range(15) a(t), range(15) b(t), range(15) c(t) WHERE pow(a.t - 7, 2) + pow(b.t - 7, 2) + pow(c.t - 7, 2) <= 49),
+{", ".join(_refined_sql(level) for level in range(12))}
+SELECT round(x, 3) + 0.0 AS dx, round(y, 3) + 0.0 AS dy, round(z, 3) + 0.0 AS dz, round(kde, 4) AS kde, round(second, 4) AS second, round((kde - second) / (kde + second), 6) + 0.0 AS goodness
+FROM r12, (SELECT coalesce(max(g.kde), 0.0) AS second FROM g, r12 WHERE pow(i * 0.5 - 6.0 - x, 2) + pow(j * 0.5 - 6.0 - y, 2) + pow(k * 0.5 - 6.0 - z, 2) >= 5.76) t"""
+
+
+def _differences(s, d):
+    """Of all points and the shifted ones, as the search sees them."""
+    return spatial.ball_join(views.points(s, d), views.shifted(s, d), 6.0).select(*[(F.col("p" + c) - F.col("q" + c)).alias(c) for c in "xyz"])
+
+
+def _searched(s, d):
+    found = spatial.displacement_search(views.shifted(s, d), views.points(s, d), 6.0, 0.4)
+    return found.select(*[(F.round("d" + c, 3) + 0.0).alias("d" + c) for c in "xyz"], F.round("kde", 4).alias("kde"), F.round("second", 4).alias("second"), (F.round("goodness", 6) + 0.0).alias("goodness"))
+
+
+add("displacement_grid", lambda s, d: rounded(spatial.displacement_density(_differences(s, d), 6.0, 0.4)), f"WITH {_grid} SELECT i, j, k, {r6('kde')} AS kde FROM g")
+add("displacement_search", _searched, _search)
 _far = "((p.x - m.x) * (p.x - m.x) + (p.y - m.y) * (p.y - m.y) + (p.z - m.z) * (p.z - m.z))"
 _near = "sum(exp(-{d} / 8.0) * p.{a}) FILTER ({d} < 400.0) / sum(exp(-{d} / 8.0)) FILTER ({d} < 400.0) AS {a}"
 _modes = f"""WITH RECURSIVE {near(P, P, 5.0)},

@@ -390,3 +390,48 @@ def test_mode_search_by_array_and_by_sums(spark, monkeypatch):
     assert np.allclose(got, 6, atol=0.4)
     monkeypatch.setattr(spatial, "TOGETHER", 3)
     assert np.allclose(spatial.mode_search(df, 1.0), got, atol=1e-5)
+
+
+def plain_search(d, capture, sigma):
+    """The search with every density summed over all differences."""
+    density = lambda at: sum(w for v in d if (r := ((v - at) ** 2).sum()) < (2.5 * sigma) ** 2 for w in [np.exp(-r / (2 * sigma * sigma))])
+    n = int(np.ceil(4 * capture)) + 1
+    grid = [np.array([x, y, z]) * 2 * capture / (n - 1) - capture for z in range(n) for y in range(n) for x in range(n)]
+    grid = [(density(g), g) for g in grid if (g * g).sum() <= capture * capture]
+    top, best = max(grid, key=lambda t: t[0])
+    size = sigma
+    while size > 1e-4:
+        centre = best
+        for x in range(-7, 8):
+            for y in range(-7, 8):
+                for z in range(-7, 8):
+                    if x * x + y * y + z * z <= 49:
+                        at = centre + np.array([x, y, z]) * size / 7
+                        if (v := density(at)) > top * (1 + 1e-11):
+                            top, best = v, at
+        size /= 2
+    return best, top, max((v for v, g in grid if ((g - best) ** 2).sum() >= (2 + sigma) ** 2), default=0.0)
+
+
+@pytest.mark.parametrize("together, kept", [(1_000_000, 1 << 22), (3, 10)])
+def test_displacement_search_against_plain_sums(spark, monkeypatch, together, kept):
+    """In one task or where the differences lie, on a grid that a task holds or not: the same as plain sums."""
+    monkeypatch.setattr(spatial, "TOGETHER", together)
+    monkeypatch.setattr(spatial, "KEPT", kept)
+    r = np.random.default_rng(5)
+    a = r.random((14, 3)) * (9, 9, 3)
+    b = np.vstack([a[:9] - (1.3, -0.7, 0.4) + r.normal(0, 0.2, (9, 3)), r.random((4, 3)) * 9])
+    d = np.array([p - q for p in a for q in b if ((p - q) ** 2).sum() < 9])
+    best, top, second = plain_search(d, 3.0, 0.5)
+    make = lambda v: spark.createDataFrame([(k, *map(float, row)) for k, row in enumerate(v)], "id long, x double, y double, z double")
+    got = spatial.displacement_search(make(a), make(b), 3.0, 0.5).first()
+    assert (got.dx, got.dy, got.dz) == pytest.approx(tuple(best), abs=2e-4)
+    assert (got.kde, got.second, got.goodness) == pytest.approx((top, second, (top - second) / (top + second)), rel=1e-6)
+
+
+def test_displacement_search_of_nothing(spark):
+    one = spark.createDataFrame([(0, 0.0, 0.0, 0.0)], "id long, x double, y double, z double")
+    assert spatial.displacement_search(one, one.where("id > 0"), 3.0, 0.5).count() == 0
+    assert spatial.displacement_search(one, one.selectExpr("id", "x + 50 as x", "y", "z"), 3.0, 0.5).count() == 0
+    same = spatial.displacement_search(one, one, 3.0, 0.5).first()
+    assert (same.dx, same.kde, same.second, same.goodness) == (0.0, 1.0, 0.0, 1.0)

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from tessera import sources, views
 from tessera.checkpoints import shared_dir
+from tessera.plans import dots
 from tessera.queries.points import levels_sql
+from tessera.queries.volumes import DOTS_SQL, rounded
 from tessera.sources import npy, png, tables, tiff
+from tessera.streaming import watch_images
 
 Q: dict = {}
 S: dict[str, str] = {}
@@ -116,7 +119,6 @@ def png_labels(spark, d) -> DataFrame:
 def model_round_trip(spark, d) -> DataFrame:
     """A fitted model, written and read."""
     from tessera.queries.points import grown
-    from tessera.queries.volumes import rounded
 
     out = _folder(spark, "model")
     grown(spark, d).write.parquet(out)
@@ -124,17 +126,47 @@ def model_round_trip(spark, d) -> DataFrame:
 
 
 def tiff_planes_stacked(spark, d) -> DataFrame:
-    """A big-file stack of 8-bit-like values through the encoder."""
+    """A big-file stack through the encoder: order lines counted by 24 places."""
     from tessera.sources.files import write_bytes
 
     sources.register(spark)
     out = _folder(spark, "tiff")
-    volume = np.arange(2 * 3 * 4).reshape(2, 3, 4)
-    write_bytes(out + "/b.tif", tiff.encode(volume, 16, big=True))
+    n = {r["i"]: r["count"] for r in views.table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 24).alias("i")).count().collect()}
+    volume = np.array([n.get(i, 0) for i in range(24)]).reshape(2, 3, 4)
+    write_bytes(out + "/b.tif", tiff.encode(volume, 16 if volume.max() < 65536 else 32, big=True))
     return spark.read.format("tessera_tiff").option("path", out).load().select("x", "y", "z", "v")
 
 
-for _f in (tiff_round_trip, tiff_box, tiff_u16, tiff_info, tiff_skip_existing, npy_round_trip, npy_table, tsv_round_trip, csv_fixed, csv_six_decimals, log_scaling, png_labels, model_round_trip, tiff_planes_stacked):
+def tiff_where(spark, d) -> DataFrame:
+    """Bounds that reach the reader: one plane, some of its lines, one of two images."""
+    out = _folder(spark, "tiff")
+    both = _image(spark, d)
+    tiff.write(both.unionByName(both.select(F.lit("other").alias("image_id"), "x", "y", "z", (F.col("v") + 1).alias("v"))), out, bits=32).collect()
+    return sources.read(spark, "tessera_tiff", out, [out + "/grid.tif"], x=(3, 8), y=(7, 19), z=2).where("v > 100").select("x", "y", "z", "v")
+
+
+def npy_where(spark, d) -> DataFrame:
+    out = _folder(spark, "npy")
+    npy.write(_image(spark, d), out).collect()
+    return sources.read(spark, "tessera_npy", out, x=(21, 99), y=(-5, 4), z=(2, 3)).select("x", "y", "z", "v")
+
+
+def images_as_stream(spark, d) -> DataFrame:
+    """Dots of images as they arrive: one image, then, after a restart, its mirror image."""
+    folder, out, checkpoint = (_folder(spark, k) for k in ("arriving", "dots", "checkpoint"))
+
+    def work(batch: DataFrame) -> DataFrame:
+        name = batch.agg(F.regexp_extract(F.min("image_id"), "([a-z]+)[.]tif$", 1).alias("image")).first()["image"]
+        return dots.detect(batch.select("x", "y", "z", "v"), views.GRID3, 1.0, 1.0, n=40).withColumn("image", F.lit(name))
+
+    image = _image(spark, d)
+    for arrived in (image, image.select(F.lit("mirror").alias("image_id"), (31 - F.col("x")).alias("x"), "y", "z", "v")):
+        tiff.write(arrived, folder, bits=32).collect()
+        watch_images(spark, folder, work, out, checkpoint).awaitTermination()
+    return rounded(spark.read.parquet(out).drop("batch"))
+
+
+for _f in (tiff_round_trip, tiff_box, tiff_u16, tiff_info, tiff_skip_existing, npy_round_trip, npy_table, tsv_round_trip, csv_fixed, csv_six_decimals, log_scaling, png_labels, model_round_trip, tiff_planes_stacked, tiff_where, npy_where, images_as_stream):
     Q[_f.__name__] = _f
 
 _G = f"({views.GRID3_SQL})"
@@ -153,5 +185,8 @@ S |= {
     "log_scaling": "SELECT CAST(s_suppkey AS VARCHAR) AS image, CASE WHEN s_suppkey % 3 <> 0 THEN round(s_acctbal, 2) ELSE 1.0 END AS scaling FROM supplier",
     "png_labels": f"SELECT x, y, CASE WHEN (x + y) % 4 = 3 THEN -1 ELSE (x + y) % 4 END AS label FROM ({views.GRID2_SQL}) g",
     "model_round_trip": levels_sql("SELECT * FROM nodes"),
-    "tiff_planes_stacked": "SELECT CAST(i % 4 AS INT) AS x, CAST(i // 4 % 3 AS INT) AS y, CAST(i // 12 AS INT) AS z, CAST(i AS DOUBLE) AS v FROM range(24) t(i)",
+    "tiff_planes_stacked": "SELECT CAST(i % 4 AS INT) AS x, CAST(i // 4 % 3 AS INT) AS y, CAST(i // 12 AS INT) AS z, CAST(count(l_partkey) AS DOUBLE) AS v FROM range(24) t(i) LEFT JOIN lineitem ON l_partkey % 24 = i GROUP BY i",
+    "tiff_where": f"SELECT x, y, z, v FROM {_G} g WHERE z = 2 AND y BETWEEN 7 AND 19 AND x BETWEEN 3 AND 8 AND v > 100",
+    "npy_where": f"SELECT x, y, z, v FROM {_G} g WHERE z > 1 AND y <= 4 AND x > 20",
+    "images_as_stream": f"WITH d AS MATERIALIZED ({DOTS_SQL}) SELECT 'grid' AS image, * FROM d UNION ALL SELECT 'mirror', 31 - x, y, z, value, use FROM d",
 }

@@ -27,6 +27,11 @@ def write_bytes(path: str, data: bytes) -> None:
         f.write(data)
 
 
+def move(path: str, to: str) -> None:
+    fs, p = resolve(path)
+    fs.move(p, resolve(to)[1])
+
+
 def remove(path: str) -> None:
     """A folder and what is in it, if it is there."""
     fs, p = resolve(path)

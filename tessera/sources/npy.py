@@ -1,10 +1,12 @@
-"""NPY arrays, version 1.0: spark.read.format("tessera_npy") gives (image_id, x, y, z, v); an array's axes are z, y, x."""
+"""NPY arrays, version 1.0: spark.read.format("tessera_npy") gives (image_id, x, y, z, v); an array's axes are z, y, x.
+Options and streams as for tessera_tiff."""
 
 from __future__ import annotations
 
 import ast
 import io
 import struct
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.sources import strips
+from tessera.sources.arrivals import Arrivals
+from tessera.sources.boxes import Box
 from tessera.sources.files import listed, open_in
-from tessera.sources.tiff import SCHEMA
+from tessera.sources.tiff import SCHEMA, voxel_batch
 
 TYPES = ("f8", "f4", "u1", "u2", "u4", "u8", "i1", "i2", "i4", "i8")
 
@@ -31,41 +35,60 @@ def header(f) -> tuple[np.dtype, tuple, bool, int]:
     return np.dtype(said["descr"]), tuple(said["shape"]), said["fortran_order"], 10 + size
 
 
+@dataclass
 class _Slab(InputPartition):
-    def __init__(self, path: str, z0: int, z1: int):
-        self.path, self.z0, self.z1 = path, z0, z1
+    """Planes z0 to z1 of a file."""
 
+    path: str
+    z0: int
+    z1: int
+
+
+class _Files:
+    """Slabs of files as partitions, for tables and for streams."""
 
-class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.o = options
+        self.o, self.box = options, Box.of_options(options)
 
-    def partitions(self):
+    def parts(self, paths: list[str]) -> list[_Slab]:
         out, step = [], int(self.o.get("planes", 8))
-        for path in listed(self.o["path"]):
+        for path in filter(self.box.has, paths):
             with open_in(path) as f:
                 _, shape, fortran, _ = header(f)
             if len(shape) > 3:
                 raise ValueError("at most three dimensions")
-            n = shape[0] if len(shape) == 3 else 1
-            out += [_Slab(path, z, min(n, z + step)) for z in range(0, n, step)] if not fortran else [_Slab(path, 0, n)]
+            z0, z1 = self.box.span("z", shape[0] if len(shape) == 3 else 1)
+            step_here = max(1, z1 - z0) if fortran else step
+            out += [_Slab(path, z, min(z1, z + step_here)) for z in range(z0, z1, step_here)]
         return out
 
-    def read(self, part):
+    def read(self, part: _Slab):
         with open_in(part.path) as f:
             dtype, shape, fortran, at = header(f)
             shape = (1,) * (3 - len(shape)) + shape
-            plane = shape[1] * shape[2]
+            (y0, y1), (x0, x1) = self.box.span("y", shape[1]), self.box.span("x", shape[2])
+            if x0 == x1 or y0 == y1:
+                return
             if fortran:
                 f.seek(at)
-                data = np.frombuffer(f.read(), dtype).reshape(shape, order="F")[part.z0 : part.z1]
-            else:
-                f.seek(at + part.z0 * plane * dtype.itemsize)
-                data = np.frombuffer(f.read((part.z1 - part.z0) * plane * dtype.itemsize), dtype).reshape(-1, *shape[1:])
-            for k, own in enumerate(data):
-                y, x = np.indices(own.shape, np.int32)
-                n = own.size
-                yield pa.RecordBatch.from_arrays([pa.array([part.path] * n), pa.array(x.ravel()), pa.array(y.ravel()), pa.array(np.full(n, part.z0 + k, np.int32)), pa.array(own.ravel().astype(np.float64))], ["image_id", "x", "y", "z", "v"])
+                whole = np.frombuffer(f.read(), dtype).reshape(shape, order="F")
+            line = shape[2] * dtype.itemsize
+            for z in range(part.z0, part.z1):
+                if fortran:
+                    rows = whole[z, y0:y1]
+                else:
+                    f.seek(at + (z * shape[1] + y0) * line)
+                    rows = np.frombuffer(f.read((y1 - y0) * line), dtype).reshape(-1, shape[2])
+                yield voxel_batch(part.path, z, y0, x0, rows[:, x0:x1].astype(np.float64))
+
+
+class _Reader(_Files, DataSourceReader):
+    def partitions(self):
+        return self.parts(listed(self.o["path"]))
+
+
+class _Stream(_Files, Arrivals):
+    ending = ".npy"
 
 
 class NpySource(DataSource):
@@ -79,6 +102,9 @@ class NpySource(DataSource):
     def reader(self, schema):
         return _Reader(self.options)
 
+    def streamReader(self, schema):
+        return _Stream(self.options)
+
 
 def encode(array: np.ndarray, dtype: str | None = None) -> bytes:
     """The array as it is; another type than its own is refused."""

@@ -1,6 +1,7 @@
 """Baseline TIFF stacks: uncompressed grey volumes of 8 or 16 bit integers or 32 bit floats, one directory a plane, classic or big.
 
-spark.read.format("tessera_tiff") reads planes in parallel; options x0, nx, y0, ny, z0, nz restrict the box that is read."""
+spark.read.format("tessera_tiff") reads planes in parallel. Options x0, nx, y0, ny, z0, nz and images (see sources.read) say what is read: planes and
+rows outside are not. spark.readStream takes files as they arrive, see arrivals."""
 
 from __future__ import annotations
 
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.sources import strips
+from tessera.sources.arrivals import Arrivals
+from tessera.sources.boxes import Box
 from tessera.sources.files import listed, open_in
 
 SCHEMA = "image_id string, x int, y int, z int, v double"
@@ -105,51 +108,64 @@ def supported(p: Plane) -> bool:
 
 
 def read_plane(f, order: str, p: Plane, y0: int = 0, ny: int | None = None) -> np.ndarray:
-    """Rows y0 to y0 + ny of a plane; only their strips are read."""
-    ny = p.height - y0 if ny is None else min(ny, p.height - y0)
+    """Rows y0 to y0 + ny of a plane; of their strips only these rows are read."""
+    end = p.height if ny is None else min(y0 + ny, p.height)
     dtype, rows = _dtype(order, p), min(p.rows or p.height, p.height)
-    parts = []
-    for k in range(y0 // rows, -(-(y0 + ny) // rows)):
-        f.seek(p.offsets[k])
-        parts.append(np.frombuffer(f.read(p.counts[k]), dtype))
-    first = y0 // rows * rows
-    data = np.concatenate(parts).reshape(-1, p.width)
-    return data[y0 - first : y0 - first + ny].astype(np.float64)
+    line, parts = p.width * dtype.itemsize, []
+    for k in range(y0 // rows, -(-end // rows)):
+        first, last = max(y0, k * rows), min(end, (k + 1) * rows)
+        f.seek(p.offsets[k] + (first - k * rows) * line)
+        parts.append(np.frombuffer(f.read((last - first) * line), dtype))
+    return np.concatenate(parts).reshape(-1, p.width).astype(np.float64)
 
 
+@dataclass
 class _Planes(InputPartition):
-    def __init__(self, path: str, z0: int, z1: int):
-        self.path, self.z0, self.z1 = path, z0, z1
+    """A few planes of a file, with their directory entries."""
 
+    path: str
+    order: str
+    z0: int
+    planes: list[Plane]
 
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.o = options
 
-    def _box(self, name: str, default: int | None) -> int | None:
-        v = self.o.get(name)
-        return int(v) if v is not None else default
+def voxel_batch(path: str, z: int, y0: int, x0: int, data: np.ndarray) -> pa.RecordBatch:
+    """Rows (image_id, x, y, z, v) of a part of a plane."""
+    y, x = np.indices(data.shape, np.int32)
+    n = data.size
+    return pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(x.ravel() + np.int32(x0)), pa.array(y.ravel() + np.int32(y0)), pa.array(np.full(n, z, np.int32)), pa.array(data.ravel())], ["image_id", "x", "y", "z", "v"])
 
-    def partitions(self):
-        """A few planes of a file each."""
+
+class _Files:
+    """Planes of files as partitions, for tables and for streams."""
+
+    def __init__(self, options):
+        self.o, self.box = options, Box.of_options(options)
+
+    def parts(self, paths: list[str]) -> list[_Planes]:
         out, step = [], int(self.o.get("planes", 8))
-        for path in listed(self.o["path"]):
+        for path in filter(self.box.has, paths):
             with open_in(path) as f:
-                n = len(directories(f)[1])
-            z0 = self._box("z0", 0)
-            z1 = min(n, z0 + (self._box("nz", n)))
-            out += [_Planes(path, z, min(z + step, z1)) for z in range(z0, z1, step)]
+                order, planes = directories(f)
+            z0, z1 = self.box.span("z", len(planes))
+            out += [_Planes(path, order, z, planes[z : min(z + step, z1)]) for z in range(z0, z1, step)]
         return out
 
-    def read(self, part):
-        x0, nx, y0, ny = self._box("x0", 0), self._box("nx", None), self._box("y0", 0), self._box("ny", None)
+    def read(self, part: _Planes):
         with open_in(part.path) as f:
-            order, planes = directories(f)
-            for z in range(part.z0, part.z1):
-                data = read_plane(f, order, planes[z], y0, ny)[:, x0 : None if nx is None else x0 + nx]
-                y, x = np.indices(data.shape, np.int32)
-                n = data.size
-                yield pa.RecordBatch.from_arrays([pa.array([part.path] * n), pa.array(x.ravel() + np.int32(x0)), pa.array(y.ravel() + np.int32(y0)), pa.array(np.full(n, z, np.int32)), pa.array(data.ravel())], ["image_id", "x", "y", "z", "v"])
+            for k, plane in enumerate(part.planes):
+                (x0, x1), (y0, y1) = self.box.span("x", plane.width), self.box.span("y", plane.height)
+                if x0 < x1 and y0 < y1:
+                    yield voxel_batch(part.path, part.z0 + k, y0, x0, read_plane(f, part.order, plane, y0, y1 - y0)[:, x0:x1])
+
+
+class _Reader(_Files, DataSourceReader):
+    def partitions(self):
+        return self.parts(listed(self.o["path"]))
+
+
+class _Stream(_Files, Arrivals):
+    ending = ".tif"
 
 
 class TiffSource(DataSource):
@@ -163,6 +179,9 @@ class TiffSource(DataSource):
     def reader(self, schema):
         return _Reader(self.options)
 
+    def streamReader(self, schema):
+        return _Stream(self.options)
+
 
 def info(spark, path: str) -> DataFrame:
     """INFO: one row a file, from the directories alone."""

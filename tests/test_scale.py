@@ -8,6 +8,7 @@ from tessera import checkpoints
 from tessera.model import Grid, to_tiles
 from tessera.operators import dense, forest, fourier, geometry, morph, ordered, recon, spatial, stencil, tree
 from tessera.plans import halo, restore
+from tessera import sources, streaming
 from tessera.sources import convert, log, npy, strips, svg, tiff
 from tests.test_kernels import frame, volume_of
 
@@ -435,3 +436,76 @@ def test_displacement_search_of_nothing(spark):
     assert spatial.displacement_search(one, one.selectExpr("id", "x + 50 as x", "y", "z"), 3.0, 0.5).count() == 0
     same = spatial.displacement_search(one, one, 3.0, 0.5).first()
     assert (same.dx, same.kde, same.second, same.goodness) == (0.0, 1.0, 0.0, 1.0)
+
+
+class Counting:
+    """A file that counts the bytes that are read."""
+
+    def __init__(self, f, counts):
+        self.f, self.counts = f, counts
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.f.close()
+
+    def seek(self, at):
+        self.f.seek(at)
+
+    def read(self, n=None):
+        data = self.f.read(n)
+        self.counts.append(len(data))
+        return data
+
+
+@pytest.mark.parametrize("module, source, data", [(tiff, tiff.TiffSource, lambda v: tiff.encode(v, 32)), (npy, npy.NpySource, lambda v: npy.encode(v.astype("<f4")))])
+def test_bounds_decide_what_is_read(spark, tmp_path, monkeypatch, module, source, data):
+    from tessera.sources.boxes import options_of
+
+    v = np.arange(6 * 50 * 40, dtype=float).reshape(6, 50, 40)
+    for name in "ab":
+        (tmp_path / f"{name}.x").write_bytes(data(v + (name == "b")))
+    counts, real = [], module.open_in
+    head = 0 if module is tiff else 200
+    with monkeypatch.context() as m:
+        m.setattr(module, "open_in", lambda p: Counting(real(p), counts))
+
+        def read(**bounds):
+            reader = source({"path": str(tmp_path)} | options_of(**bounds)).reader(None)
+            parts = reader.partitions()
+            counts.clear()
+            return [r for p in parts for batch in reader.read(p) for r in batch.to_pylist()], sum(counts)
+
+        one = [f"{tmp_path}/a.x"]
+        rows, size = read(images=one, z=2)
+        assert size <= 50 * 40 * 4 + head and [r["v"] for r in rows] == list(v[2].ravel())
+        rows, size = read(images=one, z=2, y=(10, 11), x=(3, 9))
+        assert size <= 2 * 40 * 4 + head and {(r["x"], r["y"]) for r in rows} == {(x, y) for x in range(3, 10) for y in (10, 11)}
+        assert read(z=9) == ([], 0) and read(images=["none"]) == ([], 0) and read(images=[]) == ([], 0)
+        assert read(y=(49, 3))[0] == [] and read(x=-1)[0] == [] and len(read()[0]) == 2 * v.size
+    load = lambda **bounds: sources.read(spark, source.name(), str(tmp_path), **bounds)
+    assert load(z=(4, 99)).count() == 2 * 2 * 50 * 40 and load(z=1).unionByName(load(z=3, x=(-3, 0))).count() == 2 * 50 * 41 and load().where("z = 1").union(load()).count() == 2 * 7 * 50 * 40
+
+
+def test_images_arrive_once(spark, tmp_path):
+    """Batches of one start; a batch that fails and is repeated, a restart, files that stay and files without a whole name."""
+    folder, out, check = (str(tmp_path / k) for k in ("in", "out", "check"))
+    (tmp_path / "in").mkdir()
+    put = lambda name, n: (tmp_path / "in" / name).write_bytes(tiff.encode(np.full((1, 2, 2), n)))
+    put("b.tif", 1), put("c.tif", 2), put("_d.tif", 50), put("notes.txt", 60)
+    total = lambda b: b.groupBy("image_id").agg(F.sum("v").alias("v"))
+
+    def fails(batch):
+        raise ValueError("lost")
+
+    with pytest.raises(Exception):
+        streaming.watch_images(spark, folder, fails, out, check).awaitTermination(120)
+    put("a.tif", 4)  # sorts before what has been seen
+    for _ in range(3):
+        streaming.watch_images(spark, folder, total, out, check).awaitTermination(120)
+    put("e.tif", 8)
+    streaming.watch_images(spark, folder, total, out, check).awaitTermination(120)
+    got = spark.read.parquet(out)
+    assert {r.image_id[-5:]: r.v for r in got.collect()} == {"a.tif": 16.0, "b.tif": 4.0, "c.tif": 8.0, "e.tif": 32.0} and got.count() == 4
+    assert got.where("image_id like '%b.tif' or image_id like '%c.tif'").select("batch").distinct().count() == 1

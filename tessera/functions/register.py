@@ -7,10 +7,12 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf, udtf
 
+from tessera.functions import images
+
 
 def register(spark: SparkSession) -> None:
     """tessera_j0(x), tessera_lateral_resolution(wavelength, na), tessera_axial_resolution(wavelength, na), and the table functions
-    tessera_psf_profile(z, wavelength, na, index, dxy, n) and tessera_grid(nx, ny, nz)."""
+    tessera_psf_profile(z, wavelength, na, index, dxy, n) and tessera_grid(nx, ny, nz), besides those of images."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION tessera_lateral_resolution(wavelength DOUBLE, na DOUBLE) RETURNS DOUBLE RETURN wavelength / (2 * na)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION tessera_axial_resolution(wavelength DOUBLE, na DOUBLE) RETURNS DOUBLE RETURN 2 * wavelength / (na * na)")
 
@@ -33,12 +35,6 @@ def register(spark: SparkSession) -> None:
 
     spark.udtf.register("tessera_psf_profile", Profile)
 
-    @udtf(returnType="x int, y int, z int")
-    class Cells:
-        def eval(self, nx: int, ny: int, nz: int):
-            for z in range(nz):
-                for y in range(ny):
-                    for x in range(nx):
-                        yield x, y, z
-
-    spark.udtf.register("tessera_grid", Cells)
+    grid = "CREATE OR REPLACE TEMPORARY FUNCTION tessera_grid(nx INT, ny INT, nz INT) RETURNS TABLE(x INT, y INT, z INT) RETURN "
+    spark.sql(grid + "SELECT x, y, z FROM (SELECT explode(sequence(0, nz - 1)) AS z) LATERAL VIEW explode(sequence(0, ny - 1)) b AS y LATERAL VIEW explode(sequence(0, nx - 1)) a AS x WHERE least(nx, ny, nz) > 0")
+    images.register(spark)

@@ -509,3 +509,32 @@ def test_images_arrive_once(spark, tmp_path):
     got = spark.read.parquet(out)
     assert {r.image_id[-5:]: r.v for r in got.collect()} == {"a.tif": 16.0, "b.tif": 4.0, "c.tif": 8.0, "e.tif": 32.0} and got.count() == 4
     assert got.where("image_id like '%b.tif' or image_id like '%c.tif'").select("batch").distinct().count() == 1
+
+
+def test_table_functions_of_images(spark, tmp_path):
+    """SQL over blocks and over whole images equals the operators; halos wider than a block, missing columns, planes, more rows than a batch."""
+    from tessera.functions import register
+
+    register.register(spark)
+    v, w = (np.random.default_rng(k).random((5, 60, 50)) * 100 for k in (1, 2))
+    grid, one = Grid(50, 60, 5), frame(spark, v)
+    one.withColumn("image_id", F.lit("a")).unionByName(frame(spark, w).withColumn("image_id", F.lit("b"))).withColumn("other", F.lit(3)).createOrReplaceTempView("voxels_two")
+    one.createOrReplaceTempView("voxels_one")
+    cut = "TABLE(SELECT * FROM tessera_blocks(TABLE(voxels_two), {}, {}, {}, {})) PARTITION BY (image_id, block)"
+    want = {"a": volume_of(stencil.smooth(one, grid, 1.0, 0.6), grid), "b": volume_of(stencil.smooth(frame(spark, w), grid, 1.0, 0.6), grid)}
+    for table in ("TABLE(voxels_two) PARTITION BY (image_id)", cut.format(20, 9, 8, 4), cut.format(3, 2, 8, 4)):
+        got = spark.sql(f"SELECT * FROM tessera_smooth({table}, 1.0D, 0.6D)").cache()
+        assert got.count() == 2 * v.size
+        assert all(np.allclose(volume_of(got.where(F.col("image_id") == k), grid), want[k]) for k in want)
+    assert np.allclose(volume_of(spark.sql("SELECT * FROM tessera_smooth(TABLE(voxels_one) WITH SINGLE PARTITION, 1.0D, 0.6D)"), grid), want["a"])
+    dots = {(r.x, r.y, r.z) for r in spark.sql(f"SELECT * FROM tessera_maxima({cut.format(16, 4, 5, 5)}, 0.9D, 0.9D) WHERE image_id = 'a'").collect()}
+    assert dots and dots == {(r.x, r.y, r.z) for r in stencil.log_maxima(one, grid, 0.9, 0.9).collect()}
+    got = volume_of(spark.sql("SELECT * FROM tessera_deconvolve(TABLE(voxels_one) WITH SINGLE PARTITION, 0.8D, 0.5D, 3)"), grid)
+    g, d = np.array(stencil.gaussian(0.8)), np.array(stencil.gaussian(0.5))
+    assert np.allclose(got, np.maximum(recon.deconvolve(v + 5, d[:, None, None] * g[:, None] * g, recon.Options(iterations=3))[0] - 5, 0))
+    spark.sql(f"SELECT * FROM tessera_write(TABLE(voxels_two) PARTITION BY (image_id), '{tmp_path}')").write.saveAsTable("tessera_written_files", mode="overwrite", path=str(tmp_path / "told"))
+    back = spark.sql("SELECT * FROM tessera_read(TABLE(SELECT path FROM tessera_written_files WHERE path LIKE '%b.tif'))")
+    assert np.allclose(volume_of(back, grid), w.astype("f4"))
+    assert spark.sql("SELECT * FROM tessera_smooth(TABLE(SELECT * FROM voxels_one WHERE x < 0) WITH SINGLE PARTITION, 1D, 1D)").count() == 0
+    assert spark.sql("SELECT * FROM tessera_grid(2, 3, 4)").distinct().count() == 24 and spark.sql("SELECT * FROM tessera_grid(2, 0, 4)").count() == 0
+    spark.sql("DROP TABLE tessera_written_files")

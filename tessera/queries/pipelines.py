@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tessera import sources, views
-from tessera.model import AXES, Grid, to_tiles
+from tessera.functions import images
+from tessera.model import AXES, Grid, to_tiles, to_voxels
 from tessera.operators import agg, fit, geometry, morph, psf, recon
 from tessera.plans import dots, nuclei, restore
+from tessera.queries import volumes
 from tessera.queries.files import _folder
 from tessera.queries.sql import Sql, r6
 from tessera.queries.volumes import DOTS_SQL, G2, G3, rounded
@@ -132,6 +136,53 @@ add("lateral_circularity", lambda s, d: rounded(morph.lateral_circularity(views.
 _m = "(3.0 + 900.0 * exp(-0.5 * ((g.x - p.x) * (g.x - p.x) + (g.y - p.y) * (g.y - p.y)) / 2.25) / (2 * pi() * 2.25))"
 add("log_likelihood", lambda s, d: fit.log_likelihood(views.grid3(s, d), _dots(s), 1.5, 3.0, 900.0).select("id", F.round("loss", 3).alias("loss")), g3(f"SELECT p.id, round(-sum(g.v * ln({_m}) - {_m}), 3) AS loss FROM ({_DOTS.format(n=60)}) p JOIN {{g}} g ON abs(g.x - p.x) <= 2 AND abs(g.y - p.y) <= 2 AND g.z = p.z GROUP BY p.id"))
 add("positive_prefix", lambda s, d: agg.positive_prefix(views.points(s, d).select("id", F.col("x").alias("value")), "value"), f"SELECT id, x AS value FROM ({views.POINTS_SQL}) p WHERE x > 0")
+# ---------------------------------------------------------------- planted truth
+_PLANTED = """SELECT s_suppkey AS id, s_suppkey % 8 * 16 + 8 + CAST(s_suppkey % 7 - 3 AS DOUBLE) / 10 AS cx, s_suppkey // 8 * 16 + 8 + CAST(s_nationkey % 5 - 2 AS DOUBLE) / 10 AS cy,
+500 + abs(s_acctbal) AS n, CAST(2 + s_nationkey % 4 AS DOUBLE) AS bg, 1.2 + CAST(s_suppkey % 3 AS DOUBLE) / 10 AS sigma FROM supplier"""
+
+
+def _planted_fit(s, d):
+    """A Gaussian a supplier, in a square of its own of one large image, and what the fits say of them."""
+    p = views._sql(s, d, _PLANTED.replace("//", "div"), "supplier")
+    cells = p.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    x, y = ((F.floor(F.col(c) / 16) * 16).cast("int") + F.col(k) for c, k in (("cx", "i"), ("cy", "j")))
+    r2 = (F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2
+    v = F.col("bg") + F.col("n") * F.exp(-0.5 * r2 / F.col("sigma") ** 2) / (2 * math.pi * F.col("sigma") ** 2)
+    image = cells.withColumns({"x": x, "y": y}).select("x", "y", F.lit(0).alias("z"), v.alias("v"))
+    dots_ = p.select("id", F.round("cx").alias("x"), F.round("cy").alias("y"), F.lit(0.0).alias("z"))
+    top = p.agg(F.max("cy")).first()[0] or 0.0
+    got = fit.fit_dots(image, dots_, Grid(128, int(top) + 17), 2.0)
+    return got.select("id", *[(F.round(c, k) + 0.0).alias(a) for a, c, k in (("x", "f_x", 2), ("y", "f_y", 2), ("sigma", "f_sigma_lateral", 2), ("bg", "f_bg", 1))], F.col("f_signal_count").alias("n"), F.col("f_status").alias("status")).join(p.select("id", F.col("n").alias("truth")), "id").withColumn("near", F.abs(F.col("n") - F.col("truth")) < 0.001 * F.col("truth")).drop("n", "truth")
+
+
+add("dots_fitted_planted", _planted_fit, f"SELECT id, round(cx, 2) AS x, round(cy, 2) AS y, round(sigma, 2) AS sigma, bg, CAST(0 AS INT) AS status, true AS near FROM ({_PLANTED}) p")
+
+
+def _constants(s, d):
+    """A tile of one value a supplier: what is left is the minimum of the fidelity and the sparsity."""
+    cells = views.table(s, d, "supplier").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    image = cells.select((F.col("s_suppkey") * 8 + F.col("i")).cast("int").alias("x"), "y", "z", (1 + F.abs("s_acctbal")).cast("double").alias("v"))
+    grid = Grid((image.agg(F.max("x")).first()[0] or 0) + 1, 8, 3)
+    return to_voxels(recon.denoise_tiles(to_tiles(image, grid, 8), periodic=False)).select("x", "y", "z", (F.round("v", 2) + 0.0).alias("v"))
+
+
+add("denoise_constants", _constants, "SELECT CAST(s_suppkey * 8 + i.i AS INT) AS x, CAST(j.i AS INT) AS y, CAST(k.i AS INT) AS z, round(1 + abs(s_acctbal) - 0.05, 2) AS v FROM supplier, range(8) i(i), range(8) j(i), range(3) k(i)")
+
+
+# ---------------------------------------------------------------- table functions in SQL
+def _by_sql(text: str):
+    def run(s, d):
+        images.register(s)
+        cut = "TABLE(SELECT * FROM tessera_blocks(TABLE(SELECT * FROM {t}), 16, 2, 7, 5)) PARTITION BY (block)"
+        return rounded(s.sql(text.replace("CUT", cut), t=views.grid3(s, d)))
+
+    return run
+
+
+add("sql_smooth", _by_sql("SELECT x, y, z, v FROM tessera_smooth(CUT, 1.5D, 1.0D)"), volumes.S["gaussian_smooth"])
+add("sql_maxima", _by_sql("SELECT x, y, z, v AS value FROM tessera_maxima(CUT, 1.0D, 1.0D) ORDER BY v DESC, z, y, x LIMIT 40"), f"SELECT x, y, z, value FROM ({DOTS_SQL}) d")
+
+
 # ---------------------------------------------------------------- pixel classification
 _scales = [1.0, 1.5]
 

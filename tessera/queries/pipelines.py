@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera import sources, views
@@ -136,6 +137,21 @@ add("lateral_circularity", lambda s, d: rounded(morph.lateral_circularity(views.
 _m = "(3.0 + 900.0 * exp(-0.5 * ((g.x - p.x) * (g.x - p.x) + (g.y - p.y) * (g.y - p.y)) / 2.25) / (2 * pi() * 2.25))"
 add("log_likelihood", lambda s, d: fit.log_likelihood(views.grid3(s, d), _dots(s), 1.5, 3.0, 900.0).select("id", F.round("loss", 3).alias("loss")), g3(f"SELECT p.id, round(-sum(g.v * ln({_m}) - {_m}), 3) AS loss FROM ({_DOTS.format(n=60)}) p JOIN {{g}} g ON abs(g.x - p.x) <= 2 AND abs(g.y - p.y) <= 2 AND g.z = p.z GROUP BY p.id"))
 add("positive_prefix", lambda s, d: agg.positive_prefix(views.points(s, d).select("id", F.col("x").alias("value")), "value"), f"SELECT id, x AS value FROM ({views.POINTS_SQL}) p WHERE x > 0")
+# ---------------------------------------------------------------- reconstructions that have a closed form
+_POINT = np.ones((1, 1, 1))
+for _method in ("rl", "shb"):
+    # Under a point as point-spread function an image is its own reconstruction, across tiles and their merge.
+    add(f"deconvolve_point_{_method}", lambda s, d, m=_method: rounded(restore.deconvolve_image(views.grid3(s, d), G3, _POINT, recon.Options(method=m, iterations=3), tile=16, overlap=6)), g3("SELECT x, y, z, " + r6("v") + " AS v FROM {g}"))
+_BOX = np.ones((3, 7, 7)) / 147
+_padded = math.prod(recon.work_shape((4, 16, 16), _BOX.shape, recon.Options.border))
+#: The first model of a flat start is flat, so its error and divergence are sums over the image.
+add(
+    "iteration_metrics_first",
+    lambda s, d: restore.iteration_metrics(to_tiles(views.grid3(s, d), G3, 16), _BOX, recon.Options(iterations=2)).where("iter = 0").select("tile", F.round("error", 2).alias("error"), F.round("kl", 2).alias("kl")),
+    g3(f"SELECT tile, round(avg((v - c) * (v - c)), 2) AS error, round(sum(v * ln(v / c)), 2) AS kl FROM (SELECT *, sum(v) OVER (PARTITION BY tile) / {_padded} AS c FROM (SELECT CAST(y // 16 * 2 + x // 16 AS INT) AS tile, v + 5.0 AS v FROM {{g}}) t) u GROUP BY tile"),
+)
+
+
 # ---------------------------------------------------------------- planted truth
 _PLANTED = """SELECT s_suppkey AS id, s_suppkey % 8 * 16 + 8 + CAST(s_suppkey % 7 - 3 AS DOUBLE) / 10 AS cx, s_suppkey // 8 * 16 + 8 + CAST(s_nationkey % 5 - 2 AS DOUBLE) / 10 AS cy,
 500 + abs(s_acctbal) AS n, CAST(2 + s_nationkey % 4 AS DOUBLE) AS bg, 1.2 + CAST(s_suppkey % 3 AS DOUBLE) / 10 AS sigma FROM supplier"""

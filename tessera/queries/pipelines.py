@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera import sources, views
 from tessera.functions import images
 from tessera.model import AXES, Grid, to_tiles, to_voxels
-from tessera.operators import agg, fit, geometry, morph, psf, recon
+from tessera.operators import agg, fit, forest, geometry, morph, psf, recon
 from tessera.plans import dots, nuclei, restore
 from tessera.queries import volumes
 from tessera.queries.files import _folder
@@ -211,6 +211,19 @@ def _classified(s, d):
 
 
 add("pixel_classification", _classified)
+#: Three trees of one cut each, over Gaussian, Laplacian of Gaussian and the smaller eigenvalue of the Hessian.
+_CUTS = [(0, 150.2512345, 1, 2), (1, 0.1234567, 0, 1), (6, -3.2112345, 2, 0)]
+_RULES = [n for t, (var, th, low, high) in enumerate(_CUTS) for n in ((t, 0, 1, 2, var, th, 0, 1.0), (t, 1, 0, 0, 0, 0.0, low, 0.0), (t, 2, 0, 0, 0, 0.0, high, 0.0))]
+
+
+def _by_rules(s, d):
+    """A given forest over all pixels: features, votes and ties as in the whole pipeline."""
+    plane = views.grid2(s, d)
+    return nuclei.classify(plane, s.createDataFrame(_RULES, forest.NODES), nuclei.features(plane, [1.0])[1], [1.0])
+
+
+_tree = [f"CASE WHEN s1_{f} < {th!r} THEN {low} ELSE {high} END AS {a}" for a, f, (_, th, low, high) in zip("abc", ("gauss", "log", "he2"), _CUTS)]
+add("pixel_classification_rules", _by_rules, f"SELECT x, y, CASE WHEN a = b OR a = c THEN a WHEN b = c THEN b ELSE least(a, b, c) END AS prediction FROM (SELECT x, y, {', '.join(_tree)} FROM ({volumes.S['pixel_features']}) f) t")
 
 
 # ---------------------------------------------------------------- pictures

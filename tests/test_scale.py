@@ -538,3 +538,12 @@ def test_table_functions_of_images(spark, tmp_path):
     assert spark.sql("SELECT * FROM tessera_smooth(TABLE(SELECT * FROM voxels_one WHERE x < 0) WITH SINGLE PARTITION, 1D, 1D)").count() == 0
     assert spark.sql("SELECT * FROM tessera_grid(2, 3, 4)").distinct().count() == 24 and spark.sql("SELECT * FROM tessera_grid(2, 0, 4)").count() == 0
     spark.sql("DROP TABLE tessera_written_files")
+
+
+def test_few_points_are_aligned_by_the_grid(spark):
+    """Sets too small to vote by pairs."""
+    from tessera.plans import align
+
+    a = spark.createDataFrame([(0, 1.0, 2.0, 3.0), (1, 40.0, 30.0, 5.0)], "id long, x double, y double, z double")
+    got = align.align(a, a.selectExpr("id", "x + 1.2 as x", "y - 2.3 as y", "z + 0.4 as z"))
+    assert got.method == "grid" and (got.dx, got.dy, got.dz) == pytest.approx((1.2, -2.3, 0.4), abs=1e-3) and align.VOTERS == 250

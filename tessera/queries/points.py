@@ -140,7 +140,8 @@ def _searched(s, d):
     return found.select(*[(F.round("d" + c, 3) + 0.0).alias("d" + c) for c in "xyz"], F.round("kde", 4).alias("kde"), F.round("second", 4).alias("second"), (F.round("goodness", 6) + 0.0).alias("goodness"))
 
 
-add("displacement_grid", lambda s, d: rounded(spatial.displacement_density(_differences(s, d), 6.0, 0.4)), f"WITH {_grid} SELECT i, j, k, {r6('kde')} AS kde FROM g")
+#: Sums of ten thousands of terms: three decimals do not depend on their order.
+add("displacement_grid", lambda s, d: spatial.displacement_density(_differences(s, d), 6.0, 0.4).withColumn("kde", F.round("kde", 3)), f"WITH {_grid} SELECT i, j, k, round(kde, 3) AS kde FROM g")
 add("displacement_search", _searched, _search)
 _far = "((p.x - m.x) * (p.x - m.x) + (p.y - m.y) * (p.y - m.y) + (p.z - m.z) * (p.z - m.z))"
 _near = "sum(exp(-{d} / 8.0) * p.{a}) FILTER ({d} < 400.0) / sum(exp(-{d} / 8.0)) FILTER ({d} < 400.0) AS {a}"

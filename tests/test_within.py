@@ -51,3 +51,18 @@ def test_queries_are_not_repeated_for_cells(spark):
     a = cloud(spark, np.random.default_rng(1).random((50, 3)))
     plan = spatial.ball_join(a, a, 0.3)._jdf.queryExecution().toString()
     assert "Generate" not in plan and "Join" not in plan
+
+
+def test_displacements_are_counted_where_points_meet(spark, monkeypatch):
+    """No table of pairs is written: with a crowd it was a hundred times the points."""
+    a = cloud(spark, np.random.default_rng(2).random((200, 3)) * 2)
+    written = []
+    keep = spatial.stored
+    monkeypatch.setattr(spatial, "stored", lambda df: written.append(keep(df)) or written[-1])
+    monkeypatch.setattr(within, "PART_ROWS", 64)
+    got = spatial.displacement_search(a, a, 4.0, 0.2).first()
+    assert abs(got.dx) < 1e-3 and got.kde >= 200
+    assert max(t.count() for t in written) < 20_000  # of 40,000 pairs
+    d = spatial.ball_join(a, a, 4.0).selectExpr("px - qx as x", "py - qy as y", "pz - qz as z")
+    one, two = ({(r.i, r.j, r.k): r.kde for r in df.collect()} for df in (spatial.pair_density(a, a, 4.0, 0.2), spatial.displacement_density(d, 4.0, 0.2)))
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 * two[k] for k in one)

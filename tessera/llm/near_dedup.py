@@ -26,7 +26,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _base as B
@@ -227,18 +227,22 @@ def _rest_pairs(stars: DataFrame, labels: DataFrame) -> DataFrame | None:
     smallest = F.greatest(F.col("least"), F.ceil(NUMERATOR * F.col("n") / DENOMINATOR))
     t = F.ceil(half(F.col("n"), smallest) - F.col("shared") - 1e-9)
     mine = B.stored(mine.withColumns({"m": F.size("rest"), "t": t, "minor": F.col("label") != F.col("root")}).where(F.col("t") <= F.col("m")), "rests")
-    # The rests, as one number for pivot and shingle; those that one member alone has cannot be shared but come first in the order, and
-    # those that no minor row has join nothing but keep their places.
-    items = mine.select("x", "p", "minor", F.explode("rest").alias("h")).select("x", "p", "minor", F.xxhash64("p", "h").alias("e"))
-    counts = B.stored(items.groupBy("e").agg(F.count(F.lit(1)).alias("df"), F.count_if("minor").alias("minors")).where("df > 1"), "counts")
-    common = B.lookup(items.drop("minor"), counts, "e", "df", counts.agg(F.sum("df")).first()[0] or 1, "inner")
-    order, whole = Window.partitionBy("x", "p").orderBy("df", "e"), Window.partitionBy("x", "p")
-    ranked = common.withColumns({"k": F.row_number().over(order) - 1, "own": F.count(F.lit(1)).over(whole)}).where("minors > 0")
-    posts = ranked.join(mine.drop("rest", "least", "size", "root"), ["x", "p"]).withColumn("k", F.col("m") - F.col("own") + F.col("k")).where((F.col("t") <= 0) | (F.col("k") <= F.col("m") - F.col("t")))
-    posts = B.stored(posts.select("e", "df", "minors", "minor", "x", "label", "n", "shared", "m", "k"), "posts")
-    other = posts.select("e", "df", "minors", *[F.col(c).alias(c + "2") for c in ("x", "label", "n", "shared", "m", "k")])
+    # A member's rests are counted as one list, however many pivots it has. What one member alone has cannot be shared, and what no minor row has joins
+    # nothing; so of a rest only the other shingles (common, rarest first) matter, and of these the prefix that must hold a shared one.
+    each = mine.groupBy("x").agg(F.max("minor").alias("minor"), F.array_distinct(F.flatten(F.collect_list("rest"))).alias("all"))
+    items = B.stored(each.select("x", "minor", F.explode("all").alias("h")), "items")
+    counts = B.stored(items.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.count_if("minor").alias("minors")).where("df > 1 and minors > 0").drop("minors"), "counts")
+    held = B.lookup(items.drop("minor"), counts, "h", "df", counts.agg(F.sum("df")).first()[0] or 1, "inner")
+    held = held.groupBy("x").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "h"))), lambda i: i["h"]).alias("held"))
+    cut = mine.join(held, "x").withColumn("common", F.array_intersect("held", "rest")).drop("held", "rest", "least", "size", "root").withColumn("own", F.size("common"))
+    cut = cut.where((F.col("own") > 0) & (F.col("t") <= F.col("own")))
+    posts = cut.select("x", "p", "minor", "label", "n", "shared", "own", F.posexplode(F.slice("common", 1, F.least(F.col("own"), F.col("own") - F.col("t") + 1).cast("int"))).alias("k", "h"))
+    posts = B.stored(posts.withColumn("e", F.xxhash64("p", "h")).drop("p", "h"), "posts")
+    met = B.stored(posts.groupBy("e").agg(F.count(F.lit(1)).alias("df"), F.count_if("minor").alias("minors")).where("df > 1 and minors > 0"), "counts")
+    posts = B.stored(B.lookup(posts, met, "e", "df", met.agg(F.sum("df")).first()[0] or 1, "inner"), "posts")
+    other = posts.select("e", "df", "minors", *[F.col(c).alias(c + "2") for c in ("x", "label", "n", "shared", "own", "k")])
     lacks = half(F.col("n"), F.col("n2")) - F.least("shared", "shared2") - 1e-9
-    near = B.block_pairs(posts.where("minor"), other, "e", ("minors", "df"), ("x", "x2")).where((F.col("label") != F.col("label2")) & (F.least(F.col("m") - F.col("k"), F.col("m2") - F.col("k2")) >= lacks))
+    near = B.block_pairs(posts.where("minor"), other, "e", ("minors", "df"), ("x", "x2")).where((F.col("label") != F.col("label2")) & (F.least(F.col("own") - F.col("k"), F.col("own2") - F.col("k2")) >= lacks))
     pairs = [B.stored(near.select("x", "x2").distinct(), "near")]
     # Pairs that need to share nothing outside the pivot.
     far = mine.where(F.col("minor") & (half(F.col("n"), F.col("least")) - 1e-9 <= F.col("shared")))

@@ -813,3 +813,28 @@ def test_encoder_matches_library():
                 assert encoder.tokenizer.encode(t, add_special_tokens=False).ids == ids[at : at + n].tolist()
                 at += n
             assert at == len(ids)
+
+
+def test_rests_of_a_member_of_many_stars_are_counted_once(spark, monkeypatch):
+    """Each pivot of a member had its shingles exploded anew, so rows grew with members times pivots; pairs are those that can link."""
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+    from tessera.llm import near_dedup
+
+    rng = np.random.default_rng(5)
+    base = list(range(60))
+    sets = {p: set(base) | {1000 * p + k for k in range(20)} for p in range(6)}  # the pivots
+    for x in range(10, 40):
+        sets[x] = set(rng.choice(base, 45, replace=False).tolist()) | set(rng.choice(np.arange(100, 130), 28, replace=False).tolist()) | {1000 * x}
+    rows = [(b"%02d" % x, b"%02d" % p, len(sets[x]), len(sets[x] & sets[p]), sorted(sets[x] - sets[p])) for x in range(10, 40) for p in range(6)]
+    stars = spark.createDataFrame(rows, "a binary, b binary, na long, shared long, rest array<long>")
+    labels = spark.createDataFrame([(b"%02d" % x, b"%02d" % (x - x % 2)) for x in range(10, 40)], "node binary, label binary")
+    made, own = [], near_dedup.B.stored
+    monkeypatch.setattr(near_dedup.B, "stored", lambda df, name, *a: made.append((name, own(df, name, *a))) or made[-1][1])
+    got = {(int(bytes(r.a)), int(bytes(r.b))) for r in near_dedup._rest_pairs(stars, labels).collect()}
+    linked = {(x, y) for x, y in combinations(range(10, 40), 2) if x // 2 != y // 2 and 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])}
+    assert linked and linked <= got
+    exploded = max(t.count() for name, t in made if name in ("items", "posts"))
+    assert exploded <= sum(len(sets[x]) for x in range(10, 40)) < sum(len(r[4]) for r in rows)
+    assert any(name == "items" for name, _ in made)

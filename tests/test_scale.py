@@ -1,5 +1,7 @@
 """What keeps tasks bounded must not change results: ranges, blocks, tiles, kernels and models in parts against plain versions."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +116,59 @@ def test_nearest_over_many_partitions(spark, monkeypatch, kind):
         assert all(np.allclose([d for _, d in got[i]], [d for _, d in want[i]]) for i in want)
 
 
+def test_nearest_moves_only_what_is_near_a_border_again(spark, monkeypatch):
+    """Of a long strip in partitions of 64, few points are in reach of queries from beyond; most queries are done in their own partition."""
+    r = np.random.default_rng(8)
+    b = r.random((4000, 3)) * [4000, 1, 1]
+    frame = lambda v: spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(v)], "id long, x double, y double, z double").repartition(3)
+    within, moved = tree._within, []
+    monkeypatch.setattr(tree, "_within", lambda *given: moved.append(within(*given)) or moved[-1])
+    got = {(x.qid, x["rank"]): x.pid for x in tree.nearest(frame(b + 0.1), frame(b), 2, part_rows=64).collect()}
+    d = (((b + 0.1)[:, None] - b[None]) ** 2).sum(2)
+    want = np.argsort(d, 1, kind="stable")[:, :2]
+    assert got == {(i, k + 1): int(j) for i, row in enumerate(want) for k, j in enumerate(row)}
+    assert 0 < moved[0].count() < 1000
+
+
+def test_nearest_without_and_with_shared_identifiers(spark):
+    """Rows without a place are near nothing and hide nobody; rows of one identifier are one query, also over partitions."""
+    frame = lambda v: spark.createDataFrame(v, "id long, x double, y double, z double").repartition(3)
+    nan, p = float("nan"), [(i, float(i), 0.0, 0.0) for i in range(200)]
+    q = [(1, 3.2, 0.0, 0.0), (1, 150.1, 0.0, 0.0), (2, 77.4, 0.0, 0.0), (3, nan, 0.0, 0.0), (4, None, 1.0, 1.0)]
+    odd = [(1000 + i, nan if i % 2 else None, float(i), 0.0) for i in range(20)] + [(2000 + i, float(10 * i), nan, nan) for i in range(20)]
+    got = [(x.qid, x["rank"], x.pid) for x in tree.nearest(frame(q), frame(p + odd), 2, part_rows=20).orderBy("qid", "rank").collect()]
+    assert got == [(1, 1, 150), (1, 2, 3), (2, 1, 77), (2, 2, 78)]
+
+
+def test_search_keeps_few_points_of_a_crowded_place():
+    """6,000 queries and points at one place: no 36 million pairs."""
+    p = np.zeros((6000, 3))
+    q, starts = p + 1.0, tree.blocks_of(p + 1.0)[1]
+    tracemalloc.start()
+    who, pid, d = tree.search(p, np.arange(6000)[::-1].copy(), q, starts, 3, np.full(6000, np.inf))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(who, np.repeat(np.arange(6000), 3)) and np.array_equal(pid, np.tile(np.arange(3), 6000)) and (d == 3).all() and peak < 50e6
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 31, 32, 33, 1000])
+def test_even_leaves(n):
+    p = np.random.default_rng(n).integers(0, 9, (n, 3)).astype(float)
+    for depth in range(int(np.log2(n)) + 1):
+        at, _ = tree.even(p, depth)
+        assert at.shape[0] == 1 << depth and sorted(at[at >= 0]) == list(range(n)) and np.ptp((at >= 0).sum(1)) <= 1
+
+
+def test_rounding_without_decimals_is_rounding(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.queries.volumes import rounded
+
+    c = ["rand(1) * 10", "randn(2) / 1000", "randn(3) * 2e7", "(floor(rand(4) * 1e7) + 0.5) / 1e6", "-(floor(rand(5) * 1e4) + 0.5) / 1e6", "double('nan')", "double('inf')", "cast(null as double)", "-1e-9"]
+    df = spark.range(20_000).selectExpr(f"explode(array({', '.join(c)})) as c").withColumn("was", F.round("c", 6) + 0.0).withColumn("was", F.col("was").cast("string"))
+    assert rounded(df).select("c", "was").where("not (cast(c as string) <=> was)").count() == 0
+
+
 def slow_tree(x, y, least, kind, depth):
     """{path: (var, th, label, gain)} by trying every cut of every feature in every node."""
     out = {}

@@ -151,6 +151,15 @@ def test_search_keeps_few_points_of_a_crowded_place():
     assert np.array_equal(who, np.repeat(np.arange(6000), 3)) and np.array_equal(pid, np.tile(np.arange(3), 6000)) and (d == 3).all() and peak < 50e6
 
 
+@pytest.mark.parametrize("name", ["closest_point", "nearest_neighbours"])
+def test_points_are_grouped_once_for_both_sides(spark, monkeypatch, name):
+    from tessera import queries, views
+
+    points, calls = views.points, []
+    monkeypatch.setattr(views, "points", lambda *given: calls.append(given) or points(*given))
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0 and len(calls) == 1
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 31, 32, 33, 1000])
 def test_even_leaves(n):
     p = np.random.default_rng(n).integers(0, 9, (n, 3)).astype(float)

@@ -160,6 +160,46 @@ def test_points_are_grouped_once_for_both_sides(spark, monkeypatch, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0 and len(calls) == 1
 
 
+@pytest.mark.parametrize("name", ["closest_point", "nearest_neighbours"])
+def test_points_are_not_stored_again(spark, monkeypatch, name):
+    """The grouped points are read where they lie: of the tables that the search stores only its results hold places, and identifiers are not looked up."""
+    from tessera import queries
+
+    stored, columns = tree.stored, []
+    monkeypatch.setattr(tree, "stored", lambda df: columns.append(df.columns) or stored(df))
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert all("pid" in c for c in columns if "x" in c) and ["qid"] not in columns
+
+
+def test_order_lines_that_share_an_identifier(spark, tmp_path):
+    """Line 8 of order 1 and line 0 of order 2 have one identifier: it is asked for once, from both places, also where there are partitions."""
+    from tessera import queries, views
+
+    lines = [(o, n, 1000.0 * (o % 7), 10.0 * n) for o in range(60) for n in (0, 3, 8)]
+    for kind, own in (("shared", lines), ("apart", [x for x in lines if x[1] != 8]), ("missing", [*lines[:1], (1, None, 1.0, 1.0)])):
+        spark.createDataFrame(own, "l_orderkey long, l_linenumber int, l_extendedprice double, l_quantity double").write.parquet(f"{tmp_path}/{kind}/lineitem.parquet")
+    assert [views.points_distinct(spark, f"{tmp_path}/{k}") for k in ("shared", "apart", "missing")] == [False, True, False]
+    rows = [(8 * o + n, np.array([o / 20, p / 1000, q / 10])) for o, n, p, q in lines]
+    want = {}
+    for i, v in rows:
+        d, j = min((round(float(((v + [4, 2, -1] - w) ** 2).sum()), 9), j) for j, w in rows)
+        want[i] = min(want.get(i, (np.inf, 0)), (d, j))
+    got = queries.QUERIES["closest_point"](spark, f"{tmp_path}/shared").collect()
+    assert len(got) == len(want) and all(x.d2 == pytest.approx(want[x.qid][0], abs=1e-6) for x in got)
+
+
+def test_parts_are_those_of_the_tree(spark):
+    """Worked out by Spark level by level as by numpy: splits across all axes, places on a split, without bounds, beyond all."""
+    r = np.random.default_rng(4)
+    p = r.integers(0, 40, (3000, 3)) / 7
+    split = tree.Tree(p, 9)
+    q = np.vstack([p, r.random((500, 3)) * 9 - 2, [[np.inf, -np.inf, 0], [-0.0, 0, 1e300]]])
+    rows = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(q)], "id long, x double, y double, z double")
+    got = tree._placed(rows, split).orderBy("id")
+    assert not got.schema["part"].nullable and len(set(split.axis)) == 3
+    assert [x.part for x in got.collect()] == split.locate(q).tolist()
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 31, 32, 33, 1000])
 def test_even_leaves(n):
     p = np.random.default_rng(n).integers(0, 9, (n, 3)).astype(float)
